@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tempestry.llm import quality
+from tempestry.llm import chats, packing, privacy, quality
 from tempestry.llm.common import table
 
 
@@ -16,4 +17,25 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_quality": op1_quality}
+def op3_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = privacy.with_spans(docs, privacy.fit(docs)).select("doc_id", "spans")
+    joined = "array_join(transform({0}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
+    return found.select(
+        "doc_id",
+        *[F.expr(f"CAST(size(filter(spans, s -> s.base AND s.kind = '{k}')) AS LONG)").alias(f"n_{k}") for k in privacy.KINDS],
+        F.sha2(F.expr(joined.format("filter(spans, s -> s.base)")), 256).alias("base_sha256"),
+        F.expr(joined.format("spans")).alias("spans"),
+    )
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", packing.n_tokens().alias("n_tokens"))
+    return packing.packed(docs)
+
+
+def op9_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.rendered(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op3_privacy": op3_privacy, "op8_packing": op8_packing, "op9_chats": op9_chats}

@@ -9,7 +9,7 @@ pos AS (SELECT r, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >
 grams AS (SELECT r, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] AS g FROM pos),
 twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM grams),
 covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS v(k) WHERE n > 1 GROUP BY r),
-lines AS (SELECT r, list_filter(ls, l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM w),
+lines AS (SELECT r, [l FOR l IN ls IF regexp_matches(l, '[^\x20\x09-\x0D]')] AS ls FROM w),
 base AS (
   SELECT w.r, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
@@ -31,7 +31,7 @@ q AS (
 v AS (
   SELECT *, CASE WHEN b50 = -100000 THEN 0.0 ELSE 2 * pow(1.02::DOUBLE / 0.98::DOUBLE, b50) / (1.02::DOUBLE / 0.98::DOUBLE + 1) END AS mid,
     CASE WHEN b75 = -100000 THEN 0.0 ELSE 2 * pow(1.02::DOUBLE / 0.98::DOUBLE, b75) / (1.02::DOUBLE / 0.98::DOUBLE + 1) END AS high FROM q),
-f AS (SELECT lvl, lang, source, rule, docs, mid + 6.0 * greatest(high - mid, least_spread) AS fence FROM v),
+f AS (SELECT lvl, lang, source, rule, docs, mid + 10.0 * greatest(high - mid, least_spread) AS fence FROM v),
 verdict AS (
   SELECT m.r, bool_and(m.v <= coalesce(s.fence, l.fence, c.fence, m.v)) AS inside FROM m
   LEFT JOIN f s ON s.lvl = 's' AND s.docs >= 100 AND s.rule = m.rule AND s.lang IS NOT DISTINCT FROM m.lang AND s.source IS NOT DISTINCT FROM m.source
@@ -40,4 +40,15 @@ verdict AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM judged JOIN verdict USING (r)
 """
 
-ORACLES = {"op1_quality": OP1}
+OP9 = r"""
+WITH d AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS said FROM d GROUP BY conv_id),
+u AS (SELECT said, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY said),
+p AS (SELECT DISTINCT said[1:k] AS said FROM (SELECT said, unnest(range(1, len(said))) AS k FROM u)),
+kept AS (SELECT u.* FROM u LEFT JOIN p ON u.said = p.said WHERE p.said IS NULL)
+SELECT conv_id, CAST(len(said) AS BIGINT) AS n_turns, CAST(n_copies AS BIGINT) AS n_copies,
+  list_aggregate(['<|' || coalesce(s.role, '') || '|>' || chr(10) || coalesce(s.text, '') || chr(10) FOR s IN said], 'string_agg', '') AS chat
+FROM kept
+"""
+
+ORACLES = {"op1_quality": OP1, "op9_chats": OP9}

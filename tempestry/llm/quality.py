@@ -34,7 +34,7 @@ class QualityParams:
     min_words: int = 50
     max_repeat_pct: int = 50
     relative_error: float = 0.02
-    fence: float = 6.0
+    fence: float = 10.0
     least_docs: int = 100
     #: rule -> least spread, so that a source whose documents all agree still tolerates small deviations
     least_spread: dict = field(default_factory=lambda: {"symbols": 0.02, "dup_lines": 0.05, "repeats": 0.05, "word_length": 0.5})
