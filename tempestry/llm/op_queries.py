@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempestry.llm import chats, packing, privacy, quality
+from tempestry.llm import chats, decontamination, packing, privacy, quality
 from tempestry.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", packing.n_tokens().alias("n_tokens"))
     return packing.packed(docs)
@@ -38,4 +42,10 @@ def op9_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.rendered(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_privacy": op3_privacy, "op8_packing": op8_packing, "op9_chats": op9_chats}
+QUERIES = {
+    "op1_quality": op1_quality,
+    "op3_privacy": op3_privacy,
+    "op7_decontamination": op7_decontamination,
+    "op8_packing": op8_packing,
+    "op9_chats": op9_chats,
+}
