@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempestry.llm import chats, decontamination, packing, privacy, quality
+from tempestry.llm import chats, decontamination, packing, privacy, quality, toxicity
 from tempestry.llm.common import table
 
 
@@ -42,10 +42,17 @@ def op9_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.rendered(table(spark, sf_dir, "conversations"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
+    scores = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold != 1)
+    return scores.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_privacy": op3_privacy,
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
     "op9_chats": op9_chats,
+    "op10_toxicity": op10_toxicity,
 }
