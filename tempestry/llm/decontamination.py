@@ -39,7 +39,7 @@ def _seeds(rows: DataFrame, key: str, p: TilingParams, bitmap=None) -> DataFrame
     k, bits = p.min_match, p.bitmap_bits
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for batch in batches for piece in tokens.pieces(batch)):
             starts, words = tokens.split_words(tokens.plain(tokens.text_array(batch.column("text"))))
             h, owner, place = tokens.windows(tokens.word_hashes(words), starts, k)
             if bitmap is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempestry.llm import chats, decontamination, packing, privacy, quality, toxicity
+from tempestry.llm import archives, chats, decontamination, packing, privacy, quality, toxicity
 from tempestry.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archives.round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op3_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = privacy.with_spans(docs, privacy.fit(docs)).select("doc_id", "spans")
@@ -50,6 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_archives": op2_archives,
     "op3_privacy": op3_privacy,
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,

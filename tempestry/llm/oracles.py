@@ -51,4 +51,11 @@ SELECT conv_id, CAST(len(said) AS BIGINT) AS n_turns, CAST(n_copies AS BIGINT) A
 FROM kept
 """
 
-ORACLES = {"op1_quality": OP1, "op9_chats": OP9}
+OP2 = r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, sha256(coalesce(html, '')) AS payload_digest, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to, url FROM f
+"""
+
+ORACLES = {"op1_quality": OP1, "op2_archives": OP2, "op9_chats": OP9}

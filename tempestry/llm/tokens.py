@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +20,16 @@ def text_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """`batch` in slices of about `limit` bytes of text, whole rows each, so that long texts don't add up."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes) // limit
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [batch.num_rows]])
+    for a, b in zip(edges[:-1], edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def split_words(text: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
     """(first word of each text and the total at the end, all words as a dictionary array).
 
