@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempestry.llm import archives, chats, decontamination, packing, privacy, quality, toxicity
+from tempestry.llm import archives, chats, decontamination, extraction, packing, privacy, quality, toxicity
 from tempestry.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op3_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extraction.extracted(pages, extraction.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_archives": op2_archives,
     "op3_privacy": op3_privacy,
+    "op6_extraction": op6_extraction,
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
     "op9_chats": op9_chats,
