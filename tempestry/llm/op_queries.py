@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempestry.llm import archives, chats, decontamination, extraction, packing, privacy, quality, toxicity
+from tempestry.llm import archives, chats, decontamination, extraction, jaccard, packing, privacy, quality, toxicity
 from tempestry.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op3_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.classes(docs).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op6_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return extraction.extracted(pages, extraction.fit(pages)).select("page_id", "url", "text", "n_chars")
@@ -62,6 +67,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_archives": op2_archives,
     "op3_privacy": op3_privacy,
+    "op5_jaccard": op5_jaccard,
     "op6_extraction": op6_extraction,
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
