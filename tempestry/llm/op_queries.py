@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempestry.llm import archives, chats, decontamination, extraction, jaccard, packing, privacy, quality, toxicity
+from tempestry.llm import archives, chats, decontamination, extraction, jaccard, packing, privacy, quality, substrings, toxicity
 from tempestry.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op3_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.classes(docs).select("doc_id", "class_id", "n_links", "n_copies")
@@ -67,6 +71,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_archives": op2_archives,
     "op3_privacy": op3_privacy,
+    "op4_substrings": op4_substrings,
     "op5_jaccard": op5_jaccard,
     "op6_extraction": op6_extraction,
     "op7_decontamination": op7_decontamination,
