@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tempestry.llm import op_queries, oracles
 
-QUERIES = dict(op_queries.QUERIES)
+QUERIES = {**op_queries.QUERIES, "pipeline": corpus_pipeline.run}
 ORACLES = dict(oracles.ORACLES)
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
