@@ -1,9 +1,9 @@
 """WARC archives: written by Spark's text writer, read back by boundary-chain verification.
 
 Writing.  A record is one row of text; the writer's line separator is the blank line that ends a WARC
-record, so the files are plain WARC 1.1 on any file system that Spark can reach, and they can be split.
+record, so the files are plain WARC 1.1 (gzipped by default) on any file system that Spark can reach.
 
-Reading.  The reader splits the files at the version line, wherever it stands, so a payload that holds
+Reading.  The reader cuts the files (in parallel blocks, if not compressed) at the version line, wherever it stands, so a payload that holds
 such a line is cut too.  Every piece is a candidate record: its offset is the running sum of the sizes
 before it, its successor its offset plus what its own header announces.  Whether a candidate is a record is
 decided by reachability from the start of its file alone.  Candidates whose successor is the next candidate
@@ -11,9 +11,9 @@ form runs (cut where some candidate jumps to); pointer jumping doubles the reach
 is known to be reachable or not.  Pieces that are not reachable are given back to the payload they lie in.
 
 Defined results: a null html is an empty payload; pages with equal payloads of at least `revisit_from`
-bytes are one response and revisits of it; repeated page_ids are records of their own; a null page_id is
-written as an empty field and read back as null, and is never the response of a group that has another; a
-null url is an empty target; an empty table gives an empty result; further columns are not archived.  A file
+bytes are one response and revisits of it; repeated page_ids are records of their own, all of them responses
+if theirs is the smallest of the payload; a null page_id is written as an empty field and read back as null,
+and is never the response of a group that has another; a null url is an empty target; an empty table gives an empty result; further columns are not archived.  A file
 that does not start with a record has no reachable one.
 """
 
@@ -31,8 +31,8 @@ END = "\r\n\r\n"
 REVISIT_FROM = 100
 
 
-def write(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM) -> None:
-    """One record per row of page_id, url, html."""
+def write(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, compression: str = "gzip") -> None:
+    """One record per row of page_id, url, html; with compression "none" the files can be split on reading."""
     html = F.coalesce(F.col("html"), F.lit(""))
     digest, size = F.sha2(html, 256), F.octet_length(html)
     named = pages.select("page_id", digest.alias("digest"), size.alias("size")).filter(F.col("size") >= revisit_from)
@@ -43,15 +43,11 @@ def write(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM) -> None
     later = later.distinct().withColumnsRenamed({"page_id": "_page", "digest": "_digest"})
     rows = pages.select("page_id", "url", html.alias("html"), digest.alias("digest"), size.cast("long").alias("size"))
     rows = rows.join(later.hint("merge"), rows["page_id"].eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
-    # rows that share page_id and payload: the first is the response of the others
-    again = Window.partitionBy("page_id", "digest").orderBy("url")
-    rows = rows.withColumn("copy", F.row_number().over(again)).withColumn(
-        "refers_to", F.when(F.col("first").isNotNull(), F.col("first")).when((F.col("copy") > 1) & (F.col("size") >= revisit_from), F.col("page_id"))
-    )
+    rows = rows.withColumnRenamed("first", "refers_to")
     revisit = F.col("refers_to").isNotNull()
     header = F.concat(
         F.lit(VERSION + "WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: <urn:uuid:"), _uuid(F.concat_ws("/", "page_id", "copy", "digest")),
+        F.lit("\r\nWARC-Record-ID: <urn:uuid:"), _uuid(F.concat_ws("/", "page_id", "url", "digest")),
         F.lit(">\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: "), F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "[\\r\\n]", ""),
         F.lit("\r\nX-Page-Id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")),
         F.lit("\r\nX-Refers-To: "), F.coalesce(F.col("refers_to").cast("string"), F.lit("")),
@@ -60,7 +56,7 @@ def write(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM) -> None
         F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("size").cast("string")),
         F.lit(END),
     )
-    rows.select(F.concat(header, F.when(revisit, F.lit("")).otherwise(F.col("html"))).alias("value")).write.option("lineSep", END).text(path)
+    rows.select(F.concat(header, F.when(revisit, F.lit("")).otherwise(F.col("html"))).alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
 
 
 def _uuid(name: Column) -> Column:
