@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,3 +37,23 @@ def stored(df: DataFrame) -> DataFrame:
     at = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced, before the next phase
+    writes its own; it acts when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def bounded_sample(df: DataFrame, column: str, n: int) -> list:
+    """At most `n` distinct values of a text column, chosen by their hash: the same ones however rows are dealt.
+
+    Only hashes are ranked; then the values of the n smallest hashes are fetched.
+    """
+    h = F.xxhash64(column)
+    rows = df.filter(F.col(column).isNotNull())
+    least = [r.h for r in rows.select(h.alias("h")).distinct().orderBy("h").limit(n).collect()]
+    if not least:
+        return []
+    return sorted(r.v for r in rows.filter(h.isin(least)).groupBy(h.alias("h")).agg(F.any_value(column).alias("v")).collect())

@@ -6,7 +6,8 @@ international phone numbers without a plus sign, cards with other separators, IP
 each candidate from its format and its context; the threshold is calibrated to a precision on held-out
 rows; overlapping candidates are resolved from the best score down.
 
-The model is fitted on a bounded sample: at most `context_docs` documents give the surrounding words, and
+The model is fitted on a bounded sample: the beginnings of at most `context_docs` documents give surrounding words,
+and
 `sample_rows` candidates of known kind are planted between them (numbers that are personal and look-alikes:
 versions, dates, prices, measures, identifiers).
 
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempestry.llm import boosting
+from tempestry.llm.common import bounded_sample
 
 KINDS = ("email", "ip", "card", "phone")
 SPAN_TYPE = "array<struct<kind:string,start:int,end:int,base:boolean>>"
@@ -57,6 +59,7 @@ _HINTS = {
 @dataclass(frozen=True)
 class PrivacyParams:
     context_docs: int = 200
+    context_chars: int = 4000
     sample_rows: int = 4000
     precision: float = 0.995
     seed: int = 17
@@ -192,8 +195,8 @@ def _planted(rng: random.Random) -> tuple[str, str, int]:
 
 def fit(docs: DataFrame, p: PrivacyParams = PrivacyParams()) -> dict:
     """The model and its thresholds from a bounded sample."""
-    taken = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.context_docs).select(F.substring("text", 1, 4000).alias("text"))
-    words = [w for r in taken.collect() for w in (r.text or "").split() if w.isalpha()] or ["text"]
+    taken = bounded_sample(docs.select(F.substring("text", 1, p.context_chars).alias("text")), "text", p.context_docs)
+    words = [w for text in taken for w in text.split() if w.isalpha()] or ["text"]
     rng = random.Random(p.seed)
     words.sort()
     rows, labels = [], []
