@@ -1,12 +1,736 @@
-"""All registered station queries and their SQL counterparts."""
+"""All registered station queries and their SQL counterparts, by inventory id."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tempestry.functions import scalars as S
+from tempestry.operators import climatology as C
+from tempestry.operators import detectors as D
+from tempestry.operators import evaluation as E
+from tempestry.operators import features as X
+from tempestry.operators import feeds, lifecycle
+from tempestry.operators.lineage import cut
+from tempestry.plans import views
+from tempestry.plans.sql import CHILL, HUMIDEX, TRAIN1, TRAIN2, with_
+from tempestry.profile import DETECTORS, FORECAST_METRICS, Profile
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+P = Profile(min_bucket_n=10)  # the month of readings at hand is short
+AS_OF = 1706659200  # 2024-01-31
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query and its SQL."""
+
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = with_(sql)
+        return f
+
+    return keep
+
+
+# ---- shared stages -----------------------------------------------------------------------------------
+
+
+def train1(spark: SparkSession, d: str) -> DataFrame:
+    return C.values(C.with_local(views.hourly(spark, d), views.stations(spark)).filter(F.col("t") < TRAIN1), P.climatology_metrics)
+
+
+def train2(spark: SparkSession, d: str) -> DataFrame:
+    return C.values(C.with_local(views.daily(spark, d), views.stations(spark)).filter(F.col("t") < TRAIN2), P.climatology_metrics)
+
+
+def tail_rows(vals: DataFrame, readings: DataFrame) -> DataFrame:
+    """(metric, v): residuals, wet amounts and six-hour totals of the training part."""
+    rest = C.residuals(vals, C.stats(vals, P)["smooth"], ["doy", "hour"])
+    wet = vals.filter((F.col("metric") == "precipitation") & (F.col("v") >= P.wet_mm)).select(F.lit("rain").alias("metric"), "v")
+    return rest.unionByName(wet).unionByName(C.rolling_accumulations(readings, P).select(F.lit("rain_6h").alias("metric"), "v"))
+
+
+def climatology1(spark: SparkSession, d: str) -> dict:
+    vals = cut(train1(spark, d))
+    levels = {name: cut(df) for name, df in C.stats(vals, P).items()}
+    rest = C.residuals(vals, levels["smooth"], ["doy", "hour"])
+    wet = vals.filter((F.col("metric") == "precipitation") & (F.col("v") >= P.wet_mm)).select(F.lit("rain").alias("metric"), "v")
+    acc = C.rolling_accumulations(views.hourly(spark, d).filter(F.col("t") < TRAIN1), P).select(F.lit("rain_6h").alias("metric"), "v")
+    rows = rest.unionByName(wet).unionByName(acc)
+    return {"levels": levels, "gates": D.gates(C.thresholds(rows), C.tails(rows))}
+
+
+def enriched(spark: SparkSession, d: str) -> DataFrame:
+    """Features of all hourly readings; computed once, since every detector starts from them."""
+    return cut(D.enriched(views.hourly(spark, d), views.stations(spark), climatology1(spark, d), P))
+
+
+def with_forecast(spark: SparkSession, d: str, df: DataFrame) -> DataFrame:
+    fc = views.forecasts(spark, d)
+    mae = cut(X.rolling_mae(df.select("t"), X.forecast_pairs(views.hourly(spark, d), fc, P), P))
+    return X.matching_forecast(df, fc, P).join(mae, "t")
+
+
+def with_peers(spark: SparkSession, df: DataFrame) -> DataFrame:
+    cols = [c for m in D.Z_METRICS for c in (m, f"{m}_z", f"{m}_conf")]
+    peers = X.latest_peers(df.select("station", "t", *cols), views.stations(spark), cols)
+    lists = peers.groupBy("station", "t").agg(F.collect_list(F.struct("peer", *cols)).alias("peers"))
+    return cut(df.join(lists, ["station", "t"]))  # a reading without any peer has no spatial anomaly
+
+
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    df = enriched(spark, d)
+    plain = D.detect(df, P, D.REGISTRY[:8])
+    return cut(reduce(DataFrame.unionByName, [plain, D.forecast_bust(with_forecast(spark, d, df), P), D.spatial_anomaly(with_peers(spark, df), P)]))
+
+
+def incidents(spark: SparkSession, d: str, by: str = "strength") -> DataFrame:
+    return lifecycle.incidents(candidates(spark, d), views.hourly(spark, d), P, by)
+
+
+INCIDENT = ["station", "detector", "metric", "onset_t", "last_t", "hits", "peak_t", "peak_strength", "priority_score", "resolved_t", "status", "severity"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The ranked incident feed."""
+    return feeds.events_feed(incidents(spark, sf_dir).select(*INCIDENT), 50)
+
+
+# ---- sources and feeds -------------------------------------------------------------------------------
+
+
+@query("s5_read_readings", "SELECT station, t, temperature_2m, precipitation, pressure_msl, weather_code FROM v1")
+def s5(spark, d):
+    return views.hourly(spark, d).select("station", "t", "temperature_2m", "precipitation", "pressure_msl", "weather_code")
+
+
+@query("s7_dedupe_readings", "SELECT * FROM v3 QUALIFY row_number() OVER (PARTITION BY station, t ORDER BY polled_at, reading_id) = 1")
+def s7(spark, d):
+    return feeds.dedupe_first(views.raw(spark, d), ["station", "t"], ["polled_at", "reading_id"])
+
+
+@query("s8_dedupe_forecasts", "SELECT station, target_t, lead_hours, temperature_2m FROM v5 WHERE lead_hours BETWEEN 3 AND 12 QUALIFY row_number() OVER (PARTITION BY station, target_t ORDER BY lead_hours DESC) = 1")
+def s8(spark, d):
+    f = views.forecasts(spark, d).filter(F.col("lead_hours").between(P.lead_min, P.lead_max))
+    return feeds.dedupe_first(f, ["station", "target_t"], ["issued_t"]).select("station", "target_t", "lead_hours", "temperature_2m")
+
+
+@query("s11_backfill_chunks", "SELECT k AS first_day, least(k + 4, (SELECT max(t) // 86400 FROM v1)) AS last_day, (SELECT count(*) FROM v1 WHERE t // 86400 BETWEEN k AND k + 4) AS n FROM (SELECT unnest(range((SELECT min(t) // 86400 FROM v1), (SELECT max(t) // 86400 FROM v1) + 1, 5)) AS k)")
+def s11(spark, d):
+    days = views.hourly(spark, d).groupBy(F.floor(F.col("t") / 86400).alias("day")).agg(F.count("*").alias("n"))
+    ends = days.agg(F.min("day").alias("a"), F.max("day").alias("z"))
+    chunks = ends.select("z", F.explode(F.sequence("a", "z", F.lit(5).cast("long"))).alias("first_day")).select("first_day", F.least(F.col("first_day") + 4, F.col("z")).alias("last_day"))
+    # every day belongs to one chunk, so the range join is an equality on the chunk's first day
+    first = days.join(F.broadcast(ends), how="cross").select((F.col("day") - (F.col("day") - F.col("a")) % 5).alias("first_day"), "n")
+    return chunks.join(first.groupBy("first_day").agg(F.sum("n").alias("n")), "first_day", "left").select("first_day", "last_day", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("f1_readings_feed", f"SELECT station, t, temperature_2m FROM v1 WHERE station = 'click' AND t BETWEEN {TRAIN1} AND {AS_OF} ORDER BY t DESC LIMIT 50")
+def f1(spark, d):
+    return feeds.feed(views.hourly(spark, d), "t", "click", TRAIN1, AS_OF).select("station", "t", "temperature_2m")
+
+
+_INC = ", ".join(INCIDENT)
+
+
+@query("f2_events_feed", f"SELECT {_INC} FROM inc ORDER BY priority_score DESC NULLS LAST, onset_t DESC, station, detector, metric LIMIT 50")
+def f2(spark, d):
+    rows = incidents(spark, d).select(*INCIDENT)
+    return rows.orderBy(F.desc_nulls_last("priority_score"), F.desc("onset_t"), "station", "detector", "metric").limit(feeds.bounded(50))
+
+
+@query("f3_forecasts_feed", f"SELECT station, target_t, lead_hours, temperature_2m FROM v5 WHERE target_t >= {TRAIN1} ORDER BY target_t DESC, station LIMIT 50")
+def f3(spark, d):
+    return feeds.feed(views.forecasts(spark, d), "target_t", start=TRAIN1).select("station", "target_t", "lead_hours", "temperature_2m")
+
+
+@query("f5_recent_history", f"SELECT station, t, temperature_2m FROM v1 WHERE station = 'view' AND t >= {TRAIN1} - 172800 AND t < {TRAIN1} ORDER BY t DESC LIMIT 24")
+def f5(spark, d):
+    return feeds.recent_history(views.hourly(spark, d), "view", TRAIN1, 48, 24).select("station", "t", "temperature_2m")
+
+
+@query("f6_event_filter", f"SELECT {_INC} FROM inc WHERE onset_t BETWEEN {AS_OF} - 14*86400 AND {AS_OF} AND detector IN ('heat_stress', 'wind_gust_burst') AND severity IN ('warning', 'severe')")
+def f6(spark, d):
+    return feeds.event_filter(incidents(spark, d).select(*INCIDENT), AS_OF, ("heat_stress", "wind_gust_burst"), ("warning", "severe"), 14)
+
+
+@query("f7_top_incidents", f"SELECT {_INC} FROM rinc ORDER BY priority_score DESC, onset_t, station, detector, metric LIMIT 30")
+def f7(spark, d):
+    return incidents(spark, d, "score").select(*INCIDENT).orderBy(F.desc("priority_score"), "onset_t", "station", "detector", "metric").limit(30)
+
+
+@query("f8_health_counts", "SELECT (SELECT count(*) FROM v1) AS readings, (SELECT count(*) FROM inc) AS events")
+def f8(spark, d):
+    a = views.hourly(spark, d).agg(F.count("*").alias("readings"))
+    return a.join(F.broadcast(incidents(spark, d).agg(F.count("*").alias("events"))), how="cross")
+
+
+@query("f9_suppress_types", "SELECT detector, count(*) AS n FROM cand WHERE detector NOT IN ('forecast_bust') GROUP BY detector")
+def f9(spark, d):
+    return feeds.suppressed(candidates(spark, d), ["forecast_bust"]).groupBy("detector").agg(F.count("*").alias("n"))
+
+
+# ---- joins -------------------------------------------------------------------------------------------
+
+
+@query("j1_latest_peers", "SELECT station, t, peer, peer_t, temperature_2m FROM (SELECT r.station, r.t, p.station AS peer, f.t AS peer_t, f.temperature_2m FROM (SELECT station, t, peer_group FROM v1 JOIN v4 USING (station)) r JOIN v4 p ON p.peer_group = r.peer_group AND p.station <> r.station ASOF JOIN v1 f ON f.station = p.station AND f.t <= r.t)")
+def j1(spark, d):
+    return X.latest_peers(views.hourly(spark, d), views.stations(spark), ["temperature_2m"])
+
+
+@query("j2_k_hour_delta", "SELECT station, t, round(temperature_2m_delta, 6) AS temperature_delta, round(pressure_delta, 6) AS pressure_delta FROM delta")
+def j2(spark, d):
+    h = X.with_history(views.hourly(spark, d), P)
+    return h.select("station", "t", F.round("temperature_2m_delta", 6).alias("temperature_delta"), F.round("pressure_delta", 6).alias("pressure_delta"))
+
+
+@query("j3_matching_forecast", "SELECT a.station, a.t, a.temperature_2m, f.temperature_2m AS forecast, f.lead_hours FROM v1 a LEFT JOIN v5 f ON f.station = a.station AND f.target_t = a.t AND f.lead_hours BETWEEN 3 AND 12")
+def j3(spark, d):
+    m = X.matching_forecast(views.hourly(spark, d), views.forecasts(spark, d), P)
+    return m.select("station", "t", "temperature_2m", F.col("fcst_temperature_2m").alias("forecast"), "lead_hours")
+
+
+@query("j4_forecast_pairs", f"SELECT station, t, temperature_2m, fcst_temperature_2m AS forecast FROM pairs WHERE t >= {AS_OF} - 14*86400 AND t < {AS_OF} ORDER BY t DESC, station LIMIT 200")
+def j4(spark, d):
+    p = X.forecast_pairs(views.hourly(spark, d), views.forecasts(spark, d), P).filter((F.col("t") >= AS_OF - P.pair_days * 86400) & (F.col("t") < AS_OF))
+    return p.orderBy(F.desc("t"), "station").limit(P.pair_limit).select("station", "t", "temperature_2m", F.col("fcst_temperature_2m").alias("forecast"))
+
+
+_LOOK = ", ".join(f"{m}_{c}" for m in D.Z_METRICS for c in ("median", "scale", "n", "bucket"))
+
+
+@query("j5_climatology_lookup", f"SELECT station, t, {_LOOK} FROM look")
+def j5(spark, d):
+    vals = train1(spark, d)
+    df = C.lookup(C.with_local(views.hourly(spark, d), views.stations(spark)), C.stats(vals, P), D.Z_METRICS, P)
+    return df.select("station", "t", *[f"{m}_{c}" for m in D.Z_METRICS for c in ("median", "scale", "n", "bucket")])
+
+
+@query("j6_wet_precip_lookup", """SELECT l.station, l.t, coalesce(a.wet_count, b.wet_count, c.wet_count) AS wet_count, coalesce(a.p95, b.p95, c.p95) AS p95 FROM loc1 l
+ LEFT JOIN (SELECT station, month, hour, count(*) FILTER (WHERE v >= 0.1) AS wet_count, round(quantile_cont(v, 0.95) FILTER (WHERE v >= 0.1) + 1e-9, 4) AS p95 FROM val1 WHERE metric = 'precipitation' GROUP BY ALL) a ON a.station = l.station AND a.month = l.month AND a.hour = l.hour AND a.wet_count >= 10
+ LEFT JOIN (SELECT station, month, count(*) FILTER (WHERE v >= 0.1) AS wet_count, round(quantile_cont(v, 0.95) FILTER (WHERE v >= 0.1) + 1e-9, 4) AS p95 FROM val1 WHERE metric = 'precipitation' GROUP BY ALL) b ON b.station = l.station AND b.month = l.month AND b.wet_count >= 10
+ LEFT JOIN (SELECT station, count(*) FILTER (WHERE v >= 0.1) AS wet_count, round(quantile_cont(v, 0.95) FILTER (WHERE v >= 0.1) + 1e-9, 4) AS p95 FROM val1 WHERE metric = 'precipitation' GROUP BY ALL) c ON c.station = l.station""")
+def j6(spark, d):
+    vals, rows = train1(spark, d), C.with_local(views.hourly(spark, d), views.stations(spark))
+    for k, keys in enumerate((["station", "month", "hour"], ["station", "month"], ["station"])):
+        w = C.wet_stats(vals, keys, P)
+        w = w.filter(F.col("wet_count") >= P.min_bucket_n) if k < 2 else w
+        rows = rows.join(w.select(*keys, F.struct("wet_count", "p95").alias(f"w{k}")), keys, "left")
+    best = F.coalesce("w0", "w1", "w2")
+    return rows.select("station", "t", best["wet_count"].alias("wet_count"), best["p95"].alias("p95"))
+
+
+@query("j7_label_match", "SELECT DISTINCT x.label_id, r.station, r.detector, r.metric, r.onset_t, r.severity, r.priority_score, EXISTS (SELECT 1 FROM v6 y WHERE y.label_id = x.label_id AND y.expected_type = r.detector) AS is_expected FROM rinc r JOIN v6 x ON x.station = r.station AND r.onset_t BETWEEN x.from_t AND x.until_t")
+def j7(spark, d):
+    return E.label_matches(incidents(spark, d, "score"), views.labels(spark))
+
+
+@query("j8_spot_check_match", "SELECT max(priority_score) AS best, arg_max(onset_t, {'s': priority_score, 'o': -onset_t}) AS onset_t FROM rinc WHERE station = 'purchase' AND detector = 'pressure_plunge' AND severity <> 'info' AND onset_t BETWEEN 1706054400 - 172800 AND 1706054400 + 3*86400 - 1")
+def j8(spark, d):
+    r = incidents(spark, d, "score").filter("station = 'purchase' AND detector = 'pressure_plunge' AND severity <> 'info'").filter(F.col("onset_t").between(1706054400 - 172800, 1706054400 + 3 * 86400 - 1))
+    return r.agg(F.max("priority_score").alias("best"), F.max_by("onset_t", F.struct("priority_score", -F.col("onset_t"))).alias("onset_t"))
+
+
+@query("j9_event_marker_join", "SELECT r.station, r.detector, r.metric, r.peak_t, CASE r.metric WHEN 'temperature_2m' THEN v1.temperature_2m WHEN 'humidex' THEN v1.temperature_2m WHEN 'wind_chill' THEN v1.temperature_2m WHEN 'precipitation' THEN v1.precipitation WHEN 'wind_gusts_10m' THEN v1.wind_gusts_10m WHEN 'wind_speed_10m' THEN v1.wind_speed_10m WHEN 'pressure_msl' THEN v1.pressure_msl END AS y FROM rinc r JOIN v1 ON v1.station = r.station AND v1.t = r.peak_t")
+def j9(spark, d):
+    h = views.hourly(spark, d)
+    r = incidents(spark, d, "score").join(h.withColumnRenamed("t", "peak_t"), ["station", "peak_t"])
+    y = F.when(F.col("metric").isin("temperature_2m", "humidex", "wind_chill"), F.col("temperature_2m"))
+    for m in ("precipitation", "wind_gusts_10m", "wind_speed_10m", "pressure_msl"):
+        y = y.when(F.col("metric") == m, F.col(m))
+    y = F.coalesce(y, F.col("signals")["value"])
+    return r.select("station", "detector", "metric", "peak_t", y.alias("y")).filter("y IS NOT NULL")
+
+
+@query("j10_chart_series", "SELECT coalesce(a.t, b.t) AS t, round(observed, 6) AS observed, round(forecast, 6) AS forecast FROM (SELECT t, avg(temperature_2m) AS observed FROM v1 GROUP BY t) a FULL JOIN (SELECT target_t AS t, avg(temperature_2m) AS forecast FROM v5 GROUP BY 1) b ON a.t = b.t")
+def j10(spark, d):
+    c = feeds.chart_series(views.hourly(spark, d), views.forecasts(spark, d), "temperature_2m")
+    return c.select("t", F.round("observed", 6).alias("observed"), F.round("forecast", 6).alias("forecast"))
+
+
+# ---- statistics and climatology ----------------------------------------------------------------------
+
+
+def _by_station(spark, d, *aggs):
+    return views.daily(spark, d).groupBy("station").agg(*aggs)
+
+
+@query("a1_median", "SELECT station, round(median(temperature_2m), 6) AS m FROM v2 GROUP BY station")
+def a1(spark, d):
+    return _by_station(spark, d, F.round(F.median("temperature_2m"), 6).alias("m"))
+
+
+@query("a2_mad", "SELECT station, round(mad(temperature_2m), 6) AS mad FROM v2 GROUP BY station")
+def a2(spark, d):
+    v = views.daily(spark, d)
+    m = v.groupBy("station").agg(F.median("temperature_2m").alias("m"))
+    return v.join(m, "station").groupBy("station").agg(F.round(F.median(F.abs(F.col("temperature_2m") - F.col("m"))), 6).alias("mad"))
+
+
+@query("a3_percentile", "SELECT station, " + ", ".join(f"round(quantile_cont(pressure_msl, {q}), 6) AS p{i}" for i, q in enumerate((0.05, 0.5, 0.95, 0.995))) + " FROM v2 GROUP BY station")
+def a3(spark, d):
+    q = F.percentile("pressure_msl", F.array(*[F.lit(x) for x in (0.05, 0.5, 0.95, 0.995)]))
+    return _by_station(spark, d, q.alias("q")).select("station", *[F.round(F.get("q", i), 6).alias(f"p{i}") for i in range(4)])
+
+
+@query("a4_mean_pstd", "SELECT station, round(avg(wind_gusts_10m), 6) AS mean, round(stddev_pop(wind_gusts_10m), 6) AS pstd FROM v2 GROUP BY station")
+def a4(spark, d):
+    return _by_station(spark, d, F.round(F.avg("wind_gusts_10m"), 6).alias("mean"), F.round(F.stddev_pop("wind_gusts_10m"), 6).alias("pstd"))
+
+
+for _level, _step, _keys in (("month_hour", "mh2", ["month", "hour"]), ("month", "mo2", ["month"]), ("city", "city2", []), ("smooth", "smooth2", ["doy", "hour"])):
+
+    @query(f"{'w9_smooth_doy_window' if _level == 'smooth' else 'a5_robust_stats_' + _level}", f"SELECT station, {''.join(k + ', ' for k in _keys)}metric, n, median, mad, scale FROM {_step}")
+    def a5(spark, d, level=_level):
+        return C.stats(train2(spark, d), P)[level]
+
+
+@query("a6_wet_precip_stats", "SELECT station, month, count(*) AS total_count, count(*) FILTER (WHERE v >= 0.1) AS wet_count, " + ", ".join(f"round(quantile_cont(v, {m / 100}) FILTER (WHERE v >= 0.1) + 1e-9, 4) AS p{m}" for m in (50, 75, 90, 95, 99)) + " FROM val2 WHERE metric = 'precipitation' GROUP BY ALL")
+def a6(spark, d):
+    return C.wet_stats(train2(spark, d), ["station", "month"], P)
+
+
+@query("a7_tail_anchors", "SELECT metric, kind, k, v, p FROM tail2")
+def a7(spark, d):
+    return C.tails(tail_rows(train2(spark, d), views.daily(spark, d).filter(F.col("t") < TRAIN2)))
+
+
+@query("a8_rolling_accumulations", "SELECT station, t, round(v, 6) AS v FROM acc1")
+def a8(spark, d):
+    return C.rolling_accumulations(views.hourly(spark, d).filter(F.col("t") < TRAIN1), P).withColumn("v", F.round("v", 6))
+
+
+@query("a9_empirical_thresholds", "SELECT * FROM thr2")
+def a9(spark, d):
+    vals = train2(spark, d)
+    return C.thresholds(C.residuals(vals, C.stats(vals, P)["smooth"], ["doy", "hour"]))
+
+
+@query("a9b_legacy_thresholds", "SELECT * FROM thrmh2")
+def a9b(spark, d):
+    vals = train2(spark, d)
+    return C.thresholds(C.residuals(vals, C.stats(vals, P)["month_hour"], ["month", "hour"]))
+
+
+@query("a9c_threshold_summary", "SELECT (SELECT upper_z FROM thr2 WHERE metric = 'temperature_2m') AS temperature_upper, (SELECT lower_z FROM thr2 WHERE metric = 'temperature_2m') AS temperature_lower, (SELECT upper_z FROM thr2 WHERE metric = 'wind_gusts_10m') AS gust_upper, (SELECT round(quantile_cont(v, 0.995) + 1e-9, 4) FROM val2 WHERE metric = 'precipitation' AND v >= 0.1) AS wet_amount")
+def a9c(spark, d):
+    vals = train2(spark, d)
+    thr = a9(spark, d)
+    pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    row = thr.agg(pick("temperature_2m", "upper_z").alias("temperature_upper"), pick("temperature_2m", "lower_z").alias("temperature_lower"), pick("wind_gusts_10m", "upper_z").alias("gust_upper"))
+    wet = vals.filter("metric = 'precipitation' AND v >= 0.1").agg(C.places(F.percentile("v", F.lit(0.995))).alias("wet_amount"))
+    return row.join(F.broadcast(wet), how="cross")
+
+
+@query("a10_rolling_mae", "SELECT t, " + ", ".join(f"round({m}_mae, 6) AS {m}_mae, {m}_pairs" for m in FORECAST_METRICS) + " FROM mae")
+def a10(spark, d):
+    h = views.hourly(spark, d)
+    r = X.rolling_mae(h, X.forecast_pairs(h, views.forecasts(spark, d), P), P)
+    return r.select("t", *[c for m in FORECAST_METRICS for c in (F.round(f"{m}_mae", 6).alias(f"{m}_mae"), f"{m}_pairs")])
+
+
+@query("a25_boundary_diagnostics", """SELECT a.station, a.metric, round(abs((20.0 - a.median) / a.scale - (20.0 - b.median) / b.scale), 4) AS jump_smooth, round(abs((20.0 - c.median) / c.scale - (20.0 - e.median) / e.scale), 4) AS jump_month
+ FROM smooth2 a JOIN smooth2 b ON b.station = a.station AND b.metric = a.metric AND b.hour = a.hour AND a.doy = 365 AND b.doy = 1 JOIN (SELECT DISTINCT station, metric, median, scale FROM mo2 WHERE month = 12) c ON c.station = a.station AND c.metric = a.metric
+ JOIN (SELECT * FROM mo2 WHERE month = 1) e ON e.station = a.station AND e.metric = a.metric WHERE a.hour = 0""")
+def a25(spark, d):
+    s = C.stats(train2(spark, d), P)
+    z = lambda a: (20.0 - F.col(f"{a}.median")) / F.col(f"{a}.scale")
+    at = lambda df, cond, name: df.filter(cond).select("station", "metric", F.struct("median", "scale").alias(name))
+    rows = at(s["smooth"], "doy = 365 AND hour = 0", "a").join(at(s["smooth"], "doy = 1 AND hour = 0", "b"), ["station", "metric"])
+    rows = rows.join(at(s["month"], "month = 12", "c"), ["station", "metric"]).join(at(s["month"], "month = 1", "e"), ["station", "metric"])
+    return rows.select("station", "metric", F.round(F.abs(z("a") - z("b")), 4).alias("jump_smooth"), F.round(F.abs(z("c") - z("e")), 4).alias("jump_month"))
+
+
+# ---- windows -----------------------------------------------------------------------------------------
+
+
+@query("w1_history_n", "SELECT station, t, count(*) OVER (PARTITION BY station ORDER BY t RANGE BETWEEN 1209600 PRECEDING AND 1 PRECEDING) AS by_time, count(*) OVER (PARTITION BY station ORDER BY t ROWS BETWEEN 336 PRECEDING AND 1 PRECEDING) AS by_rows FROM v1")
+def w1(spark, d):
+    return views.hourly(spark, d).select("station", "t", X.history_n(P).alias("by_time"), X.history_n(Profile(history_rows=True)).alias("by_rows"))
+
+
+@query("w2_accumulation_6h", "SELECT station, t, round(accumulation_6h, 6) AS mm FROM hist")
+def w2(spark, d):
+    return views.hourly(spark, d).select("station", "t", F.round(X.accumulation_6h(), 6).alias("mm"))
+
+
+@query("w3_rolling_p05_delta", "SELECT station, t, round(p05_delta, 6) AS p05, n_deltas FROM hist")
+def w3(spark, d):
+    return X.with_history(views.hourly(spark, d), P).select("station", "t", F.round("p05_delta", 6).alias("p05"), "n_deltas")
+
+
+@query("w5_rolling_percentiles", "SELECT station, t, round(quantile_cont(temperature_2m, 0.05) OVER w, 6) AS p05, round(quantile_cont(temperature_2m, 0.95) OVER w, 6) AS p95 FROM v1 WINDOW w AS (PARTITION BY station ORDER BY t RANGE BETWEEN 172800 PRECEDING AND 1 PRECEDING)")
+def w5(spark, d):
+    w = X.by_station().rangeBetween(-172800, -1)
+    return views.hourly(spark, d).select("station", "t", *[F.round(F.percentile("temperature_2m", F.lit(q)).over(w), 6).alias(n) for n, q in (("p05", 0.05), ("p95", 0.95))])
+
+
+@query("w6_streak3", "SELECT station, t, temperature_2m >= 20 AND lag(temperature_2m) OVER w >= 20 AND lag(temperature_2m, 2) OVER w >= 20 AS streak FROM v1 WINDOW w AS (PARTITION BY station ORDER BY t)")
+def w6(spark, d):
+    w = X.by_station()
+    v = F.col("temperature_2m")
+    return views.hourly(spark, d).select("station", "t", ((v >= 20) & (F.lag(v).over(w) >= 20) & (F.lag(v, 2).over(w) >= 20)).alias("streak"))
+
+
+@query("w7_previous_code", "SELECT station, t, lag(temperature_2m) OVER w AS previous, last_value(nullif(weather_code, 0) IGNORE NULLS) OVER (PARTITION BY station ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS code FROM v1 WINDOW w AS (PARTITION BY station ORDER BY t)")
+def w7(spark, d):
+    h = views.hourly(spark, d).withColumn("code", F.nullif(F.col("weather_code"), F.lit(0)))
+    return h.select("station", "t", X.previous("temperature_2m").alias("previous"), X.previous_known("code").alias("code"))
+
+
+@query("w10_best_per_key", "SELECT station, t, detector, metric, strength, score FROM best")
+def w10(spark, d):
+    return lifecycle.best_per_key(candidates(spark, d)).select("station", "t", "detector", "metric", "strength", "score")
+
+
+# ---- scalars -----------------------------------------------------------------------------------------
+
+
+@query("x1_local_parts", "SELECT station, t, hour, month, doy FROM loc1")
+def x1(spark, d):
+    return C.with_local(views.hourly(spark, d), views.stations(spark)).select("station", "t", "hour", "month", "doy")
+
+
+@query("x2_robust_z", "SELECT station, t, " + ", ".join(f"round({m}_z, 4) AS {m}_z, {m}_conf" for m in D.Z_METRICS) + " FROM feat")
+def x2(spark, d):
+    return enriched(spark, d).select("station", "t", *[c for m in D.Z_METRICS for c in (F.round(f"{m}_z", 4).alias(f"{m}_z"), f"{m}_conf")])
+
+
+from tempestry.plans.sql import rarity as _rarity  # noqa: E402
+
+
+@query("x5_rarity", f"SELECT station, t, round({_rarity('temperature_2m', 'upper', 'temperature_2m_z')}, 4) AS rarity FROM feat WHERE temperature_2m_z IS NOT NULL")
+def x5(spark, d):
+    df = enriched(spark, d).filter("temperature_2m_z IS NOT NULL")
+    return df.select("station", "t", F.round(S.rarity(F.col("temperature_2m_upper"), F.col("temperature_2m_z"), F.lit(0.0)), 4).alias("rarity"))
+
+
+@query("x6_wet_percentile_bucket", "SELECT l.station, l.t, CAST(coalesce(list_min([q.p FOR q IN m IF q.v >= precipitation]), 99) AS INT) AS bucket FROM loc1 l JOIN (SELECT station, [{'v': round(quantile_cont(v, 0.5) + 1e-9, 4), 'p': 50}, {'v': round(quantile_cont(v, 0.75) + 1e-9, 4), 'p': 75}, {'v': round(quantile_cont(v, 0.9) + 1e-9, 4), 'p': 90}, {'v': round(quantile_cont(v, 0.95) + 1e-9, 4), 'p': 95}, {'v': round(quantile_cont(v, 0.99) + 1e-9, 4), 'p': 99}] AS m FROM val1 WHERE metric = 'precipitation' AND v >= 0.1 GROUP BY station) w USING (station) WHERE precipitation >= 0.1")
+def x6(spark, d):
+    w = C.wet_stats(train1(spark, d), ["station"], P)
+    marks = F.array(*[F.struct(F.col(f"p{m}").alias("v"), F.lit(m).alias("p")) for m in (50, 75, 90, 95, 99)])
+    rows = views.hourly(spark, d).filter(F.col("precipitation") >= P.wet_mm).join(w.select("station", marks.alias("marks")), "station")
+    return rows.select("station", "t", S.wet_bucket(F.col("precipitation"), F.col("marks")).alias("bucket"))
+
+
+@query("x8_humidex_wind_chill", f"SELECT station, t, round({HUMIDEX}, 4) AS humidex, round({CHILL}, 4) AS wind_chill, round(abs(apparent_temperature - temperature_2m), 4) AS gap FROM v1")
+def x8(spark, d):
+    t = F.col("temperature_2m")
+    return views.hourly(spark, d).select(
+        "station", "t", F.round(S.humidex(t, F.col("dew_point_2m")), 4).alias("humidex"), F.round(S.wind_chill(t, F.col("wind_speed_10m")), 4).alias("wind_chill"),
+        F.round(F.abs(F.col("apparent_temperature") - t), 4).alias("gap"),
+    )
+
+
+@query("x10_weather_codes", "SELECT station, t, CASE WHEN weather_code = 95 THEN 3 WHEN weather_code = 63 THEN 2 WHEN weather_code = 51 THEN 1 ELSE 0 END AS level, CASE WHEN weather_code = 95 THEN 'severe' WHEN weather_code = 63 THEN 'moderate' WHEN weather_code = 51 THEN 'mild_precipitation' ELSE 'clear' END AS category FROM v1")
+def x10(spark, d):
+    code = F.col("weather_code")
+    return views.hourly(spark, d).select("station", "t", S.weather_level(code).alias("level"), S.weather_category(code).alias("category"))
+
+
+@query("x13_forecast_residual", "SELECT p.station, p.t, round(temperature_2m - fcst_temperature_2m, 6) AS residual, round(abs(temperature_2m - fcst_temperature_2m) / temperature_2m_mae, 6) AS normalized FROM pairs p JOIN mae USING (t)")
+def x13(spark, d):
+    h = views.hourly(spark, d)
+    pairs = X.forecast_pairs(h, views.forecasts(spark, d), P)
+    r = F.col("temperature_2m") - F.col("fcst_temperature_2m")
+    return pairs.join(X.rolling_mae(h, pairs, P), "t").select("station", "t", F.round(r, 6).alias("residual"), F.round(F.abs(r) / F.col("temperature_2m_mae"), 6).alias("normalized"))
+
+
+# ---- detectors and lifecycle -------------------------------------------------------------------------
+
+CANDIDATE = ["station", "t", "metric", "strength", "score", "severity"]
+
+
+def _detector(k: int):
+    def run(spark, d):
+        df = enriched(spark, d)
+        df = with_forecast(spark, d, df) if k == 8 else with_peers(spark, df) if k == 9 else df
+        return D.REGISTRY[k](df, P).select(*CANDIDATE)
+
+    return run
+
+
+for _k, _name in enumerate(DETECTORS):
+    query(f"d{_k + 1}_{_name}", f"SELECT {', '.join(CANDIDATE)} FROM d{_k + 1}")(_detector(_k))
+
+
+@query("u1_detect", "SELECT detector, metric, severity, count(*) AS n, max(score) AS top FROM cand GROUP BY ALL")
+def u1(spark, d):
+    return candidates(spark, d).groupBy("detector", "metric", "severity").agg(F.count("*").alias("n"), F.max("score").alias("top"))
+
+
+@query("l1_collapse_incidents", f"SELECT {_INC} FROM inc")
+def l1(spark, d):
+    return incidents(spark, d).select(*INCIDENT)
+
+
+@query("l4_replay_collapse", f"SELECT {_INC} FROM rinc")
+def l4(spark, d):
+    return incidents(spark, d, "score").select(*INCIDENT)
+
+
+# ---- evaluation --------------------------------------------------------------------------------------
+
+_KINDS = ", ".join(f"('{k}')" for k in DETECTORS)
+
+
+@query("a11_incident_rates", f"""SELECT coalesce(detector, 'OVERALL') AS detector, CAST(sum(i) AS BIGINT) AS incidents, CAST(sum(r) AS BIGINT) AS raw, round(sum(i) * 1000.0::DOUBLE / (SELECT count(*) FROM v1), 4) AS per_1000,
+ round(sum(i)::DOUBLE / (SELECT sum(round_even(n / 24.0::DOUBLE, 0)) FROM (SELECT count(*) AS n FROM v1 GROUP BY station)), 4) AS per_day, round(CASE WHEN sum(i) > 0 THEN sum(r)::DOUBLE / sum(i) ELSE 0.0 END, 4) AS collapse
+ FROM (SELECT k AS detector, (SELECT count(*) FROM rinc WHERE detector = k) AS i, (SELECT count(*) FROM cand WHERE detector = k) AS r FROM (VALUES {_KINDS}) AS x(k)) GROUP BY ROLLUP (detector)""")
+def a11(spark, d):
+    return E.rates(incidents(spark, d, "score"), candidates(spark, d), views.hourly(spark, d))
+
+
+@query("a12_city_rates", "SELECT station, i AS incidents, r AS raw, round(i / n, 6) AS per_reading FROM (SELECT v.station, count(*)::DOUBLE AS n, (SELECT count(*) FROM rinc x WHERE x.station = v.station) AS i, (SELECT count(*) FROM cand x WHERE x.station = v.station) AS r FROM v1 v GROUP BY v.station)")
+def a12(spark, d):
+    n = views.hourly(spark, d).groupBy("station").agg(F.count("*").alias("n"))
+    i = incidents(spark, d, "score").groupBy("station").agg(F.count("*").alias("incidents"))
+    r = candidates(spark, d).groupBy("station").agg(F.count("*").alias("raw"))
+    rows = n.join(i, "station", "left").join(r, "station", "left").na.fill(0)
+    return rows.select("station", "incidents", "raw", F.round(F.col("incidents") / F.col("n"), 6).alias("per_reading"))
+
+
+@query("a13_severity_table", "SELECT detector, count(*) FILTER (WHERE severity = 'info') AS info, count(*) FILTER (WHERE severity = 'warning') AS warning, count(*) FILTER (WHERE severity = 'severe') AS severe FROM rinc GROUP BY detector")
+def a13(spark, d):
+    return E.severity_table(incidents(spark, d, "score"))
+
+
+@query("a16_score_distribution", "SELECT detector, round(quantile_cont(score, 0.5), 3) AS p50, round(quantile_cont(score, 0.9), 3) AS p90, round(quantile_cont(score, 0.99), 3) AS p99, max(score) AS top, count(*) AS n FROM cand GROUP BY detector")
+def a16(spark, d):
+    return E.score_distribution(candidates(spark, d))
+
+
+@query("a17_rain_trigger_mix", "SELECT CASE WHEN a >= g AND b >= tg THEN 3 WHEN b >= tg THEN 2 ELSE 1 END AS trigger, count(*) AS n, round(quantile_cont(score, 0.5), 3) AS p50 FROM (SELECT d5.score, f.precipitation AS a, f.accumulation_6h AS b, greatest(f.wet_p995, 10.0) AS g, greatest(f.wet_p995, 12.5) AS tg FROM d5 JOIN feat f ON f.station = d5.station AND f.t = d5.t) GROUP BY 1")
+def a17(spark, d):
+    r = D.heavy_rain_burst(enriched(spark, d), P).withColumn("trigger", F.col("signals")["trigger"].cast("int"))
+    return r.groupBy("trigger").agg(F.count("*").alias("n"), F.round(F.percentile("score", F.lit(0.5)), 3).alias("p50"))
+
+
+@query("a18_score_histogram", "SELECT CAST(least(floor(score / 5.0::DOUBLE), 19) AS INT) AS bin, count(*) AS n FROM cand GROUP BY 1")
+def a18(spark, d):
+    return E.histogram(candidates(spark, d), "score", 0.0, 100.0, 20)
+
+
+@query("a19_incidents_by_local_hour", "SELECT CAST(h AS INT) AS hour, count(i.station) AS n FROM range(24) AS x(h) LEFT JOIN (SELECT station, hour(timezone(tz, timezone('UTC', make_timestamp(onset_t * 1000000)))) AS hr FROM rinc JOIN v4 USING (station)) i ON i.hr = h GROUP BY h")
+def a19(spark, d):
+    return E.by_local_hour(incidents(spark, d, "score"), views.stations(spark))
+
+
+@query("a20_severity_share", "SELECT severity, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM rinc), 6) AS share FROM rinc GROUP BY severity")
+def a20(spark, d):
+    return E.shares(incidents(spark, d, "score"), "severity")
+
+
+@query("a20_type_share", "SELECT detector, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM rinc), 6) AS share FROM rinc GROUP BY detector")
+def a20b(spark, d):
+    return E.shares(incidents(spark, d, "score"), "detector")
+
+
+_V = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("a21_event_distribution", f"SELECT s AS station, k AS detector, n, max(n) OVER () AS largest FROM (SELECT s, k, (SELECT count(*) FROM inc WHERE station = s AND detector = k) AS n FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in _V)}) AS a(s), (VALUES {_KINDS}) AS b(k))")
+def a21(spark, d):
+    return feeds.event_distribution(incidents(spark, d), _V, DETECTORS)
+
+
+@query("a22_compare_series", "SELECT t, " + ", ".join(f'max(temperature_2m) FILTER (WHERE station = \'{s}\') AS "{s}"' for s in _V) + " FROM v1 GROUP BY t")
+def a22(spark, d):
+    return feeds.compare_series(views.hourly(spark, d), "temperature_2m", _V)
+
+
+@query("a23_latest_per_city", "SELECT station, max(t) AS t, arg_max(temperature_2m, t) AS temperature_2m FROM v1 GROUP BY station")
+def a23(spark, d):
+    return feeds.latest_per_station(views.hourly(spark, d), ["temperature_2m"])
+
+
+@query("a24_freshness_status", f"SELECT max(polled_at) AS last_polled, CASE WHEN count(*) = 0 THEN 'awaiting' WHEN {AS_OF}000000 - max(polled_at) > 900000000 THEN 'stale' ELSE 'online' END AS status FROM v3")
+def a24(spark, d):
+    return feeds.freshness(views.raw(spark, d), "polled_at", AS_OF * 1000000, 900000000)
+
+
+@query("a27_wilson_interval", "SELECT detector, round(greatest(0.0, (p + 1.96*1.96/(2*n)) / (1 + 1.96*1.96/n) - 1.96 * sqrt(p*(1-p)/n + 1.96*1.96/(4*n*n)) / (1 + 1.96*1.96/n)), 6) AS low, round(least(1.0, (p + 1.96*1.96/(2*n)) / (1 + 1.96*1.96/n) + 1.96 * sqrt(p*(1-p)/n + 1.96*1.96/(4*n*n)) / (1 + 1.96*1.96/n)), 6) AS high FROM (SELECT detector, count(*)::DOUBLE AS n, (count(*) FILTER (WHERE severity <> 'info'))::DOUBLE / count(*) AS p FROM rinc GROUP BY detector)")
+def a27(spark, d):
+    c = incidents(spark, d, "score").groupBy("detector").agg(F.count("*").cast("double").alias("n"), F.count_if(F.col("severity") != "info").cast("double").alias("h"))
+    low, high = E.wilson(F.col("h"), F.col("n"))
+    return c.select("detector", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+_RECALL = """SELECT l.label_id, coalesce(bool_or(m.x), false) AS expected_hit, coalesce(bool_or(m.x AND m.severity = 'severe'), false) AS severe_hit, count(m.onset_t) > 0 AS any_hit, max(CASE WHEN m.x THEN m.priority_score END) AS best_score
+ FROM (SELECT DISTINCT label_id FROM v6) l LEFT JOIN (SELECT DISTINCT y.label_id, r.*, EXISTS (SELECT 1 FROM v6 z WHERE z.label_id = y.label_id AND z.expected_type = r.detector) AS x FROM rinc r JOIN v6 y ON y.station = r.station AND r.onset_t BETWEEN y.from_t AND y.until_t) m ON m.label_id = l.label_id GROUP BY l.label_id"""
+
+
+@query("a28_weak_label_recall", _RECALL)
+def a28(spark, d):
+    return E.recall(incidents(spark, d, "score"), views.labels(spark))
+
+
+_EXT = f"""SELECT y.label_id, round(max(wind_gusts_10m), 3) AS max_gust, round(max(wind_gusts_10m_z), 3) AS max_gust_z, round(max(precipitation), 3) AS max_hourly_mm, round(max(accumulation_6h), 3) AS max_6h_mm, round(max(-pressure_delta), 3) AS max_3h_fall,
+ round(max(abs(temperature_2m_delta)), 3) AS max_3h_dtemp, round(min(temperature_2m_z), 3) AS min_temp_z, round(max(temperature_2m_z), 3) AS max_temp_z, round(max(abs(temperature_2m_z)), 3) AS max_abs_temp_z, round(max({HUMIDEX}), 3) AS max_humidex, round(min({CHILL}), 3) AS min_wind_chill
+ FROM feat f JOIN (SELECT DISTINCT label_id, station, from_t, until_t FROM v6) y ON y.station = f.station AND f.t BETWEEN y.from_t AND y.until_t GROUP BY y.label_id"""
+
+
+@query("a29_window_extremes", _EXT)
+def a29(spark, d):
+    return E.window_extremes(enriched(spark, d), views.labels(spark))
+
+
+_GATE = "(SELECT {}_z FROM thr1 WHERE metric = '{}')"
+_TESTS = {
+    "wind_gust_burst": f"max_gust >= 90 OR max_gust_z >= abs({_GATE.format('upper', 'wind_gusts_10m')})", "heavy_rain_burst": "max_hourly_mm >= 10 OR max_6h_mm >= 12.5", "pressure_plunge": "max_3h_fall >= 6",
+    "temperature_shock": f"max_3h_dtemp >= 5 AND max_abs_temp_z >= abs({_GATE.format('upper', 'temperature_2m')})", "cold_spell": f"min_temp_z <= -abs({_GATE.format('lower', 'temperature_2m')})",
+    "warm_spell": f"max_temp_z >= abs({_GATE.format('upper', 'temperature_2m')})", "cold_stress": "min_wind_chill <= -25", "heat_stress": "max_humidex >= 38",
+}
+
+
+@query("a30_miss_decomposition", "SELECT label_id, coalesce(c, '') AS cleared, CASE WHEN c IS NULL THEN 'resolution FN' ELSE 'genuine gap' END AS verdict FROM (SELECT r.label_id, nullif(concat_ws(',', " + ", ".join(f"CASE WHEN ({t}) AND EXISTS (SELECT 1 FROM v6 q WHERE q.label_id = r.label_id AND q.expected_type = '{k}') THEN '{k}' END" for k, t in _TESTS.items()) + f"), '') AS c FROM ({_RECALL}) r LEFT JOIN ({_EXT}) e USING (label_id) WHERE NOT expected_hit)")
+def a30(spark, d):
+    labels = views.labels(spark)
+    gates = enriched(spark, d).select(*[f"gate_{m}_{s}" for m in D.Z_METRICS for s in ("upper", "lower")]).limit(1)
+    return E.miss_decomposition(a28(spark, d), a29(spark, d), labels, gates)
+
+
+@query("a31_chance_recall", "SELECT l.label_id, round(count(DISTINCT CASE WHEN r.onset_t IS NOT NULL THEN k END) / 31.0::DOUBLE, 6) AS chance FROM (SELECT label_id, station, until_t - from_t AS span, unnest(range(19723, 19754)) AS k, expected_type FROM v6) l LEFT JOIN rinc r ON r.station = l.station AND r.detector = l.expected_type AND r.onset_t BETWEEN k*86400 - 86400 AND k*86400 - 86400 + span GROUP BY l.label_id")
+def a31(spark, d):
+    return E.chance_recall(incidents(spark, d, "score"), views.labels(spark), 19723, 19753)
+
+
+@query("a32_precision_proxy")
+def a32(spark, d):
+    top = incidents(spark, d, "score").orderBy(F.desc("priority_score"), "onset_t", "station", "detector", "metric").limit(30)
+    return E.usefulness(top).groupBy("label").agg(F.count("*").alias("n"))
+
+
+# ---- provider documents: rendered from the readings, then read ------------------------------------------
+
+from tempestry.operators import legacy as G  # noqa: E402
+from tempestry.sources import provider  # noqa: E402
+
+_SENT = ("temperature_2m", "precipitation", "wind_gusts_10m", "pressure_msl")
+
+
+def _iso(t):
+    return F.date_format(F.timestamp_seconds(t), "yyyy-MM-dd'T'HH:mm")
+
+
+@query("s1_read_current", "SELECT station, t, temperature_2m, precipitation, weather_code FROM v1")
+def s1(spark, d):
+    h = views.hourly(spark, d)
+    current = F.struct(_iso(F.col("t") - 14400).alias("time"), *_SENT, "weather_code")
+    docs = h.select("station", F.to_json(F.struct(F.lit(-14400).alias("utc_offset_seconds"), current.alias("current"))).alias("value"))
+    return provider.read_current(docs)[0].select("station", "t", "temperature_2m", "precipitation", "weather_code")
+
+
+def _series(h: DataFrame, metrics):
+    rows = F.array_sort(F.collect_list(F.struct("t", *metrics)))
+    return F.struct(F.transform(rows, lambda x: _iso(x.t)).alias("time"), *[rows[m].alias(m) for m in metrics])
+
+
+@query("s2_read_archive", "SELECT station, t, temperature_2m, wind_gusts_10m, weather_code FROM v1")
+def s2(spark, d):
+    h = views.hourly(spark, d).withColumn("day", F.floor(F.col("t") / 86400))
+    docs = h.groupBy("station", "day").agg(_series(h, (*_SENT, "weather_code")).alias("hourly"))
+    docs = docs.select("station", F.to_json(F.struct(F.lit(0).alias("utc_offset_seconds"), "hourly")).alias("value"))
+    return provider.read_archive(docs)[0].select("station", "t", "temperature_2m", "wind_gusts_10m", "weather_code")
+
+
+@query("s3_read_forecast", "SELECT station, target_t, CAST(round_even((target_t - (target_t // 86400) * 86400) / 3600.0::DOUBLE, 0) AS INT) AS lead_hours, temperature_2m FROM v5")
+def s3(spark, d):
+    f = views.forecasts(spark, d).withColumn("issued_t", (F.floor(F.col("target_t") / 86400) * 86400).cast("long")).withColumnRenamed("target_t", "t")
+    docs = f.groupBy("station", "issued_t").agg(_series(f, _SENT).alias("hourly"))
+    docs = docs.select("station", "issued_t", F.to_json(F.struct(F.lit(0).alias("utc_offset_seconds"), "hourly")).alias("value"))
+    return provider.read_forecast(docs).select("station", "target_t", "lead_hours", "temperature_2m")
+
+
+# ---- legacy rules ------------------------------------------------------------------------------------
+
+
+def _local(spark, d):
+    return C.with_local(views.hourly(spark, d), views.stations(spark))
+
+
+_BASE = """SELECT station, t, {v} AS v, day_n, hist_n, CASE WHEN n1 >= 7 THEN m1 ELSE m2 END AS mean, CASE WHEN n1 >= 7 THEN s1 ELSE s2 END AS std, CASE WHEN n1 >= 7 THEN n1 ELSE n2 END AS n FROM (
+ SELECT a.*, (SELECT avg(b.{v}) FROM x b WHERE b.station = a.station AND b.t >= a.t - 1209600 AND b.t < a.t AND (b.hour - a.hour + 25) % 24 <= 2) AS m1, (SELECT stddev_pop(b.{v}) FROM x b WHERE b.station = a.station AND b.t >= a.t - 1209600 AND b.t < a.t AND (b.hour - a.hour + 25) % 24 <= 2) AS s1,
+  (SELECT count(b.{v}) FROM x b WHERE b.station = a.station AND b.t >= a.t - 1209600 AND b.t < a.t AND (b.hour - a.hour + 25) % 24 <= 2) AS n1, avg({v}) OVER w AS m2, stddev_pop({v}) OVER w AS s2, count({v}) OVER w AS n2,
+  count(*) OVER (PARTITION BY station ORDER BY t RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING) AS day_n, count({v}) OVER (PARTITION BY station ORDER BY t RANGE BETWEEN 1209600 PRECEDING AND 1 PRECEDING) AS hist_n
+ FROM x a WINDOW w AS (PARTITION BY station ORDER BY t RANGE BETWEEN {r} PRECEDING AND 1 PRECEDING))"""
+
+
+def _base(v: str, rolling: int, source: str = "loc1") -> str:
+    return f"(WITH x AS (SELECT * FROM {source}) {_BASE.format(v=v, r=rolling)})"
+
+
+@query("w4_same_local_hour_baseline", f"SELECT station, t, round(mean, 6) AS mean, round(std, 6) AS std, n FROM {_base('temperature_2m', 86400)}")
+def w4(spark, d):
+    return G.same_hour_baseline(_local(spark, d), "temperature_2m").select("station", "t", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
+
+
+LEGACY = ["station", "t", "metric", "strength", "severity"]
+
+
+@query("d11_rapid_change", f"SELECT station, t, 'temperature_2m' AS metric, round(abs(v - mean) / std, 3) AS strength, CASE WHEN abs(v - mean) / std >= 3.5 THEN 'severe' ELSE 'warning' END AS severity FROM {_base('temperature_2m', 86400)} WHERE day_n >= 12 AND hist_n >= 12 AND std > 0 AND abs(v - mean) / std >= 2.5")
+def d11(spark, d):
+    return G.rapid_change(_local(spark, d), "temperature_2m", P).select(*LEGACY)
+
+
+@query("d12_sustained_extreme", """SELECT station, t, 'temperature_2m' AS metric, 2.0::DOUBLE AS strength, 'warning' AS severity FROM (SELECT *, quantile_cont(temperature_2m, 0.05) OVER r AS lo, quantile_cont(temperature_2m, 0.95) OVER r AS hi, count(*) OVER r AS n, lag(temperature_2m) OVER w AS a, lag(temperature_2m, 2) OVER w AS b
+ FROM v1 WINDOW w AS (PARTITION BY station ORDER BY t), r AS (PARTITION BY station ORDER BY t RANGE BETWEEN 172800 PRECEDING AND 1 PRECEDING)) WHERE n >= 12 AND lo <> hi AND b IS NOT NULL AND (least(temperature_2m, a, b) >= hi OR greatest(temperature_2m, a, b) <= lo)""")
+def d12(spark, d):
+    return G.sustained_extreme(views.hourly(spark, d), p=P).select(*LEGACY)
+
+
+_LEVEL = "CASE {} WHEN 95 THEN 3 WHEN 63 THEN 2 WHEN 51 THEN 1 WHEN 0 THEN 0 END"
+
+
+@query("d13_wmo_transition", f"SELECT station, t, 'weather_code' AS metric, CAST(abs(now - before) AS DOUBLE) AS strength, CASE WHEN now = 3 THEN 'severe' ELSE 'warning' END AS severity FROM (SELECT station, t, {_LEVEL.format('weather_code')} AS now, lag({_LEVEL.format('weather_code')}) OVER (PARTITION BY station ORDER BY t) AS before FROM v1) WHERE abs(now - before) >= 2")
+def d13(spark, d):
+    return G.wmo_transition(views.hourly(spark, d)).select("station", "t", "metric", F.col("strength").cast("double").alias("strength"), "severity")
+
+
+@query("d14_comfort_divergence", f"SELECT station, t, 'apparent_temperature' AS metric, round(v, 3) AS strength, CASE WHEN v >= 1.5 * (mean + 2 * std) AND v >= 8 THEN 'severe' ELSE 'warning' END AS severity FROM {_base('gap', 172800, '(SELECT *, abs(apparent_temperature - temperature_2m) AS gap FROM loc1)')} WHERE n >= 7 AND v > mean + 2 * std")
+def d14(spark, d):
+    return G.comfort_divergence(_local(spark, d), P).select(*LEGACY)
+
+
+_PEER = "(SELECT r.station, r.t, r.temperature_2m AS own, p.station AS peer, f.temperature_2m AS theirs FROM (SELECT v1.*, peer_group FROM v1 JOIN v4 USING (station)) r JOIN v4 p ON p.peer_group = r.peer_group AND p.station <> r.station ASOF JOIN v1 f ON f.station = p.station AND f.t <= r.t)"
+
+
+@query("d15_cross_city_contrast", f"SELECT station, t, 'temperature_2m' AS metric, round(g, 3) AS strength, 'warning' AS severity FROM (SELECT q.station, q.t, q.peer, abs(own - theirs) AS g, count(*) AS n, quantile_cont(abs(b.temperature_2m - theirs), 0.95) AS lim FROM {_PEER} q JOIN v1 b ON b.station = q.station AND b.t >= q.t - 172800 AND b.t < q.t GROUP BY ALL) WHERE n >= 12 AND g > lim AND g >= 5")
+def d15(spark, d):
+    h = views.hourly(spark, d)
+    return G.cross_city_contrast(h, X.latest_peers(h, views.stations(spark), ["temperature_2m"]), "temperature_2m", P).select(*LEGACY)
+
+
+@query("d16_forecast_divergence", f"""SELECT station, t, 'weather_code' AS metric, CAST(abs(a - f) AS DOUBLE) AS strength, CASE WHEN a > f THEN 'severe' ELSE 'warning' END AS severity FROM (SELECT v1.station, v1.t, {_LEVEL.format('v1.weather_code')} AS a, {_LEVEL.format('v5.weather_code')} AS f FROM v1 JOIN v5 ON v5.station = v1.station AND v5.target_t = v1.t WHERE lead_hours BETWEEN 3 AND 12) WHERE abs(a - f) >= 2
+ UNION ALL SELECT station, t, 'temperature_2m', round(abs(temperature_2m - fcst_temperature_2m), 3), CASE WHEN abs(temperature_2m - fcst_temperature_2m) >= 9 THEN 'severe' ELSE 'warning' END FROM pairs WHERE abs(temperature_2m - fcst_temperature_2m) >= 6""")
+def d16(spark, d):
+    m = X.matching_forecast(views.hourly(spark, d), views.forecasts(spark, d), P)
+    return G.forecast_divergence(m).select("station", "t", "metric", F.col("strength").cast("double").alias("strength"), "severity")
+
+
+@query("d17_freezing_line", f"SELECT DISTINCT q.station, q.t FROM {_PEER} q JOIN (SELECT station, t, lag(temperature_2m) OVER (PARTITION BY station ORDER BY t) AS before FROM v1) b ON b.station = q.station AND b.t = q.t WHERE (before < 0 AND own >= 0 AND theirs < 0) OR (before >= 0 AND own < 0 AND theirs >= 0)")
+def d17(spark, d):
+    h = views.hourly(spark, d)
+    return G.freezing_line(h, X.latest_peers(h, views.stations(spark), ["temperature_2m"])).select("station", "t")
+
+
+@query("d19_record", """SELECT station, t, dedupe_key FROM (SELECT *, CASE WHEN v > list_max(past) AND NOT coalesce(past[-1] > list_max(past[:-2]), false) THEN station || '|fun_fact|temperature_2m|record_high' WHEN v < list_min(past) AND NOT coalesce(past[-1] < list_min(past[:-2]), false) THEN station || '|fun_fact|temperature_2m|record_low' END AS dedupe_key
+ FROM (SELECT station, t, temperature_2m AS v, list(temperature_2m) OVER (PARTITION BY station ORDER BY t RANGE BETWEEN 1209600 PRECEDING AND 1 PRECEDING) AS past FROM v1) WHERE len(past) >= 12) WHERE dedupe_key IS NOT NULL""")
+def d19(spark, d):
+    return G.record(views.hourly(spark, d), p=P).select("station", "t", "dedupe_key")
+
+
+@query("l8_replay_profiles", "SELECT 'quantile' AS profile, detector, count(*) AS n FROM (SELECT * FROM d3 UNION ALL SELECT * FROM d4 UNION ALL SELECT * FROM d6) GROUP BY detector UNION ALL SELECT 'fixed', k, count(*) FROM (SELECT unnest(list_filter([CASE WHEN temperature_2m_z >= 3.0 THEN 'warm_spell' END, CASE WHEN temperature_2m_z <= -3.0 THEN 'cold_spell' END, CASE WHEN wind_gusts_10m_z IS NOT NULL AND (wind_gusts_10m_z >= 3.2 OR wind_gusts_10m >= 90) THEN 'wind_gust_burst' END], lambda y: y IS NOT NULL)) AS k FROM feat WHERE history_n >= 12) GROUP BY k")
+def l8(spark, d):
+    from dataclasses import replace
+
+    df = enriched(spark, d)
+    out = []
+    for name, p in (("quantile", P), ("fixed", replace(P, quantile_gates=False, surprisal=False))):
+        found = D.detect(df, p, (D.warm_spell, D.cold_spell, D.wind_gust_burst))
+        out.append(found.groupBy("detector").agg(F.count("*").alias("n")).select(F.lit(name).alias("profile"), "detector", "n"))
+    return out[0].unionByName(out[1])
