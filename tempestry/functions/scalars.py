@@ -99,3 +99,23 @@ def wet_bucket(amount: Column, percentiles: Column) -> Column:
     """Smallest stored percentile (array<struct<v, p>>) whose value reaches the amount, else the largest."""
     reached = F.filter(percentiles, lambda a: a.v >= amount)
     return F.coalesce(F.array_min(F.transform(reached, lambda a: a.p)), F.array_max(F.transform(percentiles, lambda a: a.p)))
+
+
+def weather_description(code: Column) -> Column:
+    """Label of a weather code for display."""
+    known = {"Clear": [0], "Cloud cover": [1, 2, 3], "Fog": [45, 48], "Rain": [51, 53, 55, 56, 57, 61, 63, 65, 66, 67, 80, 81, 82], "Snow": [71, 73, 75, 77, 85, 86], "Thunderstorm": [95, 96, 99]}
+    out = F.when(code.isNull(), "Unknown")
+    for label, codes in known.items():
+        out = out.when(code.isin(codes), label)
+    return out.otherwise(F.concat(F.lit("WMO "), code.cast("string")))
+
+
+def strength(signals: Column, grade: Column) -> Column:
+    """Size of the first signal present, in the order of precedence; 1, 2 or 3 by grade where there is none."""
+    first = F.coalesce(*[signals[k] for k in ("z_score", "level_jump", "abs_error", "difference", "gap")])
+    return F.coalesce(F.abs(first), F.when(grade == "info", 1.0).when(grade == "warning", 2.0).otherwise(3.0))
+
+
+def explanation(signals: Column, k: int = 3) -> Column:
+    """The first k signals by name, as text."""
+    return F.array_join(F.transform(F.slice(F.array_sort(F.map_keys(signals)), 1, k), lambda n: F.concat(n, F.lit("="), F.format_number(signals[n], 3))), ", ")

@@ -51,11 +51,11 @@ def gates(threshold: DataFrame, tail: DataFrame) -> dict:
 
 def _candidates(df: DataFrame, kind: str, metric: Column, strength: Column, confidence: Column, inputs: dict, signals: dict, supporting: Column | None = None) -> DataFrame:
     score = S.priority_score(**inputs, confidence=confidence)
-    named = [x for n, c in signals.items() for x in (F.lit(n), F.round(c.cast("double"), 3))]
+    named = [x for n, c in signals.items() for x in (F.lit(n), climatology.places(c.cast("double"), 3))]
     ids = F.array_compact(F.array(F.col("id"), supporting if supporting is not None else F.lit(None).cast("long")))
     return df.select(
         "station", "t", "id", F.lit(kind).alias("detector"), F.lit(DETECTORS.index(kind) if kind in DETECTORS else len(DETECTORS)).alias("detector_order"),
-        metric.alias("metric"), F.round(strength, 3).alias("strength"), score.alias("score"), S.severity(score).alias("severity"),
+        metric.alias("metric"), climatology.places(strength, 3).alias("strength"), score.alias("score"), S.severity(score).alias("severity"),
         F.round(S.clamp01(confidence), 3).alias("confidence"), F.create_map(*named).alias("signals"), ids.alias("supporting_ids"),
         S.dedupe_key(F.col("station"), F.lit(kind), metric).alias("dedupe_key"),
     )

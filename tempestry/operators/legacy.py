@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempestry.functions import scalars as S
+from tempestry.operators.climatology import places
 from tempestry.operators.features import by_station, previous, previous_known
 from tempestry.profile import Profile
 
@@ -17,7 +18,7 @@ DAY = 86400
 def _rule(df: DataFrame, kind: str, metric: Column, strength: Column, grade: Column, detail: Column | None = None) -> DataFrame:
     key = S.dedupe_key(F.col("station"), F.lit(kind), metric)
     return df.select(
-        "station", "t", F.lit(kind).alias("detector"), metric.alias("metric"), F.round(strength, 3).alias("strength"), S.legacy_score(grade).alias("score"), grade.alias("severity"),
+        "station", "t", F.lit(kind).alias("detector"), metric.alias("metric"), places(strength, 3).alias("strength"), S.legacy_score(grade).alias("score"), grade.alias("severity"),
         (key if detail is None else F.concat_ws("|", key, detail)).alias("dedupe_key"),
     )
 
@@ -124,3 +125,11 @@ def record(readings: DataFrame, metric: str = "temperature_2m", p: Profile = Pro
     low = (v < F.array_min("past")) & ~(before < F.array_min(earlier))
     fired = df.withColumn("side", F.when(high, "high").when(low, "low")).filter("side IS NOT NULL")
     return _rule(fired, "fun_fact", F.lit(metric), F.lit(1.0), F.lit("info"), F.concat(F.lit("record_"), F.col("side")))
+
+
+def pack_differently(readings: DataFrame, peers: DataFrame, margin: float = 8.0) -> DataFrame:
+    """The apparent gap to a peer's latest value reaches the margin, which the previous reading's did not."""
+    mine = readings.withColumn("before", previous("apparent_temperature")).select("station", "t", "apparent_temperature", "before")
+    rows = mine.join(peers.select("station", "t", "peer", F.col("apparent_temperature").alias("theirs")), ["station", "t"])
+    gap, was = F.abs(F.col("apparent_temperature") - F.col("theirs")), F.abs(F.col("before") - F.col("theirs"))
+    return _rule(rows.filter((gap >= margin) & (was < margin)), "fun_fact", F.lit("apparent_temperature"), gap, F.lit("info"), F.concat(F.lit("pack_differently|"), F.col("peer")))

@@ -326,11 +326,11 @@ def a9c(spark, d):
     return row.join(F.broadcast(wet), how="cross")
 
 
-@query("a10_rolling_mae", "SELECT t, " + ", ".join(f"round({m}_mae, 6) AS {m}_mae, {m}_pairs" for m in FORECAST_METRICS) + " FROM mae")
+@query("a10_rolling_mae", "SELECT t, " + ", ".join(f"round({m}_mae + 1e-9, 6) AS {m}_mae, {m}_pairs" for m in FORECAST_METRICS) + " FROM mae")
 def a10(spark, d):
     h = views.hourly(spark, d)
     r = X.rolling_mae(h, X.forecast_pairs(h, views.forecasts(spark, d), P), P)
-    return r.select("t", *[c for m in FORECAST_METRICS for c in (F.round(f"{m}_mae", 6).alias(f"{m}_mae"), f"{m}_pairs")])
+    return r.select("t", *[c for m in FORECAST_METRICS for c in (C.places(F.col(f"{m}_mae"), 6).alias(f"{m}_mae"), f"{m}_pairs")])
 
 
 @query("a25_boundary_diagnostics", """SELECT a.station, a.metric, round(abs((20.0 - a.median) / a.scale - (20.0 - b.median) / b.scale), 4) AS jump_smooth, round(abs((20.0 - c.median) / c.scale - (20.0 - e.median) / e.scale), 4) AS jump_month
@@ -417,12 +417,12 @@ def x6(spark, d):
     return rows.select("station", "t", S.wet_bucket(F.col("precipitation"), F.col("marks")).alias("bucket"))
 
 
-@query("x8_humidex_wind_chill", f"SELECT station, t, round({HUMIDEX}, 4) AS humidex, round({CHILL}, 4) AS wind_chill, round(abs(apparent_temperature - temperature_2m), 4) AS gap FROM v1")
+@query("x8_humidex_wind_chill", f"SELECT station, t, round({HUMIDEX}, 4) AS humidex, round({CHILL}, 4) AS wind_chill, round(abs(apparent_temperature - temperature_2m) + 1e-9, 4) AS gap FROM v1")
 def x8(spark, d):
     t = F.col("temperature_2m")
     return views.hourly(spark, d).select(
         "station", "t", F.round(S.humidex(t, F.col("dew_point_2m")), 4).alias("humidex"), F.round(S.wind_chill(t, F.col("wind_speed_10m")), 4).alias("wind_chill"),
-        F.round(F.abs(F.col("apparent_temperature") - t), 4).alias("gap"),
+        C.places(F.abs(F.col("apparent_temperature") - t)).alias("gap"),
     )
 
 
@@ -664,15 +664,15 @@ def _base(v: str, rolling: int, source: str = "loc1") -> str:
     return f"(WITH x AS (SELECT * FROM {source}) {_BASE.format(v=v, r=rolling)})"
 
 
-@query("w4_same_local_hour_baseline", f"SELECT station, t, round(mean, 6) AS mean, round(std, 6) AS std, n FROM {_base('temperature_2m', 86400)}")
+@query("w4_same_local_hour_baseline", f"SELECT station, t, round(mean + 1e-9, 6) AS mean, round(std + 1e-9, 6) AS std, n FROM {_base('temperature_2m', 86400)}")
 def w4(spark, d):
-    return G.same_hour_baseline(_local(spark, d), "temperature_2m").select("station", "t", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
+    return G.same_hour_baseline(_local(spark, d), "temperature_2m").select("station", "t", C.places(F.col("mean"), 6).alias("mean"), C.places(F.col("std"), 6).alias("std"), "n")
 
 
 LEGACY = ["station", "t", "metric", "strength", "severity"]
 
 
-@query("d11_rapid_change", f"SELECT station, t, 'temperature_2m' AS metric, round(abs(v - mean) / std, 3) AS strength, CASE WHEN abs(v - mean) / std >= 3.5 THEN 'severe' ELSE 'warning' END AS severity FROM {_base('temperature_2m', 86400)} WHERE day_n >= 12 AND hist_n >= 12 AND std > 0 AND abs(v - mean) / std >= 2.5")
+@query("d11_rapid_change", f"SELECT station, t, 'temperature_2m' AS metric, round(abs(v - mean) / std + 1e-9, 3) AS strength, CASE WHEN abs(v - mean) / std >= 3.5 THEN 'severe' ELSE 'warning' END AS severity FROM {_base('temperature_2m', 86400)} WHERE day_n >= 12 AND hist_n >= 12 AND std > 0 AND abs(v - mean) / std >= 2.5")
 def d11(spark, d):
     return G.rapid_change(_local(spark, d), "temperature_2m", P).select(*LEGACY)
 
@@ -691,7 +691,7 @@ def d13(spark, d):
     return G.wmo_transition(views.hourly(spark, d)).select("station", "t", "metric", F.col("strength").cast("double").alias("strength"), "severity")
 
 
-@query("d14_comfort_divergence", f"SELECT station, t, 'apparent_temperature' AS metric, round(v, 3) AS strength, CASE WHEN v >= 1.5 * (mean + 2 * std) AND v >= 8 THEN 'severe' ELSE 'warning' END AS severity FROM {_base('gap', 172800, '(SELECT *, abs(apparent_temperature - temperature_2m) AS gap FROM loc1)')} WHERE n >= 7 AND v > mean + 2 * std")
+@query("d14_comfort_divergence", f"SELECT station, t, 'apparent_temperature' AS metric, round(v + 1e-9, 3) AS strength, CASE WHEN v >= 1.5 * (mean + 2 * std) AND v >= 8 THEN 'severe' ELSE 'warning' END AS severity FROM {_base('gap', 172800, '(SELECT *, abs(apparent_temperature - temperature_2m) AS gap FROM loc1)')} WHERE n >= 7 AND v > mean + 2 * std")
 def d14(spark, d):
     return G.comfort_divergence(_local(spark, d), P).select(*LEGACY)
 
@@ -699,14 +699,14 @@ def d14(spark, d):
 _PEER = "(SELECT r.station, r.t, r.temperature_2m AS own, p.station AS peer, f.temperature_2m AS theirs FROM (SELECT v1.*, peer_group FROM v1 JOIN v4 USING (station)) r JOIN v4 p ON p.peer_group = r.peer_group AND p.station <> r.station ASOF JOIN v1 f ON f.station = p.station AND f.t <= r.t)"
 
 
-@query("d15_cross_city_contrast", f"SELECT station, t, 'temperature_2m' AS metric, round(g, 3) AS strength, 'warning' AS severity FROM (SELECT q.station, q.t, q.peer, abs(own - theirs) AS g, count(*) AS n, quantile_cont(abs(b.temperature_2m - theirs), 0.95) AS lim FROM {_PEER} q JOIN v1 b ON b.station = q.station AND b.t >= q.t - 172800 AND b.t < q.t GROUP BY ALL) WHERE n >= 12 AND g > lim AND g >= 5")
+@query("d15_cross_city_contrast", f"SELECT station, t, 'temperature_2m' AS metric, round(g + 1e-9, 3) AS strength, 'warning' AS severity FROM (SELECT q.station, q.t, q.peer, abs(own - theirs) AS g, count(*) AS n, quantile_cont(abs(b.temperature_2m - theirs), 0.95) AS lim FROM {_PEER} q JOIN v1 b ON b.station = q.station AND b.t >= q.t - 172800 AND b.t < q.t GROUP BY ALL) WHERE n >= 12 AND g > lim AND g >= 5")
 def d15(spark, d):
     h = views.hourly(spark, d)
     return G.cross_city_contrast(h, X.latest_peers(h, views.stations(spark), ["temperature_2m"]), "temperature_2m", P).select(*LEGACY)
 
 
 @query("d16_forecast_divergence", f"""SELECT station, t, 'weather_code' AS metric, CAST(abs(a - f) AS DOUBLE) AS strength, CASE WHEN a > f THEN 'severe' ELSE 'warning' END AS severity FROM (SELECT v1.station, v1.t, {_LEVEL.format('v1.weather_code')} AS a, {_LEVEL.format('v5.weather_code')} AS f FROM v1 JOIN v5 ON v5.station = v1.station AND v5.target_t = v1.t WHERE lead_hours BETWEEN 3 AND 12) WHERE abs(a - f) >= 2
- UNION ALL SELECT station, t, 'temperature_2m', round(abs(temperature_2m - fcst_temperature_2m), 3), CASE WHEN abs(temperature_2m - fcst_temperature_2m) >= 9 THEN 'severe' ELSE 'warning' END FROM pairs WHERE abs(temperature_2m - fcst_temperature_2m) >= 6""")
+ UNION ALL SELECT station, t, 'temperature_2m', round(abs(temperature_2m - fcst_temperature_2m) + 1e-9, 3), CASE WHEN abs(temperature_2m - fcst_temperature_2m) >= 9 THEN 'severe' ELSE 'warning' END FROM pairs WHERE abs(temperature_2m - fcst_temperature_2m) >= 6""")
 def d16(spark, d):
     m = X.matching_forecast(views.hourly(spark, d), views.forecasts(spark, d), P)
     return G.forecast_divergence(m).select("station", "t", "metric", F.col("strength").cast("double").alias("strength"), "severity")
@@ -734,3 +734,102 @@ def l8(spark, d):
         found = D.detect(df, p, (D.warm_spell, D.cold_spell, D.wind_gust_burst))
         out.append(found.groupBy("detector").agg(F.count("*").alias("n")).select(F.lit(name).alias("profile"), "detector", "n"))
     return out[0].unionByName(out[1])
+
+
+@query("d18_pack_differently", "SELECT q.station, q.t, q.peer, round(abs(own - theirs) + 1e-9, 3) AS gap FROM (SELECT r.station, r.t, r.apparent_temperature AS own, p.station AS peer, f.apparent_temperature AS theirs FROM (SELECT v1.*, peer_group FROM v1 JOIN v4 USING (station)) r JOIN v4 p ON p.peer_group = r.peer_group AND p.station <> r.station ASOF JOIN v1 f ON f.station = p.station AND f.t <= r.t) q JOIN (SELECT station, t, lag(apparent_temperature) OVER (PARTITION BY station ORDER BY t) AS before FROM v1) b ON b.station = q.station AND b.t = q.t WHERE abs(own - theirs) >= 8 AND abs(before - theirs) < 8")
+def d18(spark, d):
+    h = views.hourly(spark, d)
+    out = G.pack_differently(h, X.latest_peers(h, views.stations(spark), ["apparent_temperature"]))
+    return out.select("station", "t", F.substring_index("dedupe_key", "|", -1).alias("peer"), F.col("strength").alias("gap"))
+
+
+# ---- scalar functions one by one ----------------------------------------------------------------------
+
+
+@query("x3_bucket_confidence", "SELECT station, t, temperature_2m_bucket AS bucket, temperature_2m_conf AS confidence FROM feat")
+def x3(spark, d):
+    return enriched(spark, d).select("station", "t", F.col("temperature_2m_bucket").alias("bucket"), F.col("temperature_2m_conf").alias("confidence"))
+
+
+@query("x4_tail_probability", f"SELECT station, t, round(exp(-9.210340371976182::DOUBLE * {_rarity('wind_gusts_10m', 'upper', 'wind_gusts_10m_z')}), 4) AS p FROM feat WHERE wind_gusts_10m_z IS NOT NULL")
+def x4(spark, d):
+    df = enriched(spark, d).filter("wind_gusts_10m_z IS NOT NULL")
+    p = S.tail_probability(F.col("wind_gusts_10m_upper"), F.col("wind_gusts_10m_z"))
+    return df.select("station", "t", F.round(F.greatest(p, F.lit(1e-4)), 4).alias("p"))
+
+
+@query("x7_precip_features", "SELECT station, t, coalesce(precipitation, 0.0) AS amount, coalesce(precipitation, 0.0) >= 0.1 AS wet FROM v1")
+def x7(spark, d):
+    amount = F.coalesce("precipitation", F.lit(0.0))
+    return views.hourly(spark, d).select("station", "t", amount.alias("amount"), (amount >= P.wet_mm).alias("wet"))
+
+
+@query("x11_wmo_describe", "SELECT station, t, CASE WHEN weather_code = 95 THEN 'Thunderstorm' WHEN weather_code IN (63, 51) THEN 'Rain' ELSE 'Clear' END AS label FROM v1")
+def x11(spark, d):
+    return views.hourly(spark, d).select("station", "t", S.weather_description(F.col("weather_code")).alias("label"))
+
+
+@query("x14_priority_score", "SELECT station, t, detector, metric, score, CASE WHEN score < 30 THEN 'info' WHEN score < 60 THEN 'warning' ELSE 'severe' END AS severity FROM cand")
+def x14(spark, d):
+    return candidates(spark, d).select("station", "t", "detector", "metric", "score", S.severity(F.col("score")).alias("severity"))
+
+
+@query("x17_dedupe_key", "SELECT DISTINCT station || '|' || detector || '|' || metric AS dedupe_key FROM cand")
+def x17(spark, d):
+    return candidates(spark, d).select("dedupe_key").distinct()
+
+
+@query("x18_candidate_strength", "SELECT station, t, detector, metric, strength FROM cand WHERE detector NOT IN ('heat_stress', 'cold_stress')")
+def x18(spark, d):
+    c = candidates(spark, d).filter(~F.col("detector").isin("heat_stress", "cold_stress"))
+    return c.select("station", "t", "detector", "metric", S.strength(F.col("signals"), F.col("severity")).alias("strength"))
+
+
+@query("x19_merge_ids", "SELECT station, detector, metric, onset_t, hits FROM inc WHERE detector IN ('warm_spell', 'cold_spell', 'wind_gust_burst')")
+def x19(spark, d):
+    i = incidents(spark, d).filter(F.col("detector").isin("warm_spell", "cold_spell", "wind_gust_burst"))
+    return i.select("station", "detector", "metric", "onset_t", F.size("supporting_ids").cast("long").alias("hits"))
+
+
+@query("x20_explain")
+def x20(spark, d):
+    return candidates(spark, d).select("station", "t", "detector", "metric", S.explanation(F.col("signals")).alias("evidence"))
+
+
+@query("x23_gate_threshold", "SELECT metric, coalesce(upper_z, 3.0) AS upper, coalesce(lower_z, -3.0) AS lower, CASE WHEN upper_z IS NULL THEN 'fixed' ELSE 'quantile' END AS source FROM thr1 WHERE metric <> 'precipitation'")
+def x23(spark, d):
+    vals = train1(spark, d)
+    thr = C.thresholds(C.residuals(vals, C.stats(vals, P)["smooth"], ["doy", "hour"])).filter("metric <> 'precipitation'")
+    return thr.select("metric", F.coalesce("upper_z", F.lit(3.0)).alias("upper"), F.coalesce("lower_z", F.lit(-3.0)).alias("lower"), F.when(F.col("upper_z").isNull(), "fixed").otherwise("quantile").alias("source"))
+
+
+@query("x24_confidence_input", "SELECT station, t, least(greatest(temperature_2m_conf, 0), 1, greatest(wind_gusts_10m_conf, 0)) AS confidence FROM feat")
+def x24(spark, d):
+    c = F.least(S.clamp01(F.col("temperature_2m_conf")), S.clamp01(F.col("wind_gusts_10m_conf")))
+    return enriched(spark, d).select("station", "t", c.alias("confidence"))
+
+
+# ---- comparisons of runs -----------------------------------------------------------------------------
+
+
+@query("a14_before_after", "SELECT k AS detector, (SELECT count(*) FROM inc WHERE detector = k) AS before, (SELECT count(*) FROM rinc WHERE detector = k AND severity <> 'info') AS after FROM (VALUES " + _KINDS + ") AS x(k)")
+def a14(spark, d):
+    """Counts of two runs side by side; here the incidents of all grades and those above info of a replay."""
+    c, h = candidates(spark, d), views.hourly(spark, d)
+    kinds = spark.createDataFrame([(k,) for k in DETECTORS], "detector string")
+    before = lifecycle.incidents(c, h, P).groupBy("detector").agg(F.count("*").alias("before"))
+    after = lifecycle.incidents(c, h, P, "score").filter("severity <> 'info'").groupBy("detector").agg(F.count("*").alias("after"))
+    return kinds.join(before, "detector", "left").join(after, "detector", "left").na.fill(0)
+
+
+@query("a15_legacy_vs_native", f"""SELECT 'rapid_change' AS old_type, (SELECT count(*) FROM {_base('temperature_2m', 86400)} WHERE day_n >= 12 AND hist_n >= 12 AND std > 0 AND abs(v - mean) / std >= 2.5) AS old_raw, (SELECT count(*) FROM rinc WHERE detector = 'temperature_shock') AS new_incidents
+ UNION ALL SELECT 'comfort_divergence', (SELECT count(*) FROM {_base('gap', 172800, '(SELECT *, abs(apparent_temperature - temperature_2m) AS gap FROM loc1)')} WHERE n >= 7 AND v > mean + 2 * std), (SELECT count(*) FROM rinc WHERE detector IN ('heat_stress', 'cold_stress'))
+ UNION ALL SELECT 'wmo_transition', (SELECT count(*) FROM (SELECT {_LEVEL.format('weather_code')} AS now, lag({_LEVEL.format('weather_code')}) OVER (PARTITION BY station ORDER BY t) AS before FROM v1) WHERE abs(now - before) >= 2), 0""")
+def a15(spark, d):
+    """Raw events of a legacy rule against the incidents of what replaced it."""
+    rows, replaced = _local(spark, d), {"rapid_change": ["temperature_shock"], "comfort_divergence": ["heat_stress", "cold_stress"], "wmo_transition": []}
+    old = reduce(DataFrame.unionByName, [G.rapid_change(rows, "temperature_2m", P), G.comfort_divergence(rows, P), G.wmo_transition(rows).withColumn("strength", F.col("strength").cast("double"))])
+    old = old.groupBy(F.col("detector").alias("old_type")).agg(F.count("*").alias("old_raw"))
+    pairs = spark.createDataFrame([(o, n) for o, ns in replaced.items() for n in ns or [None]], "old_type string, detector string")
+    new = pairs.join(incidents(spark, d, "score").select("detector", "onset_t"), "detector", "left").groupBy("old_type").agg(F.count("onset_t").alias("new_incidents"))
+    return new.join(old, "old_type", "left").na.fill(0).select("old_type", "old_raw", "new_incidents")

@@ -178,7 +178,7 @@ SEVERITY = "CASE WHEN score < 30 THEN 'info' WHEN score < 60 THEN 'warning' ELSE
 
 def candidate(kind: str, order: int, source: str, where: str, metric: str, strength: str, confidence: str, **inputs: str) -> str:
     """One detector's rows (station, t, detector, detector_order, metric, strength, score, severity)."""
-    return f"""SELECT *, {SEVERITY} FROM (SELECT station, t, '{kind}' AS detector, {order} AS detector_order, {metric} AS metric, round({strength}, 3) AS strength, {score(**inputs, confidence=confidence)} AS score
+    return f"""SELECT *, {SEVERITY} FROM (SELECT station, t, '{kind}' AS detector, {order} AS detector_order, {metric} AS metric, round({strength} + 1e-9, 3) AS strength, {score(**inputs, confidence=confidence)} AS score
   FROM {source} WHERE history_n >= 12 AND ({where}))"""
 
 
