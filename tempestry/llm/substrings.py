@@ -10,7 +10,7 @@ and in all later rounds.  Round one splits buckets by the identifiers over the w
 segments meet, the one in the smallest document stands for them, and the others are removed.  Round two splits
 by the identifiers next to the q-gram on either side, which drops buckets that agree in little more than it.
 Round three splits what is left by the identifiers of the windows themselves.  Buckets of a single document drop
-out after each round.  Identifiers are hashes (rounds one and three compare 96 bits), so they need no
+out after each round.  Identifiers are hashes (round one compares 88 bits, round three 96), so they need no
 global numbering.
 
 How it scales.  A task ships its positions as one packed row per bucket range, equal segments of one slice of
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempestry.llm import tokens
-from tempestry.llm.common import stored
+from tempestry.llm.common import release, stored
 
 LAST = np.iinfo(np.int64).max
 U = np.uint64
@@ -44,8 +44,8 @@ U = np.uint64
 class SubstringParams:
     length: int = 50
     gram: int = 16
-    ranges: int = 8  # bucket ranges for each shuffle partition
-    slice_bytes: int = 4 << 20
+    ranges: int = 2  # bucket ranges for each shuffle partition
+    slice_bytes: int = 2 << 20
 
     @property
     def beside(self) -> int:
@@ -53,16 +53,17 @@ class SubstringParams:
         return (self.length - self.gram) // 2
 
 
-def identifiers(x: np.ndarray, depth: int) -> dict[int, np.ndarray]:
-    """Bucket identifiers of depth 1, 2, 4, ... at every position, each from pairs of the depth before."""
+def identifiers(x: np.ndarray, depths: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """Bucket identifiers of the wanted depths (powers of two) at every position, each from pairs of the depth before."""
     h = (x.astype(U) + U(1)) * tokens.BASE
-    out, d = {1: h}, 1
-    while d < depth:
+    out, d = {}, 1
+    while d < max(depths):
         later = np.zeros_like(h)
         later[: max(len(h) - d, 0)] = h[d:]
         h = tokens.mixed(h * tokens.BASE + later)
         d *= 2
-        out[d] = h
+        if d in depths:
+            out[d] = h
     return out
 
 
@@ -91,10 +92,9 @@ def positions(texts: list[bytes], p: SubstringParams) -> Slice:
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     x = np.frombuffer(b"".join(texts), np.uint8)
-    ids = identifiers(x, 32)
+    ids = identifiers(x, (p.gram, 32))
     gram = ids[p.gram]
-    place = np.arange(len(x), dtype=U)
-    least = _sliding_min((gram & ~U(0xFFFFFFFF)) | place, p.length - p.gram + 1)
+    least = _sliding_min((gram & ~U(0xFFFFFFFF)) | np.arange(len(x), dtype=U), p.length - p.gram + 1)
     parts = [np.arange(a, b - p.length + 1) for a, b in zip(starts[:-1], starts[1:]) if b - a >= p.length]
     window = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     at = (least[window] & U(0xFFFFFFFF)).astype(np.int64)
@@ -107,7 +107,8 @@ def positions(texts: list[bytes], p: SubstringParams) -> Slice:
 
 def _keys(s: Slice, p: SubstringParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(q-gram bucket, identifier of the segment, of the bytes before, of the bytes after)."""
-    i16, i32, n = s.ids[p.gram], s.ids[32], len(s.ids[1]) - 1
+    i16, i32 = s.ids[p.gram], s.ids[32]
+    n = len(i16) - 1
     last = s.first + s.count - 1
     whole = i32[s.first]
     for k in (s.first + p.length - 32, last, last + p.length - 32):
@@ -120,41 +121,78 @@ def _keys(s: Slice, p: SubstringParams) -> tuple[np.ndarray, np.ndarray, np.ndar
     return i16[s.at], whole, before, after
 
 
-def _doc_columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    ids = batch.column("doc_id").fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
-    return ids, batch.column("print").to_numpy(zero_copy_only=False), batch.column("text").cast(pa.binary()).to_pylist()
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("print").to_numpy(zero_copy_only=False)
 
 
-PACKED = "p int, docs binary, prints binary, doc binary, key binary, a binary, b binary, spot binary"
+def _opened(body: bytes, size: int) -> bytes:
+    return pa.decompress(body, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
 
 
-def _pack(ids, prints, order_by: np.ndarray, doc, key, a, b, spot) -> Iterator[pa.RecordBatch]:
-    """Entries dealt by range into one row each, column by column."""
-    order = np.argsort(order_by, kind="stable")
-    edges = np.flatnonzero(np.concatenate([[True], np.diff(order_by[order]) != 0, [True]])) if len(order) else []
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one for the way to their spans."""
+    for batch in batches:
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        bodies = pa.array([pa.compress(t, codec="zstd", asbytes=True) if t else b"" for t in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), pa.array([len(t) for t in texts], pa.int64()), bodies], names=["doc_id", "print", "n_bytes", "body"])
+
+
+PACKED = "p int, n int, docs binary, prints binary, doc binary, first binary, at binary, count binary, key binary, a binary, b binary"
+
+
+def _squeezed(v: np.ndarray) -> bytes:
+    """Small steps between neighbours, byte planes apart, compressed."""
+    steps = np.diff(v.astype("<i8"), prepend=0)
+    return pa.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _loosened(b: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(b, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8")[:, 0])
+
+
+def _short(v: np.ndarray, size: int) -> bytes:
+    """The lowest `size` bytes of every value."""
+    return v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def _long(b: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(b) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(b, np.uint8).reshape(-1, size)
+    return out.view("<u8")[:, 0]
+
+
+def _pack(ids, prints, part, doc, first, at, count, key, a, b, sizes) -> Iterator[pa.RecordBatch]:
+    """Entries dealt by range into one row each, column by column; sizes: bytes kept of key, a and b."""
+    order = np.argsort(part, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0, [True]])) if len(order) else []
     rows = []
     for lo, hi in zip(edges[:-1], edges[1:]):
         k = order[lo:hi]
         used, local = np.unique(doc[k], return_inverse=True)
-        rows.append((int(order_by[k[0]]), *(v.tobytes() for v in (ids[used], prints[used], local.astype(np.uint32), key[k], a[k], b[k], spot[k]))))
+        hashes = [_short(v[k], size) if size else b"" for v, size in zip((key, a, b), sizes)]
+        rows.append((int(part[k[0]]), len(k), _squeezed(ids[used]), prints[used].tobytes(), *map(_squeezed, (local, first[k], at[k], count[k])), *hashes))
     if rows:
         names = [c.split()[0] for c in PACKED.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if not j else pa.binary()) for j, c in enumerate(zip(*rows))], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if j < 2 else pa.binary()) for j, c in enumerate(zip(*rows))], names=names)
 
 
-def _unpack(rows: list[dict], key, a, b, spot) -> list[np.ndarray]:
-    """doc_id, print, key, a, b, spot of all entries of a range."""
-    cols: list[list] = [[] for _ in range(6)]
+def _unpack(rows: list[dict], sizes) -> list[np.ndarray]:
+    """doc_id, print, first, at, count, key, a, b of all entries of a range."""
+    cols: list[list] = [[] for _ in range(8)]
     for r in rows:
-        local = np.frombuffer(r["doc"], np.uint32)
-        cols[0].append(np.frombuffer(r["docs"], np.int64)[local])
-        cols[1].append(np.frombuffer(r["prints"], np.int64)[local])
-        for c, name, kind in zip(cols[2:], ("key", "a", "b", "spot"), (key, a, b, spot)):
-            c.append(np.frombuffer(r[name], kind))
+        local = _loosened(r["doc"], r["n"])
+        prints = np.frombuffer(r["prints"], np.int32)
+        cols[0].append(_loosened(r["docs"], len(prints))[local])
+        cols[1].append(prints[local])
+        for c, name in zip(cols[2:5], ("first", "at", "count")):
+            c.append(_loosened(r[name], r["n"]))
+        for c, name, size in zip(cols[5:], ("key", "a", "b"), sizes):
+            c.append(_long(r[name], size) if size else np.zeros(r["n"], U))
     return [np.concatenate(c) for c in cols]
 
 
-def _by_range(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+def _by_range(batches: Iterator[pa.RecordBatch], work) -> Iterator[tuple]:
     """`work` over the rows of each range; they come sorted by it."""
     held: list[dict] = []
     for batch in batches:
@@ -167,15 +205,48 @@ def _by_range(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatc
         yield from work(held)
 
 
-SPANS = "doc_id long, print long, start int, stop int, kind int"
-SPOT = np.dtype([("first", "<u4"), ("at", "u1"), ("count", "u1")])
-BESIDE = np.dtype([("before", "u1"), ("after", "u1")])
+SPANS = "doc_id long, print int, spans binary"
+SPAN = np.dtype([("start", "<u4"), ("size", "<u4"), ("kind", "u1")])
+
+
+#: Bytes kept of the q-gram's, the segment's and the neighbours' identifiers in rounds one and two; of the windows' in three.
+ROUND_ONE, ROUND_THREE = (5, 6, 2), (0, 8, 4)
 REMOVED, OPEN = 1, 2
 
 
-def _span_batch(doc, prints, start, stop, kind) -> pa.RecordBatch:
-    columns = [pa.array(doc), pa.array(prints), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(kind.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "print", "start", "stop", "kind"])
+def _spans(doc, prints, start, stop, kind) -> tuple:
+    out = np.zeros(len(doc), SPAN)
+    out["start"], out["size"], out["kind"] = start, stop - start, kind
+    return doc, prints, out
+
+
+def _by_text(found: Iterator[tuple], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Spans of many ranges put together, one row a text."""
+    held, n = [], 0
+    for part in found:
+        held.append(part)
+        n += len(part[0])
+        if n >= limit:
+            yield _text_rows(held)
+            held, n = [], 0
+    if n:
+        yield _text_rows(held)
+
+
+def _text_rows(held: list[tuple]) -> pa.RecordBatch:
+    doc, prints, spans = (np.concatenate(c) for c in zip(*held))
+    order = np.lexsort((spans["start"], prints, doc))
+    doc, prints, spans = doc[order], prints[order], spans[order]
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (prints[1:] != prints[:-1])]))
+    rows = [spans[a:b].tobytes() for a, b in zip(first, [*first[1:], len(doc)])]
+    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(prints[first].astype(np.int32)), pa.array(rows, pa.binary())], names=["doc_id", "print", "spans"])
+
+
+def _read_spans(lists: list[bytes] | None) -> np.ndarray:
+    """(start, stop, kind) rows."""
+    got = np.frombuffer(b"".join(lists or []), SPAN)
+    start = got["start"].astype(np.int64)
+    return np.stack([start, start + got["size"], got["kind"]], 1)
 
 
 def _smallest(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -211,64 +282,44 @@ def _shared(mask: np.ndarray, whole: np.ndarray, *keys: np.ndarray) -> np.ndarra
 def _round_one(p: SubstringParams, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for batch in batches for piece in tokens.pieces(batch, limit=p.slice_bytes)):
-            ids, prints, texts = _doc_columns(batch)
-            s = positions(texts, p)
+            ids, prints = _columns(batch)
+            s = positions(batch.column("text").cast(pa.binary()).to_pylist(), p)
             key, whole, before, after = _keys(s, p)
-            key = key >> U(16)
+            key, whole = key >> U(24), whole >> U(16)
+            beside = (before >> U(56) << U(8)) | (after >> U(56))
             stays = ids[s.owner] <= _smallest(ids[s.owner], whole, key)  # merged within the slice: others are removed here
-            spot = np.zeros(len(key), SPOT)
-            spot["first"], spot["at"], spot["count"] = s.first - s.starts[s.owner], s.at - s.first, s.count
-            beside = np.zeros(len(key), BESIDE)
-            beside["before"], beside["after"] = before >> U(56), after >> U(56)
             part = (key % U(ranges)).astype(np.int64)
-            a, b = np.flatnonzero(stays), np.flatnonzero(~stays)
-            yield from _pack(ids, prints, part[a], s.owner[a], _six(key[a]), whole[a], beside[a], spot[a])
+            first, at = s.first - s.starts[s.owner], s.at - s.first
+            k = np.flatnonzero(stays)
+            yield from _pack(ids, prints, part[k], s.owner[k], first[k], at[k], s.count[k], key[k], whole[k], beside[k], ROUND_ONE)
             # known spans ride along under a negative range
-            yield from _ride(ids, prints, part[b], s.owner[b], spot[b])
+            k = np.flatnonzero(~stays)
+            yield from _pack(ids, prints, -1 - part[k], s.owner[k], first[k], at[k], s.count[k], key[k], whole[k], beside[k], (0, 0, 0))
 
     return run
 
 
-def _six(key: np.ndarray) -> np.ndarray:
-    """48-bit keys as six bytes each."""
-    return key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].copy()
-
-
-def _ride(ids, prints, part, doc, spot) -> Iterator[pa.RecordBatch]:
-    none = np.zeros((len(doc), 0), np.uint8)
-    yield from _pack(ids, prints, -1 - part, doc, none, none, none, spot)
-
-
 def _round_two(p: SubstringParams):
-    def work(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        if rows[0]["p"] < 0:
-            for r in rows:
-                spot = np.frombuffer(r["spot"], SPOT)
-                local = np.frombuffer(r["doc"], np.uint32)
-                first = spot["first"].astype(np.int64)
-                yield _span_batch(np.frombuffer(r["docs"], np.int64)[local], np.frombuffer(r["prints"], np.int64)[local], first, first + spot["count"] + p.length - 1, np.full(len(spot), REMOVED))
-            return
-        doc, prints, six, whole, beside, spot = _unpack(rows, np.uint8, np.uint64, BESIDE, SPOT)
-        key = np.zeros((len(doc), 8), np.uint8)
-        key[:, :6] = six.reshape(-1, 6)
-        key = key.view("<u8")[:, 0]
-        removed = doc > _smallest(doc, whole, key)
-        first, count = spot["first"].astype(np.int64), spot["count"].astype(np.int64)
+    def work(rows: list[dict]) -> Iterator[tuple]:
+        known = rows[0]["p"] < 0
+        doc, prints, first, offset, count, key, whole, beside = _unpack(rows, (0, 0, 0) if known else ROUND_ONE)
+        removed = np.ones(len(doc), bool) if known else doc > _smallest(doc, whole, key)
         k = np.flatnonzero(removed)
-        yield _span_batch(doc[k], prints[k], first[k], first[k] + count[k] + p.length - 1, np.full(len(k), REMOVED))
+        yield _spans(doc[k], prints[k], first[k], first[k] + count[k] + p.length - 1, np.full(len(k), REMOVED))
+        if known:
+            return
         # the smallest ones of different segments in a bucket may still share windows
         rest = ~removed
-        offset = spot["at"].astype(np.int64)  # of the q-gram in the first window; falls by one a window
-        low = offset - count + 1
-        left = _shared(rest & (offset >= p.beside), whole, key, beside["before"])
-        right = _shared(rest & (low <= p.length - p.gram - p.beside), whole, key, beside["after"])
+        low = offset - count + 1  # the q-gram's offset in the last window; it falls by one a window
+        left = _shared(rest & (offset >= p.beside), whole, key, beside >> U(8))
+        right = _shared(rest & (low <= p.length - p.gram - p.beside), whole, key, beside & U(0xFF))
         k = np.flatnonzero(left | right)
         # windows whose q-gram stands at `beside` or later hold the bytes before it, the others those after
         until = np.where(right, count, np.minimum(count, offset - p.beside + 1))[k]
         since = np.where(left, 0, np.maximum(0, offset - (p.length - p.gram - p.beside)))[k]
-        yield _span_batch(doc[k], prints[k], first[k] + since, first[k] + until, np.full(len(k), OPEN))
+        yield _spans(doc[k], prints[k], first[k] + since, first[k] + until, np.full(len(k), OPEN))
 
-    return lambda batches: _by_range(batches, work)
+    return lambda batches: _by_text(_by_range(batches, work))
 
 
 def _merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -291,26 +342,25 @@ def _kept(text: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[int, int, s
     return len(text) - len(kept), len(start), hashlib.sha256(kept).hexdigest()
 
 
-DONE = "doc_id long, print long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, spans binary, open binary"
+DONE = "doc_id long, print int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, body binary, spans binary, open binary"
 
 
 def _settle(p: SubstringParams):
     """Texts with their spans: rows without undecided stretches are done, others keep text and spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for batch in batches for piece in tokens.pieces(batch, limit=p.slice_bytes)):
+        for batch in (piece for batch in batches for piece in tokens.pieces(batch, "body", p.slice_bytes)):
             out = []
-            lists = batch.column("spans").to_pylist()
-            for doc, mark, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("print").to_pylist(), batch.column("text").to_pylist(), lists):
-                data = text.encode()
-                got = np.array([(s["start"], s["stop"], s["kind"]) for s in spans or []], np.int64).reshape(-1, 3)
+            for doc, mark, size, body, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "print", "n_bytes", "body", "spans"))):
+                data = _opened(body, size)
+                got = _read_spans(spans)
                 sure = got[:, 2] == REMOVED
                 start, stop = _merged(got[sure, 0], got[sure, 1])
                 known = np.stack([start, stop], 1)
                 wait = got[~sure, :2]
                 removed, n, digest = _kept(data, start, stop) if not len(wait) else (None, None, None)
-                out.append((doc, mark, len(data), removed, n, digest, text if len(wait) else None, known.astype("<i4").tobytes(), wait.astype("<i4").tobytes()))
-            kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.binary()] * 2
+                out.append((doc, mark, len(data), removed, n, digest, body if len(wait) else None, known.astype("<i4").tobytes(), wait.astype("<i4").tobytes()))
+            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.string(), *[pa.binary()] * 3]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[c.split()[0] for c in DONE.split(", ")])
 
     return run
@@ -320,8 +370,9 @@ def _windows(p: SubstringParams, ranges: int):
     """Round three: the undecided windows of every text, dealt by their q-gram bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for batch in batches for piece in tokens.pieces(batch, limit=p.slice_bytes)):
-            ids, prints, texts = _doc_columns(batch)
+        for batch in (piece for batch in batches for piece in tokens.pieces(batch, "body", p.slice_bytes // 4)):
+            ids, prints = _columns(batch)
+            texts = [_opened(b, n) for b, n in zip(batch.column("body").to_pylist(), batch.column("n_bytes").to_pylist())]
             s = positions(texts, p)
             open_ = [np.frombuffer(b, "<i4").reshape(-1, 2) for b in batch.column("open").to_pylist()]
             doc = np.repeat(np.arange(len(texts)), [len(o) for o in open_])
@@ -332,35 +383,36 @@ def _windows(p: SubstringParams, ranges: int):
             key = s.ids[p.gram][s.at[np.searchsorted(s.first, at, side="right") - 1]]
             x, y = s.ids[32][at], s.ids[32][at + p.length - 32]
             a = tokens.mixed(x * tokens.BASE + y)
-            b = (tokens.mixed(y * tokens.MIX + x) >> U(32)).astype(np.uint32)
+            b = tokens.mixed(y * tokens.MIX + x) >> U(32)
             part = ((key >> U(16)) % U(ranges)).astype(np.int64)
-            yield from _pack(ids, prints, part, doc, np.zeros((len(at), 0), np.uint8), a, b, (at - s.starts[doc]).astype("<u4"))
+            none = np.zeros(len(at), np.int64)
+            yield from _pack(ids, prints, part, doc, at - s.starts[doc], none, none, key, a, b, ROUND_THREE)
 
     return run
 
 
 def _round_three(p: SubstringParams):
-    def work(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        doc, prints, _, a, b, at = _unpack(rows, np.uint8, np.uint64, np.uint32, "<u4")
+    def work(rows: list[dict]) -> Iterator[tuple]:
+        doc, prints, at, _, _, _, a, b = _unpack(rows, ROUND_THREE)
         k = np.flatnonzero(doc > _smallest(doc, a, b))
         k = k[np.lexsort((at[k], prints[k], doc[k]))]
-        d, f, at = doc[k], prints[k], at[k].astype(np.int64)
+        d, f, at = doc[k], prints[k], at[k]
         new = np.ones(len(k), bool)
         new[1:] = (d[1:] != d[:-1]) | (f[1:] != f[:-1]) | (at[1:] > at[:-1] + 1)
         i = np.flatnonzero(new)
         last = np.append(i[1:], len(k)) - 1
-        yield _span_batch(d[i], f[i], at[i], at[last] + p.length if len(k) else at[i], np.full(len(i), REMOVED))
+        yield _spans(d[i], f[i], at[i], at[last] + p.length if len(k) else at[i], np.full(len(i), REMOVED))
 
-    return lambda batches: _by_range(batches, work)
+    return lambda batches: _by_text(_by_range(batches, work))
 
 
 def _final(p: SubstringParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for batch in batches for piece in tokens.pieces(batch, limit=p.slice_bytes)):
+        for batch in (piece for batch in batches for piece in tokens.pieces(batch, "body", p.slice_bytes)):
             out = []
-            for doc, n, text, known, more in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "text", "spans", "more"))):
-                spans = np.concatenate([np.frombuffer(known, "<i4").reshape(-1, 2).astype(np.int64), np.array([(m["start"], m["stop"]) for m in more or []], np.int64).reshape(-1, 2)])
-                out.append((doc, n, *_kept(text.encode(), *_merged(spans[:, 0], spans[:, 1]))))
+            for doc, n, body, known, more in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "body", "spans", "more"))):
+                spans = np.concatenate([np.frombuffer(known, "<i4").reshape(-1, 2).astype(np.int64), _read_spans(more)[:, :2]])
+                out.append((doc, n, *_kept(_opened(body, n), *_merged(spans[:, 0], spans[:, 1]))))
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -373,20 +425,23 @@ def repeated(docs: DataFrame, p: SubstringParams = SubstringParams()) -> DataFra
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = partitions * p.ranges
     text = F.coalesce("text", F.lit(""))
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), text.alias("text"), F.xxhash64(text, F.length(text)).alias("print"))
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), text.alias("text"), F.hash(text, F.length(text)).alias("print"))
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(partitions, "p").sortWithinPartitions("p")
 
     spans = dealt(named.mapInArrow(_round_one(p, ranges), PACKED)).mapInArrow(_round_two(p), SPANS)
-    lists = spans.groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "stop", "kind")).alias("spans"))
-    met = named.join(lists.hint("merge"), ["doc_id", "print"], "left").select("doc_id", "print", "text", "spans")
+    lists = spans.groupBy("doc_id", "print").agg(F.collect_list("spans").alias("spans"))
+    bodies = named.mapInArrow(_bodies, "doc_id long, print int, n_bytes long, body binary")
+    met = bodies.join(lists.hint("merge"), ["doc_id", "print"], "left").select("doc_id", "print", "n_bytes", "body", "spans")
     settled = stored(met.mapInArrow(_settle(p), DONE))
+    del spans, lists, met
+    release(spark)  # the shuffles of rounds one and two have done their work
 
-    waiting = settled.filter(F.col("text").isNotNull())
+    waiting = settled.filter(F.col("body").isNotNull())
     more = dealt(waiting.mapInArrow(_windows(p, ranges), PACKED)).mapInArrow(_round_three(p), SPANS)
-    more = more.groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "stop")).alias("more"))
-    late = waiting.join(more.hint("merge"), ["doc_id", "print"], "left").select("doc_id", "n_bytes", "text", "spans", "more")
+    more = more.groupBy("doc_id", "print").agg(F.collect_list("spans").alias("more"))
+    late = waiting.join(more.hint("merge"), ["doc_id", "print"], "left").select("doc_id", "n_bytes", "body", "spans", "more")
     late = late.mapInArrow(_final(p), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    done = settled.filter(F.col("text").isNull()).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    done = settled.filter(F.col("body").isNull()).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     return done.unionByName(late).withColumn("doc_id", F.when(F.col("doc_id") < LAST, F.col("doc_id")))
