@@ -30,7 +30,7 @@ def rates(incidents: DataFrame, candidates: DataFrame, readings: DataFrame) -> D
 
 
 def severity_table(incidents: DataFrame) -> DataFrame:
-    counted = incidents.groupBy("detector").pivot("severity", ["info", "warning", "severe"]).agg(F.count("*"))
+    counted = incidents.groupBy("detector").pivot("severity", ["info", "warning", "severe"]).agg(F.count(F.lit(1)))
     return counted.na.fill(0)
 
 

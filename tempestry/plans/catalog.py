@@ -88,8 +88,9 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     return cut(reduce(DataFrame.unionByName, [plain, D.forecast_bust(with_forecast(spark, d, df), P), D.spatial_anomaly(with_peers(spark, df), P)]))
 
 
-def incidents(spark: SparkSession, d: str, by: str = "strength") -> DataFrame:
-    return lifecycle.incidents(candidates(spark, d), views.hourly(spark, d), P, by)
+def incidents(spark: SparkSession, d: str, by: str = "strength", found: DataFrame | None = None) -> DataFrame:
+    found = candidates(spark, d) if found is None else found
+    return lifecycle.incidents(found, views.hourly(spark, d), P, by)
 
 
 INCIDENT = ["station", "detector", "metric", "onset_t", "last_t", "hits", "peak_t", "peak_strength", "priority_score", "resolved_t", "status", "severity"]
@@ -482,14 +483,16 @@ _KINDS = ", ".join(f"('{k}')" for k in DETECTORS)
  round(sum(i)::DOUBLE / (SELECT sum(round_even(n / 24.0::DOUBLE, 0)) FROM (SELECT count(*) AS n FROM v1 GROUP BY station)), 4) AS per_day, round(CASE WHEN sum(i) > 0 THEN sum(r)::DOUBLE / sum(i) ELSE 0.0 END, 4) AS collapse
  FROM (SELECT k AS detector, (SELECT count(*) FROM rinc WHERE detector = k) AS i, (SELECT count(*) FROM cand WHERE detector = k) AS r FROM (VALUES {_KINDS}) AS x(k)) GROUP BY ROLLUP (detector)""")
 def a11(spark, d):
-    return E.rates(incidents(spark, d, "score"), candidates(spark, d), views.hourly(spark, d))
+    c = candidates(spark, d)
+    return E.rates(incidents(spark, d, "score", c), c, views.hourly(spark, d))
 
 
 @query("a12_city_rates", "SELECT station, i AS incidents, r AS raw, round(i / n, 6) AS per_reading FROM (SELECT v.station, count(*)::DOUBLE AS n, (SELECT count(*) FROM rinc x WHERE x.station = v.station) AS i, (SELECT count(*) FROM cand x WHERE x.station = v.station) AS r FROM v1 v GROUP BY v.station)")
 def a12(spark, d):
     n = views.hourly(spark, d).groupBy("station").agg(F.count("*").alias("n"))
-    i = incidents(spark, d, "score").groupBy("station").agg(F.count("*").alias("incidents"))
-    r = candidates(spark, d).groupBy("station").agg(F.count("*").alias("raw"))
+    c = candidates(spark, d)
+    i = incidents(spark, d, "score", c).groupBy("station").agg(F.count("*").alias("incidents"))
+    r = c.groupBy("station").agg(F.count("*").alias("raw"))
     rows = n.join(i, "station", "left").join(r, "station", "left").na.fill(0)
     return rows.select("station", "incidents", "raw", F.round(F.col("incidents") / F.col("n"), 6).alias("per_reading"))
 
