@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +43,10 @@ def stored(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced, before the next phase
     writes its own; it acts when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first frees Python's handles of the plans, the second what they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def bounded_sample(df: DataFrame, column: str, n: int) -> list:
