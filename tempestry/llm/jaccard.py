@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempestry.llm import tokens
-from tempestry.llm.common import cut, stored
+from tempestry.llm.common import cut, release, stored
 from tempestry.llm.components import components
 
 
@@ -267,6 +267,8 @@ def links(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
     work = work.repartition("g").sortWithinPartitions("g", "node")
     got = cut(work.mapInArrow(_in_groups(p), "node binary, links long, root binary"))
 
+    del members, buckets, edges, coarse, sizes, placed, text, work
+    release(docs.sparkSession)  # the shuffles of bands and texts have done their work
     classes = components(got.select(F.col("root").alias("a"), F.col("node").alias("b")))
     counted = got.groupBy("node").agg(F.sum("links").alias("links"))
     out = nodes.select("node", "doc_id", "copies").join(counted.hint("merge"), "node", "left").join(classes.hint("merge"), "node", "left")
@@ -293,9 +295,9 @@ def deduplicated(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFra
     """One row of each class."""
     known = links(docs, p).withColumnRenamed("node", "_node")
     rows = docs.withColumn("_md5", F.unhex(F.md5("text")))
-    joined = rows.join(known.select("_node", "first").hint("merge"), F.col("_md5") == F.col("_node"), "left")
+    joined = rows.join(known.select("_node", F.col("class").alias("_class"), "first").hint("merge"), F.col("_md5") == F.col("_node"), "left")
     alone = joined.filter("first IS NULL AND _node IS NULL").select(*docs.columns)
     kept = joined.filter(F.col("_node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("first")))
-    # the same id may come with several rows of a class: one stays
-    kept = kept.groupBy(F.coalesce(F.col("first").cast("string"), F.hex("_md5")).alias("_c")).agg(F.first(F.struct(*docs.columns)).alias("d")).select("d.*")
+    # the same id, or none, may come with several rows of a class: one stays
+    kept = kept.groupBy("_class").agg(F.first(F.struct(*docs.columns)).alias("d")).select("d.*")
     return alone.unionByName(kept)
