@@ -2,9 +2,10 @@
 
 1. A character trigram model is counted over all documents (a table of 64^3 counts at most, whatever the
    corpus, summed by partial aggregation).
-2. Suspicious stretches (digits or symbols among letters, letters repeated, letters spaced out) become a
-   lattice: every written character offers the letters it may stand for, a run may be one, two or all of its
-   letters, a separator nothing.  Viterbi decoding under the trigram model picks the likeliest reading.
+2. Suspicious stretches (digits, symbols or separators among or after letters, letters repeated, letters spaced
+   out), whatever their length, become a lattice: every written character offers the letters it may stand for, a
+   run may be one, two or all of its letters, a separator nothing.  Viterbi decoding under the trigram model picks
+   the likeliest reading.
 3. Words of the restored text and their beginnings are hashed to `buckets` features.  From the labelled rows
    of the training folds, every bucket gets the lower confidence limit of its log odds (support shrinks it).
 4. A text's evidence is the sum of its three strongest buckets; it becomes a probability by a logistic curve
@@ -40,8 +41,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôö
 N = 64
 #: Letters that a written character may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c"}
-#: A token worth decoding: symbols or digits before a letter, a letter three times, or letters set apart.
-SUSPECT = r"[0-9@$!|+€(]\pL|(?:[\pL\pN][._*-]){2}[\pL\pN]|" + "|".join(f"(?i:{c * 3})" for c in "abcdefghijklmnopqrstuvwxyz")
+#: A token worth decoding: symbols or digits beside a letter, letters set apart, or a letter twice.
+SUSPECT = r"[0-9@$!|+€(]\pL|\pL[0-9@$!|+€(]|\pL[._*-]+[\pL\pN]|[\pL\pN][._*-]+\pL|(?:[\pL\pN][._*-]){2}[\pL\pN]|" + "|".join(f"(?i:{c * 2})" for c in ALPHABET)
 EDGES = ".,;:?\"'*#%&-_)]}"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -51,7 +52,6 @@ class ToxicityParams:
     buckets: int = 1 << 20
     threshold: float = 0.7
     confidence: float = 1.0
-    longest_stretch: int = 64
 
 
 @lru_cache(1)
@@ -95,44 +95,72 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 
 def restore(stretch: str, model: np.ndarray) -> str:
-    """The likeliest reading of a suspicious stretch."""
+    """The likeliest reading of a suspicious stretch; time and memory are linear in its length."""
     s = stretch.lower()
     spaced = len(s) > 4 and all(not c.isalpha() for c in s[1::2]) and all(c.isalnum() for c in s[0::2])
-    steps: list[list[tuple[str, float]]] = []  # arcs of each written unit: (letters, cost)
+    runs: list[tuple[str, int, int]] = []  # (character, place, length)
     i = 0
     while i < len(s):
-        c, run = s[i], 1
-        while i + run < len(s) and s[i + run] == c:
+        run = 1
+        while i + run < len(s) and s[i + run] == s[i]:
             run += 1
+        runs.append((s[i], i, run))
+        i += run
+    doubled = len(runs) > 1 and all(run > 1 for _, _, run in runs)  # every letter of the word is repeated
+    steps: list[list[tuple[str, int, float]]] = []  # arcs of each written unit: (letter, times, cost)
+    for c, i, run in runs:
         if c.isalpha():
-            arcs = [(c * run, 0.0 if run < 3 else 6.0)]
+            arcs = [(c, run, 0.0 if run < 3 else 6.0)]
             if run > 1:
-                arcs += [(c, 0.5 if run > 2 else 3.0)]
+                arcs += [(c, 1, 0.5 if run > 2 or doubled else 3.0)]
             if run > 2:
-                arcs += [(c * 2, 1.5)]
+                arcs += [(c, 2, 1.5)]
         elif c in LEET and not (spaced and i % 2 and c not in "0123456789@$"):
-            arcs = [(letter * min(run, 2), 0.5) for letter in LEET[c]] + [(" ", 8.0)]
+            arcs = [(letter, min(run, 2), 0.5) for letter in LEET[c]] + [(" ", 1, 8.0)]
+            if run > 1:
+                arcs += [(letter, 1, 1.0 if run > 2 or doubled else 3.0) for letter in LEET[c]]
+            if i + run == len(s) and c in "!|+(€":  # more often a mark after the word
+                arcs += [(" ", 1, 0.0)]
         elif spaced or c in "._*-":
-            arcs = [("", 0.2), (" ", 3.0)]
+            arcs = [("", 0, 0.2), (" ", 1, 3.0)]
         else:
-            arcs = [(" ", 0.0)]
+            arcs = [(" ", 1, 0.0)]
         steps.append(arcs)
-        i += run
     table = codes()
-    best = {(0, 0): (0.0, "")}
-    for arcs in [*steps, [(" ", 0.0)]]:
+    best = {(0, 0): 0.0}
+    back: list[dict] = []  # per step: state -> (state before, arc)
+    for arcs in [*steps, [(" ", 1, 0.0)]]:
         new: dict = {}
-        for (a, b), (cost, text) in best.items():
-            for letters, price in arcs:
-                x, y, total = a, b, cost + price
-                for ch in letters:
-                    z = int(table[min(ord(ch), len(table) - 1)])
-                    total -= float(model[x, y, z])
-                    x, y = y, z
-                if (x, y) not in new or total < new[x, y][0]:
-                    new[x, y] = (total, text + letters)
+        came: dict = {}
+        coded = [(k, int(table[min(ord(arc[0]), len(table) - 1)]) if arc[1] else 0, arc[1], arc[2]) for k, arc in enumerate(arcs)]
+        for (a, b), cost in best.items():
+            for k, z, times, price in coded:
+                if times == 0:
+                    state, total = (a, b), cost + price
+                elif times == 1:
+                    state, total = (b, z), cost + price - model.item(a, b, z)
+                else:
+                    state, total = (z, z), cost + price - model.item(a, b, z) - model.item(b, z, z) - (times - 2) * model.item(z, z, z)
+                if state not in new or total < new[state]:
+                    new[state], came[state] = total, ((a, b), k)
         best = new
-    return min(best.values())[1].strip()
+        back.append(came)
+    state, read = min(best, key=lambda x: (best[x], x)), []
+    for arcs, came in zip(reversed([*steps, [(" ", 1, 0.0)]]), reversed(back)):
+        state, k = came[state]
+        read.append(arcs[k][0] * arcs[k][1])
+    return "".join(reversed(read)).strip()
+
+
+def readings(token: str, model: np.ndarray, memo: dict) -> list[str]:
+    """The words of a suspicious token as restored, and those of three letters or more that stand in it as they
+    are (two words joined by a mark); `memo` holds what was read before."""
+    if token not in memo:
+        if len(memo) >= 1 << 17:
+            memo.clear()
+        found = _WORD.findall(restore(token, model))
+        memo[token] = found + [w for w in _WORD.findall(token) if len(w) > 2 and w not in found]
+    return memo[token]
 
 
 def _known_hashes(words: pa.Array) -> np.ndarray:
@@ -151,32 +179,31 @@ def word_features(words: pa.Array, p: ToxicityParams) -> tuple[np.ndarray, np.nd
     return np.concatenate(at), (np.concatenate(found) % np.uint64(p.buckets)).astype(np.int64)
 
 
-def read_tokens(distinct: pa.Array, model: np.ndarray, p: ToxicityParams) -> tuple[np.ndarray, list[pa.Array]]:
+def read_tokens(distinct: pa.Array, model: np.ndarray, memo: dict) -> tuple[np.ndarray, list[pa.Array]]:
     """(token, word) pairs as they read: plain words as they are in lower case, suspicious tokens through the
-    channel, others by the words in them.  Stretches longer than any word (addresses, keys, rules of signs)
-    are not decoded."""
+    channel, others by the words in them."""
     trimmed = pc.utf8_trim(distinct, characters=EDGES)
     low = pc.utf8_lower(trimmed)
-    suspect = pc.and_(pc.match_substring_regex(trimmed, SUSPECT), pc.less_equal(pc.utf8_length(trimmed), p.longest_stretch)).to_numpy(zero_copy_only=False)
+    suspect = pc.match_substring_regex(trimmed, SUSPECT).to_numpy(zero_copy_only=False)
     plain = pc.match_substring_regex(low, r"^\pL+$").to_numpy(zero_copy_only=False) & ~suspect
     k = np.flatnonzero(plain)
     owners, words = [k], [low.take(pa.array(k))]
     rest = np.flatnonzero(~plain)
     more, names = [], []
     for code, token, odd in zip(rest.tolist(), low.take(pa.array(rest)).to_pylist(), suspect[rest]):
-        found = _WORD.findall(restore(token, model) if odd else token)
+        found = readings(token, model, memo) if odd else _WORD.findall(token)
         names += found
         more += [code] * len(found)
     return np.concatenate([*owners, np.array(more, np.int64)]), [*words, pa.array(names, low.type)]
 
 
-def _features(texts: pa.Array, model: np.ndarray, p: ToxicityParams) -> list[bytes]:
+def _features(texts: pa.Array, model: np.ndarray, p: ToxicityParams, memo: dict) -> list[bytes]:
     """The distinct buckets of every text; each distinct token is read once."""
     starts, tokenized = tokens.split_words(texts)
     owner = np.repeat(np.arange(len(texts)), np.diff(starts))
     code = tokenized.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     distinct = tokenized.dictionary
-    word_of, words = read_tokens(distinct, model, p)
+    word_of, words = read_tokens(distinct, model, memo)
     # three or more single characters in a row are one word written apart
     single = pc.match_substring_regex(distinct, r"^[\pL\pN]$").to_numpy(zero_copy_only=False).astype(bool)
     alone = np.concatenate([[False], single[code], [False]]) if len(code) else np.zeros(2, bool)
@@ -187,7 +214,7 @@ def _features(texts: pa.Array, model: np.ndarray, p: ToxicityParams) -> list[byt
     apart: dict[str, int] = {}
     more_owner, more_code, names, name_of = [], [], [], []
     for a, b in zip(first, last):
-        if 2 <= b - a < p.longest_stretch // 2:
+        if b - a >= 2:
             written = " ".join(distinct[int(c)].as_py() for c in code[a : b + 1])
             if written not in apart:
                 apart[written] = n + len(apart)
@@ -234,8 +261,9 @@ def with_features(labelled: DataFrame, model: np.ndarray, p: ToxicityParams = To
     shipped = labelled.sparkSession.sparkContext.broadcast(model)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
         for piece in (piece for batch in batches for piece in tokens.pieces(batch)):
-            blobs = _features(tokens.text_array(piece.column("text")), shipped.value, p)
+            blobs = _features(tokens.text_array(piece.column("text")), shipped.value, p, memo)
             yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), piece.column("toxic")], names=["features", "toxic"])
 
     return labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(found, "features binary, toxic int")
@@ -315,9 +343,10 @@ def scored(docs: DataFrame, language: np.ndarray, model: dict, p: ToxicityParams
     shipped = docs.sparkSession.sparkContext.broadcast((language, model))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict = {}
         for piece in (piece for batch in batches for piece in tokens.pieces(batch)):
             language, m = shipped.value
-            blobs = _features(tokens.text_array(piece.column("text")), language, p)
+            blobs = _features(tokens.text_array(piece.column("text")), language, p, memo)
             e = np.array([_top3(m["weights"][np.frombuffer(b, "<i4")]) for b in blobs])
             scores = 1 / (1 + np.exp(-np.clip(m["slope"] * e + m["shift"], -500, 500)))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tempestry.llm import boosting, decontamination, jaccard, packing, privacy, quality, substrings, toxicity
@@ -218,6 +219,22 @@ def test_packing_places(spark, texts):
         assert sorted(m.place for m in members) == list(range(1, len(members) + 1))
 
 
+def test_toxicity_reads_every_form_and_length(spark):
+    plain = ["the people in the town walk to the river", "some idiot and a moron stand on grass near the class", "you are a worthless idiot you said"] * 40
+    model = toxicity.language_model(docs(spark, plain))
+    forms = ["idi07", "1d1o7", "i.diot", "id-iot", "iiddiioott", "i" + "d" * 70 + "iot", "!d!ot", "idiot!", "idiot" + "." * 80 + "idiot"]
+    words = {w: toxicity.readings(w, model, {}) for w in forms}
+    assert all("idiot" in " ".join(found) for found in words.values()), words
+    assert [toxicity.restore(w, model) for w in ("gra55", "gra$$")] == ["grass", "grass"]
+    spelled = " ".join("youareaworthlessidiot" * 4)  # far beyond 33 letters
+    assert toxicity.restore(spelled, model).replace(" ", "") == "youareaworthlessidiot" * 4
+    p = toxicity.ToxicityParams()
+    _, bucket = toxicity.word_features(pa.array(["idiot"], pa.large_string()), p)
+    for text in [*forms, f"a text of {spelled}"]:
+        assert bucket[0] in np.frombuffer(toxicity._features(pa.array([text], pa.large_string()), model, p, {})[0], "<i4"), text
+    assert toxicity.restore("ab" * 100000, model) == "ab" * 100000  # linear in length
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     rows, labels = [], []
