@@ -168,6 +168,14 @@ def node_features(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> lis
     whole = max(nodes[0].size, 1)
     rows, own = [], {}
     first_block = {}
+    # per (parent, tag): siblings and their characters; per parent: the largest size
+    alike: dict[tuple[int, str], list[int]] = {}
+    largest: dict[int, int] = {}
+    for n in nodes[1:]:
+        same = alike.setdefault((n.parent.number, n.tag), [0, 0])
+        same[0] += 1
+        same[1] += n.size
+        largest[n.parent.number] = max(largest.get(n.parent.number, 0), n.size)
     sizes = np.concatenate([[0], np.cumsum([len(b[1]) for b in blocks])]) if blocks else np.zeros(1)
     for n in reversed(nodes):
         ks = [*n.blocks[:1], *(first_block[c] for c in n.children if c in first_block)]
@@ -180,8 +188,7 @@ def node_features(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> lis
         up = own[n.parent.number] if n.parent else [False] * (len(WORDS) + 3)
         inherited = [a or b for a, b in zip(up, [*hits, n.tag in ("nav", "aside", "footer", "form"), n.tag in ("article", "main"), n.tag in ("header", "ul", "ol")])]
         own[n.number] = inherited
-        siblings = n.parent.children if n.parent else [n]
-        alike = [s for s in siblings if s.tag == n.tag] if len(siblings) < 200 else siblings
+        n_alike, alike_size = alike[n.parent.number, n.tag] if n.parent else (1, n.size)
         around = n.parent.size if n.parent else n.size
         rows.append(
             [
@@ -198,10 +205,10 @@ def node_features(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> lis
                 n.size / max(n.paragraphs, 1),
                 n.marks / max(n.size / 100, 1),
                 len(n.children),
-                len(siblings),
-                len(alike),
-                sum(s.size for s in alike) / max(around, 1),
-                max(s.size for s in siblings) == n.size,
+                len(n.parent.children) if n.parent else 1,
+                n_alike,
+                alike_size / max(around, 1),
+                n.size == (largest[n.parent.number] if n.parent else n.size),
                 sizes[first_block.get(n, len(blocks))] / whole,
                 n.parent.linked / max(n.parent.size, 1) if n.parent else 0,
             ]

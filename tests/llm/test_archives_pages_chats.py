@@ -71,3 +71,11 @@ def test_chats(spark):
     got = {r.conv_id: (r.n_turns, r.n_copies, r.chat) for r in chats.rendered(table).collect()}
     assert got == {3: (3, 2, "<|u|>\nhi\n<|a|>\nyo\n<|u|>\nok\n"), 5: (1, 1, "<||>\n\n"), 6: (1, 1, "<|u|>\nother\n")}
     assert chats.rendered(table.limit(0)).count() == 0
+
+
+def test_siblings_of_one_tag_at_every_width():
+    for width in (150, 250):
+        nodes, blocks = extraction.parse("<div>" + "<p>some words.</p>" * width + "<section>advert</section></div>")
+        row = extraction.node_features(nodes, blocks)[-1]
+        assert nodes[-1].tag == "section"
+        assert row[-6:-2] == [width + 1, 1, 6 / nodes[1].size, False]
