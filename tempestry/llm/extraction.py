@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,9 +41,12 @@ BLOCKS = frozenset(
     "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg iframe select option button title head object canvas math".split())
+RAW = frozenset("script style noscript template textarea svg iframe select option button title object canvas".split())
+PLAIN = frozenset("script style noscript textarea iframe title".split())  # of these, what is read only for an end tag
+_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})(?![a-zA-Z0-9:-])", re.I)
 CLOSES_P = BLOCKS - {"body", "html"}
 ITEMS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
+LOOSE = "#text"
 WORDS = {
     "article": "article content post entry story text body main".split(),
     "menu": "nav navigation menu breadcrumb breadcrumbs toc pagination pager tabs skip".split(),
@@ -73,17 +77,47 @@ class Node:
         self.depth = parent.depth + 1 if parent else 0
 
 
+def _ends(page: str, tag: str) -> list[tuple[int, int]] | dict[int, tuple[int, int]]:
+    """(start, end) of the end tags of a RAW element: all in order if PLAIN, else by the end of their start tag."""
+    if tag in PLAIN:
+        return [m.span() for m in re.finditer(rf"</{tag}(?![a-zA-Z0-9:-])[^>]*>", page, re.I)]
+    found, opened = {}, []
+    for m in re.finditer(rf"<(/?){tag}(?![a-zA-Z0-9:-])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", page, re.I):
+        if m[1] and opened:
+            found[opened.pop()] = m.span()
+        elif not m[1] and m[0][-2] != "/":
+            opened.append(m.end())
+    return found
+
+
+def _end(ends: list | dict, at: int) -> tuple[int, int] | None:
+    if isinstance(ends, dict):
+        return ends.get(at)
+    k = bisect_left(ends, (at, 0))
+    return ends[k] if k < len(ends) else None
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
-    """(nodes in page order, blocks as (node, text, characters inside links))."""
+    """(nodes in page order, blocks as (node, text, characters inside links)).
+
+    A run of text directly under the root is a block of a node LOOSE of its own.  A RAW element without an end tag
+    ends at the next block-level tag.
+    """
     root = Node("html", "", None)
     nodes, blocks = [root], []
     here, in_link, parts = root, 0, []
+    ends: dict[str, list | dict] = {}
 
     def flush():
         if parts:
             text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
             if text:
-                blocks.append((here, text, sum(len(t) for t, link in parts if link)))
+                holder = here
+                if here is root:
+                    holder = Node(LOOSE, "", root)
+                    root.children.append(holder)
+                    nodes.append(holder)
+                blocks.append((holder, text, sum(len(t) for t, link in parts if link)))
             parts.clear()
 
     at = 0
@@ -110,9 +144,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
                 in_link = max(0, in_link - 1)
             continue
         if tag in RAW and not m[3].endswith("/"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if tag != "head" else re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
+            if tag not in ends:
+                ends[tag] = _ends(page, tag)
             parts.append((" ", False))
-            at = (end.start() if tag == "head" and page[end.start() + 1] != "/" else end.end()) if end else len(page)
+            end = _end(ends[tag], at)
+            if end:
+                at = end[1]
+            else:  # never closed
+                block = _BLOCK.search(page, at)
+                at = block.start() if block else len(page) if tag in PLAIN else at
             continue
         if tag in BLOCKS:
             flush()
@@ -296,6 +336,20 @@ def layout(rng: random.Random, title: str, paragraphs: list[str], sentences: lis
     return f"<!DOCTYPE html><html><head><title>{e(title)}</title></head><body>{''.join(parts)}</body></html>"
 
 
+def bare_layout(rng: random.Random, title: str, paragraphs: list[str], sentences: list[str]) -> str:
+    """A page with its article as text directly under body, likewise some of its (marked) boilerplate."""
+    e = html.escape
+    say = lambda k=1: "⁠" + e(" ".join(rng.choice(sentences) for _ in range(k)))
+    links = lambda: rng.choice([" ", " | "]).join(f'<a href="/{k}">⁠{e(rng.choice(rng.choice(sentences).split() or ["x"]))}</a>' for k in range(rng.randint(2, 8)))
+    rows = rng.sample(paragraphs, rng.randint(1, len(paragraphs)))
+    main = rng.choice(["<br><br>", "<br>", "<hr>"]).join(rng.choice(["{0}", "{0}", "<b>{0}</b>", "<font size=2>{0}</font>"]).format(e(t)) for t in rows)
+    top = rng.choice(["", "", f"<nav><ul><li>{links()}</li></ul></nav>", f"<div class=menu>{links()}</div>", f"{links()}<hr>", f"{say()}<hr>"])
+    top += f"<div class=ad>{say()}</div>" if rng.random() < 0.3 else ""
+    top += f"<h1>{e(title)}</h1>" if rng.random() < 0.4 else ""
+    foot = rng.choice(["", "", f"<footer>{say()}</footer>", f"<div class=footer>{say()}</div>", f"<hr>{say()}", f"<hr>{links()}", f"<hr>{links()}<br>{say()}"])
+    return f"<html><head><title>{e(title)}</title></head><body>{top}{main}{foot}</body></html>"
+
+
 def fit(pages: DataFrame, p: ExtractionParams = ExtractionParams()) -> dict:
     """The model, from a bounded sample of pages with a single <article> element."""
     rows = bounded_sample(pages.filter(F.regexp_count("html", F.lit("<article[ >]")) == 1), "html", p.sample_pages)
@@ -303,8 +357,9 @@ def fit(pages: DataFrame, p: ExtractionParams = ExtractionParams()) -> dict:
     x, y, sets, sentences = [], [], [], []
     for page in rows:
         nodes, blocks = parse(page)
-        x += node_features(nodes, blocks)
-        y += _labels(nodes, blocks, lambda n, t: _within(n, "article"))
+        features, labels = node_features(nodes, blocks), _labels(nodes, blocks, lambda n, t: _within(n, "article"))
+        x += [features[n.number] for n in nodes if n.tag != LOOSE]
+        y += [labels[n.number] for n in nodes if n.tag != LOOSE]
         texts = [t for n, t, _ in blocks if _within(n, "article")]
         sets.append((texts[0][:80] if texts else "", texts[1:]))
         sentences += [s + "." for n, t, _ in blocks for s in t.split(". ") if 2 < len(s) < 200][:60]
@@ -315,7 +370,16 @@ def fit(pages: DataFrame, p: ExtractionParams = ExtractionParams()) -> dict:
             nodes, blocks = parse(layout(rng, title, texts or [rng.choice(sentences)], sentences))
             x += node_features(nodes, blocks)
             y += _labels(nodes, blocks, lambda n, t: "⁠" not in t)
-    return boosting.fit(np.array(x, float), np.array(y), rounds=p.rounds, depth=p.depth)
+    # text directly under body has trees of its own, so that it does not change how elements are judged
+    loose_x, loose_y, rng = [], [], random.Random(p.seed + 1)
+    for title, texts in sets:
+        for _ in range(p.layouts):
+            nodes, blocks = parse(bare_layout(rng, title, texts or [rng.choice(sentences)], sentences))
+            rows, labels = node_features(nodes, blocks), _labels(nodes, blocks, lambda n, t: "⁠" not in t)
+            loose_x += [rows[n.number] for n in nodes if n.tag == LOOSE]
+            loose_y += [labels[n.number] for n in nodes if n.tag == LOOSE]
+    fitted = boosting.fit(np.array(x, float), np.array(y), rounds=p.rounds, depth=p.depth)
+    return {**fitted, LOOSE: boosting.fit(np.array(loose_x, float), np.array(loose_y), rounds=p.rounds, depth=p.depth)}
 
 
 def main_texts(pages: list[str | None], model: dict) -> list[str]:
@@ -323,10 +387,13 @@ def main_texts(pages: list[str | None], model: dict) -> list[str]:
     parsed = [parse(h) if h else ([], []) for h in pages]
     rows = [node_features(nodes, blocks) if blocks else [] for nodes, blocks in parsed]
     scores = boosting.predict(model, np.array([r for rs in rows for r in rs], float))
+    loose = np.array([n.tag == LOOSE for (nodes, _), rs in zip(parsed, rows) if rs for n in nodes], bool)
+    if loose.any():
+        scores[loose] = boosting.predict(model[LOOSE], np.array([r for rs in rows for r in rs], float)[loose])
     out, at = [], 0
     for (nodes, blocks), rs in zip(parsed, rows):
         kept = decode(nodes, scores[at : at + len(rs)]) if rs else []
-        out.append("\n".join(text for n, text, _ in blocks if kept[n.number] and n.number))
+        out.append("\n".join(text for n, text, _ in blocks if kept[n.number]))
         at += len(rs)
     return out
 

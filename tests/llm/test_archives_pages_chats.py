@@ -79,3 +79,36 @@ def test_siblings_of_one_tag_at_every_width():
         row = extraction.node_features(nodes, blocks)[-1]
         assert nodes[-1].tag == "section"
         assert row[-6:-2] == [width + 1, 1, 6 / nodes[1].size, False]
+
+
+def test_parse_keeps_text_under_the_root_and_after_unclosed_elements():
+    forms = {
+        "plain": ["plain"],
+        "<body>one<br>two <b>x</b><p>p</p>tail</body>": ["one two x", "p", "tail"],
+        "<div><button>go<p>text</p><button>ok</button></div><p>rest": ["text", "rest"],
+        "<p>a</p><svg><path><p>b</p>": ["a", "b"],
+        "<p>a</p><object><p>b</p><p>c": ["a", "b", "c"],
+        "<select><option>a<p>text": ["text"],
+        "<head><title>t</title><meta x><p>article": ["article"],
+        "<head><title>t</title>words": ["words"],
+        "<p>let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be": ["let x=1 be"],
+        "<svg><svg>q</svg>r</svg>z": ["z"],
+        "<head><style>a{}</style><script>'<p>'</script></head><body>yes<script>x": ["yes"],
+    }
+    for page, want in forms.items():
+        nodes, blocks = extraction.parse(page)
+        assert [t for _, t, _ in blocks] == want, page
+        assert all(n.parent for n, _, _ in blocks)
+
+
+def test_bare_articles_are_extracted(spark):
+    rng = random.Random(2)
+    say = lambda n: " ".join(rng.choice(["river", "stone", "cloud", "field", "house"]) for _ in range(n)) + "."
+    text = lambda n: " ".join(say(8) for _ in range(n))
+    known = [f"<body><nav><ul><li><a href=x>{say(1)}</a></li></ul></nav><div class=ad>{say(6)}</div><article><h1>{say(5)}</h1>{''.join(f'<p>{text(4)}</p>' for _ in range(4))}</article><footer>{say(6)}</footer></body>" for _ in range(60)]
+    article = [text(8), text(6)]
+    bare = f"{article[0]}<br><b>{article[1]}</b>"
+    table = pages(spark, [*known, f"<html><body>{bare}</body></html>", f"<body><nav><ul><li><a href=x>menu</a></li><li><a href=y>more</a></li></ul></nav>{bare}<div class=footer>legal</div></body>"])
+    got = {r.page_id: r.text for r in extraction.extracted(table, extraction.fit(table)).collect()}
+    assert got[60] == " ".join(article)
+    assert got[61] == " ".join(article)
