@@ -686,6 +686,23 @@ def d12(spark, d):
     return G.sustained_extreme(views.hourly(spark, d), p=P).select(*LEGACY)
 
 
+def _further_change(metric):
+    """d11 and d12 over the rules' further metrics."""
+
+    @query(f"d11_rapid_change_{metric}", f"SELECT station, t, '{metric}' AS metric, round(abs(v - mean) / std + 1e-9, 3) AS strength, CASE WHEN abs(v - mean) / std >= 3.5 THEN 'severe' ELSE 'warning' END AS severity FROM {_base(metric, 86400)} WHERE day_n >= 12 AND hist_n >= 12 AND std > 0 AND abs(v - mean) / std >= 2.5")
+    def d11_further(spark, d):
+        return G.rapid_change(_local(spark, d), metric, P).select(*LEGACY)
+
+    @query(f"d12_sustained_extreme_{metric}", f"""SELECT station, t, '{metric}' AS metric, 2.0::DOUBLE AS strength, 'warning' AS severity FROM (SELECT *, quantile_cont({metric}, 0.05) OVER r AS lo, quantile_cont({metric}, 0.95) OVER r AS hi, count(*) OVER r AS n, lag({metric}) OVER w AS a, lag({metric}, 2) OVER w AS b
+ FROM v1 WINDOW w AS (PARTITION BY station ORDER BY t), r AS (PARTITION BY station ORDER BY t RANGE BETWEEN 172800 PRECEDING AND 1 PRECEDING)) WHERE n >= 12 AND lo <> hi AND b IS NOT NULL AND (least({metric}, a, b) >= hi OR greatest({metric}, a, b) <= lo)""")
+    def d12_further(spark, d):
+        return G.sustained_extreme(views.hourly(spark, d), metric, P).select(*LEGACY)
+
+
+for _metric in G.CHANGE_METRICS[1:]:
+    _further_change(_metric)
+
+
 _LEVEL = "CASE {} WHEN 95 THEN 3 WHEN 63 THEN 2 WHEN 51 THEN 1 WHEN 0 THEN 0 END"
 
 

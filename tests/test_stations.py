@@ -212,3 +212,13 @@ def test_registered_queries_have_sql():
 
     known, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(known) and len(known) > 80
+
+
+def test_change_rules_are_registered_for_every_metric():
+    from tempestry.operators import legacy
+    from tempestry.plans import catalog
+
+    for name in ("d11_rapid_change", "d12_sustained_extreme"):
+        for metric in legacy.CHANGE_METRICS:
+            query = name if metric == "temperature_2m" else f"{name}_{metric}"
+            assert query in catalog.QUERIES and f"'{metric}' AS metric" in catalog.ORACLES[query]
