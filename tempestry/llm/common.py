@@ -17,15 +17,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none (tests)."""
+    """The folder that driver and executors share; set here only where a local session has none (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = tempfile.mkdtemp(prefix="tempestry-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="tempestry-")  # one machine holds the driver and all tasks
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at)
     return at
 
 
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of `df` but `names`, which Spark compares without case."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def whole_row(df: DataFrame, name: str = "row"):
+    """All columns of `df` as one struct, so that columns made beside it meet none of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
+def fields(columns: list[str], of: str = "row") -> list:
+    """The named columns again out of a `whole_row`."""
+    return [F.col(of)[c].alias(c) for c in columns]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute `df` once and cut its lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -18,25 +18,28 @@ base AS (
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
 m AS (
   SELECT r, lang, source, base_failed, rule, CASE rule WHEN 'symbols' THEN n_symbols / CAST(greatest(n_words, 1) AS DOUBLE) WHEN 'dup_lines' THEN n_dup_lines / CAST(greatest(n_lines, 1) AS DOUBLE)
-    WHEN 'repeats' THEN n_repeat_words / CAST(greatest(n_words, 1) AS DOUBLE) ELSE word_chars / CAST(greatest(n_words, 1) AS DOUBLE) END AS v, least_spread
-  FROM judged, (VALUES ('symbols', 0.02::DOUBLE), ('dup_lines', 0.05::DOUBLE), ('repeats', 0.05::DOUBLE), ('word_length', 0.5::DOUBLE)) AS x(rule, least_spread)),
-b AS (SELECT lang, source, rule, least_spread, CASE WHEN v < 1e-6 THEN -100000 ELSE CAST(ceil(ln(v) / ln(1.02::DOUBLE / 0.98::DOUBLE)) AS INT) END AS bucket FROM m WHERE NOT base_failed),
+    WHEN 'repeats' THEN n_repeat_words / CAST(greatest(n_words, 1) AS DOUBLE) WHEN 'word_length' THEN word_chars / CAST(greatest(n_words, 1) AS DOUBLE) WHEN 'words' THEN CAST(n_words AS DOUBLE) ELSE CAST(greatest(n_lines, 1) AS DOUBLE) END AS v
+  FROM judged, (VALUES ('symbols'), ('dup_lines'), ('repeats'), ('word_length'), ('words'), ('lines')) AS x(rule)),
+b AS (SELECT lang, source, rule, CASE WHEN v < 1e-6 THEN -100000 ELSE CAST(ceil(ln(v) / ln(1.01::DOUBLE / 0.99::DOUBLE)) AS INT) END AS bucket FROM m WHERE NOT base_failed),
 k AS (
-  SELECT 's' AS lvl, lang, source, rule, least_spread, bucket, count(*) AS n FROM b GROUP BY ALL UNION ALL
-  SELECT 'l', lang, NULL, rule, least_spread, bucket, count(*) FROM b GROUP BY ALL UNION ALL
-  SELECT 'c', NULL, NULL, rule, least_spread, bucket, count(*) FROM b GROUP BY ALL),
+  SELECT 's' AS lvl, lang, source, rule, bucket, count(*) AS n FROM b GROUP BY ALL UNION ALL
+  SELECT 'l', lang, NULL, rule, bucket, count(*) FROM b GROUP BY ALL UNION ALL
+  SELECT 'c', NULL, NULL, rule, bucket, count(*) FROM b GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY lvl, lang, source, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lvl, lang, source, rule) AS docs FROM k),
 q AS (
-  SELECT lvl, lang, source, rule, least_spread, docs, min(bucket) FILTER (WHERE upto >= 0.5 * docs) AS b50, min(bucket) FILTER (WHERE upto >= 0.75 * docs) AS b75 FROM c GROUP BY ALL),
+  SELECT lvl, lang, source, rule, docs, min(bucket) FILTER (WHERE upto >= 0.25 * docs) AS b25, min(bucket) FILTER (WHERE upto >= 0.5 * docs) AS b50, min(bucket) FILTER (WHERE upto >= 0.75 * docs) AS b75 FROM c GROUP BY ALL),
 v AS (
-  SELECT *, CASE WHEN b50 = -100000 THEN 0.0 ELSE 2 * pow(1.02::DOUBLE / 0.98::DOUBLE, b50) / (1.02::DOUBLE / 0.98::DOUBLE + 1) END AS mid,
-    CASE WHEN b75 = -100000 THEN 0.0 ELSE 2 * pow(1.02::DOUBLE / 0.98::DOUBLE, b75) / (1.02::DOUBLE / 0.98::DOUBLE + 1) END AS high FROM q),
-f AS (SELECT lvl, lang, source, rule, docs, mid + 10.0 * greatest(high - mid, least_spread) AS fence FROM v),
+  SELECT *, CASE WHEN b25 = -100000 THEN 0.0 ELSE 2 * pow(1.01::DOUBLE / 0.99::DOUBLE, b25) / (1.01::DOUBLE / 0.99::DOUBLE + 1) END AS low, CASE WHEN b50 = -100000 THEN 0.0 ELSE 2 * pow(1.01::DOUBLE / 0.99::DOUBLE, b50) / (1.01::DOUBLE / 0.99::DOUBLE + 1) END AS mid,
+    CASE WHEN b75 = -100000 THEN 0.0 ELSE 2 * pow(1.01::DOUBLE / 0.99::DOUBLE, b75) / (1.01::DOUBLE / 0.99::DOUBLE + 1) END AS high FROM q),
+f AS (
+  SELECT v.lvl, v.lang, v.source, v.rule, v.docs, v.mid + 8.0 * greatest(v.mid - v.low, x.occurrence / z.mid) AS fence, CASE WHEN v.rule = 'word_length' THEN v.mid - 8.0 * greatest(v.high - v.mid, x.occurrence / z.mid) ELSE 0.0 END AS floor
+  FROM v JOIN (VALUES ('symbols', 'words', 1.0::DOUBLE), ('dup_lines', 'lines', 0.5::DOUBLE), ('repeats', 'words', 6.0::DOUBLE), ('word_length', 'words', 20.0::DOUBLE)) AS x(rule, size, occurrence) ON x.rule = v.rule
+  JOIN v z ON z.rule = x.size AND z.lvl = v.lvl AND z.lang IS NOT DISTINCT FROM v.lang AND z.source IS NOT DISTINCT FROM v.source),
 verdict AS (
-  SELECT m.r, bool_and(m.v <= coalesce(s.fence, l.fence, c.fence, m.v)) AS inside FROM m
-  LEFT JOIN f s ON s.lvl = 's' AND s.docs >= 100 AND s.rule = m.rule AND s.lang IS NOT DISTINCT FROM m.lang AND s.source IS NOT DISTINCT FROM m.source
-  LEFT JOIN f l ON l.lvl = 'l' AND l.docs >= 100 AND l.rule = m.rule AND l.lang IS NOT DISTINCT FROM m.lang
-  LEFT JOIN f c ON c.lvl = 'c' AND c.rule = m.rule GROUP BY m.r)
+  SELECT m.r, bool_and(m.v <= coalesce(s.fence, l.fence, c.fence, m.v) AND m.v >= coalesce(s.floor, l.floor, c.floor, 0.0)) AS inside FROM m
+  LEFT JOIN f s ON s.lvl = 's' AND s.docs >= 50 AND s.rule = m.rule AND s.lang IS NOT DISTINCT FROM m.lang AND s.source IS NOT DISTINCT FROM m.source
+  LEFT JOIN f l ON l.lvl = 'l' AND l.docs >= 50 AND l.rule = m.rule AND l.lang IS NOT DISTINCT FROM m.lang
+  LEFT JOIN f c ON c.lvl = 'c' AND c.rule = m.rule WHERE m.rule NOT IN ('words', 'lines') GROUP BY m.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM judged JOIN verdict USING (r)
 """
 
