@@ -14,7 +14,8 @@ Words are runs without ASCII white space; shingles are sets of `words` words (a
 Defined results: a null or wordless text is alone in its class and has no links, whatever copies it has;
 equal texts are linked; a null doc_id is carried, and does not name a class unless all ids in it are null;
 repeated rows are documents of their own; an empty table gives an empty result; `deduplicated` keeps, of
-each class, the row of the smallest doc_id (of equal ones any one), with all its columns.
+each class, the row of the smallest doc_id (of equal ones any one), with all its columns; further columns, whatever
+their names, pass through, and `classes` replaces those named like the ones it adds.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempestry.llm import tokens
-from tempestry.llm.common import cut, release, stored
+from tempestry.llm.common import cut, fields, others, release, stored, whole_row
 from tempestry.llm.components import components
 
 
@@ -253,8 +254,12 @@ def links(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
     edges = members.join(buckets.hint("merge"), "key").select("a", F.col("node").alias("b"))
     coarse = cut(components(edges))
 
+    # Only clusters of several blocks need their size.  It is computed before the join, whose left side, a row a node,
+    # adaptive execution then splits where one cluster holds a large share of all nodes.
     sizes = coarse.groupBy("root").agg(F.ceil(F.count("*") / F.lit(p.block)).cast("int").alias("m"))
-    placed = coarse.join(sizes.hint("merge"), "root").join(nodes.select("node", "doc_id", "copies").hint("merge"), "node")
+    sizes = cut(sizes.filter("m > 1"))
+    placed = coarse.join(sizes.hint("merge"), "root", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    placed = placed.join(nodes.select("node", "doc_id", "copies").hint("merge"), "node")
     placed = placed.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("m").cast("long")).cast("int"))
     text = named.withColumnsRenamed({"doc_id": "_doc", "node": "_node"})
     # One copy of each text goes on; repeated rows of it meet in the block and are dropped there by digest.
@@ -274,17 +279,20 @@ def links(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
     out = nodes.select("node", "doc_id", "copies").join(counted.hint("merge"), "node", "left").join(classes.hint("merge"), "node", "left")
     out = out.filter("copies > 1 OR root IS NOT NULL")
     out = cut(out.select("node", F.coalesce("root", "node").alias("class"), "doc_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    first = out.groupBy("class").agg(F.min("doc_id").alias("first"))
+    first = cut(out.groupBy("class").agg(F.min("doc_id").alias("first")))
     return out.join(first.hint("merge"), "class").select("node", "class", "n_links", F.col("copies").alias("n_copies"), "first")
 
 
+def _matched(docs: DataFrame, p: JaccardParams) -> DataFrame:
+    """(row, doc_id, and of texts with a link: class, n_links, n_copies, first) of every row of `docs`."""
+    rows = docs.select(whole_row(docs), "doc_id", F.unhex(F.md5("text")).alias("node"))
+    return rows.join(links(docs.select("doc_id", "text"), p).hint("merge"), "node", "left")
+
+
 def classes(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
     """`docs` with class_id (the smallest doc_id of its class), n_links and n_copies."""
-    known = links(docs, p).withColumnRenamed("node", "_node")
-    rows = docs.withColumn("_md5", F.unhex(F.md5("text")))
-    joined = rows.join(known.hint("merge"), F.col("_md5") == F.col("_node"), "left")
-    return joined.select(
-        *[F.col(c) for c in docs.columns if c not in ("class_id", "n_links", "n_copies")],
+    return _matched(docs, p).select(
+        *fields(others(docs, "class_id", "n_links", "n_copies")),
         F.coalesce("first", "doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
@@ -293,11 +301,9 @@ def classes(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
 
 def deduplicated(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
     """One row of each class."""
-    known = links(docs, p).withColumnRenamed("node", "_node")
-    rows = docs.withColumn("_md5", F.unhex(F.md5("text")))
-    joined = rows.join(known.select("_node", F.col("class").alias("_class"), "first").hint("merge"), F.col("_md5") == F.col("_node"), "left")
-    alone = joined.filter("first IS NULL AND _node IS NULL").select(*docs.columns)
-    kept = joined.filter(F.col("_node").isNotNull() & F.col("doc_id").eqNullSafe(F.col("first")))
+    rows = _matched(docs, p)
+    alone = rows.filter(F.col("class").isNull()).select("row")
+    kept = rows.filter(F.col("class").isNotNull() & F.col("doc_id").eqNullSafe(F.col("first")))
     # the same id, or none, may come with several rows of a class: one stays
-    kept = kept.groupBy("_class").agg(F.first(F.struct(*docs.columns)).alias("d")).select("d.*")
-    return alone.unionByName(kept)
+    kept = kept.groupBy("class").agg(F.first("row").alias("row")).select("row")
+    return alone.unionByName(kept).select(*fields(docs.columns))

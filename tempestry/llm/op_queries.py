@@ -53,8 +53,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", packing.n_tokens().alias("n_tokens"))
-    return packing.packed(docs)
+    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"), drop_text=True)
 
 
 def op9_chats(spark: SparkSession, sf_dir: str) -> DataFrame:

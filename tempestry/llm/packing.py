@@ -1,18 +1,18 @@
 """Length-bucketed packing with optimal bucket boundaries.
 
-1. The global length histogram: one partial aggregation; lengths up to `exact_upto` count exactly, longer
-   ones in bins of 1/64 octave, so the histogram has a bounded number of rows whatever the corpus.
+1. The global length histogram: one partial aggregation, every length exact.  Different lengths are few (their
+   sum can't exceed the corpus: n of them take n * n / 2 tokens), so its rows are what the driver may fetch.
 2. Dynamic programming over that histogram chooses the `buckets` upper bounds that minimise total padding
    (every document padded to the bound of its bucket).  The cost satisfies the quadrangle inequality, so
    each layer takes O(n log n) by divide and conquer.
 3. Inside a bucket, a batch holds floor(token_budget / bound) documents (one, if a single document is
-   longer).  A bucket is dealt by a hash of the document into shards of about `shard_docs` documents, as
-   many as its histogram count asks for, and batches are formed inside shards by a running number: no task
-   ever holds a whole bucket, and only the last batch of a shard may be short.
+   longer).  A bucket is dealt by a hash of the id (of the row's number where it is null) into shards of about
+   `shard_docs` documents, as many as its histogram count asks for, and batches are formed inside shards by a
+   running number: no task ever holds a whole bucket, and only the last batch of a shard may be short.
 
 Defined results: a null or empty text has length 0 and is packed like any other; ties in length share a
-bucket; repeated rows get separate places; an empty table gives an empty result; further columns pass
-through and those named like the new ones are replaced.
+bucket; repeated rows and rows without an id get separate places; an empty table gives an empty result; further
+columns, whatever their names, pass through and those named like the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -24,14 +24,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FINE = 64
+from tempestry.llm.common import fields, others, stored, whole_row
+
+PLACES = ["n_tokens", "bucket", "padded_to", "shard", "batch", "place"]
 
 
 @dataclass(frozen=True)
 class PackingParams:
     buckets: int = 16
     token_budget: int = 65536
-    exact_upto: int = 8192
     shard_docs: int = 16384
 
 
@@ -41,14 +42,9 @@ def n_tokens(text: str = "text") -> Column:
     return F.regexp_count(t, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
-def histogram(lengths: DataFrame, p: PackingParams) -> list[tuple[int, int, int]]:
-    """(bin, documents, total tokens) in order of the bin; at most exact_upto + 64 rows an octave."""
-    over = F.when(F.col("n_tokens") > p.exact_upto, F.ceil(F.log2(F.col("n_tokens").cast("double")) * FINE)).otherwise(0)
-    exact = F.when(F.col("n_tokens") <= p.exact_upto, F.col("n_tokens")).otherwise(-1)
-    rows = lengths.groupBy(exact.alias("exact"), over.alias("over")).agg(
-        F.max("n_tokens").alias("upper"), F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")
-    )
-    return sorted((r.upper, r.docs, r.tokens) for r in rows.collect())
+def histogram(lengths: DataFrame) -> list[tuple[int, int, int]]:
+    """(length, documents, total tokens) in order of the length."""
+    return sorted((r.n_tokens, r.docs, r.n_tokens * r.docs) for r in lengths.groupBy("n_tokens").agg(F.count("*").alias("docs")).collect())
 
 
 def optimal_bounds(hist: list[tuple[int, int, int]], buckets: int) -> tuple[list[int], int]:
@@ -88,25 +84,26 @@ def optimal_bounds(hist: list[tuple[int, int, int]], buckets: int) -> tuple[list
     return bounds[::-1], int(best[n])
 
 
-def packed(docs: DataFrame, p: PackingParams = PackingParams()) -> DataFrame:
-    """`docs` (with text, or with n_tokens alone) with n_tokens, bucket, padded_to, shard, batch and place (from 1) in the batch.
+def packed(docs: DataFrame, p: PackingParams = PackingParams(), drop_text: bool = False) -> DataFrame:
+    """`docs` (with text, or with n_tokens alone; without text if `drop_text`) with n_tokens, bucket, padded_to, shard,
+    batch and place (from 1) in the batch.
 
     (bucket, shard, batch) names a batch; its documents times padded_to stay within the token budget,
     unless it is a single longer document.
     """
-    if "n_tokens" not in docs.columns or "text" in docs.columns:
-        docs = docs.withColumn("n_tokens", n_tokens())
-    hist = histogram(docs.select("n_tokens"), p)
+    length = n_tokens() if "text" in docs.columns else F.col("n_tokens").cast("long")
+    own = docs.drop("text") if drop_text else docs
+    # words are counted once; the row's number is fixed by writing it
+    rows = stored(docs.select(whole_row(own), "doc_id", length.alias("n_tokens"), F.monotonically_increasing_id().alias("number")))
+    hist = histogram(rows)
     bounds, _ = optimal_bounds(hist, p.buckets)
     edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
     counts = [sum(h[1] for h in hist if (bounds[i - 1] if i else -1) < h[0] <= b) for i, b in enumerate(bounds)]
     shards = F.array(*[F.lit(max(1, math.ceil(c / p.shard_docs))) for c in counts]) if counts else F.array(F.lit(1))
-    bucket = F.size(F.filter(edges, lambda b: b < F.col("n_tokens")))
-    docs = docs.withColumn("bucket", bucket).withColumn("padded_to", F.get(edges, "bucket"))
-    spread = F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns])
-    docs = docs.withColumn("shard", F.pmod(spread, F.get(shards, "bucket").cast("long")).cast("int"))
-    w = Window.partitionBy("bucket", "shard").orderBy(*[c for c in ("doc_id", "n_tokens") if c in docs.columns])
-    place = F.row_number().over(w) - 1
-    rows = F.greatest(F.lit(1), F.floor(F.lit(p.token_budget) / F.greatest(F.col("padded_to"), F.lit(1)))).cast("int")
-    docs = docs.withColumn("_place", place)
-    return docs.withColumn("batch", F.floor(F.col("_place") / rows).cast("long")).withColumn("place", (F.col("_place") % rows + 1).cast("int")).drop("_place")
+    rows = rows.withColumn("bucket", F.size(F.filter(edges, lambda b: b < F.col("n_tokens")))).withColumn("padded_to", F.get(edges, "bucket"))
+    spread = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("number"))
+    rows = rows.withColumn("shard", F.pmod(spread, F.get(shards, "bucket").cast("long")).cast("int"))
+    at = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens", "number")) - 1
+    size = F.greatest(F.lit(1), F.floor(F.lit(p.token_budget) / F.greatest(F.col("padded_to"), F.lit(1)))).cast("int")
+    rows = rows.withColumn("at", at).withColumn("batch", F.floor(F.col("at") / size).cast("long")).withColumn("place", (F.col("at") % size + 1).cast("int"))
+    return rows.select(*fields(others(own, *PLACES)), *PLACES)
