@@ -40,7 +40,7 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every document in a batch."""
-    return packing.packed(docs.select("doc_id", packing.n_tokens().alias("n_tokens")))
+    return packing.packed(docs.select("doc_id", "text"), drop_text=True)
 
 
 STAGES = [
