@@ -5,20 +5,25 @@ equal ones).  Equal windows name the same position relative to themselves, so on
 two in length - q) have to be sorted, and the windows of a position form one stretch of text, its segment.
 
 Which order.  Positions start in buckets of equal q-grams.  The identifier of a bucket of depth 2d comes from
-the identifiers of the buckets of depth d at a position and at the later offset d; it serves at all offsets
-and in all later rounds.  Round one splits buckets by the identifiers over the whole segment: equal
+the identifiers of the buckets of depth d at a position and at the later offset d, beginning with the bytes
+themselves up to depth 8; it serves at all offsets and in all later rounds.  Round one splits buckets by the identifiers over the whole segment: equal
 segments meet, the one in the smallest document stands for them, and the others are removed.  Round two splits
 by the identifiers next to the q-gram on either side, which drops buckets that agree in little more than it.
 Round three splits what is left by the identifiers of the windows themselves.  Buckets of a single document drop
-out after each round.  Identifiers are hashes (round one compares 88 bits, round three 96), so they need no
-global numbering.
+out after each round.  Identifiers need no global numbering: they are pairs of 64-bit hashes of two families, which
+together tell any two strings of 16 bytes apart and are independent beyond.  Rounds one and three compare 96 bits of
+them, round one within a bucket of the q-gram (32 bits more); bytes aren't compared afterwards.  In a bucket of
+10^10 different segments, a wrong removal has a probability of 1e-9.
 
 How it scales.  A task ships its positions as one packed row per bucket range, equal segments of one slice of
 text already merged to the smallest document, so a passage that a third of all documents share is one entry a
-slice.  Texts are shuffled once to meet their spans; only texts with stretches undecided after round two go on.
+slice.  Round three deals windows by their own identifiers, merged likewise.  What one task holds is a bucket range;
+at the edge of a passage that many documents share, segments differ in every document, and their q-gram's bucket has
+an entry of each of these documents in one range.  Texts are shuffled once to meet their spans; only texts with stretches undecided after round two go on.
 
-Defined results: a null text is empty; a null doc_id counts as larger than all others; rows of the same doc_id
-are no smaller documents to one another; strings repeated only inside one document stay; texts shorter than
+Defined results: a null text is empty; a null doc_id counts as larger than all others (but for 2^63 - 1, its equal);
+rows of the same doc_id, or of none, are no smaller documents to one another, and are told apart by a hash of their
+text (96 bits where the id is null, else 32); strings repeated only inside one document stay; texts shorter than
 `length` stay; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -38,33 +43,41 @@ from tempestry.llm.common import release, stored
 
 LAST = np.iinfo(np.int64).max
 U = np.uint64
+OTHER = U(0xD6E8FEB86659FD92)
 
 
 @dataclass(frozen=True)
 class SubstringParams:
     length: int = 50
-    gram: int = 16
     ranges: int = 2  # bucket ranges for each shuffle partition
     slice_bytes: int = 2 << 20
 
+    @property
+    def gram(self) -> int:
+        return 16
+
     @property
     def beside(self) -> int:
         """Bytes on one side of the q-gram that every window holds on that side or the other."""
         return (self.length - self.gram) // 2
 
 
-def identifiers(x: np.ndarray, depths: tuple[int, ...]) -> dict[int, np.ndarray]:
-    """Bucket identifiers of the wanted depths (powers of two) at every position, each from pairs of the depth before."""
-    h = (x.astype(U) + U(1)) * tokens.BASE
-    out, d = {}, 1
-    while d < max(depths):
-        later = np.zeros_like(h)
-        later[: max(len(h) - d, 0)] = h[d:]
-        h = tokens.mixed(h * tokens.BASE + later)
-        d *= 2
-        if d in depths:
-            out[d] = h
-    return out
+def identifiers(x: np.ndarray) -> dict[str, np.ndarray]:
+    """Bucket identifiers at every position: a16, and a32 and b32 of two families, each from pairs of the depth before."""
+
+    def later(h: np.ndarray, d: int) -> np.ndarray:
+        out = np.zeros_like(h)
+        out[: max(len(h) - d, 0)] = h[d:]
+        return out
+
+    h = x.astype(U)
+    for d in (1, 2, 4):  # the eight bytes themselves
+        h |= later(h, d) << U(8 * d)
+    next8 = later(h, 8)
+    a16 = tokens.mixed(h * tokens.BASE + next8)
+    # BASE is odd and OTHER even, so both values agree only where all sixteen bytes do
+    b16 = tokens.mixed(h * OTHER + next8)
+    return {"a16": a16, "a32": tokens.mixed(a16 * tokens.BASE + later(a16, 16)), "b32": tokens.mixed(b16 * tokens.MIX + later(b16, 16))}
 
 
 def _sliding_min(a: np.ndarray, w: int) -> np.ndarray:
@@ -92,8 +105,8 @@ def positions(texts: list[bytes], p: SubstringParams) -> Slice:
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     x = np.frombuffer(b"".join(texts), np.uint8)
-    ids = identifiers(x, (p.gram, 32))
-    gram = ids[p.gram]
+    ids = identifiers(x)
+    gram = ids["a16"]
     least = _sliding_min((gram & ~U(0xFFFFFFFF)) | np.arange(len(x), dtype=U), p.length - p.gram + 1)
     parts = [np.arange(a, b - p.length + 1) for a, b in zip(starts[:-1], starts[1:]) if b - a >= p.length]
     window = np.concatenate(parts) if parts else np.zeros(0, np.int64)
@@ -105,24 +118,34 @@ def positions(texts: list[bytes], p: SubstringParams) -> Slice:
     return Slice(ids, starts, at[k], first, np.diff(np.append(k, len(window))), np.searchsorted(starts, first, side="right") - 1)
 
 
-def _keys(s: Slice, p: SubstringParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(q-gram bucket, identifier of the segment, of the bytes before, of the bytes after)."""
-    i16, i32 = s.ids[p.gram], s.ids[32]
+def _keys(s: Slice, p: SubstringParams) -> tuple[np.ndarray, ...]:
+    """(q-gram bucket, two identifiers of the segment, those of the bytes before and of the bytes after)."""
+    i16 = s.ids["a16"]
     n = len(i16) - 1
     last = s.first + s.count - 1
-    whole = i32[s.first]
-    for k in (s.first + p.length - 32, last, last + p.length - 32):
-        whole = tokens.mixed(whole * tokens.BASE + i32[k])
-    whole = tokens.mixed(whole * tokens.BASE + (s.at - s.first).astype(U) * U(64) + s.count.astype(U))
+    whole = []
+    for i32 in (s.ids["a32"], s.ids["b32"]):
+        h = i32[s.first]
+        for k in (s.first + p.length - 32, last, last + p.length - 32):
+            h = tokens.mixed(h * tokens.BASE + i32[k])
+        whole.append(tokens.mixed(h * tokens.BASE + (s.at - s.first).astype(U) * U(64) + s.count.astype(U)))
     a = np.maximum(s.at - p.beside, 0)
     before = tokens.mixed(i16[a] * tokens.BASE + i16[a + p.beside - p.gram])
     b = np.minimum(s.at + p.gram, n)
     after = tokens.mixed(i16[b] * tokens.BASE + i16[np.minimum(b + p.beside - p.gram, n)])
-    return i16[s.at], whole, before, after
+    return i16[s.at], *whole, before, after
 
 
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("print").to_numpy(zero_copy_only=False)
+KEYS = ["doc_id", "lost", "print"]
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Ids (of rows without one a hash of the text), whether there is none, prints."""
+    return tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in KEYS)
+
+
+def _rank(ids: np.ndarray, lost: np.ndarray) -> np.ndarray:
+    return np.where(lost, LAST, ids)
 
 
 def _opened(body: bytes, size: int) -> bytes:
@@ -134,10 +157,10 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         bodies = pa.array([pa.compress(t, codec="zstd", asbytes=True) if t else b"" for t in texts], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), pa.array([len(t) for t in texts], pa.int64()), bodies], names=["doc_id", "print", "n_bytes", "body"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEYS), pa.array([len(t) for t in texts], pa.int64()), bodies], names=[*KEYS, "n_bytes", "body"])
 
 
-PACKED = "p int, n int, docs binary, prints binary, doc binary, first binary, at binary, count binary, key binary, a binary, b binary"
+PACKED = "p int, n int, docs binary, lost binary, prints binary, doc binary, first binary, at binary, count binary, key binary, a binary, b binary"
 
 
 def _squeezed(v: np.ndarray) -> bytes:
@@ -162,7 +185,7 @@ def _long(b: bytes, size: int) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
-def _pack(ids, prints, part, doc, first, at, count, key, a, b, sizes) -> Iterator[pa.RecordBatch]:
+def _pack(ids, lost, prints, part, doc, first, at, count, key, a, b, sizes) -> Iterator[pa.RecordBatch]:
     """Entries dealt by range into one row each, column by column; sizes: bytes kept of key, a and b."""
     order = np.argsort(part, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0, [True]])) if len(order) else []
@@ -171,25 +194,27 @@ def _pack(ids, prints, part, doc, first, at, count, key, a, b, sizes) -> Iterato
         k = order[lo:hi]
         used, local = np.unique(doc[k], return_inverse=True)
         hashes = [_short(v[k], size) if size else b"" for v, size in zip((key, a, b), sizes)]
-        rows.append((int(part[k[0]]), len(k), _squeezed(ids[used]), prints[used].tobytes(), *map(_squeezed, (local, first[k], at[k], count[k])), *hashes))
+        rows.append((int(part[k[0]]), len(k), _squeezed(ids[used]), _squeezed(lost[used]), prints[used].tobytes(), *map(_squeezed, (local, first[k], at[k], count[k])), *hashes))
     if rows:
         names = [c.split()[0] for c in PACKED.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if j < 2 else pa.binary()) for j, c in enumerate(zip(*rows))], names=names)
 
 
-def _unpack(rows: list[dict], sizes) -> list[np.ndarray]:
-    """doc_id, print, first, at, count, key, a, b of all entries of a range."""
-    cols: list[list] = [[] for _ in range(8)]
+def _unpack(rows: list[dict], sizes) -> list:
+    """(doc_id, lost, print), first, at, count, key, a, b of all entries of a range."""
+    cols: list[list] = [[] for _ in range(9)]
     for r in rows:
         local = _loosened(r["doc"], r["n"])
         prints = np.frombuffer(r["prints"], np.int32)
         cols[0].append(_loosened(r["docs"], len(prints))[local])
-        cols[1].append(prints[local])
-        for c, name in zip(cols[2:5], ("first", "at", "count")):
+        cols[1].append(_loosened(r["lost"], len(prints))[local] > 0)
+        cols[2].append(prints[local])
+        for c, name in zip(cols[3:6], ("first", "at", "count")):
             c.append(_loosened(r[name], r["n"]))
-        for c, name, size in zip(cols[5:], ("key", "a", "b"), sizes):
+        for c, name, size in zip(cols[6:], ("key", "a", "b"), sizes):
             c.append(_long(r[name], size) if size else np.zeros(r["n"], U))
-    return [np.concatenate(c) for c in cols]
+    flat = [np.concatenate(c) for c in cols]
+    return [tuple(flat[:3]), *flat[3:]]
 
 
 def _by_range(batches: Iterator[pa.RecordBatch], work) -> Iterator[tuple]:
@@ -205,19 +230,20 @@ def _by_range(batches: Iterator[pa.RecordBatch], work) -> Iterator[tuple]:
         yield from work(held)
 
 
-SPANS = "doc_id long, print int, spans binary"
+SPANS = "doc_id long, lost boolean, print int, spans binary"
 SPAN = np.dtype([("start", "<u4"), ("size", "<u4"), ("kind", "u1")])
 
 
-#: Bytes kept of the q-gram's, the segment's and the neighbours' identifiers in rounds one and two; of the windows' in three.
-ROUND_ONE, ROUND_THREE = (5, 6, 2), (0, 8, 4)
+#: Bytes kept in rounds one and two of the q-gram's identifier, the segment's first, and its second (four) with one each
+#: of its neighbours'; in round three of the windows'.
+ROUND_ONE, ROUND_THREE = (4, 8, 6), (0, 8, 4)
 REMOVED, OPEN = 1, 2
 
 
-def _spans(doc, prints, start, stop, kind) -> tuple:
-    out = np.zeros(len(doc), SPAN)
+def _spans(text: tuple, k: np.ndarray, start, stop, kind) -> tuple:
+    out = np.zeros(len(k), SPAN)
     out["start"], out["size"], out["kind"] = start, stop - start, kind
-    return doc, prints, out
+    return *(c[k] for c in text), out
 
 
 def _by_text(found: Iterator[tuple], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -234,12 +260,13 @@ def _by_text(found: Iterator[tuple], limit: int = 1 << 20) -> Iterator[pa.Record
 
 
 def _text_rows(held: list[tuple]) -> pa.RecordBatch:
-    doc, prints, spans = (np.concatenate(c) for c in zip(*held))
-    order = np.lexsort((spans["start"], prints, doc))
-    doc, prints, spans = doc[order], prints[order], spans[order]
-    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (prints[1:] != prints[:-1])]))
-    rows = [spans[a:b].tobytes() for a, b in zip(first, [*first[1:], len(doc)])]
-    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(prints[first].astype(np.int32)), pa.array(rows, pa.binary())], names=["doc_id", "print", "spans"])
+    *text, spans = (np.concatenate(c) for c in zip(*held))
+    order = np.lexsort((spans["start"], *reversed(text)))
+    text, spans = [c[order] for c in text], spans[order]
+    first = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in text], axis=0)]))
+    rows = [spans[a:b].tobytes() for a, b in zip(first, [*first[1:], len(spans)])]
+    doc, lost, prints = (c[first] for c in text)
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lost), pa.array(prints.astype(np.int32)), pa.array(rows, pa.binary())], names=[*KEYS, "spans"])
 
 
 def _read_spans(lists: list[bytes] | None) -> np.ndarray:
@@ -263,18 +290,19 @@ def _smallest(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shared(mask: np.ndarray, whole: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+def _shared(mask: np.ndarray, whole: tuple, *keys: np.ndarray) -> np.ndarray:
     """Among entries of the mask: whether equal keys come with different segments."""
     out = np.zeros(len(mask), bool)
     k = np.flatnonzero(mask)
     if not len(k):
         return out
-    order = k[np.lexsort((whole[k], *[x[k] for x in keys]))]
+    order = k[np.lexsort((*[x[k] for x in whole], *[x[k] for x in keys]))]
     same = np.ones(len(order) - 1, bool)
     for x in keys:
         same &= x[order][1:] == x[order][:-1]
     group = np.concatenate([[0], np.cumsum(~same)])
-    differs = np.bincount(group[1:], same & (whole[order][1:] != whole[order][:-1]), group[-1] + 1) > 0
+    other = np.any([x[order][1:] != x[order][:-1] for x in whole], axis=0)
+    differs = np.bincount(group[1:], same & other, group[-1] + 1) > 0
     out[order] = differs[group]
     return out
 
@@ -282,19 +310,20 @@ def _shared(mask: np.ndarray, whole: np.ndarray, *keys: np.ndarray) -> np.ndarra
 def _round_one(p: SubstringParams, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for batch in batches for piece in tokens.pieces(batch, limit=p.slice_bytes)):
-            ids, prints = _columns(batch)
+            ids, lost, prints = _columns(batch)
             s = positions(batch.column("text").cast(pa.binary()).to_pylist(), p)
-            key, whole, before, after = _keys(s, p)
-            key, whole = key >> U(24), whole >> U(16)
-            beside = (before >> U(56) << U(8)) | (after >> U(56))
-            stays = ids[s.owner] <= _smallest(ids[s.owner], whole, key)  # merged within the slice: others are removed here
-            part = (key % U(ranges)).astype(np.int64)
+            key, whole, more, before, after = _keys(s, p)
+            rank = _rank(ids, lost)[s.owner]
+            stays = rank <= _smallest(rank, whole, more, key)  # merged within the slice: others are removed here
+            b = (more >> U(32) << U(16)) | (before >> U(56) << U(8)) | (after >> U(56))
+            part = ((key & U(0xFFFFFFFF)) % U(ranges)).astype(np.int64)
+            key = key >> U(32)
             first, at = s.first - s.starts[s.owner], s.at - s.first
             k = np.flatnonzero(stays)
-            yield from _pack(ids, prints, part[k], s.owner[k], first[k], at[k], s.count[k], key[k], whole[k], beside[k], ROUND_ONE)
+            yield from _pack(ids, lost, prints, part[k], s.owner[k], first[k], at[k], s.count[k], key[k], whole[k], b[k], ROUND_ONE)
             # known spans ride along under a negative range
             k = np.flatnonzero(~stays)
-            yield from _pack(ids, prints, -1 - part[k], s.owner[k], first[k], at[k], s.count[k], key[k], whole[k], beside[k], (0, 0, 0))
+            yield from _pack(ids, lost, prints, -1 - part[k], s.owner[k], first[k], at[k], s.count[k], key[k], whole[k], b[k], (0, 0, 0))
 
     return run
 
@@ -302,22 +331,24 @@ def _round_one(p: SubstringParams, ranges: int):
 def _round_two(p: SubstringParams):
     def work(rows: list[dict]) -> Iterator[tuple]:
         known = rows[0]["p"] < 0
-        doc, prints, first, offset, count, key, whole, beside = _unpack(rows, (0, 0, 0) if known else ROUND_ONE)
-        removed = np.ones(len(doc), bool) if known else doc > _smallest(doc, whole, key)
+        text, first, offset, count, key, whole, b = _unpack(rows, (0, 0, 0) if known else ROUND_ONE)
+        whole = (whole, b >> U(16))
+        rank = _rank(*text[:2])
+        removed = np.ones(len(rank), bool) if known else rank > _smallest(rank, *whole, key)
         k = np.flatnonzero(removed)
-        yield _spans(doc[k], prints[k], first[k], first[k] + count[k] + p.length - 1, np.full(len(k), REMOVED))
+        yield _spans(text, k, first[k], first[k] + count[k] + p.length - 1, REMOVED)
         if known:
             return
         # the smallest ones of different segments in a bucket may still share windows
         rest = ~removed
         low = offset - count + 1  # the q-gram's offset in the last window; it falls by one a window
-        left = _shared(rest & (offset >= p.beside), whole, key, beside >> U(8))
-        right = _shared(rest & (low <= p.length - p.gram - p.beside), whole, key, beside & U(0xFF))
+        left = _shared(rest & (offset >= p.beside), whole, key, (b >> U(8)) & U(0xFF))
+        right = _shared(rest & (low <= p.length - p.gram - p.beside), whole, key, b & U(0xFF))
         k = np.flatnonzero(left | right)
         # windows whose q-gram stands at `beside` or later hold the bytes before it, the others those after
         until = np.where(right, count, np.minimum(count, offset - p.beside + 1))[k]
         since = np.where(left, 0, np.maximum(0, offset - (p.length - p.gram - p.beside)))[k]
-        yield _spans(doc[k], prints[k], first[k] + since, first[k] + until, np.full(len(k), OPEN))
+        yield _spans(text, k, first[k] + since, first[k] + until, OPEN)
 
     return lambda batches: _by_text(_by_range(batches, work))
 
@@ -342,7 +373,7 @@ def _kept(text: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[int, int, s
     return len(text) - len(kept), len(start), hashlib.sha256(kept).hexdigest()
 
 
-DONE = "doc_id long, print int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, body binary, spans binary, open binary"
+DONE = "doc_id long, lost boolean, print int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, body binary, spans binary, open binary"
 
 
 def _settle(p: SubstringParams):
@@ -351,7 +382,7 @@ def _settle(p: SubstringParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for batch in batches for piece in tokens.pieces(batch, "body", p.slice_bytes)):
             out = []
-            for doc, mark, size, body, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "print", "n_bytes", "body", "spans"))):
+            for *text, size, body, spans in zip(*(batch.column(c).to_pylist() for c in (*KEYS, "n_bytes", "body", "spans"))):
                 data = _opened(body, size)
                 got = _read_spans(spans)
                 sure = got[:, 2] == REMOVED
@@ -359,49 +390,52 @@ def _settle(p: SubstringParams):
                 known = np.stack([start, stop], 1)
                 wait = got[~sure, :2]
                 removed, n, digest = _kept(data, start, stop) if not len(wait) else (None, None, None)
-                out.append((doc, mark, len(data), removed, n, digest, body if len(wait) else None, known.astype("<i4").tobytes(), wait.astype("<i4").tobytes()))
-            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.string(), *[pa.binary()] * 3]
+                out.append((*text, len(data), removed, n, digest, body if len(wait) else None, known.astype("<i4").tobytes(), wait.astype("<i4").tobytes()))
+            kinds = [pa.int64(), pa.bool_(), pa.int32(), *[pa.int64()] * 3, pa.string(), *[pa.binary()] * 3]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[c.split()[0] for c in DONE.split(", ")])
 
     return run
 
 
 def _windows(p: SubstringParams, ranges: int):
-    """Round three: the undecided windows of every text, dealt by their q-gram bucket."""
+    """Round three: the undecided windows of every text, dealt by their identifiers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for batch in batches for piece in tokens.pieces(batch, "body", p.slice_bytes // 4)):
-            ids, prints = _columns(batch)
+            ids, lost, prints = _columns(batch)
             texts = [_opened(b, n) for b, n in zip(batch.column("body").to_pylist(), batch.column("n_bytes").to_pylist())]
-            s = positions(texts, p)
+            i32 = identifiers(np.frombuffer(b"".join(texts), np.uint8))
+            starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
             open_ = [np.frombuffer(b, "<i4").reshape(-1, 2) for b in batch.column("open").to_pylist()]
             doc = np.repeat(np.arange(len(texts)), [len(o) for o in open_])
             o = np.concatenate(open_).astype(np.int64)
             size = o[:, 1] - o[:, 0]
-            at = np.repeat(o[:, 0] + s.starts[doc] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            at = np.repeat(o[:, 0] + starts[doc] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
             doc = np.repeat(doc, size)
-            key = s.ids[p.gram][s.at[np.searchsorted(s.first, at, side="right") - 1]]
-            x, y = s.ids[32][at], s.ids[32][at + p.length - 32]
-            a = tokens.mixed(x * tokens.BASE + y)
-            b = tokens.mixed(y * tokens.MIX + x) >> U(32)
-            part = ((key >> U(16)) % U(ranges)).astype(np.int64)
-            none = np.zeros(len(at), np.int64)
-            yield from _pack(ids, prints, part, doc, at - s.starts[doc], none, none, key, a, b, ROUND_THREE)
+            a = tokens.mixed(i32["a32"][at] * tokens.BASE + i32["a32"][at + p.length - 32])
+            b = tokens.mixed(i32["b32"][at] * tokens.BASE + i32["b32"][at + p.length - 32]) >> U(32)
+            part = ((a >> U(16)) % U(ranges)).astype(np.int64)
+            at, none = at - starts[doc], np.zeros(len(at), np.int64)
+            rank = _rank(ids, lost)[doc]
+            stays = rank <= _smallest(rank, a, b)  # merged within the slice
+            for k, p_of, sizes in ((np.flatnonzero(stays), part, ROUND_THREE), (np.flatnonzero(~stays), -1 - part, (0, 0, 0))):
+                yield from _pack(ids, lost, prints, p_of[k], doc[k], at[k], none[k], none[k], a[k], a[k], b[k], sizes)
 
     return run
 
 
 def _round_three(p: SubstringParams):
     def work(rows: list[dict]) -> Iterator[tuple]:
-        doc, prints, at, _, _, _, a, b = _unpack(rows, ROUND_THREE)
-        k = np.flatnonzero(doc > _smallest(doc, a, b))
-        k = k[np.lexsort((at[k], prints[k], doc[k]))]
-        d, f, at = doc[k], prints[k], at[k]
+        known = rows[0]["p"] < 0
+        text, at, _, _, _, a, b = _unpack(rows, (0, 0, 0) if known else ROUND_THREE)
+        rank = _rank(*text[:2])
+        k = np.arange(len(at)) if known else np.flatnonzero(rank > _smallest(rank, a, b))
+        k = k[np.lexsort((at[k], *(c[k] for c in reversed(text))))]
         new = np.ones(len(k), bool)
-        new[1:] = (d[1:] != d[:-1]) | (f[1:] != f[:-1]) | (at[1:] > at[:-1] + 1)
+        new[1:] = np.any([c[k][1:] != c[k][:-1] for c in text], axis=0) | (at[k][1:] > at[k][:-1] + 1)
         i = np.flatnonzero(new)
         last = np.append(i[1:], len(k)) - 1
-        yield _spans(d[i], f[i], at[i], at[last] + p.length if len(k) else at[i], np.full(len(i), REMOVED))
+        yield _spans(text, k[i], at[k[i]], at[k[last]] + p.length if len(k) else at[k[i]], REMOVED)
 
     return lambda batches: _by_text(_by_range(batches, work))
 
@@ -410,11 +444,11 @@ def _final(p: SubstringParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for batch in batches for piece in tokens.pieces(batch, "body", p.slice_bytes)):
             out = []
-            for doc, n, body, known, more in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "body", "spans", "more"))):
+            for doc, lost, n, body, known, more in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lost", "n_bytes", "body", "spans", "more"))):
                 spans = np.concatenate([np.frombuffer(known, "<i4").reshape(-1, 2).astype(np.int64), _read_spans(more)[:, :2]])
-                out.append((doc, n, *_kept(_opened(body, n), *_merged(spans[:, 0], spans[:, 1]))))
-            kinds = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                out.append((doc, lost, n, *_kept(_opened(body, n), *_merged(spans[:, 0], spans[:, 1]))))
+            kinds = [pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["doc_id", "lost", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return run
 
@@ -425,23 +459,26 @@ def repeated(docs: DataFrame, p: SubstringParams = SubstringParams()) -> DataFra
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = partitions * p.ranges
     text = F.coalesce("text", F.lit(""))
-    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), text.alias("text"), F.hash(text, F.length(text)).alias("print"))
+    number = F.col("doc_id").cast("long")
+    named = docs.select(
+        F.coalesce(number, F.xxhash64(text)).alias("doc_id"), number.isNull().alias("lost"), F.hash(text, F.length(text)).alias("print"), text.alias("text")
+    )
 
     def dealt(df: DataFrame) -> DataFrame:
         return df.repartition(partitions, "p").sortWithinPartitions("p")
 
     spans = dealt(named.mapInArrow(_round_one(p, ranges), PACKED)).mapInArrow(_round_two(p), SPANS)
-    lists = spans.groupBy("doc_id", "print").agg(F.collect_list("spans").alias("spans"))
-    bodies = named.mapInArrow(_bodies, "doc_id long, print int, n_bytes long, body binary")
-    met = bodies.join(lists.hint("merge"), ["doc_id", "print"], "left").select("doc_id", "print", "n_bytes", "body", "spans")
+    lists = spans.groupBy(*KEYS).agg(F.collect_list("spans").alias("spans"))
+    bodies = named.mapInArrow(_bodies, "doc_id long, lost boolean, print int, n_bytes long, body binary")
+    met = bodies.join(lists.hint("merge"), KEYS, "left").select(*KEYS, "n_bytes", "body", "spans")
     settled = stored(met.mapInArrow(_settle(p), DONE))
     del spans, lists, met
     release(spark)  # the shuffles of rounds one and two have done their work
 
     waiting = settled.filter(F.col("body").isNotNull())
     more = dealt(waiting.mapInArrow(_windows(p, ranges), PACKED)).mapInArrow(_round_three(p), SPANS)
-    more = more.groupBy("doc_id", "print").agg(F.collect_list("spans").alias("more"))
-    late = waiting.join(more.hint("merge"), ["doc_id", "print"], "left").select("doc_id", "n_bytes", "body", "spans", "more")
-    late = late.mapInArrow(_final(p), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    done = settled.filter(F.col("body").isNull()).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    return done.unionByName(late).withColumn("doc_id", F.when(F.col("doc_id") < LAST, F.col("doc_id")))
+    more = more.groupBy(*KEYS).agg(F.collect_list("spans").alias("more"))
+    late = waiting.join(more.hint("merge"), KEYS, "left").select("doc_id", "lost", "n_bytes", "body", "spans", "more")
+    late = late.mapInArrow(_final(p), "doc_id long, lost boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    done = settled.filter(F.col("body").isNull()).select("doc_id", "lost", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return done.unionByName(late).withColumn("doc_id", F.when(~F.col("lost"), F.col("doc_id"))).drop("lost")
