@@ -31,8 +31,9 @@ END = "\r\n\r\n"
 REVISIT_FROM = 100
 
 
-def write(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, compression: str = "gzip") -> None:
-    """One record per row of page_id, url, html; with compression "none" the files can be split on reading."""
+def write(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, compression: str = "gzip", records_per_file: int = 50_000) -> None:
+    """One record per row of page_id, url, html; files hold `records_per_file` at most, since a compressed file is read
+    by one task; with compression "none" they can be split on reading."""
     html = F.coalesce(F.col("html"), F.lit(""))
     digest, size = F.sha2(html, 256), F.octet_length(html)
     named = pages.select("page_id", digest.alias("digest"), size.alias("size")).filter(F.col("size") >= revisit_from)
@@ -56,7 +57,7 @@ def write(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM, compres
         F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.when(revisit, F.lit("0")).otherwise(F.col("size").cast("string")),
         F.lit(END),
     )
-    rows.select(F.concat(header, F.when(revisit, F.lit("")).otherwise(F.col("html"))).alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
+    rows.select(F.concat(header, F.when(revisit, F.lit("")).otherwise(F.col("html"))).alias("value")).write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def _uuid(name: Column) -> Column:

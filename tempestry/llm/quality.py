@@ -171,10 +171,9 @@ def thresholds(sketch: DataFrame, p: QualityParams = QualityParams()) -> DataFra
     return joined.select("lang", "source", *[best[f].alias(f) for f in p.fences])
 
 
-def with_verdict(docs: DataFrame, p: QualityParams = QualityParams(), drop_text: bool = False) -> DataFrame:
-    """`docs` (without text if `drop_text`) with the counts, the fences of its group, and kept."""
-    rows = docs.select(whole_row(docs.drop("text") if drop_text else docs), "text", "lang", "source")
-    counts = stored(_counted(rows, p))
+def _judged(docs: DataFrame, p: QualityParams, own: DataFrame) -> DataFrame:
+    """row (the columns of `own`), the counts, the fences of its group, and kept."""
+    counts = stored(_counted(docs.select(whole_row(own), "text", "lang", "source"), p))
     limits = stored(thresholds(sketches(counts, p), p)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     # One row a group: broadcast up to a checked number of groups, so that texts aren't shuffled by a few hot sources;
     # beyond it, a hot source is a skewed left side, which adaptive execution splits.
@@ -188,5 +187,16 @@ def with_verdict(docs: DataFrame, p: QualityParams = QualityParams(), drop_text:
     inside = metrics["word_length"] >= F.coalesce(F.col("fence_word_length_low"), F.lit(0.0))
     for rule, value in metrics.items():
         inside = inside & F.coalesce(value <= F.col(f"fence_{rule}"), F.lit(True))
-    own = others(docs, *COUNTS, *p.fences, "kept", *(["text"] if drop_text else []))
-    return judged.select(*fields(own), *COUNTS, *p.fences, (~F.col("base_failed") & inside).alias("kept"))
+    return judged.withColumn("kept", ~F.col("base_failed") & inside)
+
+
+def with_verdict(docs: DataFrame, p: QualityParams = QualityParams(), drop_text: bool = False) -> DataFrame:
+    """`docs` (without text if `drop_text`) with the counts, the fences of its group, and kept."""
+    own = docs.drop("text") if drop_text else docs
+    made = [*COUNTS, *p.fences, "kept"]
+    return _judged(docs, p, own).select(*fields(others(own, *made)), *made)
+
+
+def passing(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
+    """The rows of `docs` that are kept, with their own columns."""
+    return _judged(docs, p, docs).filter("kept").select(*fields(docs.columns))

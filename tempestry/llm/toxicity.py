@@ -94,8 +94,8 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return np.log((n + 5 * two[None]) / (n.sum(2, keepdims=True) + 5)).astype(np.float32)
 
 
-def restore(stretch: str, model: np.ndarray) -> str:
-    """The likeliest reading of a suspicious stretch; time and memory are linear in its length."""
+def lattice(stretch: str) -> list[list[tuple[str, int, float]]]:
+    """The arcs of each written unit of a stretch: (letter, times, cost)."""
     s = stretch.lower()
     spaced = len(s) > 4 and all(not c.isalpha() for c in s[1::2]) and all(c.isalnum() for c in s[0::2])
     runs: list[tuple[str, int, int]] = []  # (character, place, length)
@@ -107,7 +107,7 @@ def restore(stretch: str, model: np.ndarray) -> str:
         runs.append((s[i], i, run))
         i += run
     doubled = len(runs) > 1 and all(run > 1 for _, _, run in runs)  # every letter of the word is repeated
-    steps: list[list[tuple[str, int, float]]] = []  # arcs of each written unit: (letter, times, cost)
+    steps: list[list[tuple[str, int, float]]] = []
     for c, i, run in runs:
         if c.isalpha():
             arcs = [(c, run, 0.0 if run < 3 else 6.0)]
@@ -126,10 +126,17 @@ def restore(stretch: str, model: np.ndarray) -> str:
         else:
             arcs = [(" ", 1, 0.0)]
         steps.append(arcs)
+    return steps
+
+
+def cheapest(steps: list[list[tuple[str, int, float]]], model: np.ndarray) -> tuple[float, str]:
+    """The cost and letters of the likeliest path through a lattice, up to the end of its word, by Viterbi over pairs of
+    letters with back-pointers; time and memory are linear in the number of steps."""
     table = codes()
+    steps = [*steps, [(" ", 1, 0.0)]]
     best = {(0, 0): 0.0}
     back: list[dict] = []  # per step: state -> (state before, arc)
-    for arcs in [*steps, [(" ", 1, 0.0)]]:
+    for arcs in steps:
         new: dict = {}
         came: dict = {}
         coded = [(k, int(table[min(ord(arc[0]), len(table) - 1)]) if arc[1] else 0, arc[1], arc[2]) for k, arc in enumerate(arcs)]
@@ -146,10 +153,16 @@ def restore(stretch: str, model: np.ndarray) -> str:
         best = new
         back.append(came)
     state, read = min(best, key=lambda x: (best[x], x)), []
-    for arcs, came in zip(reversed([*steps, [(" ", 1, 0.0)]]), reversed(back)):
+    cost = best[state]
+    for arcs, came in zip(reversed(steps), reversed(back)):
         state, k = came[state]
         read.append(arcs[k][0] * arcs[k][1])
-    return "".join(reversed(read)).strip()
+    return cost, "".join(reversed(read))
+
+
+def restore(stretch: str, model: np.ndarray) -> str:
+    """The likeliest reading of a suspicious stretch."""
+    return cheapest(lattice(stretch), model)[1].strip()
 
 
 def readings(token: str, model: np.ndarray, memo: dict) -> list[str]:
