@@ -17,7 +17,7 @@ from tempestry.llm.common import shared_dir, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and stay inside the fences of their language and source."""
-    return quality.with_verdict(docs).filter("kept").select(*docs.columns)
+    return quality.passing(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
