@@ -5,7 +5,7 @@ Seeds are windows of `min_match` tokens under a Karp-Rabin hash; an item shorter
 its tokens, looked for at its own size.
 
 1. A bitmap of the benchmark's seed hashes is shipped to the tasks and drops almost all windows of clean text.
-   It has 16 bits a seed, up to `bitmap_bits`; a larger benchmark fills it more and only more windows go on.
+   It has 64 bits a seed or more, up to `bitmap_bits`; a larger benchmark fills it more and only more windows go on.
 2. Which pairs can reach the coverage: tiles have `min_match` tokens at least, so a document that covers the share
    `coverage` of an item of n tokens holds ceil(coverage * n / min_match) of its seeds or more, and hence one
    of the rest when that many less one, those in most documents, are left aside.  Pairs come from these rarer
@@ -105,7 +105,7 @@ def _seeds(rows: DataFrame, p: TilingParams, sizes: tuple[int, ...] = (), bitmap
 def _bitmap(items: DataFrame, p: TilingParams) -> tuple[np.ndarray, int]:
     """(bits, mask) of the seeds' hashes; the driver fetches `bitmap_bits` bits at most, each segment once."""
     n = items.select("h").distinct().count()
-    size = min(p.bitmap_bits, max(SEGMENT, 1 << (16 * n).bit_length()))
+    size = min(p.bitmap_bits, max(1 << 22, 1 << (64 * n).bit_length()))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
