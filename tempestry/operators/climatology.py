@@ -39,12 +39,22 @@ def _epsilon(metric: str = "metric"):
     return F.coalesce(*[F.when(F.col(metric) == m, F.lit(e)) for m, e in METRIC_EPSILON.items()], F.lit(1.0))
 
 
+def _weighted_median(l: str) -> str:
+    """SQL of the median of array<struct<v, c>> l, sorted by v, with c the times of v; n is the sum of c."""
+    at = "aggregate({0}, struct(0L AS seen, CAST(null AS double) AS v), (a, x) -> struct(a.seen + x.c AS seen, if(a.v IS NULL AND a.seen + x.c > {1}, x.v, a.v) AS v), a -> a.v)"
+    return f"({at.format(l, '(n - 1) DIV 2')} + {at.format(l, 'n DIV 2')}) / 2"
+
+
 def robust_stats(counted: DataFrame, keys: list[str]) -> DataFrame:
-    """n, median, mad and scale per keys and metric from rows (keys, metric, v, c) that stand for c values."""
+    """n, median, mad and scale per keys and metric from rows (keys, metric, v, c) that stand for c values.
+
+    Both medians come from one list of a bucket's counted values, so the rows are shuffled once.
+    """
     keys = [*keys, "metric"]
-    middle = counted.groupBy(*keys).agg(F.sum("c").alias("n"), F.percentile("v", F.lit(0.5), F.col("c")).alias("m"))
-    spread = counted.join(middle, keys).groupBy(*keys).agg(F.first("n").alias("n"), F.first("m").alias("m"), F.percentile(F.abs(F.col("v") - F.col("m")), F.lit(0.5), F.col("c")).alias("d"))
-    return spread.select(
+    lists = counted.groupBy(*keys).agg(F.sum("c").alias("n"), F.sort_array(F.collect_list(F.struct("v", "c"))).alias("l"))
+    lists = lists.withColumn("m", F.expr(_weighted_median("l")))
+    lists = lists.withColumn("away", F.expr("sort_array(transform(l, x -> struct(abs(x.v - m) AS v, x.c AS c)))")).withColumn("d", F.expr(_weighted_median("away")))
+    return lists.select(
         *keys, F.col("n").cast("long").alias("n"), places(F.col("m")).alias("median"), places(F.col("d")).alias("mad"),
         places(F.greatest(SIGMA * F.col("d"), _epsilon())).alias("scale"),
     )
@@ -90,7 +100,7 @@ def rolling_accumulations(readings: DataFrame, p: Profile = Profile()) -> DataFr
 
 def residuals(vals: DataFrame, level_stats: DataFrame, keys: list[str]) -> DataFrame:
     """(metric, v): distance from the rounded median in rounded scales of the value's own bucket."""
-    joined = vals.join(level_stats, ["station", *keys, "metric"])
+    joined = vals.join(level_stats.hint("merge"), ["station", *keys, "metric"])
     return joined.select("metric", ((F.col("v") - F.col("median")) / F.greatest("scale", _epsilon())).alias("v"))
 
 
@@ -124,7 +134,7 @@ def lookup(readings: DataFrame, levels: dict[str, DataFrame], metrics, p: Profil
             table = table.filter(F.col("n") >= p.min_bucket_n)
         keys = ["station", *LEVELS[level]]
         packed = [F.max(F.when(F.col("metric") == m, F.struct("median", "scale", "n", F.lit(level).alias("bucket")))).alias(f"_{level}_{m}") for m in metrics]
-        readings = readings.join(table.groupBy(*keys).agg(*packed), keys, "left")
+        readings = readings.join(table.groupBy(*keys).agg(*packed).hint("merge"), keys, "left")
     best = {m: F.coalesce(*[F.col(f"_{level}_{m}") for level in order]) for m in metrics}
     readings = readings.withColumns({f"{m}_{part}": best[m][part] for m in metrics for part in ("median", "scale", "n", "bucket")})
     return readings.drop(*[f"_{level}_{m}" for level in order for m in metrics])

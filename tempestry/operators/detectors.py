@@ -1,10 +1,12 @@
 """The ten detectors: features in, candidates out, one schema for all.
 
-A detector is a function (features, Profile) -> candidates; `detect` runs an ordered tuple of them.
+A detector is a function (features, Profile) -> candidates; `detect` runs an ordered tuple of them.  The ten built-in
+ones are rules, columns that are a candidate or null, so any number of them takes one pass over the features.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -49,79 +51,144 @@ def gates(threshold: DataFrame, tail: DataFrame) -> dict:
     return out
 
 
-def _candidates(df: DataFrame, kind: str, metric: Column, strength: Column, confidence: Column, inputs: dict, signals: dict, supporting: Column | None = None) -> DataFrame:
+# The sentences of the headlines.
+HEADLINES = {
+    "temperature_shock": "{station} saw a {direction} temperature shock: {value}C is {z} sigma from the local-hour baseline and changed {delta}C in {hours}h.",
+    "pressure_plunge": "{station} shows storm-onset signals: {metric} fell {fall} hPa in {hours}h while {wind_metric} rose {rise} km/h.",
+    "spell": "{station} is in a {tail} temperature spell: {value}C is {z} sigma from the local-hour baseline.",
+    "heavy_rain_burst": "{station} has a heavy rain burst: {amount} mm this hour and {total} mm over {hours}h exceeds the wet-hour threshold of {gate} mm.",
+    "wind_gust_burst": "{station} has an unusual gust burst: {value} km/h is {z} sigma above the local-hour baseline.",
+    "heat_stress": "{station} has heat stress conditions: Humidex {humidex} from {temperature}C air and {dew}C dew point.",
+    "cold_stress": "{station} has cold stress conditions: wind chill {chill}C with {temperature}C air and {wind} km/h wind.",
+    "forecast_bust": "{station}'s {metric} missed the stored forecast by {error}, {norm}x the recent global MAE.",
+    "spatial_anomaly": "{station}'s {metric} anomaly differs from peers by {gap} sigma in climatology-normalized space.",
+}
+
+
+def one(x: Column) -> Column:
+    """A number to one place, as text."""
+    return climatology.places(x.cast("double"), 1).cast("string")
+
+
+def _headline(kind: str, **parts: Column) -> Column:
+    out, parts = [], {"station": F.col("station"), **parts}
+    for text, name, *_ in string.Formatter().parse(HEADLINES[kind]):
+        out += [F.lit(text)] + ([parts[name]] if name else [])
+    return F.concat(*out)
+
+
+class Detector:
+    """A built-in detector from its rules: a function Profile -> list of candidate columns, null where nothing fires."""
+
+    def __init__(self, rules: Callable[[Profile], list[Column]]):
+        self.rules, self.__name__, self.__doc__ = rules, rules.__name__, rules.__doc__
+
+    def __call__(self, df: DataFrame, p: Profile = Profile()) -> DataFrame:
+        return _fired(df, self.rules(p))
+
+
+def _fired(df: DataFrame, rules: list[Column]) -> DataFrame:
+    return df.select("station", "t", "id", F.explode(F.array_compact(F.array(*rules))).alias("c")).select("station", "t", "id", "c.*")
+
+
+def _candidate(p: Profile, fired: Column, kind: str, metric: Column, strength: Column, confidence: Column, inputs: dict, signals: dict, headline: Column, notes: dict | None = None, supporting: Column | None = None) -> Column:
     score = S.priority_score(**inputs, confidence=confidence)
     named = [x for n, c in signals.items() for x in (F.lit(n), climatology.places(c.cast("double"), 3))]
-    ids = F.array_compact(F.array(F.col("id"), supporting if supporting is not None else F.lit(None).cast("long")))
-    return df.select(
-        "station", "t", "id", F.lit(kind).alias("detector"), F.lit(DETECTORS.index(kind) if kind in DETECTORS else len(DETECTORS)).alias("detector_order"),
+    texts = [x for n, c in (notes or {"detector": F.lit(kind)}).items() for x in (F.lit(n), c)]
+    ids = F.array(F.col("id")) if supporting is None else F.array_compact(F.concat(F.array(F.col("id")), supporting))
+    row = F.struct(
+        F.lit(kind).alias("detector"), F.lit(DETECTORS.index(kind)).alias("detector_order"),
         metric.alias("metric"), climatology.places(strength, 3).alias("strength"), score.alias("score"), S.severity(score).alias("severity"),
-        F.round(S.clamp01(confidence), 3).alias("confidence"), F.create_map(*named).alias("signals"), ids.alias("supporting_ids"),
+        F.round(S.clamp01(confidence), 3).alias("confidence"), F.create_map(*named).alias("signals"), F.create_map(*texts).alias("notes"), headline.alias("reason"), ids.alias("supporting_ids"),
         S.dedupe_key(F.col("station"), F.lit(kind), metric).alias("dedupe_key"),
     )
-
-
-def _ready(df: DataFrame, p: Profile) -> DataFrame:
-    return df.filter(F.col("history_n") >= p.min_history)
+    return F.when((F.col("history_n") >= p.min_history) & fired, row)
 
 
 def _gate(p: Profile, metric: str, side: str, fallback: float) -> Column:
     return F.coalesce(F.col(f"gate_{metric}_{side}"), F.lit(fallback)) if p.quantile_gates else F.lit(fallback)
 
 
+def _source(p: Profile, metric: str, side: str) -> Column:
+    known = F.col(f"gate_{metric}_{side}").isNotNull() if p.quantile_gates else F.lit(False)
+    return F.when(known, "quantile").otherwise("fixed")
+
+
 def _rarity(p: Profile, name: str, x: Column) -> Column:
     return S.rarity(F.col(name), x, F.abs(x) / 4) if p.surprisal else S.clamp01(F.abs(x) / 4)
 
 
-def temperature_shock(df: DataFrame, p: Profile = Profile()) -> DataFrame:
+@Detector
+def temperature_shock(p):
     z, delta = F.col("temperature_2m_z"), F.col("temperature_2m_delta")
     up = z >= 0
     gate = F.abs(F.when(up, _gate(p, "temperature_2m", "upper", p.shock_z)).otherwise(_gate(p, "temperature_2m", "lower", -p.shock_z)))
-    fired = _ready(df, p).filter((F.abs(z) >= gate) & (F.abs(delta) >= p.shock_delta_c))
     tail = F.when(up, _rarity(p, "temperature_2m_upper", z)).otherwise(_rarity(p, "temperature_2m_lower", z))
+    direction = F.when(delta > 0, "warming").otherwise("cooling")
     inputs = {"rarity": tail, "magnitude": F.abs(delta) / p.shock_anchor_c, "compound": F.lit(0.5)}
-    signals = {"value": F.col("temperature_2m"), "z_score": F.abs(z), "signed_z_score": z, "threshold_z": gate, "delta_c": delta}
-    return _candidates(fired, "temperature_shock", F.lit("temperature_2m"), F.abs(z), F.col("temperature_2m_conf"), inputs, signals, F.col("temperature_2m_delta_id"))
-
-
-def pressure_plunge(df: DataFrame, p: Profile = Profile()) -> DataFrame:
+    signals = {
+        "value": F.col("temperature_2m"), "median": F.col("temperature_2m_median"), "scale": F.col("temperature_2m_scale"), "z_score": F.abs(z), "signed_z_score": z,
+        "threshold_z": gate, "delta_c": delta, "delta_hours": F.lit(p.delta_hours), "baseline_n": F.col("temperature_2m_n"),
+    }
+    headline = _headline("temperature_shock", direction=direction, value=one(F.col("temperature_2m")), z=one(F.abs(z)), delta=F.concat(F.when(delta >= 0, "+").otherwise(""), one(delta)), hours=F.lit(str(p.delta_hours)))
+    notes = {"threshold_source": F.when(up, _source(p, "temperature_2m", "upper")).otherwise(_source(p, "temperature_2m", "lower")), "direction": direction, "baseline_bucket": F.col("temperature_2m_bucket")}
+    fired = (F.abs(z) >= gate) & (F.abs(delta) >= p.shock_delta_c)
+    return [_candidate(p, fired, "temperature_shock", F.lit("temperature_2m"), F.abs(z), F.col("temperature_2m_conf"), inputs, signals, headline, notes, F.array("temperature_2m_delta_id"))]
+
+
+@Detector
+def pressure_plunge(p):
     fall = -F.col("pressure_delta")
     required = F.greatest(F.lit(p.fall_hpa), F.abs(F.least(F.lit(0.0), F.col("p05_delta"))))
     gusts = F.col("wind_gusts_10m_delta").isNotNull()
     rise = F.when(gusts, F.col("wind_gusts_10m_delta")).otherwise(F.col("wind_speed_10m_delta"))
     wind = F.when(gusts, F.col("wind_gusts_10m")).when(F.col("wind_speed_10m_delta").isNotNull(), F.col("wind_speed_10m"))
+    wind_metric = F.when(gusts, "wind_gusts_10m").otherwise("wind_speed_10m")
     confirmed = (rise >= p.wind_rise_kmh) | (wind >= p.confirming_gust_kmh)
-    fired = _ready(df, p).filter((fall > 0) & (F.col("n_deltas") >= 6) & (fall >= required) & confirmed)
     metric = F.when(F.col("pressure_msl").isNotNull(), "pressure_msl").otherwise("surface_pressure")
     inputs = {"rarity": fall / required, "magnitude": fall / p.fall_anchor_hpa, "compound": F.lit(1.0)}
-    signals = {"pressure_fall_hpa": fall, "difference": fall, "required_fall_hpa": required, "wind_rise_kmh": rise, "current_wind_kmh": wind}
-    return _candidates(fired, "pressure_plunge", metric, fall, F.lit(1.0), inputs, signals, F.col("pressure_delta_id"))
+    signals = {
+        "pressure_fall_hpa": fall, "difference": fall, "pressure_delta_hpa": F.col("pressure_delta"), "delta_hours": F.lit(p.delta_hours), "p05_delta_hpa": F.col("p05_delta"),
+        "required_fall_hpa": required, "wind_rise_kmh": rise, "current_wind_kmh": wind,
+    }
+    headline = _headline("pressure_plunge", metric=metric, fall=one(fall), hours=F.lit(str(p.delta_hours)), wind_metric=wind_metric, rise=one(rise))
+    fired = (fall > 0) & (F.col("n_deltas") >= 6) & (fall >= required) & confirmed
+    return [_candidate(p, fired, "pressure_plunge", metric, fall, F.lit(1.0), inputs, signals, headline, {"wind_metric": wind_metric}, F.array("pressure_delta_id"))]
 
 
-def _spell(df: DataFrame, p: Profile, kind: str, side: str) -> DataFrame:
+def _spell(p: Profile, kind: str, side: str) -> list[Column]:
     z = F.col("temperature_2m_z")
     gate = _gate(p, "temperature_2m", side, p.spell_z if side == "upper" else -p.spell_z)
-    fired = _ready(df, p).filter(z >= gate if side == "upper" else z <= gate)
     away = F.abs(F.col("temperature_2m") - F.col("temperature_2m_median"))
     magnitude = away / p.spell_anchor_c if p.surprisal else F.abs(z) / 6
+    tail = "warm" if side == "upper" else "cold"
     inputs = {"rarity": _rarity(p, f"temperature_2m_{side}", z), "magnitude": magnitude, "persistence": F.abs(z) / 4}
-    signals = {"value": F.col("temperature_2m"), "departure_c": away, "z_score": F.abs(z), "signed_z_score": z, "threshold_z": F.abs(gate)}
-    return _candidates(fired, kind, F.lit("temperature_2m"), F.abs(z), F.col("temperature_2m_conf"), inputs, signals)
+    signals = {
+        "value": F.col("temperature_2m"), "median": F.col("temperature_2m_median"), "departure_c": away, "z_score": F.abs(z), "signed_z_score": z, "threshold_z": F.abs(gate),
+        "signed_threshold_z": gate, "baseline_n": F.col("temperature_2m_n"),
+    }
+    headline = _headline("spell", tail=F.lit(tail), value=one(F.col("temperature_2m")), z=one(F.abs(z)))
+    notes = {"threshold_source": _source(p, "temperature_2m", side), "tail": F.lit(tail), "baseline_bucket": F.col("temperature_2m_bucket")}
+    fired = z >= gate if side == "upper" else z <= gate
+    return [_candidate(p, fired, kind, F.lit("temperature_2m"), F.abs(z), F.col("temperature_2m_conf"), inputs, signals, headline, notes)]
 
 
-def warm_spell(df: DataFrame, p: Profile = Profile()) -> DataFrame:
-    return _spell(df, p, "warm_spell", "upper")
+@Detector
+def warm_spell(p):
+    return _spell(p, "warm_spell", "upper")
 
 
-def cold_spell(df: DataFrame, p: Profile = Profile()) -> DataFrame:
-    return _spell(df, p, "cold_spell", "lower")
+@Detector
+def cold_spell(p):
+    return _spell(p, "cold_spell", "lower")
 
 
-def heavy_rain_burst(df: DataFrame, p: Profile = Profile()) -> DataFrame:
+@Detector
+def heavy_rain_burst(p):
     amount, total = F.coalesce("precipitation", F.lit(0.0)), F.col("accumulation_6h")
-    hour_gate = F.greatest(F.col("wet_p995") if p.quantile_gates else F.lit(p.rain_mm), F.lit(p.rain_mm))
+    quantile = F.col("wet_p995") if p.quantile_gates else F.lit(None).cast("double")
+    hour_gate = F.greatest(quantile, F.lit(p.rain_mm))
     total_gate = F.greatest(hour_gate, F.lit(p.rain_6h_mm))
-    fired = _ready(df, p).filter((amount >= p.wet_mm) & ((amount >= hour_gate) | (total >= total_gate)))
     by_total = total >= total_gate
     if p.surprisal:
         rarity = F.greatest(S.rarity(F.col("rain_upper"), amount, F.lit(1.0)), S.rarity(F.col("rain_6h_upper"), total, F.lit(1.0)))
@@ -129,53 +196,66 @@ def heavy_rain_burst(df: DataFrame, p: Profile = Profile()) -> DataFrame:
     else:
         rarity, magnitude = F.lit(1.0), F.greatest(amount, total) / 20
     inputs = {"rarity": rarity, "magnitude": magnitude, "persistence": total / 15, "compound": F.when(by_total, 1.0).otherwise(0.5)}
-    trigger = F.when((amount >= hour_gate) & by_total, 3).when(by_total, 2).otherwise(1)
-    signals = {"amount_mm": amount, "accumulation_mm": total, "difference": F.greatest(amount, total), "threshold_mm": hour_gate, "trigger": trigger}
-    return _candidates(fired, "heavy_rain_burst", F.lit("precipitation"), F.greatest(amount, total), F.lit(0.8), inputs, signals)
-
-
-def wind_gust_burst(df: DataFrame, p: Profile = Profile()) -> DataFrame:
+    trigger = F.when(amount >= hour_gate, "hourly").otherwise("accumulation")
+    signals = {
+        "amount_mm": amount, "accumulation_mm": total, "difference": F.greatest(amount, total), "wet_hour_quantile_mm": quantile, "absolute_hazard_floor_mm": F.lit(p.rain_mm),
+        "threshold_mm": hour_gate, "accumulation_hours": F.lit(6), "accumulation_threshold_mm": total_gate,
+    }
+    headline = _headline("heavy_rain_burst", amount=one(amount), total=one(total), hours=F.lit("6"), gate=one(hour_gate))
+    notes = {"threshold_source": F.when(quantile.isNotNull(), "quantile").otherwise("fixed"), "trigger": trigger}
+    fired = (amount >= p.wet_mm) & ((amount >= hour_gate) | by_total)
+    return [_candidate(p, fired, "heavy_rain_burst", F.lit("precipitation"), F.greatest(amount, total), F.lit(0.8), inputs, signals, headline, notes)]
+
+
+@Detector
+def wind_gust_burst(p):
     z, gust = F.col("wind_gusts_10m_z"), F.col("wind_gusts_10m")
     gate = _gate(p, "wind_gusts_10m", "upper", p.gust_z)
     high = F.greatest(z, F.lit(0.0))
-    fired = _ready(df, p).filter(z.isNotNull() & ((z >= gate) | (gust >= p.gust_kmh)))
     inputs = {"rarity": _rarity(p, "wind_gusts_10m_upper", high), "magnitude": gust / p.gust_kmh}
-    return _candidates(fired, "wind_gust_burst", F.lit("wind_gusts_10m"), high, F.col("wind_gusts_10m_conf"), inputs, {"z_score": high, "gust_kmh": gust, "threshold_z": gate})
-
-
-def heat_stress(df: DataFrame, p: Profile = Profile()) -> DataFrame:
-    h, z = S.humidex(F.col("temperature_2m"), F.col("dew_point_2m")), F.col("temperature_2m_z")
-    high = F.greatest(z, F.lit(0.0))
-    fired = _ready(df, p).filter(h >= p.humidex)
+    signals = {"value": gust, "median": F.col("wind_gusts_10m_median"), "z_score": high, "threshold_z": gate, "gust_kmh": gust, "anchor_kmh": F.lit(p.gust_kmh), "baseline_n": F.col("wind_gusts_10m_n")}
+    headline = _headline("wind_gust_burst", value=one(gust), z=one(z))
+    notes = {"threshold_source": _source(p, "wind_gusts_10m", "upper"), "baseline_bucket": F.col("wind_gusts_10m_bucket")}
+    fired = z.isNotNull() & ((z >= gate) | (gust >= p.gust_kmh))
+    return [_candidate(p, fired, "wind_gust_burst", F.lit("wind_gusts_10m"), high, F.col("wind_gusts_10m_conf"), inputs, signals, headline, notes)]
+
+
+@Detector
+def heat_stress(p):
+    t, dew, z = F.col("temperature_2m"), F.col("dew_point_2m"), F.col("temperature_2m_z")
+    h = S.humidex(t, dew)
+    high = F.when(z.isNotNull(), F.greatest(z, F.lit(0.0)))
     inputs = {"rarity": F.when(z.isNotNull(), _rarity(p, "temperature_2m_upper", high)).otherwise(0.0), "magnitude": (h - p.humidex) / 2, "compound": F.lit(1.0), "persistence": F.lit(0.5)}
-    strength = F.when(z.isNotNull(), high).otherwise(h - p.humidex)
-    return _candidates(fired, "heat_stress", F.lit("humidex"), strength, F.col("temperature_2m_conf"), inputs, {"humidex": h, "gap": h - p.humidex, "z_score": high})
+    signals = {"humidex": h, "gap": h - p.humidex, "temperature_2m": t, "dew_point_2m": dew, "z_score": high}
+    headline = _headline("heat_stress", humidex=one(h), temperature=one(t), dew=one(dew))
+    return [_candidate(p, h >= p.humidex, "heat_stress", F.lit("humidex"), F.coalesce(high, h - p.humidex), F.col("temperature_2m_conf"), inputs, signals, headline, {"baseline_bucket": F.col("temperature_2m_bucket")})]
 
 
-def cold_stress(df: DataFrame, p: Profile = Profile()) -> DataFrame:
-    c, z = S.wind_chill(F.col("temperature_2m"), F.col("wind_speed_10m")), F.col("temperature_2m_z")
-    fired = _ready(df, p).filter(c <= p.wind_chill)
+@Detector
+def cold_stress(p):
+    t, wind, z = F.col("temperature_2m"), F.col("wind_speed_10m"), F.col("temperature_2m_z")
+    c = S.wind_chill(t, wind)
     strength = F.coalesce(F.abs(z), F.lit(0.0))
     rare = F.when(z.isNotNull(), _rarity(p, "temperature_2m_lower", F.least(z, F.lit(0.0)))).otherwise(0.0)
     inputs = {"rarity": rare, "magnitude": (p.wind_chill - c) / 10, "compound": F.lit(1.0), "persistence": F.lit(0.5)}
-    return _candidates(fired, "cold_stress", F.lit("wind_chill"), strength, F.col("temperature_2m_conf"), inputs, {"wind_chill": c, "gap": p.wind_chill - c, "z_score": strength})
-
-
-def forecast_bust(df: DataFrame, p: Profile = Profile()) -> DataFrame:
-    """Needs fcst_<metric>, lead_hours, <metric>_mae and <metric>_pairs; a row per metric."""
-    each = F.array(
-        *[
-            F.struct(F.lit(m).alias("m"), F.col(m).alias("observed"), F.col(f"fcst_{m}").alias("forecast"), F.col(f"{m}_mae").alias("mae"), F.col(f"{m}_pairs").alias("pairs"), F.lit(anchor).alias("anchor"))
-            for m, (_, anchor) in FORECAST_METRICS.items()
-        ]
-    )
-    rows = _ready(df, p).withColumn("x", F.explode(each))
-    error = F.abs(F.col("x.observed") - F.col("x.forecast"))
-    norm = error / F.col("x.mae")
-    fired = rows.filter((F.col("x.pairs") >= p.bust_pairs) & (norm >= p.bust_k))
-    inputs = {"forecast_surprise": norm / 4, "magnitude": error / F.col("x.anchor")}
-    signals = {"observed": F.col("x.observed"), "forecast": F.col("x.forecast"), "abs_error": error, "rolling_mae": F.col("x.mae"), "normalized_error": norm}
-    return _candidates(fired, "forecast_bust", F.col("x.m"), error, F.lit(1.0), inputs, signals)
+    signals = {"wind_chill": c, "gap": p.wind_chill - c, "temperature_2m": t, "wind_speed_10m": wind, "z_score": strength, "signed_z_score": z}
+    headline = _headline("cold_stress", chill=one(c), temperature=one(t), wind=one(wind))
+    return [_candidate(p, c <= p.wind_chill, "cold_stress", F.lit("wind_chill"), strength, F.col("temperature_2m_conf"), inputs, signals, headline, {"baseline_bucket": F.col("temperature_2m_bucket")})]
+
+
+@Detector
+def forecast_bust(p):
+    """Needs fcst_<metric>, lead_hours, <metric>_mae and <metric>_pairs; a candidate per metric."""
+    out = []
+    for m, (_, anchor) in FORECAST_METRICS.items():
+        observed, said, mae, pairs = F.col(m), F.col(f"fcst_{m}"), F.col(f"{m}_mae"), F.col(f"{m}_pairs")
+        error = F.abs(observed - said)
+        norm = error / mae
+        inputs = {"forecast_surprise": norm / 4, "magnitude": error / anchor}
+        signals = {"observed": observed, "forecast": said, "residual": observed - said, "abs_error": error, "rolling_mae": mae, "normalized_error": norm, "comparison_count": pairs, "lead_hours": F.col("lead_hours")}
+        headline = _headline("forecast_bust", metric=F.lit(m), error=one(error), norm=one(norm))
+        out.append(_candidate(p, (pairs >= p.bust_pairs) & (norm >= p.bust_k), "forecast_bust", F.lit(m), error, F.lit(1.0), inputs, signals, headline))
+    return out
 
 
 def _usable(metric: str) -> Column:
@@ -184,32 +264,38 @@ def _usable(metric: str) -> Column:
     return F.transform(trusted, lambda x: x[f"{metric}_z"])
 
 
-def spatial_anomaly(df: DataFrame, p: Profile = Profile()) -> DataFrame:
-    """Needs peers: array<struct<z per metric, conf per metric>>, the latest row of every peer."""
+@Detector
+def spatial_anomaly(p):
+    """Needs peers: array<struct<id, z per metric, conf per metric>>, the latest row of every peer; null without any."""
     out = []
     for m in Z_METRICS:
         z = F.col(f"{m}_z")
         sorted_z = F.sort_array(_usable(m))
         n = F.size(sorted_z)
         middle = (F.get(sorted_z, F.floor((n - 1) / 2).cast("int")) + F.get(sorted_z, F.floor(n / 2).cast("int"))) / 2
-        upper = _gate(p, m, "upper", p.gust_z if m == "wind_gusts_10m" else p.spatial_z)
+        upper, lower = _gate(p, m, "upper", p.gust_z if m == "wind_gusts_10m" else p.spatial_z), _gate(p, m, "lower", -p.spatial_z)
         if m == "wind_gusts_10m":
-            own = z >= upper
+            own, limit = z >= upper, upper
             tail = _rarity(p, f"{m}_upper", F.greatest(z, F.lit(0.0)))
         else:
-            own = F.when(z >= 0, z >= upper).otherwise(z <= _gate(p, m, "lower", -p.spatial_z))
+            own, limit = F.when(z >= 0, z >= upper).otherwise(z <= lower), F.abs(F.when(z >= 0, upper).otherwise(lower))
             tail = F.when(z >= 0, _rarity(p, f"{m}_upper", z)).otherwise(_rarity(p, f"{m}_lower", z))
-        fired = _ready(df, p).withColumn("middle", middle).filter((n > 0) & own & (F.abs(z - F.col("middle")) >= p.spatial_gap))
-        gap = F.abs(z - F.col("middle"))
+        gap = F.abs(z - middle)
         inputs = {"spatial": gap / 5, "rarity": tail}
-        signals = {"z_score": F.abs(z), "signed_z_score": z, "peer_median_z": F.col("middle"), "difference": gap, "peer_count": n}
-        out.append(_candidates(fired, "spatial_anomaly", F.lit(m), F.abs(z), F.col(f"{m}_conf"), inputs, signals))
-    return reduce(DataFrame.unionByName, out)
+        signals = {"z_score": F.abs(z), "signed_z_score": z, "threshold_z": limit, "peer_median_z": middle, "difference": gap, "peer_count": n}
+        headline = _headline("spatial_anomaly", metric=F.lit(m), gap=one(gap))
+        ids = F.transform("peers", lambda x: x.id)
+        notes = {"threshold_source": _source(p, m, "upper"), "baseline_bucket": F.col(f"{m}_bucket")}
+        out.append(_candidate(p, (n > 0) & own & (gap >= p.spatial_gap), "spatial_anomaly", F.lit(m), F.abs(z), F.col(f"{m}_conf"), inputs, signals, headline, notes, ids))
+    return out
 
 
 REGISTRY: tuple[Callable, ...] = (temperature_shock, pressure_plunge, warm_spell, cold_spell, heavy_rain_burst, wind_gust_burst, heat_stress, cold_stress, forecast_bust, spatial_anomaly)
 
 
 def detect(df: DataFrame, p: Profile = Profile(), detectors: Sequence[Callable] = REGISTRY) -> DataFrame:
-    """The candidates of all detectors, own ones included."""
-    return reduce(DataFrame.unionByName, [d(df, p) for d in detectors])
+    """The candidates of all detectors, own ones included; the built-in ones in one pass."""
+    rules = [rule for d in detectors if isinstance(d, Detector) for rule in d.rules(p)]
+    parts = [_fired(df, rules)] if rules else []
+    parts += [d(df, p) for d in detectors if not isinstance(d, Detector)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

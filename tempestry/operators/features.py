@@ -84,17 +84,26 @@ def forecast_pairs(readings: DataFrame, forecasts: DataFrame, p: Profile = Profi
 def rolling_mae(readings: DataFrame, pairs: DataFrame, p: Profile = Profile()) -> DataFrame:
     """(t, <metric>_mae, <metric>_pairs) at every time, over the newest pairs of the days before, all stations.
 
-    Global by definition: the one ordered partition holds a row per hour with that hour's errors, not the readings.
+    Global by definition.  A time keeps its `pair_limit` first pairs, since no later time looks at more of them.  One
+    ordered partition holds (time, number of pairs), whatever the stations, and running counts tell which times every
+    time has to look back to; only those meet, dealt by time.
     """
-    errors = F.struct((-F.col("t")).alias("late"), "station", *[F.abs(F.col(m) - F.col(f"fcst_{m}")).alias(m) for m in FORECAST_METRICS])
-    hours = readings.select("t").distinct().join(pairs.groupBy("t").agg(F.sort_array(F.collect_list(errors)).alias("e")), "t", "left")
-    before = Window.partitionBy(F.lit(0)).orderBy("t").rangeBetween(-p.pair_days * 86400, -1)
-    hours = hours.withColumn("e", F.slice(F.sort_array(F.flatten(F.collect_list("e").over(before))), 1, p.pair_limit))
+    errors = F.struct("station", *[F.abs(F.col(m) - F.col(f"fcst_{m}")).alias(m) for m in FORECAST_METRICS])
+    rank = F.row_number().over(Window.partitionBy("t").orderBy("station"))
+    kept = pairs.select("t", errors.alias("e"), rank.alias("k")).filter(F.col("k") <= p.pair_limit)
+    held = kept.groupBy("t").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    counts = readings.select("t").distinct().join(held.select("t", F.size("e").alias("n")).hint("merge"), "t", "left").select("t", F.coalesce("n", F.lit(0)).alias("n"))
+    whole = Window.partitionBy(F.lit(0)).orderBy("t")
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    days = F.collect_list(F.when(F.col("n") > 0, F.struct("t", (F.col("before") + F.col("n")).alias("upto")))).over(whole.rangeBetween(-p.pair_days * 86400, -1))
+    asks = counts.withColumn("back", F.filter(days, lambda x: F.col("before") - x.upto < p.pair_limit)).select(F.col("t").alias("at"), F.explode_outer("back.t").alias("t"))
+    found = asks.join(held.hint("merge"), "t", "left").groupBy(F.col("at").alias("t")).agg(F.sort_array(F.collect_list(F.struct((-F.col("t")).alias("late"), "e"))).alias("l"))
+    found = found.withColumn("e", F.slice(F.flatten(F.transform("l", lambda x: x.e)), 1, p.pair_limit))
     for m, (floor, _) in FORECAST_METRICS.items():
         seen = F.filter(F.col(f"e.{m}"), lambda x: x.isNotNull())
         mean = F.aggregate(seen, F.lit(0.0), lambda a, x: a + x) / F.size(seen)
-        hours = hours.withColumn(f"{m}_mae", F.when(F.size(seen) > 0, F.greatest(mean, F.lit(floor))).otherwise(floor)).withColumn(f"{m}_pairs", F.size(seen).cast("long"))
-    return hours.drop("e")
+        found = found.withColumn(f"{m}_mae", F.when(F.size(seen) > 0, F.greatest(mean, F.lit(floor))).otherwise(floor)).withColumn(f"{m}_pairs", F.coalesce(F.size(seen), F.lit(0)).cast("long"))
+    return found.drop("l", "e")
 
 
 def previous(column: str) -> Column:

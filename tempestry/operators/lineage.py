@@ -4,16 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once and read from the session's checkpoint folder, which all executors share; the folder is
-    set here only where a local session has none (tests)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at and not context.master.startswith("local"):
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which the driver and all executors share; set here only where a local session
+    has none (tests)."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="tempestry-"))
+        at = tempfile.mkdtemp(prefix="tempestry-")  # one machine holds the driver and all tasks
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(at)
+    return at
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` computed once and read from the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

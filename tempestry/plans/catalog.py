@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,10 +14,11 @@ from tempestry.operators import detectors as D
 from tempestry.operators import evaluation as E
 from tempestry.operators import features as X
 from tempestry.operators import feeds, lifecycle
-from tempestry.operators.lineage import cut
+from tempestry.operators.lineage import cut, shared_dir
 from tempestry.plans import views
 from tempestry.plans.sql import CHILL, HUMIDEX, TRAIN1, TRAIN2, with_
 from tempestry.profile import DETECTORS, FORECAST_METRICS, Profile
+from tempestry.sources import tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -54,38 +56,51 @@ def tail_rows(vals: DataFrame, readings: DataFrame) -> DataFrame:
     return rest.unionByName(wet).unionByName(C.rolling_accumulations(readings, P).select(F.lit("rain_6h").alias("metric"), "v"))
 
 
-def climatology1(spark: SparkSession, d: str) -> dict:
-    vals = cut(train1(spark, d))
-    levels = {name: cut(df) for name, df in C.stats(vals, P).items()}
-    rest = C.residuals(vals, levels["smooth"], ["doy", "hour"])
-    wet = vals.filter((F.col("metric") == "precipitation") & (F.col("v") >= P.wet_mm)).select(F.lit("rain").alias("metric"), "v")
-    acc = C.rolling_accumulations(views.hourly(spark, d).filter(F.col("t") < TRAIN1), P).select(F.lit("rain_6h").alias("metric"), "v")
-    rows = rest.unionByName(wet).unionByName(acc)
-    return {"levels": levels, "gates": D.gates(C.thresholds(rows), C.tails(rows))}
+_FITTED: dict[tuple[str, str], dict] = {}
 
 
-def enriched(spark: SparkSession, d: str) -> DataFrame:
+def climatology1(spark: SparkSession, d: str) -> dict:
+    """The climatology of the training part: fitted once per application and directory, written, and read from then on."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FITTED:
+        vals = cut(train1(spark, d))
+        acc = C.rolling_accumulations(views.hourly(spark, d).filter(F.col("t") < TRAIN1), P).select(F.lit("rain_6h").alias("metric"), "v")
+        wet = vals.filter((F.col("metric") == "precipitation") & (F.col("v") >= P.wet_mm)).select(F.lit("rain").alias("metric"), "v")
+        path = f"{shared_dir(spark)}/climatology-{uuid.uuid4().hex}"
+        tables.write_climatology(C.stats(vals, P), path)
+        levels = tables.read_climatology(spark, path, C.LEVELS)
+        gates = {}
+        for name in ("smooth", "month_hour"):
+            rows = cut(C.residuals(vals, levels[name], C.LEVELS[name]).unionByName(wet).unionByName(acc))
+            gates[name] = D.gates(C.thresholds(rows), C.tails(rows))
+        _FITTED[key] = {"levels": levels, "gates": gates}
+    return _FITTED[key]
+
+
+def enriched(spark: SparkSession, d: str, p: Profile = P) -> DataFrame:
     """Features of all hourly readings; computed once, since every detector starts from them."""
-    return cut(D.enriched(views.hourly(spark, d), views.stations(spark), climatology1(spark, d), P))
+    fitted = climatology1(spark, d)
+    clim = {"levels": fitted["levels"], "gates": fitted["gates"]["smooth" if p.smooth_baseline else "month_hour"]}
+    return cut(D.enriched(views.hourly(spark, d), views.stations(spark), clim, p))
 
 
 def with_forecast(spark: SparkSession, d: str, df: DataFrame) -> DataFrame:
     fc = views.forecasts(spark, d)
-    mae = cut(X.rolling_mae(df.select("t"), X.forecast_pairs(views.hourly(spark, d), fc, P), P))
-    return X.matching_forecast(df, fc, P).join(mae, "t")
+    mae = X.rolling_mae(df.select("t"), X.forecast_pairs(views.hourly(spark, d), fc, P), P)
+    return X.matching_forecast(df, fc, P).join(mae.hint("merge"), "t")
 
 
 def with_peers(spark: SparkSession, df: DataFrame) -> DataFrame:
-    cols = [c for m in D.Z_METRICS for c in (m, f"{m}_z", f"{m}_conf")]
+    cols = ["id", *[c for m in D.Z_METRICS for c in (m, f"{m}_z", f"{m}_conf")]]
     peers = X.latest_peers(df.select("station", "t", *cols), views.stations(spark), cols)
     lists = peers.groupBy("station", "t").agg(F.collect_list(F.struct("peer", *cols)).alias("peers"))
-    return cut(df.join(lists, ["station", "t"]))  # a reading without any peer has no spatial anomaly
+    return df.join(lists.hint("merge"), ["station", "t"], "left")
 
 
-def candidates(spark: SparkSession, d: str) -> DataFrame:
-    df = enriched(spark, d)
-    plain = D.detect(df, P, D.REGISTRY[:8])
-    return cut(reduce(DataFrame.unionByName, [plain, D.forecast_bust(with_forecast(spark, d, df), P), D.spatial_anomaly(with_peers(spark, df), P)]))
+def candidates(spark: SparkSession, d: str, p: Profile = P) -> DataFrame:
+    """All ten detectors in one pass over the features with forecasts and peers."""
+    df = enriched(spark, d, p)
+    return cut(D.detect(with_peers(spark, df).drop("id").join(with_forecast(spark, d, df.select("station", "t", "id", *FORECAST_METRICS)).drop(*FORECAST_METRICS).hint("merge"), ["station", "t"]), p))
 
 
 def incidents(spark: SparkSession, d: str, by: str = "strength", found: DataFrame | None = None) -> DataFrame:
