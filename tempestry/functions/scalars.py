@@ -101,13 +101,23 @@ def wet_bucket(amount: Column, percentiles: Column) -> Column:
     return F.coalesce(F.array_min(F.transform(reached, lambda a: a.p)), F.array_max(F.transform(percentiles, lambda a: a.p)))
 
 
+# Labels and categories of weather codes for display.
+DESCRIPTIONS = {
+    ("Clear", "clear"): [0],
+    ("Cloud cover", "cloud"): [1, 2, 3],
+    ("Fog", "fog"): [45, 48],
+    ("Rain", "precip"): [51, 53, 55, 56, 57, 61, 63, 65, 66, 67, 80, 81, 82],
+    ("Snow", "snow"): [71, 73, 75, 77, 85, 86],
+    ("Thunderstorm", "storm"): [95, 96, 99],
+}
+
+
 def weather_description(code: Column) -> Column:
-    """Label of a weather code for display."""
-    known = {"Clear": [0], "Cloud cover": [1, 2, 3], "Fog": [45, 48], "Rain": [51, 53, 55, 56, 57, 61, 63, 65, 66, 67, 80, 81, 82], "Snow": [71, 73, 75, 77, 85, 86], "Thunderstorm": [95, 96, 99]}
-    out = F.when(code.isNull(), "Unknown")
-    for label, codes in known.items():
-        out = out.when(code.isin(codes), label)
-    return out.otherwise(F.concat(F.lit("WMO "), code.cast("string")))
+    """Label and category of a weather code, a struct."""
+    label, category = F.when(code.isNull(), "Unknown"), F.when(code.isNull(), "unknown")
+    for (name, group), codes in DESCRIPTIONS.items():
+        label, category = label.when(code.isin(codes), name), category.when(code.isin(codes), group)
+    return F.struct(label.otherwise(F.concat(F.lit("WMO "), code.cast("string"))).alias("label"), category.otherwise("other").alias("category"))
 
 
 def strength(signals: Column, grade: Column) -> Column:
@@ -116,6 +126,7 @@ def strength(signals: Column, grade: Column) -> Column:
     return F.coalesce(F.abs(first), F.when(grade == "info", 1.0).when(grade == "warning", 2.0).otherwise(3.0))
 
 
-def explanation(signals: Column, k: int = 3) -> Column:
-    """The first k signals by name, as text."""
-    return F.array_join(F.transform(F.slice(F.array_sort(F.map_keys(signals)), 1, k), lambda n: F.concat(n, F.lit("="), F.format_number(signals[n], 3))), ", ")
+def explanation(reason: Column, signals: Column, k: int = 3) -> Column:
+    """Headline, and the first k signals in the detector's own order as text, a struct."""
+    first = F.transform(F.slice(F.map_entries(signals), 1, k), lambda e: F.concat(e.key, F.lit("="), F.coalesce(e.value.cast("string"), F.lit("none"))))
+    return F.struct(reason.alias("headline"), F.array_join(first, ", ").alias("evidence"))

@@ -46,6 +46,29 @@ def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int) -
     return rows.filter(F.col(value).between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def range_histogram(rows: DataFrame, value: str, bins: int = 30) -> DataFrame:
+    """(bin, low, n): counts per bin of equal width over the values' own range, zero-filled; the last bin is closed.
+
+    A single value is the middle of a range of one.
+    """
+    seen = rows.agg(F.min(value).alias("a"), F.max(value).alias("z")).filter("a IS NOT NULL")
+    seen = seen.select(F.when(F.col("a") < F.col("z"), F.col("a")).otherwise(F.col("a") - 0.5).alias("a"), ((F.when(F.col("a") < F.col("z"), F.col("z")).otherwise(F.col("z") + 0.5) - F.when(F.col("a") < F.col("z"), F.col("a")).otherwise(F.col("a") - 0.5)) / bins).alias("w"))
+    at = F.least(F.floor((F.col(value) - F.col("a")) / F.col("w")), F.lit(bins - 1)).cast("int")
+    counted = rows.filter(F.col(value).isNotNull()).join(F.broadcast(seen), how="cross").groupBy(at.alias("bin")).agg(F.count("*").alias("n"))  # one row
+    every = seen.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "a", "w")
+    return every.join(counted.hint("merge"), "bin", "left").select("bin", (F.col("a") + F.col("bin") * F.col("w")).alias("low"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def rain_triggers(rain: DataFrame) -> DataFrame:
+    """Candidates of heavy rain per trigger: number, and median, p90 and largest of score and six-hour total."""
+    kinds = rain.sparkSession.createDataFrame([("hourly",), ("accumulation",)], "trigger string")
+    q = F.array(F.lit(0.5), F.lit(0.9), F.lit(1.0))
+    rows = rain.select(F.col("notes")["trigger"].alias("trigger"), "score", F.col("signals")["accumulation_mm"].alias("mm"))
+    found = rows.groupBy("trigger").agg(F.count("*").alias("n"), F.percentile("score", q).alias("s"), F.percentile("mm", q).alias("a"))
+    named = [F.round(F.get(c, k), 3).alias(f"{name}_{part}") for c, name in (("s", "score"), ("a", "mm")) for k, part in enumerate(("p50", "p90", "max"))]
+    return kinds.join(F.broadcast(found), "trigger", "left").select("trigger", F.coalesce("n", F.lit(0)).alias("n"), *named)  # a row a trigger
+
+
 def shares(incidents: DataFrame, key: str) -> DataFrame:
     counted = incidents.groupBy(key).agg(F.count("*").alias("n"))
     total = counted.agg(F.sum("n").alias("total"))
@@ -56,9 +79,9 @@ def by_local_hour(incidents: DataFrame, stations: DataFrame) -> DataFrame:
     """Counts for hours 0 to 23 of the station's wall clock, zero-filled."""
     from tempestry.functions.scalars import local_time
 
-    found = incidents.join(stations, "station").groupBy(F.hour(local_time(F.col("onset_t"), F.col("tz"))).alias("hour")).agg(F.count("*").alias("n"))
+    found = incidents.join(stations.hint("merge"), "station").groupBy(F.hour(local_time(F.col("onset_t"), F.col("tz"))).alias("hour")).agg(F.count("*").alias("n"))
     hours = incidents.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
-    return hours.join(found, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("n"))
+    return hours.join(found.hint("merge"), "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -122,13 +145,32 @@ def miss_decomposition(hits: DataFrame, extremes: DataFrame, labels: DataFrame,
 
 
 def chance_recall(incidents: DataFrame, labels: DataFrame, first_day: int, last_day: int) -> DataFrame:
-    """Exact expectation of a label's recall if its window lay at any day of the range with equal odds."""
-    days = F.explode(F.sequence(F.lit(first_day), F.lit(last_day)))
-    moved = labels.select("label_id", "station", "expected", (F.col("until_t") - F.col("from_t")).alias("span"), days.alias("day"))
-    moved = moved.select("label_id", "station", "expected", "day", (F.col("day") * 86400 - 86400).alias("from_t"), (F.col("day") * 86400 - 86400 + F.col("span")).alias("until_t"))
-    hit = moved.join(incidents.select(F.col("station").alias("s"), "detector", "onset_t"), (F.col("s") == F.col("station")) & F.col("onset_t").between(F.col("from_t"), F.col("until_t")) & F.array_contains("expected", F.col("detector")), "left_semi")
-    counted = hit.groupBy("label_id").agg(F.count("*").alias("n"))
-    return labels.select("label_id").join(counted, "label_id", "left").select("label_id", F.round(F.coalesce("n", F.lit(0)) / F.lit(last_day - first_day + 1), 6).alias("chance"))
+    """Exact expectation of a label's recall if its window lay at any day of the range with equal odds.
+
+    An incident is hit by the windows of a few start days, as many as the window is long; they are counted once each.
+    """
+    asks = labels.select("label_id", "station", F.explode("expected").alias("detector"), (F.col("until_t") - F.col("from_t")).alias("span"))
+    met = asks.join(incidents.select("station", "detector", "onset_t").hint("merge"), ["station", "detector"])
+    first = F.greatest(F.lit(first_day).cast("long"), F.ceil((F.col("onset_t") - F.col("span")) / 86400) + 1)
+    last = F.least(F.lit(last_day).cast("long"), F.floor(F.col("onset_t") / 86400) + 1)
+    days = met.select("label_id", first.alias("a"), last.alias("z")).filter("a <= z").select("label_id", F.explode(F.sequence("a", "z")).alias("day")).distinct()
+    counted = days.groupBy("label_id").agg(F.count("*").alias("n"))
+    return labels.select("label_id").join(counted.hint("merge"), "label_id", "left").select("label_id", F.round(F.coalesce("n", F.lit(0)) / F.lit(last_day - first_day + 1), 6).alias("chance"))
+
+
+def boundary_jumps(smooth: DataFrame, month_hour: DataFrame, hour: int, metrics) -> DataFrame:
+    """(station, boundary, metric, fixed_value, jump_smooth, jump_month): by how much the z score of a fixed value, midway
+    between the medians of both days, changes over a calendar boundary at one local hour."""
+    out = []
+    at = lambda df, cond, name: df.filter(cond).filter(F.col("hour") == hour).filter(F.col("metric").isin(list(metrics))).select("station", "metric", F.struct("median", "scale").alias(name)).hint("merge")
+    for boundary, m1, d1, m2, d2 in (("Dec31->Jan1", 12, 365, 1, 1), ("May31->Jun1", 5, 151, 6, 152)):
+        rows = at(smooth, f"doy = {d1}", "a").join(at(smooth, f"doy = {d2}", "b"), ["station", "metric"])
+        rows = rows.join(at(month_hour, f"month = {m1}", "c"), ["station", "metric"]).join(at(month_hour, f"month = {m2}", "e"), ["station", "metric"])
+        fixed = (F.col("a.median") + F.col("b.median")) / 2
+        z = {k: (fixed - F.col(f"{k}.median")) / F.col(f"{k}.scale") for k in "abce"}
+        jumps = [F.round(F.abs(z[x] - z[y]) + 1e-9, 3).alias(n) for n, x, y in (("jump_smooth", "a", "b"), ("jump_month", "c", "e"))]
+        out.append(rows.select("station", F.lit(boundary).alias("boundary"), "metric", F.round(fixed + 1e-9, 3).alias("fixed_value"), *jumps))
+    return out[0].unionByName(out[1])
 
 
 def usefulness(incidents: DataFrame) -> DataFrame:

@@ -64,10 +64,9 @@ def freshness(rows: DataFrame, polled: str, as_of: int, stale_s: int = 900) -> D
     return rows.agg(last.alias("last_polled"), status.alias("status"))
 
 
-def compare_series(readings: DataFrame, metric: str, stations: list[str]) -> DataFrame:
-    """Time by station; of duplicates the last."""
-    last = readings.groupBy("t").pivot("station", stations).agg(F.max_by(metric, "id"))
-    return last
+def compare_series(readings: DataFrame, metric: str, stations: list[str], arrival: tuple = ("id",)) -> DataFrame:
+    """Time by station; of duplicates the last to arrive, `arrival` being the columns that order arrivals."""
+    return readings.groupBy("t").pivot("station", stations).agg(F.max_by(metric, F.struct(*arrival)))
 
 
 def chart_series(readings: DataFrame, forecasts: DataFrame, metric: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,8 +12,14 @@ from tempestry.operators.climatology import places
 from tempestry.operators.features import by_station, previous, previous_known
 from tempestry.profile import Profile
 
+# The metrics of the rules, the least gaps of the contrast, and what replaced which rule.
 CHANGE_METRICS = ("temperature_2m", "wind_speed_10m", "precipitation")
 CONTRAST_GAPS = {"temperature_2m": 5.0, "apparent_temperature": 5.0, "precipitation": 2.0, "wind_speed_10m": 15.0}
+REPLACED_BY = {
+    "rapid_change": ("temperature_shock",), "sustained_extreme": ("warm_spell", "cold_spell"), "comfort_divergence": ("heat_stress", "cold_stress"), "cross_city_contrast": ("spatial_anomaly",),
+    "forecast_divergence": ("forecast_bust",), "wmo_transition": (), "fun_fact": (),
+}
+NEW = ("pressure_plunge", "heavy_rain_burst", "wind_gust_burst")
 DAY = 86400
 
 
@@ -36,7 +44,7 @@ def same_hour_baseline(readings: DataFrame, metric: str, rolling_hours: int = 24
     spread = spread.withColumn("m1", F.avg("v").over(w)).withColumn("s1", F.stddev_pop("v").over(w)).withColumn("n1", F.count("v").over(w)).filter("slot = own")
     near = by_station().rangeBetween(-rolling_hours * 3600, -1)
     df = readings.withColumn("m2", F.avg(metric).over(near)).withColumn("s2", F.stddev_pop(metric).over(near)).withColumn("n2", F.count(metric).over(near))
-    df = df.join(spread.select("station", "t", "m1", "s1", "n1"), ["station", "t"])
+    df = df.join(spread.select("station", "t", "m1", "s1", "n1").hint("merge"), ["station", "t"])
     enough = F.col("n1") >= least
     out = df.withColumn("mean", F.when(enough, F.col("m1")).otherwise(F.col("m2"))).withColumn("std", F.when(enough, F.col("s1")).otherwise(F.col("s2")))
     return out.withColumn("n", F.when(enough, F.col("n1")).otherwise(F.col("n2"))).drop("m1", "s1", "n1", "m2", "s2", "n2")
@@ -116,15 +124,15 @@ def freezing_line(readings: DataFrame, peers: DataFrame) -> DataFrame:
 
 def record(readings: DataFrame, metric: str = "temperature_2m", p: Profile = Profile()) -> DataFrame:
     """Strictly beats the 14-day extreme, which the previous reading did not; the previous reading is held against
-    the same history without itself."""
+    the same history without itself.  Nothing where the previous reading has no value."""
     past = F.collect_list(metric).over(by_station().rangeBetween(-14 * DAY, -1))
-    df = readings.withColumn("past", past).filter(F.size("past") >= p.min_history)
+    df = readings.withColumn("past", past).withColumn("before", previous(metric)).filter((F.size("past") >= p.min_history) & F.col("before").isNotNull())
     earlier = F.slice("past", 1, F.size("past") - 1)
-    before, v = F.element_at("past", -1), F.col(metric)
+    before, v = F.col("before"), F.col(metric)
     high = (v > F.array_max("past")) & ~(before > F.array_max(earlier))
     low = (v < F.array_min("past")) & ~(before < F.array_min(earlier))
-    fired = df.withColumn("side", F.when(high, "high").when(low, "low")).filter("side IS NOT NULL")
-    return _rule(fired, "fun_fact", F.lit(metric), F.lit(1.0), F.lit("info"), F.concat(F.lit("record_"), F.col("side")))
+    fired = df.withColumn("kind", F.when(high, "warm_record").when(low, "cold_record")).filter("kind IS NOT NULL")
+    return _rule(fired, "fun_fact", F.lit(metric), F.lit(1.0), F.lit("info"), F.col("kind"))
 
 
 def pack_differently(readings: DataFrame, peers: DataFrame, margin: float = 8.0) -> DataFrame:
@@ -133,3 +141,28 @@ def pack_differently(readings: DataFrame, peers: DataFrame, margin: float = 8.0)
     rows = mine.join(peers.select("station", "t", "peer", F.col("apparent_temperature").alias("theirs")), ["station", "t"])
     gap, was = F.abs(F.col("apparent_temperature") - F.col("theirs")), F.abs(F.col("before") - F.col("theirs"))
     return _rule(rows.filter((gap >= margin) & (was < margin)), "fun_fact", F.lit("apparent_temperature"), gap, F.lit("info"), F.concat(F.lit("pack_differently|"), F.col("peer")))
+
+
+def over_metrics(rule, readings: DataFrame, metrics=CHANGE_METRICS, **further) -> DataFrame:
+    """A rule of one metric over all of `metrics`."""
+    return reduce(DataFrame.unionByName, [rule(readings, metric=m, **further) for m in metrics])
+
+
+def replay(readings: DataFrame, peers: DataFrame, forecast: DataFrame, p: Profile = Profile()) -> DataFrame:
+    """All seven rules: `peers` with the metrics of the contrast, `forecast` the readings with their forecasts."""
+    rules = [
+        wmo_transition(readings), over_metrics(rapid_change, readings, p=p), over_metrics(sustained_extreme, readings, p=p), comfort_divergence(readings, p),
+        over_metrics(cross_city_contrast, readings, CONTRAST_GAPS, peers=peers, p=p), forecast_divergence(forecast), freezing_line(readings, peers), pack_differently(readings, peers), record(readings, p=p),
+    ]
+    return reduce(DataFrame.unionByName, rules)
+
+
+def against_native(old: DataFrame, incidents: DataFrame) -> DataFrame:
+    """(old_type, replacement, old_raw, new_incidents) of every legacy rule, and of the detectors without one."""
+    spark = old.sparkSession
+    rows = [(o, " + ".join(ns) or None, n) for o, ns in REPLACED_BY.items() for n in ns or (None,)] + [(None, n, n) for n in NEW]
+    pairs = spark.createDataFrame(rows, "old_type string, replacement string, detector string")
+    new = pairs.join(F.broadcast(incidents.groupBy("detector").agg(F.count("*").alias("n"))), "detector", "left")  # a row a detector
+    new = new.groupBy("old_type", "replacement").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("new_incidents"))
+    counted = old.groupBy(F.col("detector").alias("old_type")).agg(F.count("*").alias("old_raw"))
+    return new.join(F.broadcast(counted), "old_type", "left").select("old_type", "replacement", F.coalesce("old_raw", F.lit(0)).alias("old_raw"), "new_incidents")  # a row a rule

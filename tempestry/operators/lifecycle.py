@@ -46,7 +46,7 @@ def incidents(candidates: DataFrame, readings: DataFrame, p: Profile = Profile()
         F.min("t").alias("onset_t"), F.max("t").alias("last_t"), F.max("seq").alias("last_seq"), F.count("*").alias("hits"),
         F.max_by("t", F.struct(F.col(representative), first)).alias("peak_t"),
         F.max("strength").alias("peak_strength"), F.max("score").alias("priority_score"), F.max("confidence").alias("confidence"),
-        F.max_by("signals", F.struct(F.col(representative), first)).alias("signals"), ids.alias("supporting_ids"),
+        *[F.max_by(c, F.struct(F.col(representative), first)).alias(c) for c in ("signals", "notes", "reason") if c in candidates.columns], ids.alias("supporting_ids"),
     )
     after = sequenced(readings).select("station", F.col("t").alias("resolved_t"), (F.col("seq") - p.k_off).alias("last_seq"))
     out = out.join(after, ["station", "last_seq"], "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,13 +17,14 @@ from tempestry.operators import features as X
 from tempestry.operators import feeds, lifecycle
 from tempestry.operators.lineage import cut, shared_dir
 from tempestry.plans import views
-from tempestry.plans.sql import CHILL, HUMIDEX, TRAIN1, TRAIN2, with_
-from tempestry.profile import DETECTORS, FORECAST_METRICS, Profile
+from tempestry.plans.sql import CHILL, HUMIDEX, STEP, TRAIN1, TRAIN2, with_
+from tempestry.profile import CURRENT, DETECTORS, FORECAST_METRICS, MONTH_HOUR, SMOOTH_CLIPPED, Profile
 from tempestry.sources import tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 P = Profile(min_bucket_n=10)  # the month of readings at hand is short
+PRESETS = {name: replace(p, min_bucket_n=10) for name, p in (("month_hour", MONTH_HOUR), ("smooth_clipped", SMOOTH_CLIPPED), ("current", CURRENT))}
 AS_OF = 1706659200  # 2024-01-31
 
 
@@ -142,7 +144,7 @@ def s11(spark, d):
     chunks = ends.select("z", F.explode(F.sequence("a", "z", F.lit(5).cast("long"))).alias("first_day")).select("first_day", F.least(F.col("first_day") + 4, F.col("z")).alias("last_day"))
     # every day belongs to one chunk, so the range join is an equality on the chunk's first day
     first = days.join(F.broadcast(ends), how="cross").select((F.col("day") - (F.col("day") - F.col("a")) % 5).alias("first_day"), "n")
-    return chunks.join(first.groupBy("first_day").agg(F.sum("n").alias("n")), "first_day", "left").select("first_day", "last_day", F.coalesce("n", F.lit(0)).alias("n"))
+    return chunks.join(first.groupBy("first_day").agg(F.sum("n").alias("n")).hint("merge"), "first_day", "left").select("first_day", "last_day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("f1_readings_feed", f"SELECT station, t, temperature_2m FROM v1 WHERE station = 'click' AND t BETWEEN {TRAIN1} AND {AS_OF} ORDER BY t DESC LIMIT 50")
@@ -349,16 +351,16 @@ def a10(spark, d):
     return r.select("t", *[c for m in FORECAST_METRICS for c in (C.places(F.col(f"{m}_mae"), 6).alias(f"{m}_mae"), f"{m}_pairs")])
 
 
-@query("a25_boundary_diagnostics", """SELECT a.station, a.metric, round(abs((20.0 - a.median) / a.scale - (20.0 - b.median) / b.scale), 4) AS jump_smooth, round(abs((20.0 - c.median) / c.scale - (20.0 - e.median) / e.scale), 4) AS jump_month
- FROM smooth2 a JOIN smooth2 b ON b.station = a.station AND b.metric = a.metric AND b.hour = a.hour AND a.doy = 365 AND b.doy = 1 JOIN (SELECT DISTINCT station, metric, median, scale FROM mo2 WHERE month = 12) c ON c.station = a.station AND c.metric = a.metric
- JOIN (SELECT * FROM mo2 WHERE month = 1) e ON e.station = a.station AND e.metric = a.metric WHERE a.hour = 0""")
+_JUMP = """SELECT a.station, '{name}' AS boundary, a.metric, round((a.median + b.median) / 2 + 1e-9, 3) AS fixed_value, round(abs(((a.median + b.median) / 2 - a.median) / a.scale - ((a.median + b.median) / 2 - b.median) / b.scale) + 1e-9, 3) AS jump_smooth,
+ round(abs(((a.median + b.median) / 2 - c.median) / c.scale - ((a.median + b.median) / 2 - e.median) / e.scale) + 1e-9, 3) AS jump_month
+ FROM smooth2 a JOIN smooth2 b ON b.station = a.station AND b.metric = a.metric AND b.hour = 0 AND b.doy = {d2} JOIN mh2 c ON c.station = a.station AND c.metric = a.metric AND c.hour = 0 AND c.month = {m1}
+ JOIN mh2 e ON e.station = a.station AND e.metric = a.metric AND e.hour = 0 AND e.month = {m2} WHERE a.hour = 0 AND a.doy = {d1}"""
+
+
+@query("a25_boundary_diagnostics", _JUMP.format(name="Dec31->Jan1", m1=12, d1=365, m2=1, d2=1) + " UNION ALL " + _JUMP.format(name="May31->Jun1", m1=5, d1=151, m2=6, d2=152))
 def a25(spark, d):
     s = C.stats(train2(spark, d), P)
-    z = lambda a: (20.0 - F.col(f"{a}.median")) / F.col(f"{a}.scale")
-    at = lambda df, cond, name: df.filter(cond).select("station", "metric", F.struct("median", "scale").alias(name))
-    rows = at(s["smooth"], "doy = 365 AND hour = 0", "a").join(at(s["smooth"], "doy = 1 AND hour = 0", "b"), ["station", "metric"])
-    rows = rows.join(at(s["month"], "month = 12", "c"), ["station", "metric"]).join(at(s["month"], "month = 1", "e"), ["station", "metric"])
-    return rows.select("station", "metric", F.round(F.abs(z("a") - z("b")), 4).alias("jump_smooth"), F.round(F.abs(z("c") - z("e")), 4).alias("jump_month"))
+    return E.boundary_jumps(s["smooth"], s["month_hour"], 0, P.climatology_metrics)  # daily values stand at midnight
 
 
 # ---- windows -----------------------------------------------------------------------------------------
@@ -522,10 +524,12 @@ def a16(spark, d):
     return E.score_distribution(candidates(spark, d))
 
 
-@query("a17_rain_trigger_mix", "SELECT CASE WHEN a >= g AND b >= tg THEN 3 WHEN b >= tg THEN 2 ELSE 1 END AS trigger, count(*) AS n, round(quantile_cont(score, 0.5), 3) AS p50 FROM (SELECT d5.score, f.precipitation AS a, f.accumulation_6h AS b, greatest(f.wet_p995, 10.0) AS g, greatest(f.wet_p995, 12.5) AS tg FROM d5 JOIN feat f ON f.station = d5.station AND f.t = d5.t) GROUP BY 1")
+_QS = ", ".join(f"round({agg}, 3) AS {name}_{part}" for name, col in (("score", "score"), ("mm", "mm")) for part, agg in (("p50", f"quantile_cont({col}, 0.5)"), ("p90", f"quantile_cont({col}, 0.9)"), ("max", f"max({col})")))
+
+
+@query("a17_rain_trigger_mix", f"SELECT k.trigger, count(r.score) AS n, {_QS} FROM (VALUES ('hourly'), ('accumulation')) AS k(trigger) LEFT JOIN (SELECT d5.score, CASE WHEN f.precipitation >= greatest(f.wet_p995, 10.0) THEN 'hourly' ELSE 'accumulation' END AS trigger, round(f.accumulation_6h + 1e-9, 3) AS mm FROM d5 JOIN feat f ON f.station = d5.station AND f.t = d5.t) r ON r.trigger = k.trigger GROUP BY k.trigger")
 def a17(spark, d):
-    r = D.heavy_rain_burst(enriched(spark, d), P).withColumn("trigger", F.col("signals")["trigger"].cast("int"))
-    return r.groupBy("trigger").agg(F.count("*").alias("n"), F.round(F.percentile("score", F.lit(0.5)), 3).alias("p50"))
+    return E.rain_triggers(D.heavy_rain_burst(enriched(spark, d), P))
 
 
 @query("a18_score_histogram", "SELECT CAST(least(floor(score / 5.0::DOUBLE), 19) AS INT) AS bin, count(*) AS n FROM cand GROUP BY 1")
@@ -533,6 +537,12 @@ def a18(spark, d):
     return E.histogram(candidates(spark, d), "score", 0.0, 100.0, 20)
 
 
+@query("a18_z_histogram", "SELECT CAST(b AS INT) AS bin, round(any_value(lo + b * w), 6) AS low, count(v) AS n FROM (SELECT unnest(range(30)) AS b, lo, w FROM (SELECT min(strength) AS lo, (max(strength) - min(strength)) / 30 AS w FROM d1)) LEFT JOIN (SELECT strength AS v, least(floor((strength - (SELECT min(strength) FROM d1)) / ((SELECT max(strength) - min(strength) FROM d1) / 30)), 29) AS k FROM d1) ON k = b GROUP BY b")
+def a18z(spark, d):
+    shocks = D.temperature_shock(enriched(spark, d), P).select(F.col("signals")["z_score"].alias("z"))
+    return E.range_histogram(shocks, "z").withColumn("low", F.round("low", 6))
+
+
 @query("a19_incidents_by_local_hour", "SELECT CAST(h AS INT) AS hour, count(i.station) AS n FROM range(24) AS x(h) LEFT JOIN (SELECT station, hour(timezone(tz, timezone('UTC', make_timestamp(onset_t * 1000000)))) AS hr FROM rinc JOIN v4 USING (station)) i ON i.hr = h GROUP BY h")
 def a19(spark, d):
     return E.by_local_hour(incidents(spark, d, "score"), views.stations(spark))
@@ -561,6 +571,16 @@ def a22(spark, d):
     return feeds.compare_series(views.hourly(spark, d), "temperature_2m", _V)
 
 
+_RAW = [str(k) for k in range(20)]
+
+
+@query("a22_last_arrivals", "SELECT t, " + ", ".join(f"arg_max(temperature_2m, {{'p': polled_at, 'r': reading_id}}) FILTER (WHERE station = '{s}') AS s{s}" for s in _RAW) + " FROM v3 GROUP BY t")
+def a22b(spark, d):
+    """The raw arrivals hold several readings of a station and hour: the last to arrive counts."""
+    rows = feeds.compare_series(views.raw(spark, d), "temperature_2m", _RAW, ("polled_at", "reading_id"))
+    return rows.withColumnsRenamed({s: f"s{s}" for s in _RAW})
+
+
 @query("a23_latest_per_city", "SELECT station, max(t) AS t, arg_max(temperature_2m, t) AS temperature_2m FROM v1 GROUP BY station")
 def a23(spark, d):
     return feeds.latest_per_station(views.hourly(spark, d), ["temperature_2m"])
@@ -617,10 +637,10 @@ def a31(spark, d):
     return E.chance_recall(incidents(spark, d, "score"), views.labels(spark), 19723, 19753)
 
 
-@query("a32_precision_proxy")
+@query("a32_precision_proxy", "SELECT label, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM (SELECT * FROM rinc ORDER BY priority_score DESC, onset_t, station, detector, metric LIMIT 30) GROUP BY label")
 def a32(spark, d):
     top = incidents(spark, d, "score").orderBy(F.desc("priority_score"), "onset_t", "station", "detector", "metric").limit(30)
-    return E.usefulness(top).groupBy("label").agg(F.count("*").alias("n"))
+    return E.shares(E.usefulness(top), "label")
 
 
 # ---- provider documents: rendered from the readings, then read ------------------------------------------
@@ -690,43 +710,56 @@ def w4(spark, d):
 LEGACY = ["station", "t", "metric", "strength", "severity"]
 
 
-@query("d11_rapid_change", f"SELECT station, t, 'temperature_2m' AS metric, round(abs(v - mean) / std + 1e-9, 3) AS strength, CASE WHEN abs(v - mean) / std >= 3.5 THEN 'severe' ELSE 'warning' END AS severity FROM {_base('temperature_2m', 86400)} WHERE day_n >= 12 AND hist_n >= 12 AND std > 0 AND abs(v - mean) / std >= 2.5")
+def _rapid(m: str) -> str:
+    return f"SELECT station, t, '{m}' AS metric, round(abs(v - mean) / std + 1e-9, 3) AS strength, CASE WHEN abs(v - mean) / std >= 3.5 THEN 'severe' ELSE 'warning' END AS severity FROM {_base(m, 86400)} WHERE day_n >= 12 AND hist_n >= 12 AND std > 0 AND abs(v - mean) / std >= 2.5"
+
+
+def _sustained(m: str) -> str:
+    return f"""SELECT station, t, '{m}' AS metric, 2.0::DOUBLE AS strength, 'warning' AS severity FROM (SELECT *, quantile_cont({m}, 0.05) OVER r AS lo, quantile_cont({m}, 0.95) OVER r AS hi, count(*) OVER r AS n, lag({m}) OVER w AS a, lag({m}, 2) OVER w AS b
+ FROM v1 WINDOW w AS (PARTITION BY station ORDER BY t), r AS (PARTITION BY station ORDER BY t RANGE BETWEEN 172800 PRECEDING AND 1 PRECEDING)) WHERE n >= 12 AND lo <> hi AND b IS NOT NULL AND (least({m}, a, b) >= hi OR greatest({m}, a, b) <= lo)"""
+
+
+@query("d11_rapid_change", " UNION ALL ".join(map(_rapid, G.CHANGE_METRICS)))
 def d11(spark, d):
-    return G.rapid_change(_local(spark, d), "temperature_2m", P).select(*LEGACY)
+    return G.over_metrics(G.rapid_change, _local(spark, d), p=P).select(*LEGACY)
 
 
-@query("d12_sustained_extreme", """SELECT station, t, 'temperature_2m' AS metric, 2.0::DOUBLE AS strength, 'warning' AS severity FROM (SELECT *, quantile_cont(temperature_2m, 0.05) OVER r AS lo, quantile_cont(temperature_2m, 0.95) OVER r AS hi, count(*) OVER r AS n, lag(temperature_2m) OVER w AS a, lag(temperature_2m, 2) OVER w AS b
- FROM v1 WINDOW w AS (PARTITION BY station ORDER BY t), r AS (PARTITION BY station ORDER BY t RANGE BETWEEN 172800 PRECEDING AND 1 PRECEDING)) WHERE n >= 12 AND lo <> hi AND b IS NOT NULL AND (least(temperature_2m, a, b) >= hi OR greatest(temperature_2m, a, b) <= lo)""")
+@query("d12_sustained_extreme", " UNION ALL ".join(map(_sustained, G.CHANGE_METRICS)))
 def d12(spark, d):
-    return G.sustained_extreme(views.hourly(spark, d), p=P).select(*LEGACY)
+    return G.over_metrics(G.sustained_extreme, views.hourly(spark, d), p=P).select(*LEGACY)
 
 
-def _further_change(metric):
-    """d11 and d12 over the rules' further metrics."""
+def _one_metric(metric):
+    """d11 and d12 over one metric alone."""
 
-    @query(f"d11_rapid_change_{metric}", f"SELECT station, t, '{metric}' AS metric, round(abs(v - mean) / std + 1e-9, 3) AS strength, CASE WHEN abs(v - mean) / std >= 3.5 THEN 'severe' ELSE 'warning' END AS severity FROM {_base(metric, 86400)} WHERE day_n >= 12 AND hist_n >= 12 AND std > 0 AND abs(v - mean) / std >= 2.5")
+    @query(f"d11_rapid_change_{metric}", _rapid(metric))
     def d11_further(spark, d):
         return G.rapid_change(_local(spark, d), metric, P).select(*LEGACY)
 
-    @query(f"d12_sustained_extreme_{metric}", f"""SELECT station, t, '{metric}' AS metric, 2.0::DOUBLE AS strength, 'warning' AS severity FROM (SELECT *, quantile_cont({metric}, 0.05) OVER r AS lo, quantile_cont({metric}, 0.95) OVER r AS hi, count(*) OVER r AS n, lag({metric}) OVER w AS a, lag({metric}, 2) OVER w AS b
- FROM v1 WINDOW w AS (PARTITION BY station ORDER BY t), r AS (PARTITION BY station ORDER BY t RANGE BETWEEN 172800 PRECEDING AND 1 PRECEDING)) WHERE n >= 12 AND lo <> hi AND b IS NOT NULL AND (least({metric}, a, b) >= hi OR greatest({metric}, a, b) <= lo)""")
+    @query(f"d12_sustained_extreme_{metric}", _sustained(metric))
     def d12_further(spark, d):
         return G.sustained_extreme(views.hourly(spark, d), metric, P).select(*LEGACY)
 
 
 for _metric in G.CHANGE_METRICS[1:]:
-    _further_change(_metric)
+    _one_metric(_metric)
 
 
 _LEVEL = "CASE {} WHEN 95 THEN 3 WHEN 63 THEN 2 WHEN 51 THEN 1 WHEN 0 THEN 0 END"
 
 
-@query("d13_wmo_transition", f"SELECT station, t, 'weather_code' AS metric, CAST(abs(now - before) AS DOUBLE) AS strength, CASE WHEN now = 3 THEN 'severe' ELSE 'warning' END AS severity FROM (SELECT station, t, {_LEVEL.format('weather_code')} AS now, lag({_LEVEL.format('weather_code')}) OVER (PARTITION BY station ORDER BY t) AS before FROM v1) WHERE abs(now - before) >= 2")
+_TRANSITION = f"SELECT station, t, 'weather_code' AS metric, CAST(abs(now - before) AS DOUBLE) AS strength, CASE WHEN now = 3 THEN 'severe' ELSE 'warning' END AS severity FROM (SELECT station, t, {_LEVEL.format('weather_code')} AS now, lag({_LEVEL.format('weather_code')}) OVER (PARTITION BY station ORDER BY t) AS before FROM v1) WHERE abs(now - before) >= 2"
+
+
+@query("d13_wmo_transition", _TRANSITION)
 def d13(spark, d):
     return G.wmo_transition(views.hourly(spark, d)).select("station", "t", "metric", F.col("strength").cast("double").alias("strength"), "severity")
 
 
-@query("d14_comfort_divergence", f"SELECT station, t, 'apparent_temperature' AS metric, round(v + 1e-9, 3) AS strength, CASE WHEN v >= 1.5 * (mean + 2 * std) AND v >= 8 THEN 'severe' ELSE 'warning' END AS severity FROM {_base('gap', 172800, '(SELECT *, abs(apparent_temperature - temperature_2m) AS gap FROM loc1)')} WHERE n >= 7 AND v > mean + 2 * std")
+_COMFORT = f"SELECT station, t, 'apparent_temperature' AS metric, round(v + 1e-9, 3) AS strength, CASE WHEN v >= 1.5 * (mean + 2 * std) AND v >= 8 THEN 'severe' ELSE 'warning' END AS severity FROM {_base('gap', 172800, '(SELECT *, abs(apparent_temperature - temperature_2m) AS gap FROM loc1)')} WHERE n >= 7 AND v > mean + 2 * std"
+
+
+@query("d14_comfort_divergence", _COMFORT)
 def d14(spark, d):
     return G.comfort_divergence(_local(spark, d), P).select(*LEGACY)
 
@@ -734,44 +767,66 @@ def d14(spark, d):
 _PEER = "(SELECT r.station, r.t, r.temperature_2m AS own, p.station AS peer, f.temperature_2m AS theirs FROM (SELECT v1.*, peer_group FROM v1 JOIN v4 USING (station)) r JOIN v4 p ON p.peer_group = r.peer_group AND p.station <> r.station ASOF JOIN v1 f ON f.station = p.station AND f.t <= r.t)"
 
 
-@query("d15_cross_city_contrast", f"SELECT station, t, 'temperature_2m' AS metric, round(g + 1e-9, 3) AS strength, 'warning' AS severity FROM (SELECT q.station, q.t, q.peer, abs(own - theirs) AS g, count(*) AS n, quantile_cont(abs(b.temperature_2m - theirs), 0.95) AS lim FROM {_PEER} q JOIN v1 b ON b.station = q.station AND b.t >= q.t - 172800 AND b.t < q.t GROUP BY ALL) WHERE n >= 12 AND g > lim AND g >= 5")
+def _contrast(m: str) -> str:
+    peer = _PEER.replace("r.temperature_2m AS own", f"r.{m} AS own").replace("f.temperature_2m AS theirs", f"f.{m} AS theirs")
+    return f"SELECT station, t, peer, '{m}' AS metric, round(g + 1e-9, 3) AS strength, 'warning' AS severity FROM (SELECT q.station, q.t, q.peer, abs(own - theirs) AS g, count(*) AS n, quantile_cont(abs(b.{m} - theirs), 0.95) AS lim FROM {peer} q JOIN v1 b ON b.station = q.station AND b.t >= q.t - 172800 AND b.t < q.t GROUP BY ALL) WHERE n >= 12 AND g > lim AND g >= {G.CONTRAST_GAPS[m]}"
+
+
+@query("d15_cross_city_contrast", " UNION ALL ".join(map(_contrast, G.CONTRAST_GAPS)))
 def d15(spark, d):
     h = views.hourly(spark, d)
-    return G.cross_city_contrast(h, X.latest_peers(h, views.stations(spark), ["temperature_2m"]), "temperature_2m", P).select(*LEGACY)
+    peers = X.latest_peers(h, views.stations(spark), list(G.CONTRAST_GAPS))
+    found = G.over_metrics(G.cross_city_contrast, h, G.CONTRAST_GAPS, peers=peers, p=P)
+    return found.select("station", "t", F.substring_index("dedupe_key", "|", -1).alias("peer"), "metric", "strength", "severity")
+
 
+_DIVERGENCE = f"""SELECT station, t, 'weather_code' AS metric, CAST(abs(a - f) AS DOUBLE) AS strength, CASE WHEN a > f THEN 'severe' ELSE 'warning' END AS severity FROM (SELECT v1.station, v1.t, {_LEVEL.format('v1.weather_code')} AS a, {_LEVEL.format('v5.weather_code')} AS f FROM v1 JOIN v5 ON v5.station = v1.station AND v5.target_t = v1.t WHERE lead_hours BETWEEN 3 AND 12) WHERE abs(a - f) >= 2
+ UNION ALL SELECT station, t, 'temperature_2m', round(abs(temperature_2m - fcst_temperature_2m) + 1e-9, 3), CASE WHEN abs(temperature_2m - fcst_temperature_2m) >= 9 THEN 'severe' ELSE 'warning' END FROM pairs WHERE abs(temperature_2m - fcst_temperature_2m) >= 6"""
 
-@query("d16_forecast_divergence", f"""SELECT station, t, 'weather_code' AS metric, CAST(abs(a - f) AS DOUBLE) AS strength, CASE WHEN a > f THEN 'severe' ELSE 'warning' END AS severity FROM (SELECT v1.station, v1.t, {_LEVEL.format('v1.weather_code')} AS a, {_LEVEL.format('v5.weather_code')} AS f FROM v1 JOIN v5 ON v5.station = v1.station AND v5.target_t = v1.t WHERE lead_hours BETWEEN 3 AND 12) WHERE abs(a - f) >= 2
- UNION ALL SELECT station, t, 'temperature_2m', round(abs(temperature_2m - fcst_temperature_2m) + 1e-9, 3), CASE WHEN abs(temperature_2m - fcst_temperature_2m) >= 9 THEN 'severe' ELSE 'warning' END FROM pairs WHERE abs(temperature_2m - fcst_temperature_2m) >= 6""")
+
+@query("d16_forecast_divergence", _DIVERGENCE)
 def d16(spark, d):
     m = X.matching_forecast(views.hourly(spark, d), views.forecasts(spark, d), P)
     return G.forecast_divergence(m).select("station", "t", "metric", F.col("strength").cast("double").alias("strength"), "severity")
 
 
-@query("d17_freezing_line", f"SELECT DISTINCT q.station, q.t FROM {_PEER} q JOIN (SELECT station, t, lag(temperature_2m) OVER (PARTITION BY station ORDER BY t) AS before FROM v1) b ON b.station = q.station AND b.t = q.t WHERE (before < 0 AND own >= 0 AND theirs < 0) OR (before >= 0 AND own < 0 AND theirs >= 0)")
+_FREEZING = f"SELECT DISTINCT q.station, q.t FROM {_PEER} q JOIN (SELECT station, t, lag(temperature_2m) OVER (PARTITION BY station ORDER BY t) AS before FROM v1) b ON b.station = q.station AND b.t = q.t WHERE (before < 0 AND own >= 0 AND theirs < 0) OR (before >= 0 AND own < 0 AND theirs >= 0)"
+
+
+@query("d17_freezing_line", _FREEZING)
 def d17(spark, d):
     h = views.hourly(spark, d)
     return G.freezing_line(h, X.latest_peers(h, views.stations(spark), ["temperature_2m"])).select("station", "t")
 
 
-@query("d19_record", """SELECT station, t, dedupe_key FROM (SELECT *, CASE WHEN v > list_max(past) AND NOT coalesce(past[-1] > list_max(past[:-2]), false) THEN station || '|fun_fact|temperature_2m|record_high' WHEN v < list_min(past) AND NOT coalesce(past[-1] < list_min(past[:-2]), false) THEN station || '|fun_fact|temperature_2m|record_low' END AS dedupe_key
- FROM (SELECT station, t, temperature_2m AS v, list(temperature_2m) OVER (PARTITION BY station ORDER BY t RANGE BETWEEN 1209600 PRECEDING AND 1 PRECEDING) AS past FROM v1) WHERE len(past) >= 12) WHERE dedupe_key IS NOT NULL""")
+_RECORD = """SELECT station, t, dedupe_key FROM (SELECT *, CASE WHEN v > list_max(past) AND NOT coalesce(past[-1] > list_max(past[:-2]), false) THEN station || '|fun_fact|temperature_2m|warm_record' WHEN v < list_min(past) AND NOT coalesce(past[-1] < list_min(past[:-2]), false) THEN station || '|fun_fact|temperature_2m|cold_record' END AS dedupe_key
+ FROM (SELECT station, t, temperature_2m AS v, list(temperature_2m) OVER (PARTITION BY station ORDER BY t RANGE BETWEEN 1209600 PRECEDING AND 1 PRECEDING) AS past FROM v1) WHERE len(past) >= 12) WHERE dedupe_key IS NOT NULL"""
+
+
+@query("d19_record", _RECORD)
 def d19(spark, d):
     return G.record(views.hourly(spark, d), p=P).select("station", "t", "dedupe_key")
 
 
-@query("l8_replay_profiles", "SELECT 'quantile' AS profile, detector, count(*) AS n FROM (SELECT * FROM d3 UNION ALL SELECT * FROM d4 UNION ALL SELECT * FROM d6) GROUP BY detector UNION ALL SELECT 'fixed', k, count(*) FROM (SELECT unnest(list_filter([CASE WHEN temperature_2m_z >= 3.0 THEN 'warm_spell' END, CASE WHEN temperature_2m_z <= -3.0 THEN 'cold_spell' END, CASE WHEN wind_gusts_10m_z IS NOT NULL AND (wind_gusts_10m_z >= 3.2 OR wind_gusts_10m >= 90) THEN 'wind_gust_burst' END], lambda y: y IS NOT NULL)) AS k FROM feat WHERE history_n >= 12) GROUP BY k")
-def l8(spark, d):
-    from dataclasses import replace
+_VARIANTS = (("month_hour", "_m"), ("smooth_clipped", "_c"), ("current", ""))
+
 
-    df = enriched(spark, d)
+@query("l8_replay_profiles", " UNION ALL ".join(f"SELECT '{name}' AS profile, c.detector, count(*) AS raw, count(*) FILTER (WHERE severity = 'severe') AS severe, CAST(sum(CAST(round(score * 1000) AS BIGINT)) AS BIGINT) AS total_milli, (SELECT count(*) FROM rinc{v} r WHERE r.detector = c.detector) AS incidents FROM cand{v} c GROUP BY c.detector" for name, v in _VARIANTS))
+def l8(spark, d):
+    """The replay of all ten detectors under the three presets."""
     out = []
-    for name, p in (("quantile", P), ("fixed", replace(P, quantile_gates=False, surprisal=False))):
-        found = D.detect(df, p, (D.warm_spell, D.cold_spell, D.wind_gust_burst))
-        out.append(found.groupBy("detector").agg(F.count("*").alias("n")).select(F.lit(name).alias("profile"), "detector", "n"))
-    return out[0].unionByName(out[1])
+    for name, p in PRESETS.items():
+        c = candidates(spark, d, p)
+        raw = c.groupBy("detector").agg(F.count("*").alias("raw"), F.count_if(F.col("severity") == "severe").alias("severe"), F.sum(F.round(F.col("score") * 1000).cast("long")).alias("total_milli"))
+        found = incidents(spark, d, "score", c).groupBy("detector").agg(F.count("*").alias("incidents"))
+        out.append(raw.join(found.hint("merge"), "detector", "left").select(F.lit(name).alias("profile"), "detector", "raw", "severe", "total_milli", F.coalesce("incidents", F.lit(0)).alias("incidents")))
+    return reduce(DataFrame.unionByName, out)
 
 
-@query("d18_pack_differently", "SELECT q.station, q.t, q.peer, round(abs(own - theirs) + 1e-9, 3) AS gap FROM (SELECT r.station, r.t, r.apparent_temperature AS own, p.station AS peer, f.apparent_temperature AS theirs FROM (SELECT v1.*, peer_group FROM v1 JOIN v4 USING (station)) r JOIN v4 p ON p.peer_group = r.peer_group AND p.station <> r.station ASOF JOIN v1 f ON f.station = p.station AND f.t <= r.t) q JOIN (SELECT station, t, lag(apparent_temperature) OVER (PARTITION BY station ORDER BY t) AS before FROM v1) b ON b.station = q.station AND b.t = q.t WHERE abs(own - theirs) >= 8 AND abs(before - theirs) < 8")
+_PACK = "SELECT q.station, q.t, q.peer, round(abs(own - theirs) + 1e-9, 3) AS gap FROM (SELECT r.station, r.t, r.apparent_temperature AS own, p.station AS peer, f.apparent_temperature AS theirs FROM (SELECT v1.*, peer_group FROM v1 JOIN v4 USING (station)) r JOIN v4 p ON p.peer_group = r.peer_group AND p.station <> r.station ASOF JOIN v1 f ON f.station = p.station AND f.t <= r.t) q JOIN (SELECT station, t, lag(apparent_temperature) OVER (PARTITION BY station ORDER BY t) AS before FROM v1) b ON b.station = q.station AND b.t = q.t WHERE abs(own - theirs) >= 8 AND abs(before - theirs) < 8"
+
+
+@query("d18_pack_differently", _PACK)
 def d18(spark, d):
     h = views.hourly(spark, d)
     out = G.pack_differently(h, X.latest_peers(h, views.stations(spark), ["apparent_temperature"]))
@@ -799,9 +854,9 @@ def x7(spark, d):
     return views.hourly(spark, d).select("station", "t", amount.alias("amount"), (amount >= P.wet_mm).alias("wet"))
 
 
-@query("x11_wmo_describe", "SELECT station, t, CASE WHEN weather_code = 95 THEN 'Thunderstorm' WHEN weather_code IN (63, 51) THEN 'Rain' ELSE 'Clear' END AS label FROM v1")
+@query("x11_wmo_describe", "SELECT station, t, CASE WHEN weather_code = 95 THEN 'Thunderstorm' WHEN weather_code IN (63, 51) THEN 'Rain' ELSE 'Clear' END AS label, CASE WHEN weather_code = 95 THEN 'storm' WHEN weather_code IN (63, 51) THEN 'precip' ELSE 'clear' END AS category FROM v1")
 def x11(spark, d):
-    return views.hourly(spark, d).select("station", "t", S.weather_description(F.col("weather_code")).alias("label"))
+    return views.hourly(spark, d).withColumn("x", S.weather_description(F.col("weather_code"))).select("station", "t", "x.label", "x.category")
 
 
 @query("x14_priority_score", "SELECT station, t, detector, metric, score, CASE WHEN score < 30 THEN 'info' WHEN score < 60 THEN 'warning' ELSE 'severe' END AS severity FROM cand")
@@ -820,15 +875,27 @@ def x18(spark, d):
     return c.select("station", "t", "detector", "metric", S.strength(F.col("signals"), F.col("severity")).alias("strength"))
 
 
-@query("x19_merge_ids", "SELECT station, detector, metric, onset_t, hits FROM inc WHERE detector IN ('warm_spell', 'cold_spell', 'wind_gust_burst')")
+@query("x19_merge_ids", "SELECT station, detector, metric, onset_t, hits, ts FROM inc WHERE detector IN ('warm_spell', 'cold_spell', 'wind_gust_burst')")
 def x19(spark, d):
+    """The merged ids in their order, shown by the times of their readings."""
     i = incidents(spark, d).filter(F.col("detector").isin("warm_spell", "cold_spell", "wind_gust_burst"))
-    return i.select("station", "detector", "metric", "onset_t", F.size("supporting_ids").cast("long").alias("hits"))
+    key = ["station", "detector", "metric", "onset_t"]
+    ids = i.select(*key, F.posexplode("supporting_ids").alias("k", "id")).join(views.hourly(spark, d).select("id", F.col("t").cast("string").alias("at")).hint("merge"), "id")
+    merged = ids.groupBy(*key).agg(F.count("*").alias("hits"), F.sort_array(F.collect_list(F.struct("k", "at"))).alias("l"))
+    return merged.select(*key, "hits", F.array_join(F.transform("l", lambda x: x.at), ",").alias("ts"))
 
 
-@query("x20_explain")
+@query("x20_explain", "SELECT station, t, detector, metric, reason AS headline, evidence FROM cand")
 def x20(spark, d):
-    return candidates(spark, d).select("station", "t", "detector", "metric", S.explanation(F.col("signals")).alias("evidence"))
+    return candidates(spark, d).withColumn("x", S.explanation(F.col("reason"), F.col("signals"))).select("station", "t", "detector", "metric", "x.headline", "x.evidence")
+
+
+X15_SQL = "SELECT station, t, detector, severity, CASE severity WHEN 'info' THEN 20.0 WHEN 'warning' THEN 45.0 ELSE 70.0 END AS score FROM old"
+
+
+@query("x15_legacy_score")
+def x15(spark, d):
+    return legacy_rules(spark, d).select("station", "t", "detector", "severity", "score")
 
 
 @query("x23_gate_threshold", "SELECT metric, coalesce(upper_z, 3.0) AS upper, coalesce(lower_z, -3.0) AS lower, CASE WHEN upper_z IS NULL THEN 'fixed' ELSE 'quantile' END AS source FROM thr1 WHERE metric <> 'precipitation'")
@@ -847,24 +914,45 @@ def x24(spark, d):
 # ---- comparisons of runs -----------------------------------------------------------------------------
 
 
-@query("a14_before_after", "SELECT k AS detector, (SELECT count(*) FROM inc WHERE detector = k) AS before, (SELECT count(*) FROM rinc WHERE detector = k AND severity <> 'info') AS after FROM (VALUES " + _KINDS + ") AS x(k)")
+_DAYS = "(SELECT sum(round_even(n / 24.0::DOUBLE, 0)) FROM (SELECT count(*) AS n FROM v1 GROUP BY station))"
+
+
+@query("a14_before_after", f"SELECT k AS detector, before, after, round(before / {_DAYS}, 4) AS before_per_day, round(after / {_DAYS}, 4) AS after_per_day FROM (SELECT k, (SELECT count(*) FROM rinc_m WHERE detector = k) AS before, (SELECT count(*) FROM rinc WHERE detector = k) AS after FROM (VALUES " + _KINDS + ") AS x(k))")
 def a14(spark, d):
-    """Counts of two runs side by side; here the incidents of all grades and those above info of a replay."""
-    c, h = candidates(spark, d), views.hourly(spark, d)
+    """Incidents of two replays side by side: on the month and hour baseline, and on the current one."""
     kinds = spark.createDataFrame([(k,) for k in DETECTORS], "detector string")
-    before = lifecycle.incidents(c, h, P).groupBy("detector").agg(F.count("*").alias("before"))
-    after = lifecycle.incidents(c, h, P, "score").filter("severity <> 'info'").groupBy("detector").agg(F.count("*").alias("after"))
-    return kinds.join(before, "detector", "left").join(after, "detector", "left").na.fill(0)
+    for name, preset in (("before", "month_hour"), ("after", "current")):
+        found = incidents(spark, d, "score", candidates(spark, d, PRESETS[preset])).groupBy("detector").agg(F.count("*").alias(name))
+        kinds = kinds.join(found.hint("merge"), "detector", "left")
+    days = E.station_days(views.hourly(spark, d)).select("days")
+    rows = kinds.na.fill(0).join(F.broadcast(days), how="cross")  # one row
+    return rows.select("detector", "before", "after", *[F.round(F.col(c) / F.col("days"), 4).alias(f"{c}_per_day") for c in ("before", "after")])
+
+
+def legacy_rules(spark, d):
+    """All seven rules over the hourly readings."""
+    rows, h = _local(spark, d), views.hourly(spark, d)
+    peers = cut(X.latest_peers(h, views.stations(spark), list(G.CONTRAST_GAPS)))
+    return G.replay(rows, peers, X.matching_forecast(h, views.forecasts(spark, d), P), P)
+
 
+def _named(kind: str, sql: str) -> str:
+    return f"SELECT '{kind}' AS detector, station, t, severity FROM ({sql})"
 
-@query("a15_legacy_vs_native", f"""SELECT 'rapid_change' AS old_type, (SELECT count(*) FROM {_base('temperature_2m', 86400)} WHERE day_n >= 12 AND hist_n >= 12 AND std > 0 AND abs(v - mean) / std >= 2.5) AS old_raw, (SELECT count(*) FROM rinc WHERE detector = 'temperature_shock') AS new_incidents
- UNION ALL SELECT 'comfort_divergence', (SELECT count(*) FROM {_base('gap', 172800, '(SELECT *, abs(apparent_temperature - temperature_2m) AS gap FROM loc1)')} WHERE n >= 7 AND v > mean + 2 * std), (SELECT count(*) FROM rinc WHERE detector IN ('heat_stress', 'cold_stress'))
- UNION ALL SELECT 'wmo_transition', (SELECT count(*) FROM (SELECT {_LEVEL.format('weather_code')} AS now, lag({_LEVEL.format('weather_code')}) OVER (PARTITION BY station ORDER BY t) AS before FROM v1) WHERE abs(now - before) >= 2), 0""")
+
+STEP["old"] = " UNION ALL ".join([
+    *[_named("rapid_change", _rapid(m)) for m in G.CHANGE_METRICS], *[_named("sustained_extreme", _sustained(m)) for m in G.CHANGE_METRICS], *[_named("cross_city_contrast", _contrast(m)) for m in G.CONTRAST_GAPS],
+    _named("wmo_transition", _TRANSITION), _named("comfort_divergence", _COMFORT), _named("forecast_divergence", _DIVERGENCE),
+    *[_named("fun_fact", f"SELECT *, 'info' AS severity FROM ({x})") for x in (_FREEZING, _PACK, _RECORD)],
+])
+_MAP = ", ".join([*[f"('{o}', {repr(' + '.join(ns)) if ns else 'NULL'}, {list(ns)})" for o, ns in G.REPLACED_BY.items()], *[f"(NULL, '{n}', ['{n}'])" for n in G.NEW]])
+
+
+@query("a15_legacy_vs_native", f"SELECT old_type, replacement, (SELECT count(*) FROM old WHERE detector = old_type) AS old_raw, (SELECT count(*) FROM rinc WHERE list_contains(ns, detector)) AS new_incidents FROM (VALUES {_MAP}) AS m(old_type, replacement, ns)")
 def a15(spark, d):
-    """Raw events of a legacy rule against the incidents of what replaced it."""
-    rows, replaced = _local(spark, d), {"rapid_change": ["temperature_shock"], "comfort_divergence": ["heat_stress", "cold_stress"], "wmo_transition": []}
-    old = reduce(DataFrame.unionByName, [G.rapid_change(rows, "temperature_2m", P), G.comfort_divergence(rows, P), G.wmo_transition(rows).withColumn("strength", F.col("strength").cast("double"))])
-    old = old.groupBy(F.col("detector").alias("old_type")).agg(F.count("*").alias("old_raw"))
-    pairs = spark.createDataFrame([(o, n) for o, ns in replaced.items() for n in ns or [None]], "old_type string, detector string")
-    new = pairs.join(incidents(spark, d, "score").select("detector", "onset_t"), "detector", "left").groupBy("old_type").agg(F.count("onset_t").alias("new_incidents"))
-    return new.join(old, "old_type", "left").na.fill(0).select("old_type", "old_raw", "new_incidents")
+    """Raw events of every legacy rule against the incidents of what replaced it."""
+    return G.against_native(legacy_rules(spark, d), incidents(spark, d, "score"))
+
+
+# x15 is registered before the rules it reads have their texts
+ORACLES["x15_legacy_score"] = with_(X15_SQL)

@@ -108,30 +108,40 @@ SELECT l.*, d.* EXCLUDE (station, t), count(*) OVER (PARTITION BY l.station ORDE
 FROM loc1 l JOIN delta d ON d.station = l.station AND d.t = l.t"""
 
 
-def _lookup(metric: str) -> str:
+def _lookup(metric: str, levels: tuple) -> tuple[str, str]:
     joins, coal = "", []
-    for level, keys in (("smooth1", "doy hour"), ("mh1", "month hour"), ("mo1", "month"), ("city1", "")):
+    for level, keys in levels:
         on = "".join(f" AND {level}_{metric}.{k} = h.{k}" for k in keys.split())
         least = "" if level == "city1" else f" AND {level}_{metric}.n >= 10"
         joins += f" LEFT JOIN {level} {level}_{metric} ON {level}_{metric}.metric = '{metric}' AND {level}_{metric}.station = h.station{on}{least}"
         coal.append(level)
     cols = ", ".join(f"coalesce({', '.join(f'{lv}_{metric}.{c}' for lv in coal)}) AS {metric}_{c}" for c in ("median", "scale", "n"))
-    bucket = "CASE " + " ".join(f"WHEN {lv}_{metric}.n IS NOT NULL THEN '{b}'" for lv, b in zip(coal, ("smooth", "month_hour", "month", "city"))) + f" END AS {metric}_bucket"
+    names = {"smooth1": "smooth", "mh1": "month_hour", "mo1": "month", "city1": "city"}
+    bucket = "CASE " + " ".join(f"WHEN {lv}_{metric}.n IS NOT NULL THEN '{names[lv]}'" for lv in coal) + f" END AS {metric}_bucket"
     return cols + ", " + bucket, joins
 
 
 _Z = ("temperature_2m", "wind_gusts_10m", "pressure_msl")
-_l = [_lookup(m) for m in _Z]
-STEP["look"] = f"SELECT h.*, {', '.join(x[0] for x in _l)} FROM hist h {' '.join(x[1] for x in _l)}"
 _eps = {"temperature_2m": 0.5, "wind_gusts_10m": 1.0, "pressure_msl": 0.5}
-STEP["zed"] = "SELECT *, " + ", ".join(f"({m} - {m}_median) / greatest({m}_scale, {_eps[m]}::DOUBLE) AS {m}_z" for m in _Z) + " FROM look"
-STEP["feat"] = (
-    "SELECT *, "
-    + ", ".join(f"CASE WHEN {m}_z IS NULL THEN 0.0 WHEN {m}_bucket IN ('smooth', 'month_hour') THEN 1.0 WHEN {m}_bucket = 'month' THEN 0.55 WHEN {m}_n >= 30 THEN 0.35 ELSE 0.2 END::DOUBLE AS {m}_conf" for m in _Z)
-    + ", "
-    + ", ".join(f"(SELECT {s}_z FROM thr1 WHERE metric = '{m}') AS gate_{m}_{s}" for m in _Z for s in ("upper", "lower"))
-    + ", (SELECT round(quantile_cont(v, 0.995) + 1e-9, 4) FROM val1 WHERE metric = 'precipitation' AND v >= 0.1) AS wet_p995 FROM zed"
-)
+_LEVELS = (("smooth1", "doy hour"), ("mh1", "month hour"), ("mo1", "month"), ("city1", ""))
+
+
+def _features(v: str, levels: tuple, thresholds: str) -> None:
+    """The steps look, zed and feat of a variant: its fallback ladder and the thresholds its gates come from."""
+    found = [_lookup(m, levels) for m in _Z]
+    STEP[f"look{v}"] = f"SELECT h.*, {', '.join(x[0] for x in found)} FROM hist h {' '.join(x[1] for x in found)}"
+    STEP[f"zed{v}"] = "SELECT *, " + ", ".join(f"({m} - {m}_median) / greatest({m}_scale, {_eps[m]}::DOUBLE) AS {m}_z" for m in _Z) + f" FROM look{v}"
+    STEP[f"feat{v}"] = (
+        "SELECT *, "
+        + ", ".join(f"CASE WHEN {m}_z IS NULL THEN 0.0 WHEN {m}_bucket IN ('smooth', 'month_hour') THEN 1.0 WHEN {m}_bucket = 'month' THEN 0.55 WHEN {m}_n >= 30 THEN 0.35 ELSE 0.2 END::DOUBLE AS {m}_conf" for m in _Z)
+        + ", "
+        + ", ".join(f"(SELECT {s}_z FROM {thresholds} WHERE metric = '{m}') AS gate_{m}_{s}" for m in _Z for s in ("upper", "lower"))
+        + f", (SELECT round(quantile_cont(v, 0.995) + 1e-9, 4) FROM val1 WHERE metric = 'precipitation' AND v >= 0.1) AS wet_p995 FROM zed{v}"
+    )
+
+
+_features("", _LEVELS, "thr1")
+_features("_m", _LEVELS[1:], "thrmh1")
 
 
 def rarity(metric: str, kind: str, x: str) -> str:
@@ -176,56 +186,30 @@ def score(**inputs: str) -> str:
 SEVERITY = "CASE WHEN score < 30 THEN 'info' WHEN score < 60 THEN 'warning' ELSE 'severe' END AS severity"
 
 
-def candidate(kind: str, order: int, source: str, where: str, metric: str, strength: str, confidence: str, **inputs: str) -> str:
-    """One detector's rows (station, t, detector, detector_order, metric, strength, score, severity)."""
-    return f"""SELECT *, {SEVERITY} FROM (SELECT station, t, '{kind}' AS detector, {order} AS detector_order, {metric} AS metric, round({strength} + 1e-9, 3) AS strength, {score(**inputs, confidence=confidence)} AS score
+def _p3(x: str) -> str:
+    return f"round(({x})::DOUBLE + 1e-9, 3)"
+
+
+def _one(x: str) -> str:
+    """A number to one place, as text."""
+    return f"CAST(round(({x})::DOUBLE + 1e-9, 1) AS VARCHAR)"
+
+
+def candidate(kind: str, order: int, source: str, where: str, metric: str, strength: str, confidence: str, inputs: dict, reason: str, first3: dict, useful: tuple[str, str]) -> str:
+    """One detector's rows (station, t, detector, detector_order, metric, strength, score, severity, reason, evidence, label)."""
+    evidence = " || ', ' || ".join(f"'{k}=' || coalesce(CAST({_p3(x)} AS VARCHAR), 'none')" for k, x in first3.items())
+    return f"""SELECT *, {SEVERITY} FROM (SELECT station, t, '{kind}' AS detector, {order} AS detector_order, {metric} AS metric, round({strength} + 1e-9, 3) AS strength, {score(**inputs, confidence=confidence)} AS score,
+  {reason} AS reason, {evidence} AS evidence, CASE WHEN {useful[0]} THEN 'useful' WHEN {useful[1]} THEN 'borderline' ELSE 'noise' END AS label
   FROM {source} WHERE history_n >= 12 AND ({where}))"""
 
 
-_T = "temperature_2m"
-_shock_gate = f"abs(CASE WHEN {_T}_z >= 0 THEN coalesce(gate_{_T}_upper, 3.0) ELSE coalesce(gate_{_T}_lower, -3.0) END)"
-STEP["d1"] = candidate(
-    "temperature_shock", 0, "feat", f"abs({_T}_z) >= {_shock_gate} AND abs({_T}_delta) >= 5", f"'{_T}'", f"abs({_T}_z)", f"{_T}_conf",
-    rarity=f"CASE WHEN {_T}_z >= 0 THEN {rarity(_T, 'upper', _T + '_z')} ELSE {rarity(_T, 'lower', _T + '_z')} END", magnitude=f"abs({_T}_delta) / 6.0", compound="0.5",
-)
-_fall, _req = "(-pressure_delta)", "greatest(6.0::DOUBLE, abs(least(0.0::DOUBLE, p05_delta)))"
-_rise = "coalesce(wind_gusts_10m_delta, wind_speed_10m_delta)"
-_wind = "CASE WHEN wind_gusts_10m_delta IS NOT NULL THEN wind_gusts_10m WHEN wind_speed_10m_delta IS NOT NULL THEN wind_speed_10m END"
-STEP["d2"] = candidate(
-    "pressure_plunge", 1, "feat", f"{_fall} > 0 AND n_deltas >= 6 AND {_fall} >= {_req} AND ({_rise} >= 8 OR {_wind} >= 60)", "'pressure_msl'", _fall, "1.0",
-    rarity=f"{_fall} / {_req}", magnitude=f"{_fall} / 10.0", compound="1.0",
-)
-for _k, _kind, _side, _op, _fb in ((2, "warm_spell", "upper", ">=", "3.0"), (3, "cold_spell", "lower", "<=", "-3.0")):
-    STEP[f"d{_k + 1}"] = candidate(
-        _kind, _k, "feat", f"{_T}_z {_op} coalesce(gate_{_T}_{_side}, {_fb})", f"'{_T}'", f"abs({_T}_z)", f"{_T}_conf",
-        rarity=rarity(_T, _side, _T + "_z"), magnitude=f"abs({_T} - {_T}_median) / 12.0", persistence=f"abs({_T}_z) / 4.0",
-    )
-_hg = "greatest(wet_p995, 10.0::DOUBLE)"
-_tg = f"greatest({_hg}, 12.5::DOUBLE)"
-STEP["d5"] = candidate(
-    "heavy_rain_burst", 4, "feat", f"precipitation >= 0.1 AND (precipitation >= {_hg} OR accumulation_6h >= {_tg})", "'precipitation'", "greatest(precipitation, accumulation_6h)", "0.8",
-    rarity=f"greatest({rarity('rain', 'upper', 'precipitation')}, {rarity('rain_6h', 'upper', 'accumulation_6h')})", magnitude="greatest(precipitation / 25.0, accumulation_6h / 50.0)",
-    persistence="accumulation_6h / 15.0", compound=f"CASE WHEN accumulation_6h >= {_tg} THEN 1.0 ELSE 0.5 END",
-)
-_G = "wind_gusts_10m"
-STEP["d6"] = candidate(
-    "wind_gust_burst", 5, "feat", f"{_G}_z IS NOT NULL AND ({_G}_z >= coalesce(gate_{_G}_upper, 3.2) OR {_G} >= 90)", f"'{_G}'", f"greatest({_G}_z, 0.0)", f"{_G}_conf",
-    rarity=rarity(_G, "upper", f"greatest({_G}_z, 0.0::DOUBLE)"), magnitude=f"{_G} / 90.0",
-)
+_T, _G = "temperature_2m", "wind_gusts_10m"
 HUMIDEX = "(temperature_2m + 0.5555::DOUBLE * (6.11::DOUBLE * exp(5417.7530::DOUBLE * (1 / 273.16::DOUBLE - 1 / (273.15::DOUBLE + dew_point_2m))) - 10.0))"
 CHILL = "(CASE WHEN temperature_2m <= 10.0 AND wind_speed_10m > 4.8 THEN 13.12::DOUBLE + 0.6215::DOUBLE * temperature_2m - 11.37::DOUBLE * pow(wind_speed_10m, 0.16::DOUBLE) + 0.3965::DOUBLE * temperature_2m * pow(wind_speed_10m, 0.16::DOUBLE) END)"
-STEP["d7"] = candidate(
-    "heat_stress", 6, "feat", f"{HUMIDEX} >= 38", "'humidex'", f"CASE WHEN {_T}_z IS NOT NULL THEN greatest({_T}_z, 0.0) ELSE {HUMIDEX} - 38 END", f"{_T}_conf",
-    rarity=f"coalesce({rarity(_T, 'upper', f'greatest({_T}_z, 0.0::DOUBLE)')}, 0.0)", magnitude=f"({HUMIDEX} - 38.0) / 2", compound="1.0", persistence="0.5",
-)
-STEP["d8"] = candidate(
-    "cold_stress", 7, "feat", f"{CHILL} <= -25", "'wind_chill'", f"coalesce(abs({_T}_z), 0.0)", f"{_T}_conf",
-    rarity=f"coalesce({rarity(_T, 'lower', f'least({_T}_z, 0.0::DOUBLE)')}, 0.0)", magnitude=f"(-25.0 - {CHILL}) / 10", compound="1.0", persistence="0.5",
-)
+_FM = {"temperature_2m": (1.0, 8.0), "precipitation": (1.0, 10.0), "wind_speed_10m": (3.0, 30.0), "wind_gusts_10m": (5.0, 40.0), "pressure_msl": (1.0, 12.0)}
 STEP["pairs"] = """
-SELECT v1.station, v1.t, lead_hours, """ + ", ".join(f"v1.{m}, v5.{m} AS fcst_{m}" for m in ("temperature_2m", "precipitation", "wind_speed_10m", "wind_gusts_10m", "pressure_msl")) + """
+SELECT v1.station, v1.t, lead_hours, """ + ", ".join(f"v1.{m}, v5.{m} AS fcst_{m}" for m in _FM) + """
 FROM v1 JOIN v5 ON v5.station = v1.station AND v5.target_t = v1.t WHERE lead_hours BETWEEN 3 AND 12"""
-_FM = {"temperature_2m": (1.0, 8.0), "precipitation": (1.0, 10.0), "wind_speed_10m": (3.0, 30.0), "wind_gusts_10m": (5.0, 40.0), "pressure_msl": (1.0, 12.0)}
 STEP["newest"] = """
 SELECT a.t AS at, p.*, row_number() OVER (PARTITION BY a.t ORDER BY p.t DESC, p.station) AS k FROM (SELECT DISTINCT t FROM v1) a JOIN pairs p ON p.t >= a.t - 1209600 AND p.t < a.t"""
 STEP["mae"] = (
@@ -233,45 +217,123 @@ STEP["mae"] = (
     + ", ".join(f"greatest(coalesce(avg(abs(n.{m} - n.fcst_{m})), {f}::DOUBLE), {f}::DOUBLE) AS {m}_mae, count(abs(n.{m} - n.fcst_{m})) AS {m}_pairs" for m, (f, _) in _FM.items())
     + " FROM (SELECT DISTINCT t FROM v1) a LEFT JOIN newest n ON n.at = a.t AND n.k <= 200 GROUP BY a.t"
 )
-STEP["bust"] = " UNION ALL ".join(
-    f"SELECT f.station, f.t, f.history_n, '{m}' AS m, abs(p.{m} - p.fcst_{m}) AS err, abs(p.{m} - p.fcst_{m}) / {m}_mae AS norm, {a}::DOUBLE AS anchor, {m}_pairs AS pairs FROM feat f JOIN pairs p ON p.station = f.station AND p.t = f.t JOIN mae ON mae.t = f.t" for m, (_, a) in _FM.items()
-)
-STEP["d9"] = candidate("forecast_bust", 8, "bust", "pairs >= 3 AND norm >= 2.5", "m", "err", "1.0", magnitude="err / anchor", forecast_surprise="norm / 4.0")
-STEP["peers"] = f"""
-SELECT r.station, r.t, p.station AS peer, f.t AS peer_t, {', '.join(f'f.{m}, f.{m}_z, f.{m}_conf' for m in _Z)} FROM (SELECT station, t, peer_group FROM v1 JOIN v4 USING (station)) r
-JOIN v4 p ON p.peer_group = r.peer_group AND p.station <> r.station ASOF JOIN feat f ON f.station = p.station AND f.t <= r.t"""
-STEP["middle"] = "SELECT station, t, " + ", ".join(f"median({m}_z) FILTER (WHERE {m}_z IS NOT NULL AND {m}_conf > 0) AS {m}_mid" for m in _Z) + " FROM peers GROUP BY station, t"
-STEP["spat"] = "SELECT f.*, " + ", ".join(f"{m}_mid" for m in _Z) + " FROM feat f JOIN middle USING (station, t)"
-_parts = []
-for _m in _Z:
-    _up = f"coalesce(gate_{_m}_upper, {'3.2' if _m == _G else '3.0'})"
-    if _m == _G:
-        _own, _rar = f"{_m}_z >= {_up}", rarity(_m, "upper", f"greatest({_m}_z, 0.0::DOUBLE)")
-    else:
-        _own = f"CASE WHEN {_m}_z >= 0 THEN {_m}_z >= {_up} ELSE {_m}_z <= coalesce(gate_{_m}_lower, -3.0) END"
-        _rar = f"CASE WHEN {_m}_z >= 0 THEN {rarity(_m, 'upper', _m + '_z')} ELSE {rarity(_m, 'lower', _m + '_z')} END"
-    _parts.append(candidate("spatial_anomaly", 9, "spat", f"{_own} AND abs({_m}_z - {_m}_mid) >= 5", f"'{_m}'", f"abs({_m}_z)", f"{_m}_conf", rarity=_rar, spatial=f"abs({_m}_z - {_m}_mid) / 5.0"))
-STEP["d10"] = " UNION ALL ".join(_parts)
-STEP["cand"] = " UNION ALL ".join(f"SELECT * FROM d{k}" for k in range(1, 11))
 STEP["seqd"] = "SELECT station, t, row_number() OVER (PARTITION BY station ORDER BY t) AS seq FROM v1"
-STEP["best"] = "SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY station, detector, metric, t ORDER BY score DESC, detector_order DESC) = 1"
-STEP["hits"] = """
-SELECT *, sum(fresh) OVER (PARTITION BY station, detector, metric ORDER BY seq) AS island FROM (
-  SELECT *, CASE WHEN seq - lag(seq) OVER w - 1 < 2 THEN 0 ELSE 1 END AS fresh FROM best JOIN seqd USING (station, t) WHERE strength >= 0.5 WINDOW w AS (PARTITION BY station, detector, metric ORDER BY seq))"""
-STEP["opened"] = "SELECT station, detector, metric, island, min(seq) AS opened FROM hits WHERE strength >= 1.0 GROUP BY ALL"
-STEP["live"] = "SELECT h.*, opened FROM hits h JOIN opened USING (station, detector, metric, island) WHERE seq >= opened"
 
 
-def _incidents(by: str) -> str:
-    return f"""
+def _detectors(v: str, feat: str, clipped: bool) -> None:
+    """The steps from features to incidents of a variant; clipped: without surprisal."""
+
+    def rare(metric: str, kind: str, x: str) -> str:
+        return f"least(abs({x}) / 4.0, 1.0)" if clipped else rarity(metric, kind, x)
+
+    shock_gate = f"abs(CASE WHEN {_T}_z >= 0 THEN coalesce(gate_{_T}_upper, 3.0) ELSE coalesce(gate_{_T}_lower, -3.0) END)"
+    z, dt = f"abs({_T}_z)", f"{_T}_delta"
+    STEP[f"d1{v}"] = candidate(
+        "temperature_shock", 0, feat, f"{z} >= {shock_gate} AND abs({dt}) >= 5", f"'{_T}'", z, f"{_T}_conf",
+        {"rarity": f"CASE WHEN {_T}_z >= 0 THEN {rare(_T, 'upper', _T + '_z')} ELSE {rare(_T, 'lower', _T + '_z')} END", "magnitude": f"abs({dt}) / 6.0", "compound": "0.5"},
+        f"station || ' saw a ' || CASE WHEN {dt} > 0 THEN 'warming' ELSE 'cooling' END || ' temperature shock: ' || {_one(_T)} || 'C is ' || {_one(z)} || ' sigma from the local-hour baseline and changed ' || CASE WHEN {dt} >= 0 THEN '+' ELSE '' END || {_one(dt)} || 'C in 3h.'",
+        {"value": _T, "median": f"{_T}_median", "scale": f"{_T}_scale"}, (f"{_p3(z)} >= 4 AND abs({_p3(dt)}) >= 8", f"{_p3(z)} >= 3.5"),
+    )
+    fall, req = "(-pressure_delta)", "greatest(6.0::DOUBLE, abs(least(0.0::DOUBLE, p05_delta)))"
+    rise = "coalesce(wind_gusts_10m_delta, wind_speed_10m_delta)"
+    wind = "CASE WHEN wind_gusts_10m_delta IS NOT NULL THEN wind_gusts_10m WHEN wind_speed_10m_delta IS NOT NULL THEN wind_speed_10m END"
+    STEP[f"d2{v}"] = candidate(
+        "pressure_plunge", 1, feat, f"{fall} > 0 AND n_deltas >= 6 AND {fall} >= {req} AND ({rise} >= 8 OR {wind} >= 60)", "'pressure_msl'", fall, "1.0",
+        {"rarity": f"{fall} / {req}", "magnitude": f"{fall} / 10.0", "compound": "1.0"},
+        f"station || ' shows storm-onset signals: pressure_msl fell ' || {_one(fall)} || ' hPa in 3h while ' || CASE WHEN wind_gusts_10m_delta IS NOT NULL THEN 'wind_gusts_10m' ELSE 'wind_speed_10m' END || ' rose ' || {_one(rise)} || ' km/h.'",
+        {"pressure_fall_hpa": fall, "difference": fall, "pressure_delta_hpa": "pressure_delta"}, (f"{_p3(fall)} >= 10", f"{_p3(fall)} >= 8"),
+    )
+    for k, kind, tail, side, op, fb in ((2, "warm_spell", "warm", "upper", ">=", "3.0"), (3, "cold_spell", "cold", "lower", "<=", "-3.0")):
+        away = f"abs({_T} - {_T}_median)"
+        STEP[f"d{k + 1}{v}"] = candidate(
+            kind, k, feat, f"{_T}_z {op} coalesce(gate_{_T}_{side}, {fb})", f"'{_T}'", z, f"{_T}_conf",
+            {"rarity": rare(_T, side, _T + "_z"), "magnitude": f"{z} / 6.0" if clipped else f"{away} / 12.0", "persistence": f"{z} / 4.0"},
+            f"station || ' is in a {tail} temperature spell: ' || {_one(_T)} || 'C is ' || {_one(z)} || ' sigma from the local-hour baseline.'",
+            {"value": _T, "median": f"{_T}_median", "departure_c": away}, (f"{_p3(z)} >= 4 OR {_p3(away)} >= 10", f"{_p3(z)} >= 3.2"),
+        )
+    hg = "greatest(wet_p995, 10.0::DOUBLE)"
+    tg = f"greatest({hg}, 12.5::DOUBLE)"
+    amount, total = "precipitation", "accumulation_6h"
+    STEP[f"d5{v}"] = candidate(
+        "heavy_rain_burst", 4, feat, f"{amount} >= 0.1 AND ({amount} >= {hg} OR {total} >= {tg})", "'precipitation'", f"greatest({amount}, {total})", "0.8",
+        {
+            "rarity": "1.0" if clipped else f"greatest({rarity('rain', 'upper', amount)}, {rarity('rain_6h', 'upper', total)})",
+            "magnitude": f"greatest({amount}, {total}) / 20.0" if clipped else f"greatest({amount} / 25.0, {total} / 50.0)",
+            "persistence": f"{total} / 15.0", "compound": f"CASE WHEN {total} >= {tg} THEN 1.0 ELSE 0.5 END",
+        },
+        f"station || ' has a heavy rain burst: ' || {_one(amount)} || ' mm this hour and ' || {_one(total)} || ' mm over 6h exceeds the wet-hour threshold of ' || {_one(hg)} || ' mm.'",
+        {"amount_mm": amount, "accumulation_mm": total, "difference": f"greatest({amount}, {total})"},
+        (f"{_p3(amount)} >= 15 OR {_p3(total)} >= 20", f"{_p3(amount)} >= 10 OR {_p3(total)} >= 15"),
+    )
+    high = f"greatest({_G}_z, 0.0::DOUBLE)"
+    STEP[f"d6{v}"] = candidate(
+        "wind_gust_burst", 5, feat, f"{_G}_z IS NOT NULL AND ({_G}_z >= coalesce(gate_{_G}_upper, 3.2) OR {_G} >= 90)", f"'{_G}'", high, f"{_G}_conf",
+        {"rarity": rare(_G, "upper", high), "magnitude": f"{_G} / 90.0"},
+        f"station || ' has an unusual gust burst: ' || {_one(_G)} || ' km/h is ' || {_one(_G + '_z')} || ' sigma above the local-hour baseline.'",
+        {"value": _G, "median": f"{_G}_median", "z_score": high}, (f"{_p3(_G)} >= 80", f"{_p3(_G)} >= 70 OR {_p3(high)} >= 4"),
+    )
+    warm, cold = f"greatest({_T}_z, 0.0::DOUBLE)", f"least({_T}_z, 0.0::DOUBLE)"
+    STEP[f"d7{v}"] = candidate(
+        "heat_stress", 6, feat, f"{HUMIDEX} >= 38", "'humidex'", f"CASE WHEN {_T}_z IS NOT NULL THEN {warm} ELSE {HUMIDEX} - 38 END", f"{_T}_conf",
+        {"rarity": f"coalesce({rare(_T, 'upper', warm)}, 0.0)", "magnitude": f"({HUMIDEX} - 38.0) / 2", "compound": "1.0", "persistence": "0.5"},
+        f"station || ' has heat stress conditions: Humidex ' || {_one(HUMIDEX)} || ' from ' || {_one(_T)} || 'C air and ' || {_one('dew_point_2m')} || 'C dew point.'",
+        {"humidex": HUMIDEX, "gap": f"{HUMIDEX} - 38", _T: _T}, (f"{_p3(HUMIDEX)} >= 40", f"{_p3(HUMIDEX)} >= 39"),
+    )
+    STEP[f"d8{v}"] = candidate(
+        "cold_stress", 7, feat, f"{CHILL} <= -25", "'wind_chill'", f"coalesce(abs({_T}_z), 0.0)", f"{_T}_conf",
+        {"rarity": f"coalesce({rare(_T, 'lower', cold)}, 0.0)", "magnitude": f"(-25.0 - {CHILL}) / 10", "compound": "1.0", "persistence": "0.5"},
+        f"station || ' has cold stress conditions: wind chill ' || {_one(CHILL)} || 'C with ' || {_one(_T)} || 'C air and ' || {_one('wind_speed_10m')} || ' km/h wind.'",
+        {"wind_chill": CHILL, "gap": f"-25 - {CHILL}", _T: _T}, (f"{_p3(CHILL)} <= -30", f"{_p3(CHILL)} <= -27"),
+    )
+    STEP[f"bust{v}"] = " UNION ALL ".join(
+        f"SELECT f.station, f.t, f.history_n, '{m}' AS m, p.{m} AS obs, p.fcst_{m} AS fc, abs(p.{m} - p.fcst_{m}) AS err, abs(p.{m} - p.fcst_{m}) / {m}_mae AS norm, {a}::DOUBLE AS anchor, {m}_pairs AS n_pairs FROM {feat} f JOIN pairs p ON p.station = f.station AND p.t = f.t JOIN mae ON mae.t = f.t"
+        for m, (_, a) in _FM.items()
+    )
+    STEP[f"d9{v}"] = candidate(
+        "forecast_bust", 8, f"bust{v}", "n_pairs >= 3 AND norm >= 2.5", "m", "err", "1.0", {"magnitude": "err / anchor", "forecast_surprise": "norm / 4.0"},
+        f"station || chr(39) || 's ' || m || ' missed the stored forecast by ' || {_one('err')} || ', ' || {_one('norm')} || 'x the recent global MAE.'",
+        {"observed": "obs", "forecast": "fc", "residual": "obs - fc"}, (f"{_p3('norm')} >= 4", "true"),
+    )
+    STEP[f"peers{v}"] = f"""
+SELECT r.station, r.t, p.station AS peer, f.t AS peer_t, {', '.join(f'f.{m}, f.{m}_z, f.{m}_conf' for m in _Z)} FROM (SELECT station, t, peer_group FROM v1 JOIN v4 USING (station)) r
+JOIN v4 p ON p.peer_group = r.peer_group AND p.station <> r.station ASOF JOIN {feat} f ON f.station = p.station AND f.t <= r.t"""
+    STEP[f"middle{v}"] = "SELECT station, t, " + ", ".join(f"median({m}_z) FILTER (WHERE {m}_z IS NOT NULL AND {m}_conf > 0) AS {m}_mid" for m in _Z) + f" FROM peers{v} GROUP BY station, t"
+    STEP[f"spat{v}"] = "SELECT f.*, " + ", ".join(f"{m}_mid" for m in _Z) + f" FROM {feat} f JOIN middle{v} USING (station, t)"
+    parts = []
+    for m in _Z:
+        up, low = f"coalesce(gate_{m}_upper, {'3.2' if m == _G else '3.0'})", f"coalesce(gate_{m}_lower, -3.0)"
+        if m == _G:
+            own, rar, limit = f"{m}_z >= {up}", rare(m, "upper", f"greatest({m}_z, 0.0::DOUBLE)"), up
+        else:
+            own = f"CASE WHEN {m}_z >= 0 THEN {m}_z >= {up} ELSE {m}_z <= {low} END"
+            rar = f"CASE WHEN {m}_z >= 0 THEN {rare(m, 'upper', m + '_z')} ELSE {rare(m, 'lower', m + '_z')} END"
+            limit = f"abs(CASE WHEN {m}_z >= 0 THEN {up} ELSE {low} END)"
+        gap = f"abs({m}_z - {m}_mid)"
+        parts.append(candidate(
+            "spatial_anomaly", 9, f"spat{v}", f"{own} AND {gap} >= 5", f"'{m}'", f"abs({m}_z)", f"{m}_conf", {"rarity": rar, "spatial": f"{gap} / 5.0"},
+            f"station || chr(39) || 's {m} anomaly differs from peers by ' || {_one(gap)} || ' sigma in climatology-normalized space.'",
+            {"z_score": f"abs({m}_z)", "signed_z_score": f"{m}_z", "threshold_z": limit}, (f"{_p3(gap)} >= 8", f"{_p3(gap)} >= 6"),
+        ))
+    STEP[f"d10{v}"] = " UNION ALL ".join(parts)
+    STEP[f"cand{v}"] = " UNION ALL ".join(f"SELECT * FROM d{k}{v}" for k in range(1, 11))
+    STEP[f"best{v}"] = f"SELECT * FROM cand{v} QUALIFY row_number() OVER (PARTITION BY station, detector, metric, t ORDER BY score DESC, detector_order DESC) = 1"
+    STEP[f"hits{v}"] = f"""
+SELECT *, sum(fresh) OVER (PARTITION BY station, detector, metric ORDER BY seq) AS island FROM (
+  SELECT *, CASE WHEN seq - lag(seq) OVER w - 1 < 2 THEN 0 ELSE 1 END AS fresh FROM best{v} JOIN seqd USING (station, t) WHERE strength >= 0.5 WINDOW w AS (PARTITION BY station, detector, metric ORDER BY seq))"""
+    STEP[f"opened{v}"] = f"SELECT station, detector, metric, island, min(seq) AS opened FROM hits{v} WHERE strength >= 1.0 GROUP BY ALL"
+    STEP[f"live{v}"] = f"SELECT h.*, opened FROM hits{v} h JOIN opened{v} USING (station, detector, metric, island) WHERE seq >= opened"
+    for name, by in (("inc", "strength"), ("rinc", "score")):
+        STEP[f"{name}{v}"] = f"""
 SELECT i.* EXCLUDE (last_seq, island), s.t AS resolved_t, CASE WHEN s.t IS NOT NULL THEN 'resolved' WHEN hits > 1 THEN 'ongoing' ELSE 'open' END AS status,
   CASE WHEN priority_score < 30 THEN 'info' WHEN priority_score < 60 THEN 'warning' ELSE 'severe' END AS severity FROM (
-  SELECT station, detector, metric, island, min(t) AS onset_t, max(t) AS last_t, max(seq) AS last_seq, count(*) AS hits, arg_max(t, {{'x': {by}, 'y': -seq}}) AS peak_t, max(strength) AS peak_strength, max(score) AS priority_score
-  FROM live GROUP BY ALL) i LEFT JOIN seqd s ON s.station = i.station AND s.seq = i.last_seq + 2"""
+  SELECT station, detector, metric, island, min(t) AS onset_t, max(t) AS last_t, max(seq) AS last_seq, count(*) AS hits, arg_max(t, {{'x': {by}, 'y': -seq}}) AS peak_t, max(strength) AS peak_strength, max(score) AS priority_score,
+    arg_max(label, {{'x': {by}, 'y': -seq}}) AS label, string_agg(CAST(t AS VARCHAR), ',' ORDER BY seq) AS ts
+  FROM live{v} GROUP BY ALL) i LEFT JOIN seqd s ON s.station = i.station AND s.seq = i.last_seq + 2"""
 
 
-STEP["inc"] = _incidents("strength")
-STEP["rinc"] = _incidents("score")
+_detectors("", "feat", clipped=False)
+_detectors("_c", "feat", clipped=True)  # smooth baseline, clipped scores
+_detectors("_m", "feat_m", clipped=True)  # month and hour baseline, clipped scores
 
 
 def with_(body: str) -> str:

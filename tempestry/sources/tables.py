@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tempestry.operators.lineage import cut
+
 READING = "id long, station string, t long, temperature_2m double, apparent_temperature double, dew_point_2m double, precipitation double, wind_speed_10m double, wind_gusts_10m double, pressure_msl double, surface_pressure double, weather_code int"
 
 
@@ -19,11 +22,32 @@ def read_climatology(spark: SparkSession, path: str, names) -> dict[str, DataFra
 
 
 def write_events(incidents: DataFrame, path: str) -> None:
-    """Upsert by day of onset: the days at hand are replaced, others stay."""
-    rows = incidents.withColumn("event_date", F.to_date(F.timestamp_seconds("onset_t")))
+    """Upsert by incident (event_id): known ones are replaced, others stay.
+
+    An incident's day of onset never changes, so only the partitions of the days at hand are read, merged and written
+    anew; of several versions of an incident among `incidents` the one that lasted longest counts.
+    """
+    spark = incidents.sparkSession
+    newest = Window.partitionBy("event_id").orderBy(F.desc("last_t"), F.desc_nulls_last("resolved_t"))
+    rows = incidents.withColumn("event_date", F.to_date(F.timestamp_seconds("onset_t"))).withColumn("_k", F.row_number().over(newest)).filter("_k = 1").drop("_k")
+    rows = cut(rows)
+    known = _existing(spark, path)
+    if known is not None:
+        days = [r.event_date for r in rows.select("event_date").distinct().collect()]  # prunes partitions; a row a day
+        stay = known.filter(F.col("event_date").isin(days)).join(rows.select("event_id").hint("merge"), "event_id", "left_anti")
+        rows = cut(rows.unionByName(stay, allowMissingColumns=True))  # computed before the partitions are replaced
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
 
 
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def stream_readings(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """Landed JSON readings as a stream, first arrival per station and time within the watermark."""
     rows = spark.readStream.schema(READING).option("maxFilesPerTrigger", files_per_batch).json(path)
