@@ -11,15 +11,15 @@ segments meet, the one in the smallest document stands for them, and the others
 by the identifiers next to the q-gram on either side, which drops buckets that agree in little more than it.
 Round three splits what is left by the identifiers of the windows themselves.  Buckets of a single document drop
 out after each round.  Identifiers need no global numbering: they are pairs of 64-bit hashes of two families, which
-together tell any two strings of 16 bytes apart and are independent beyond.  Rounds one and three compare 96 bits of
-them, round one within a bucket of the q-gram (32 bits more); bytes aren't compared afterwards.  In a bucket of
-10^10 different segments, a wrong removal has a probability of 1e-9.
+together tell any two strings of 16 bytes apart and are independent beyond.  Round one compares 80 bits of them
+within a bucket of the q-gram (32 bits more), round three 96; bytes aren't compared afterwards.  In a bucket of
+10^9 different segments, a wrong removal has a probability of 4e-7.
 
 How it scales.  A task ships its positions as one packed row per bucket range, equal segments of one slice of
 text already merged to the smallest document, so a passage that a third of all documents share is one entry a
-slice.  Round three deals windows by their own identifiers, merged likewise.  What one task holds is a bucket range;
-at the edge of a passage that many documents share, segments differ in every document, and their q-gram's bucket has
-an entry of each of these documents in one range.  Texts are shuffled once to meet their spans; only texts with stretches undecided after round two go on.
+slice; undecided windows are merged likewise.  What one task holds is a bucket range; at the edge of a passage that
+many documents share, segments differ in every document, and their q-gram's bucket has an entry of each of these
+documents in one range.  Texts are shuffled once to meet their spans; only texts with stretches undecided after round two go on.
 
 Defined results: a null text is empty; a null doc_id counts as larger than all others (but for 2^63 - 1, its equal);
 rows of the same doc_id, or of none, are no smaller documents to one another, and are told apart by a hash of their
@@ -234,9 +234,9 @@ SPANS = "doc_id long, lost boolean, print int, spans binary"
 SPAN = np.dtype([("start", "<u4"), ("size", "<u4"), ("kind", "u1")])
 
 
-#: Bytes kept in rounds one and two of the q-gram's identifier, the segment's first, and its second (four) with one each
+#: Bytes kept in rounds one and two of the q-gram's identifier, the segment's first, and its second (two) with one each
 #: of its neighbours'; in round three of the windows'.
-ROUND_ONE, ROUND_THREE = (4, 8, 6), (0, 8, 4)
+ROUND_ONE, ROUND_THREE = (4, 8, 4), (0, 8, 4)
 REMOVED, OPEN = 1, 2
 
 
@@ -315,7 +315,7 @@ def _round_one(p: SubstringParams, ranges: int):
             key, whole, more, before, after = _keys(s, p)
             rank = _rank(ids, lost)[s.owner]
             stays = rank <= _smallest(rank, whole, more, key)  # merged within the slice: others are removed here
-            b = (more >> U(32) << U(16)) | (before >> U(56) << U(8)) | (after >> U(56))
+            b = (more >> U(48) << U(16)) | (before >> U(56) << U(8)) | (after >> U(56))
             part = ((key & U(0xFFFFFFFF)) % U(ranges)).astype(np.int64)
             key = key >> U(32)
             first, at = s.first - s.starts[s.owner], s.at - s.first
@@ -398,14 +398,14 @@ def _settle(p: SubstringParams):
 
 
 def _windows(p: SubstringParams, ranges: int):
-    """Round three: the undecided windows of every text, dealt by their identifiers."""
+    """Round three: the undecided windows of every text, dealt by their q-gram bucket, so that neighbours mostly meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for batch in batches for piece in tokens.pieces(batch, "body", p.slice_bytes // 4)):
             ids, lost, prints = _columns(batch)
             texts = [_opened(b, n) for b, n in zip(batch.column("body").to_pylist(), batch.column("n_bytes").to_pylist())]
-            i32 = identifiers(np.frombuffer(b"".join(texts), np.uint8))
-            starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+            s = positions(texts, p)
+            i32, starts = s.ids, s.starts
             open_ = [np.frombuffer(b, "<i4").reshape(-1, 2) for b in batch.column("open").to_pylist()]
             doc = np.repeat(np.arange(len(texts)), [len(o) for o in open_])
             o = np.concatenate(open_).astype(np.int64)
@@ -414,7 +414,8 @@ def _windows(p: SubstringParams, ranges: int):
             doc = np.repeat(doc, size)
             a = tokens.mixed(i32["a32"][at] * tokens.BASE + i32["a32"][at + p.length - 32])
             b = tokens.mixed(i32["b32"][at] * tokens.BASE + i32["b32"][at + p.length - 32]) >> U(32)
-            part = ((a >> U(16)) % U(ranges)).astype(np.int64)
+            key = i32["a16"][s.at[np.searchsorted(s.first, at, side="right") - 1]]
+            part = ((key & U(0xFFFFFFFF)) % U(ranges)).astype(np.int64)
             at, none = at - starts[doc], np.zeros(len(at), np.int64)
             rank = _rank(ids, lost)[doc]
             stays = rank <= _smallest(rank, a, b)  # merged within the slice
