@@ -79,6 +79,11 @@ def climatology1(spark: SparkSession, d: str) -> dict:
     return _FITTED[key]
 
 
+def forget() -> None:
+    """Fit anew, for example over other stations."""
+    _FITTED.clear()
+
+
 def enriched(spark: SparkSession, d: str, p: Profile = P) -> DataFrame:
     """Features of all hourly readings; computed once, since every detector starts from them."""
     fitted = climatology1(spark, d)
@@ -956,3 +961,104 @@ def a15(spark, d):
 
 # x15 is registered before the rules it reads have their texts
 ORACLES["x15_legacy_score"] = with_(X15_SQL)
+
+
+# ---- stored tables and streams -------------------------------------------------------------------------
+# Every stream reads files that Spark writes from the given tables, in several micro-batches, and ends by itself.
+
+from tempestry.streaming import detection as stream_detection  # noqa: E402
+from tempestry.streaming import lifecycle as stream_lifecycle  # noqa: E402
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _landed(df: DataFrame, path: str, batches: int = 4) -> None:
+    """`df` as JSON files, one per span of time, written in order of time."""
+    a, z = df.agg(F.min("t"), F.max("t")).first()
+    if a is None:
+        return
+    step = (z - a) // batches + 1
+    for k in range(batches):
+        df.filter((F.col("t") >= a + k * step) & (F.col("t") < a + (k + 1) * step)).coalesce(1).write.mode("append").json(path)
+
+
+def _drained(stream: DataFrame, path: str, each=None) -> DataFrame:
+    """All that a stream of the files at hand gives, through `each` (batch, id) or appended to a table."""
+    spark = stream.sparkSession
+    out = f"{path}/out"
+
+    def append(batch: DataFrame, _: int) -> None:
+        batch.write.mode("append").parquet(out)
+
+    writer = stream.writeStream.outputMode("append" if each is None else "update").option("checkpointLocation", f"{path}/state").foreachBatch(each or append)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("s6_stream_readings", "SELECT station, t, temperature_2m, precipitation, wind_gusts_10m, weather_code FROM v1")
+def s6(spark, d):
+    """Every reading lands twice; the stream keeps the first."""
+    path, h = _folder(spark, "stream"), views.hourly(spark, d)
+    _landed(h.unionByName(h), f"{path}/in")
+    rows = _drained(tables.stream_readings(spark, f"{path}/in", files_per_batch=1), path)
+    return rows.select("station", "t", "temperature_2m", "precipitation", "wind_gusts_10m", "weather_code")
+
+
+@query("s9_write_events", f"SELECT {', '.join(c for c in INCIDENT if c != 'status')}, CASE WHEN hits > 1 THEN status ELSE 'open' END AS status FROM inc")
+def s9(spark, d):
+    """All incidents as open, then the longer ones as they ended: upserts keep the others of the same days."""
+    path, rows = _folder(spark, "events"), cut(incidents(spark, d))
+    tables.write_events(rows.withColumn("status", F.lit("open")), path)
+    tables.write_events(rows.filter("hits > 1"), path)
+    return spark.read.parquet(path).select(*INCIDENT)
+
+
+@query("s10_climatology_tables", "SELECT 'month_hour' AS level, station, metric, n, median, mad, scale FROM mh1 UNION ALL SELECT 'month', station, metric, n, median, mad, scale FROM mo1 UNION ALL SELECT 'city', station, metric, n, median, mad, scale FROM city1")
+def s10(spark, d):
+    levels = climatology1(spark, d)["levels"]
+    return reduce(DataFrame.unionByName, [levels[k].select(F.lit(k).alias("level"), "station", "metric", "n", "median", "mad", "scale") for k in ("month_hour", "month", "city")])
+
+
+@query("a26_detection_quality", """SELECT label_id AS scenario, CAST(len(list_intersect(e, g)) AS INT) AS tp, CAST(len(g) - len(list_intersect(e, g)) AS INT) AS fp, CAST(len(e) - len(list_intersect(e, g)) AS INT) AS fn
+ FROM (SELECT label_id, list(expected_type) AS e, any_value(station) AS station, any_value(from_t) AS a, any_value(until_t) AS z FROM v6 GROUP BY label_id) l
+ JOIN (SELECT y.label_id, coalesce(list(DISTINCT r.detector) FILTER (WHERE r.detector IS NOT NULL), []) AS g FROM (SELECT DISTINCT label_id, station, from_t, until_t FROM v6) y LEFT JOIN rinc r ON r.station = y.station AND r.onset_t BETWEEN y.from_t AND y.until_t GROUP BY y.label_id) m USING (label_id)""")
+def a26(spark, d):
+    """Labelled windows as scenarios: the expected detectors against those found."""
+    labels = views.labels(spark)
+    got = E.label_matches(incidents(spark, d, "score"), labels).groupBy("label_id").agg(F.collect_set("detector").alias("got"))
+    rows = labels.join(got.hint("merge"), "label_id", "left").select(F.col("label_id").alias("scenario"), "expected", F.coalesce("got", F.array().cast("array<string>")).alias("got"))
+    return E.detection_quality(rows)
+
+
+@query("l5_stream_lifecycle", "SELECT station, station || '|' || detector || '|' || metric AS dedupe_key, onset_t, last_t, peak_t, peak_strength, priority_score, CAST(hits AS INT) AS hits, resolved_t, status FROM inc")
+def l5(spark, d):
+    """The lifecycle from a stream of readings with their candidates; of every incident its last state."""
+    path, c = _folder(spark, "stream"), candidates(spark, d)
+    ticks = cut(stream_lifecycle.ticks(views.hourly(spark, d), c))
+    _landed(ticks, f"{path}/in")
+    source = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).json(f"{path}/in")
+
+    def append(batch: DataFrame, _: int) -> None:
+        batch.write.mode("append").parquet(f"{path}/out")
+
+    seen = _drained(stream_lifecycle.stream_incidents(source, P), path, append).filter("status <> 'late'")
+    last = F.max_by(F.struct("last_t", "peak_t", "peak_strength", "priority_score", "hits", "resolved_t", "status"), F.struct("hits", F.col("resolved_t").isNotNull()))
+    return seen.groupBy("station", "dedupe_key", "onset_t").agg(last.alias("x")).select("station", "dedupe_key", "onset_t", "x.*")
+
+
+@query("l6_stream_detect", "SELECT station, t, detector, metric, strength, score, severity FROM cand WHERE detector NOT IN ('forecast_bust', 'spatial_anomaly')")
+def l6(spark, d):
+    """Detection on arrival of the eight detectors that need no other tables; each micro-batch sees the stored history."""
+    path, h = _folder(spark, "stream"), views.hourly(spark, d)
+    fitted = climatology1(spark, d)
+    clim = {"levels": fitted["levels"], "gates": fitted["gates"]["smooth"]}
+    _landed(h, f"{path}/in")
+    source = spark.readStream.schema(h.schema).option("maxFilesPerTrigger", 1).json(f"{path}/in")
+
+    def found(rows: DataFrame) -> DataFrame:
+        return D.detect(D.enriched(rows, views.stations(spark), clim, P), P, D.REGISTRY[:8])
+
+    each = stream_detection.on_arrival(lambda: h, found, lambda c: c.write.mode("append").parquet(f"{path}/out"), P)
+    return _drained(source, path, each).select("station", "t", "detector", "metric", "strength", "score", "severity")

@@ -32,7 +32,7 @@ def history(n=12, station="Toronto", **offsets):
 
 def prepared(spark, rows, t_scale=2.0):
     """Features against a flat June baseline with gates T +-3, gust 3.2, wet 5 mm."""
-    readings = spark.createDataFrame(rows, READING)
+    readings = spark.createDataFrame(rows, READING) if isinstance(rows, list) else rows
     stations = spark.createDataFrame(STATIONS, "station string, tz string, peer_group string")
     flat = [(s, m, 120, med, sc / 1.4826, sc) for s in ("Toronto", "Ottawa", "Vancouver") for m, med, sc in (("temperature_2m", 15.0 if s == "Vancouver" else 20.0, t_scale), ("wind_gusts_10m", 20.0, 10.0), ("pressure_msl", 1010.0, 2.0))]
     hours = [(s, 6, h, *rest) for s, *rest in flat for h in range(24)]
@@ -174,15 +174,100 @@ def test_provider_documents(spark):
     assert [(r.target_t, r.temperature_2m, r.lead_hours) for r in rows] == [(1779840000, None, 2)]  # 2.5 hours round to even
 
 
-def test_tables_round_trip(spark, tmp_path):
+EVENT = "event_id long, onset_t long, last_t long, resolved_t long, x double"
+
+
+def test_events_are_upserted_one_by_one(spark, tmp_path):
+    at = str(tmp_path / "e")
+    rows = lambda *r: spark.createDataFrame(list(r), EVENT)
+    tables.write_events(rows((1, 0, 10, None, 1.0), (2, 50, 60, None, 2.0), (3, 86400, 86410, None, 3.0)), at)
+    # one incident of a day with two changes, twice in the batch; a new one comes to the other day
+    tables.write_events(rows((1, 0, 30, 40, 1.5), (1, 0, 20, None, 1.2), (4, 90000, 90000, None, 4.0)), at)
+    tables.write_events(rows((1, 0, 30, 40, 1.5)), at)  # the same batch again, as after a restart
+    got = {(r.event_id, r.x, r.resolved_t) for r in spark.read.parquet(at).collect()}
+    assert got == {(1, 1.5, 40), (2, 2.0, None), (3, 3.0, None), (4, 4.0, None)}
+    tables.write_events(rows(), at)
+    assert spark.read.parquet(at).count() == 4
+
+
+def test_climatology_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(0, 1.0), (86400, 2.0)], "onset_t long, x double")
-    tables.write_events(rows, str(tmp_path / "e"))
-    tables.write_events(spark.createDataFrame([(90000, 3.0)], "onset_t long, x double"), str(tmp_path / "e"))
-    assert sorted(r.x for r in spark.read.parquet(str(tmp_path / "e")).collect()) == [1.0, 3.0]
     tables.write_climatology({"city": rows}, str(tmp_path / "c"))
     assert tables.read_climatology(spark, str(tmp_path / "c"), ["city"])["city"].count() == 2
 
 
+def drained(stream, tmp_path, each, mode="append"):
+    stream.writeStream.outputMode(mode).option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(each).trigger(availableNow=True).start().awaitTermination(120)
+
+
+def test_stream_of_readings_keeps_the_first_arrival(spark, tmp_path):
+    first = spark.createDataFrame([reading(k, temperature_2m=float(k)) for k in range(6)], READING)
+    again = spark.createDataFrame([reading(k, temperature_2m=99.0) for k in range(3)], READING)
+    late = spark.createDataFrame([reading(24 * 40, temperature_2m=-1.0)], READING)  # far behind the watermark
+    for k, rows in enumerate((first, again, late)):
+        rows.coalesce(1).write.json(str(tmp_path / "in" / f"b{k}"))
+    source = spark.readStream.schema(READING).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
+    assert source.isStreaming
+    got = []
+    drained(tables.stream_readings(spark, str(tmp_path / "in" / "*"), 1), tmp_path, lambda batch, _: got.extend((r.t, r.temperature_2m) for r in batch.collect()))
+    assert sorted(got) == sorted((T0 - k * 3600, float(k)) for k in range(6))
+
+
+def test_detection_on_arrival_equals_batch(spark, tmp_path):
+    from tempestry.streaming import detection
+
+    rows = [reading(k, temperature_2m=28.0 if k in (0, 4, 9) else 20.0, wind_gusts_10m=95.0 if k % 7 == 0 else 20.0) for k in range(40)]
+    stored, gates = spark.createDataFrame(rows, READING), Profile()
+    found = lambda df: D.detect(prepared(spark, df), gates, D.REGISTRY[:8])
+    for k in range(4):
+        stored.filter(f"t > {T0 - (40 - 10 * k) * 3600} AND t <= {T0 - (30 - 10 * k) * 3600}").coalesce(1).write.json(str(tmp_path / "in" / f"b{k}"))
+    source = spark.readStream.schema(READING).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
+    got = []
+    key = lambda r: (r.station, r.t, r.detector, r.strength, r.score)
+    drained(source, tmp_path, detection.on_arrival(lambda: stored, found, lambda c: got.extend(map(key, c.collect())), gates))
+    want = [key(r) for r in found(stored).collect()]
+    assert len(want) > 3 and sorted(got) == sorted(want)
+
+
+def test_late_readings_go_to_the_reject_rows(spark, tmp_path):
+    schema = "station string, t long, hits array<struct<key:string,strength:double,score:double,detector_order:int>>"
+    hit = [("a|x", 2.0, 20.0, 0)]
+    for k, rows in enumerate(([("a", 3600, hit), ("a", 0, None)], [("a", 1800, hit), ("a", 7200, None)], [("a", 10800, None)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in" / f"b{k}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
+    got = []
+    drained(stream.stream_incidents(source), tmp_path, lambda batch, _: got.extend(batch.collect()), "update")
+    assert [(r.onset_t, r.status) for r in got if r.status == "late"] == [(1800, "late")]  # older than the last one handled
+    last = [r for r in got if r.status == "resolved"]
+    assert [(r.onset_t, r.last_t, r.hits, r.resolved_t) for r in last] == [(3600, 3600, 1, 10800)]  # and it changed nothing
+
+
+def test_merged_ids_keep_their_order(spark):
+    row = lambda t, ids: ("a", t, t, "d", 0, "x", 2.0, 20.0, "info", 1.0, {"v": 1.0}, ids, "a|x")
+    cands = [row(0, [7, 3]), row(3600, [3, 9]), row(7200, [1, 7])]
+    out = lifecycle.incidents(spark.createDataFrame(cands, CANDIDATE), spark.createDataFrame([("a", k * 3600) for k in range(3)], "station string, t long"))
+    assert [r.supporting_ids for r in out.collect()] == [[7, 3, 9, 1]]
+
+
+def test_own_detectors_and_headlines(spark):
+    rows = prepared(spark, [reading(0, temperature_2m=28.0), *history(h3={"temperature_2m": 22.0})])
+    own = lambda df, p: df.filter(F.col("t") == T0).select("station", "t", "id", F.lit("own").alias("detector"))
+    got = {r.detector: r for r in D.detect(rows, Profile(), (D.temperature_shock, D.warm_spell, own)).filter(F.col("t") == T0).withColumn("names", F.map_keys("signals")).collect()}
+    assert set(got) == {"temperature_shock", "warm_spell", "own"}
+    shock = got["temperature_shock"]
+    assert shock.reason == "Toronto saw a warming temperature shock: 28.0C is 4.0 sigma from the local-hour baseline and changed +6.0C in 3h."
+    assert shock.names[:3] == ["value", "median", "scale"] and shock.notes["direction"] == "warming" and shock.supporting_ids == [1000, 1003]
+    e = spark.range(1).select(S.explanation(F.lit("x"), F.create_map(F.lit("b"), F.lit(2.0), F.lit("a"), F.lit(None).cast("double"), F.lit("c"), F.lit(1.5)), 2).alias("e")).first().e
+    assert (e.headline, e.evidence) == ("x", "b=2.0, a=none")
+
+
+def test_histogram_over_the_range(spark):
+    rows = spark.createDataFrame([(0.0,), (1.0,), (2.9,), (3.0,), (None,)], "v double")
+    assert [r.n for r in E.range_histogram(rows, "v", 3).orderBy("bin").collect()] == [1, 1, 2]
+    assert [r.n for r in E.range_histogram(rows.filter("v = 1"), "v", 2).orderBy("bin").collect()] == [0, 1]
+    assert E.range_histogram(rows.limit(0), "v", 2).count() == 0
+
+
 def test_feeds(spark):
     rows = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 2.0), ("a", 2, 3.0), ("b", 2, 4.0)], "station string, t long, v double")
     assert [r.v for r in feeds.feed(rows, "t", "a", 1, 2, 2).collect()][0] == 3.0
@@ -202,7 +287,9 @@ def test_quality_and_wilson(spark):
 
 def test_record_needs_a_new_extreme(spark):
     rows = [reading(0, temperature_2m=30.0), *history()]
-    assert [r.dedupe_key for r in legacy.record(spark.createDataFrame(rows, READING)).collect()] == ["Toronto|fun_fact|temperature_2m|record_high"]
+    assert [r.dedupe_key for r in legacy.record(spark.createDataFrame(rows, READING)).collect()] == ["Toronto|fun_fact|temperature_2m|warm_record"]
+    unknown = [reading(0, temperature_2m=30.0), *history(14, h1={"temperature_2m": None})]
+    assert legacy.record(spark.createDataFrame(unknown, READING)).count() == 0  # the previous reading has no value
     again = [reading(0, temperature_2m=31.0), *history(h1={"temperature_2m": 30.0})]
     assert [r.t for r in legacy.record(spark.createDataFrame(again, READING)).collect()] == []
 
