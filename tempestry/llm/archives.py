@@ -96,7 +96,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     # the payload ends the piece but for the blank line; it starts after the first blank line
     payload = F.expr("substring(CAST(piece AS BINARY), CAST(head + 1 AS INT), CAST(length AS INT))")
     p = p.withColumn("digest", F.when(whole, F.sha2(payload, 256))).drop("piece")
-    # One row per split, so the running sum over splits is over few rows; inside a split it follows the rows.
+    # A file's candidates, `records_per_file` and what its payloads hold, are one ordered group of narrow rows.
     order = Window.partitionBy("file").orderBy("block", "row").rowsBetween(Window.unboundedPreceding, -1)
     mark = len(VERSION.encode())
     p = p.withColumn("at", F.coalesce(F.sum(F.col("bytes") + mark).over(order), F.lit(0)) - mark)

@@ -58,9 +58,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table in the shared folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced, before the next phase
-    writes its own; it acts when the driver collects garbage."""
+    writes its own.  It acts when the driver collects garbage, so this asks for that; where it comes later, more disk
+    is used until then and nothing else changes.  Not for Spark Connect, whose driver is elsewhere."""
     for _ in range(2):  # the first frees Python's handles of the plans, the second what they held
         gc.collect()
         spark.sparkContext._jvm.System.gc()

@@ -7,7 +7,7 @@ still drop parts; dynamic programming from the leaves finds the likeliest consis
 and a descendant never contradict each other.
 
 The model is fitted on at most `sample_pages` pages of the table: those with a single <article> element say
-which text is the article; each is also set anew in layouts drawn from common element and class names, with
+which text is the article; some sentences of each (parameters) are also set anew in layouts drawn from common element and class names, with
 menus, side columns, notices, adverts, forms and reader comments made of the sample's own sentences.
 
 Defined results: a null or empty html, or a page without kept text, gives an empty text; unclosed and stray tags
@@ -64,6 +64,10 @@ TAG_GROUPS = [{"article"}, {"main"}, {"section"}, {"div"}, {"p", "blockquote", "
 class ExtractionParams:
     sample_pages: int = 120
     layouts: int = 5
+    #: Of a sample page, as material for layouts: its sentences of these lengths, at most so many, and as much of a title.
+    sample_sentences: int = 60
+    sentence_chars: tuple[int, int] = (3, 199)
+    title_chars: int = 80
     rounds: int = 60
     depth: int = 4
     seed: int = 11
@@ -361,8 +365,9 @@ def fit(pages: DataFrame, p: ExtractionParams = ExtractionParams()) -> dict:
         x += [features[n.number] for n in nodes if n.tag != LOOSE]
         y += [labels[n.number] for n in nodes if n.tag != LOOSE]
         texts = [t for n, t, _ in blocks if _within(n, "article")]
-        sets.append((texts[0][:80] if texts else "", texts[1:]))
-        sentences += [s + "." for n, t, _ in blocks for s in t.split(". ") if 2 < len(s) < 200][:60]
+        sets.append((texts[0][: p.title_chars] if texts else "", texts[1:]))
+        low, high = p.sentence_chars
+        sentences += [s + "." for n, t, _ in blocks for s in t.split(". ") if low <= len(s) <= high][: p.sample_sentences]
     if not sentences:  # nothing to learn from: the layouts stand alone
         sentences, sets = ["Some words of a sentence, set here.", "Other words follow"], [("A title", ["Words of a paragraph. " * 4] * 4)]
     for title, texts in sets:
