@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempestry.llm import decontamination, jaccard, packing, privacy, quality
-from tempestry.llm.common import shared_dir, table
+from tempestry.llm.common import discard, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written and read again as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each is written and read again as the next one's input, and deleted after that."""
+    docs, before = table(spark, sf_dir, "documents"), None
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before:
+            discard(spark, before)
+        before = f"{at}/{name}"
     return docs
