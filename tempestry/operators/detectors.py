@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import string
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempestry.functions import scalars as S
 from tempestry.operators import climatology, features
-from tempestry.profile import DETECTORS, FORECAST_METRICS, Profile
+from tempestry.profile import DETECTORS, FORECAST_METRICS, SCORE_WEIGHTS, Profile
 
 Z_METRICS = ("temperature_2m", "wind_gusts_10m", "pressure_msl")
 
@@ -81,26 +81,34 @@ class Detector:
     """A built-in detector from its rules: a function Profile -> list of candidate columns, null where nothing fires."""
 
     def __init__(self, rules: Callable[[Profile], list[Column]]):
-        self.rules, self.__name__, self.__doc__ = rules, rules.__name__, rules.__doc__
+        self.rules = lru_cache(rules)  # columns depend on the profile alone and are slow to build
+        self.__name__, self.__doc__ = rules.__name__, rules.__doc__
 
     def __call__(self, df: DataFrame, p: Profile = Profile()) -> DataFrame:
         return _fired(df, self.rules(p))
 
 
 def _fired(df: DataFrame, rules: list[Column]) -> DataFrame:
-    return df.select("station", "t", "id", F.explode(F.array_compact(F.array(*rules))).alias("c")).select("station", "t", "id", "c.*")
+    """The candidates of rules; what all of them share is computed for those that fired alone."""
+    c = F.col("c")
+    rows = df.select("station", "t", "id", F.explode(F.array_compact(F.array(*rules))).alias("c"))
+    rows = rows.withColumn("score", S.priority_score(**{name: c["inputs"][name] for name in SCORE_WEIGHTS}))
+    return rows.select(
+        "station", "t", "id", "c.detector", F.element_at(F.create_map(*[F.lit(x) for k, d in enumerate(DETECTORS) for x in (d, k)]), c["detector"]).alias("detector_order"),
+        "c.metric", climatology.places(c["strength"], 3).alias("strength"), "score", S.severity(F.col("score")).alias("severity"),
+        F.round(S.clamp01(c["inputs"]["confidence"]), 3).alias("confidence"), F.transform_values(c["signals"], lambda _, v: climatology.places(v, 3)).alias("signals"), "c.notes", "c.reason", "c.supporting_ids",
+        S.dedupe_key(F.col("station"), c["detector"], c["metric"]).alias("dedupe_key"),
+    )
 
 
 def _candidate(p: Profile, fired: Column, kind: str, metric: Column, strength: Column, confidence: Column, inputs: dict, signals: dict, headline: Column, notes: dict | None = None, supporting: Column | None = None) -> Column:
-    score = S.priority_score(**inputs, confidence=confidence)
-    named = [x for n, c in signals.items() for x in (F.lit(n), climatology.places(c.cast("double"), 3))]
+    parts = {**inputs, "confidence": confidence}
+    named = [x for n, c in signals.items() for x in (F.lit(n), c.cast("double"))]
     texts = [x for n, c in (notes or {"detector": F.lit(kind)}).items() for x in (F.lit(n), c)]
     ids = F.array(F.col("id")) if supporting is None else F.array_compact(F.concat(F.array(F.col("id")), supporting))
     row = F.struct(
-        F.lit(kind).alias("detector"), F.lit(DETECTORS.index(kind)).alias("detector_order"),
-        metric.alias("metric"), climatology.places(strength, 3).alias("strength"), score.alias("score"), S.severity(score).alias("severity"),
-        F.round(S.clamp01(confidence), 3).alias("confidence"), F.create_map(*named).alias("signals"), F.create_map(*texts).alias("notes"), headline.alias("reason"), ids.alias("supporting_ids"),
-        S.dedupe_key(F.col("station"), F.lit(kind), metric).alias("dedupe_key"),
+        F.lit(kind).alias("detector"), metric.alias("metric"), strength.cast("double").alias("strength"), F.struct(*[parts.get(n, F.lit(0.0)).cast("double").alias(n) for n in SCORE_WEIGHTS]).alias("inputs"),
+        F.create_map(*named).alias("signals"), F.create_map(*texts).alias("notes"), headline.alias("reason"), ids.alias("supporting_ids"),
     )
     return F.when((F.col("history_n") >= p.min_history) & fired, row)
 
