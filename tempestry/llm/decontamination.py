@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempestry.llm import tokens
+from tempestry.llm.bitmaps import bitmap, has_bit
 from tempestry.llm.common import fields, stored, whole_row
 
 #: Scripts written without spaces between words.
 UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])"
-SEGMENT = 1 << 15  # bits of the bitmap that one row holds
 
 
 @dataclass(frozen=True)
@@ -63,17 +63,17 @@ def plain(text: pa.Array) -> pa.Array:
     return flat
 
 
-def _seeds(rows: DataFrame, p: TilingParams, sizes: tuple[int, ...] = (), bitmap=None) -> DataFrame:
+def _seeds(rows: DataFrame, p: TilingParams, sizes: tuple[int, ...] = (), known=None) -> DataFrame:
     """(h, id, print, at, n_tokens) of the windows of `rows` (id, text): those of min_match tokens, and either those of
-    the shorter `sizes` or, with none given, a shorter text as a whole; with a bitmap, only where the bit is set."""
+    the shorter `sizes` or, with none given, a shorter text as a whole; with a bitmap `known`, only where the bit is set."""
     kind = rows.schema["id"].dataType.simpleString()
     k = p.min_match
 
     def windows(h: np.ndarray, starts: np.ndarray) -> tuple:
         parts = [tokens.windows(h, starts, k)]
-        for s in range(1, k) if bitmap is None else sizes:
+        for s in range(1, k) if known is None else sizes:
             w, owner, place = tokens.windows(h, starts, s)
-            if bitmap is None:  # only texts of this size
+            if known is None:  # only texts of this size
                 own = np.diff(starts)[owner] == s
                 w, owner, place = w[own], owner[own], place[own]
             parts.append((tokens.mixed(w + np.uint64(s)), owner, place))
@@ -83,10 +83,8 @@ def _seeds(rows: DataFrame, p: TilingParams, sizes: tuple[int, ...] = (), bitmap
         for batch in (piece for batch in batches for piece in tokens.pieces(batch)):
             starts, words = tokens.split_words(plain(tokens.text_array(batch.column("text"))))
             h, owner, place = windows(tokens.word_hashes(words), starts)
-            if bitmap is not None:
-                bits, mask = bitmap.value
-                bit = (h & np.uint64(mask)).astype(np.int64)
-                at = np.flatnonzero((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+            if known is not None:
+                at = np.flatnonzero(has_bit(h, *known.value))
                 h, owner, place = h[at], owner[at], place[at]
             take = pa.array(owner)
             columns = [
@@ -102,28 +100,6 @@ def _seeds(rows: DataFrame, p: TilingParams, sizes: tuple[int, ...] = (), bitmap
     return source.mapInArrow(found, f"h long, id {kind}, print long, at int, n_tokens int")
 
 
-def _bitmap(items: DataFrame, p: TilingParams) -> tuple[np.ndarray, int]:
-    """(bits, mask) of the seeds' hashes; the driver fetches `bitmap_bits` bits at most, each segment once."""
-    n = items.select("h").distinct().count()
-    size = min(p.bitmap_bits, max(1 << 22, 1 << (64 * n).bit_length()))
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            bit = batch.column("b").to_numpy()
-            for segment in np.unique(bit // SEGMENT):
-                held.setdefault(int(segment), np.zeros(SEGMENT, np.uint8))[bit[bit // SEGMENT == segment] % SEGMENT] = 1
-        rows = [(s, np.packbits(bits, bitorder="little").tobytes()) for s, bits in held.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["s", "bits"])
-
-    b = F.col("h").bitwiseAND(F.lit(size - 1))
-    rows = items.select(b.alias("b")).distinct().repartition(F.floor(F.col("b") / SEGMENT)).mapInArrow(packed, "s long, bits binary").collect()
-    out = np.zeros(size // 8, np.uint8)
-    for r in rows:
-        out[r.s * SEGMENT // 8 : (r.s + 1) * SEGMENT // 8] = np.frombuffer(r.bits, np.uint8)
-    return out, size - 1
-
-
 def matches(h_doc: np.ndarray, at_doc: np.ndarray, h_item: np.ndarray, at_item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All (place in the document, place in the item) with equal seeds."""
     order = np.argsort(h_item, kind="stable")
@@ -164,7 +140,7 @@ def tiles(at_doc: np.ndarray, at_item: np.ndarray, k: int) -> list[tuple[int, in
 def _covered(docs: DataFrame, benchmark: DataFrame, p: TilingParams) -> DataFrame:
     """(doc_id, print, item_id, n_tiles, n_matched, n_item_tokens, coverage) of the pairs that can reach the coverage."""
     items = stored(_seeds(benchmark.select(F.col("item_id").alias("id"), "text"), p).distinct())
-    shipped = docs.sparkSession.sparkContext.broadcast(_bitmap(items, p))
+    shipped = docs.sparkSession.sparkContext.broadcast(bitmap(items, p.bitmap_bits))
     short = tuple(sorted(r.n_tokens for r in items.filter(F.col("n_tokens") < p.min_match).select("n_tokens").distinct().collect()))
     seeds = stored(_seeds(docs.select(F.col("doc_id").alias("id"), "text"), p, short, shipped).distinct())
 

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempestry.llm import tokens
+from tempestry.llm.bitmaps import sieve
 from tempestry.llm.common import cut, fields, others, release, stored, whole_row
 from tempestry.llm.components import components
 
@@ -261,7 +262,8 @@ def links(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
     placed = coarse.join(sizes.hint("merge"), "root", "left").withColumn("m", F.coalesce("m", F.lit(1)))
     placed = placed.join(nodes.select("node", "doc_id", "copies").hint("merge"), "node")
     placed = placed.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("m").cast("long")).cast("int"))
-    text = named.withColumnsRenamed({"doc_id": "_doc", "node": "_node"})
+    # only texts that may lie in a cluster are shuffled
+    text = named.filter(sieve(coarse.select(F.xxhash64("node").alias("h")))(F.xxhash64("node"))).withColumnsRenamed({"doc_id": "_doc", "node": "_node"})
     # One copy of each text goes on; repeated rows of it meet in the block and are dropped there by digest.
     placed = text.join(placed.hint("merge"), (F.col("_node") == F.col("node")) & F.col("_doc").eqNullSafe(F.col("doc_id")))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
@@ -285,8 +287,11 @@ def links(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
 
 def _matched(docs: DataFrame, p: JaccardParams) -> DataFrame:
     """(row, doc_id, and of texts with a link: class, n_links, n_copies, first) of every row of `docs`."""
+    known = cut(links(docs.select("doc_id", "text"), p))
     rows = docs.select(whole_row(docs), "doc_id", F.unhex(F.md5("text")).alias("node"))
-    return rows.join(links(docs.select("doc_id", "text"), p).hint("merge"), "node", "left")
+    # rows that have no link for certain aren't shuffled
+    may = sieve(known.select(F.xxhash64("node").alias("h")))(F.xxhash64("node"))
+    return rows.filter(may).join(known.hint("merge"), "node", "left").unionByName(rows.filter(~may), allowMissingColumns=True)
 
 
 def classes(docs: DataFrame, p: JaccardParams = JaccardParams()) -> DataFrame:
