@@ -7,7 +7,8 @@ share a band are candidates; their MinHash values are compared in steps, and a p
 the posterior probability (uniform prior) that its similarity reaches the threshold falls below `tolerance`;
 the similarity of the rest is computed exactly from the shingle sets.  A task gives, per node, its number of
 links and a spanning forest of them, never the pairs, so what leaves a task is linear in its input even for
-thousands of near copies.  The final classes are the components of the forests.
+thousands of near copies.  The final classes are the components of the forests.  Texts are shuffled only where a
+bitmap of the cluster's, or the links', digests (32 MB at most) doesn't rule them out.
 
 Words are runs without ASCII white space; shingles are sets of `words` words (a shorter text is one shingle).
 

@@ -11,7 +11,8 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tempestry.llm import boosting, decontamination, extraction, jaccard, packing, privacy, quality, substrings, toxicity
+from tempestry.llm import bitmaps, boosting, decontamination, extraction, jaccard, packing, privacy, quality, substrings, toxicity
+from tempestry.llm.common import discard
 
 #: Names that the operators use inside, as further columns of a table.
 CLASHES = (
@@ -301,30 +302,43 @@ def sf_dir(spark, tmp_path_factory):
     return at, texts, items
 
 
-def test_pipeline_equals_brute_force(spark, sf_dir):
+def test_pipeline_equals_brute_force(spark, sf_dir, monkeypatch):
     at, texts, items = sf_dir
-    docs = spark.read.parquet(f"{at}/documents.parquet")
+    paths: list[str] = []
+    monkeypatch.setattr(corpus_pipeline, "discard", lambda _, path: paths.append(path))
+    packed = corpus_pipeline.run(spark, at).collect()
+    monkeypatch.undo()
     kept = {}
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, at)
-        if name != "length_packing":
-            assert out.columns == docs.columns
-        path = f"{at}/{name}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
-        kept[name] = docs.collect()
+    for path, (name, _) in zip(paths, corpus_pipeline.STAGES):
+        rows = spark.read.parquet(path)
+        assert rows.columns == spark.read.parquet(f"{at}/documents.parquet").columns
+        kept[name] = rows.collect()
+        discard(spark, path)
+    assert len(paths) == 4 and len(corpus_pipeline.STAGES) == 5
     by = {name: {r.doc_id for r in rows} for name, rows in kept.items()}
     assert by["quality_rules"] == {*range(40), 44, 45, 47, 48, 49, None}
     assert by["near_duplicates"] == by["quality_rules"] - {44, 45}
     left = {r.doc_id: r.text for r in kept["near_duplicates"]}
     leaks = {i for i, t in left.items() for u in items if SequenceMatcher(None, t.split(), u.split(), autojunk=False).find_longest_match().size >= 18}
     assert leaks == {47} and by["benchmark_leaks"] == by["near_duplicates"] - leaks
-    assert by["redaction"] == by["benchmark_leaks"] == by["length_packing"]
+    assert by["redaction"] == by["benchmark_leaks"]
     text = {r.doc_id: (r.text, r.n_chars) for r in kept["redaction"]}
     assert "[EMAIL]" in text[48][0] and "[PHONE]" in text[48][0] and text[48][1] == len(text[48][0])
     assert all(text[i][0] == left[i] for i in text if i != 48)
-    assert {r.doc_id: r.n_tokens for r in kept["length_packing"]} == {i: len(t.split()) for i, (t, _) in text.items()}
-    assert {tuple(r) for r in corpus_pipeline.run(spark, at).select("doc_id", "n_tokens", "padded_to").collect()} == {(r.doc_id, r.n_tokens, r.padded_to) for r in kept["length_packing"]}
+    assert {r.doc_id: r.n_tokens for r in packed} == {i: len(t.split()) for i, (t, _) in text.items()}
+    assert len(packed) == len(text) and all(r.n_tokens <= r.padded_to for r in packed)
+
+
+def test_sieve_lets_no_member_fall(spark):
+    rng = random.Random(13)
+    members = [rng.randrange(-(2**63), 2**63) for _ in range(500)]
+    others = [rng.randrange(-(2**63), 2**63) for _ in range(20000)]
+    may = bitmaps.sieve(spark.createDataFrame([(h,) for h in members], "h long"))
+    rows = spark.createDataFrame([(h, 1) for h in members] + [(h, 0) for h in others], "h long, member int")
+    got = {r.member: r.n for r in rows.filter(may("h")).groupBy("member").count().withColumnRenamed("count", "n").collect()}
+    assert got[1] == 500 and got.get(0, 0) < 200
+    none = bitmaps.sieve(rows.select("h").limit(0))
+    assert rows.filter(none("h")).count() == 0
 
 
 def test_every_stage_with_clashing_names_and_empty(spark, sf_dir):
