@@ -25,7 +25,7 @@ def with_local(readings: DataFrame, stations: DataFrame) -> DataFrame:
     # the station dimension goes to the readings by a join that Spark may broadcast if it is small
     joined = readings.join(stations.select("station", "tz"), "station", "left")
     local = local_time(F.col("t"), F.col("tz"))
-    return joined.withColumn("doy", F.dayofyear(local)).withColumn("month", F.month(local)).withColumn("hour", F.hour(local)).drop("tz")
+    return joined.withColumns({"doy": F.dayofyear(local), "month": F.month(local), "hour": F.hour(local)}).drop("tz")
 
 
 def values(readings: DataFrame, metrics) -> DataFrame:

@@ -42,14 +42,12 @@ def accumulation_6h() -> Column:
 def with_history(readings: DataFrame, p: Profile = Profile()) -> DataFrame:
     """Adds history_n, the deltas, accumulation_6h and p05_delta with its count."""
     pressure = F.coalesce("pressure_msl", "surface_pressure")
-    df = readings.withColumn("pressure", pressure).withColumn("history_n", history_n(p)).withColumn("accumulation_6h", accumulation_6h())
-    for metric in ("temperature_2m", "pressure", "wind_gusts_10m", "wind_speed_10m"):
-        delta, at = k_hour_delta(metric, p)
-        df = df.withColumn(f"{metric}_delta", delta).withColumn(f"{metric}_delta_id", at)
+    deltas = {m: k_hour_delta(m, p) for m in ("temperature_2m", "pressure", "wind_gusts_10m", "wind_speed_10m")}
+    made = {f"{m}_delta{part}": c for m, pair in deltas.items() for part, c in zip(("", "_id"), pair)}
+    df = readings.withColumn("pressure", pressure).withColumns({"history_n": history_n(p), "accumulation_6h": accumulation_6h(), **made})
     # a delta counts only if the earlier reading lies in the history too
     own = by_station().rangeBetween(-(p.history_hours - p.delta_hours) * 3600, -1)
-    df = df.withColumn("p05_delta", F.percentile("pressure_delta", F.lit(0.05)).over(own)).withColumn("n_deltas", F.count("pressure_delta").over(own).cast("long"))
-    return df
+    return df.withColumns({"p05_delta": F.percentile("pressure_delta", F.lit(0.05)).over(own), "n_deltas": F.count("pressure_delta").over(own).cast("long")})
 
 
 def latest_peers(readings: DataFrame, stations: DataFrame, columns: list[str], max_staleness_s: int | None = None) -> DataFrame:
@@ -99,11 +97,13 @@ def rolling_mae(readings: DataFrame, pairs: DataFrame, p: Profile = Profile()) -
     asks = counts.withColumn("back", F.filter(days, lambda x: F.col("before") - x.upto < p.pair_limit)).select(F.col("t").alias("at"), F.explode_outer("back.t").alias("t"))
     found = asks.join(held.hint("merge"), "t", "left").groupBy(F.col("at").alias("t")).agg(F.sort_array(F.collect_list(F.struct((-F.col("t")).alias("late"), "e"))).alias("l"))
     found = found.withColumn("e", F.slice(F.flatten(F.transform("l", lambda x: x.e)), 1, p.pair_limit))
+    made = {}
     for m, (floor, _) in FORECAST_METRICS.items():
-        seen = F.filter(F.col(f"e.{m}"), lambda x: x.isNotNull())
-        mean = F.aggregate(seen, F.lit(0.0), lambda a, x: a + x) / F.size(seen)
-        found = found.withColumn(f"{m}_mae", F.when(F.size(seen) > 0, F.greatest(mean, F.lit(floor))).otherwise(floor)).withColumn(f"{m}_pairs", F.coalesce(F.size(seen), F.lit(0)).cast("long"))
-    return found.drop("l", "e")
+        seen = F.expr(f"filter(e.{m}, x -> x IS NOT NULL)")
+        mean = F.expr(f"aggregate(filter(e.{m}, x -> x IS NOT NULL), 0D, (a, x) -> a + x)") / F.size(seen)
+        made[f"{m}_mae"] = F.when(F.size(seen) > 0, F.greatest(mean, F.lit(floor))).otherwise(floor)
+        made[f"{m}_pairs"] = F.coalesce(F.size(seen), F.lit(0)).cast("long")
+    return found.select("t", *[c.alias(n) for n, c in made.items()])
 
 
 def previous(column: str) -> Column:
