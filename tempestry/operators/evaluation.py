@@ -20,7 +20,7 @@ def rates(incidents: DataFrame, candidates: DataFrame, readings: DataFrame) -> D
     raw = candidates.groupBy("detector").agg(F.count("*").alias("raw"))
     inc = incidents.groupBy("detector").agg(F.count("*").alias("incidents"))
     kinds = spark.createDataFrame([(d,) for d in DETECTORS], "detector string")
-    per = kinds.join(raw, "detector", "left").join(inc, "detector", "left").select("detector", F.coalesce("incidents", F.lit(0)).alias("incidents"), F.coalesce("raw", F.lit(0)).alias("raw"))
+    per = kinds.join(raw.hint("merge"), "detector", "left").join(inc.hint("merge"), "detector", "left").select("detector", F.coalesce("incidents", F.lit(0)).alias("incidents"), F.coalesce("raw", F.lit(0)).alias("raw"))
     per = per.rollup("detector").agg(F.sum("incidents").alias("incidents"), F.sum("raw").alias("raw")).withColumn("detector", F.coalesce("detector", F.lit("OVERALL")))
     out = per.join(F.broadcast(station_days(readings)), how="cross")  # one row
     return out.select(
@@ -105,7 +105,7 @@ def recall(incidents: DataFrame, labels: DataFrame) -> DataFrame:
         F.max(F.when(F.col("is_expected"), F.col("priority_score"))).alias("best_score"),
     )
     no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
-    return labels.select("label_id").join(m, "label_id", "left").select("label_id", no("expected_hit"), no("severe_hit"), no("any_hit"), "best_score")
+    return labels.select("label_id").join(m.hint("merge"), "label_id", "left").select("label_id", no("expected_hit"), no("severe_hit"), no("any_hit"), "best_score")
 
 
 def window_extremes(features: DataFrame, labels: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def miss_decomposition(hits: DataFrame, extremes: DataFrame, labels: DataFrame,
 
     gates: one row with gate_<metric>_<side>.
     """
-    rows = labels.join(hits.filter("expected_hit"), "label_id", "left_anti").join(extremes, "label_id", "left").join(F.broadcast(gates), how="cross")
+    rows = labels.join(hits.filter("expected_hit").hint("merge"), "label_id", "left_anti").join(extremes.hint("merge"), "label_id", "left").join(F.broadcast(gates), how="cross")
     c = F.col
     warm, cold = F.abs("gate_temperature_2m_upper"), F.abs("gate_temperature_2m_lower")
     tests = {

@@ -81,7 +81,7 @@ def event_distribution(incidents: DataFrame, stations: list[str], kinds) -> Data
     spark = incidents.sparkSession
     dims = spark.createDataFrame([(s, k) for s in stations for k in kinds], "station string, detector string")
     counts = incidents.groupBy("station", "detector").agg(F.count("*").alias("n"))
-    out = dims.join(counts, ["station", "detector"], "left").select("station", "detector", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    out = dims.join(counts.hint("merge"), ["station", "detector"], "left").select("station", "detector", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     return out.withColumn("largest", F.max("n").over(Window.partitionBy()))  # one row per pair of dimension values
 
 

@@ -118,7 +118,7 @@ def freezing_line(readings: DataFrame, peers: DataFrame) -> DataFrame:
     df = df.filter(((F.col("before") < 0) & (F.col("temperature_2m") >= 0)) | ((F.col("before") >= 0) & (F.col("temperature_2m") < 0)))
     other = peers.select("station", "t", F.col("temperature_2m").alias("theirs"))
     across = other.groupBy("station", "t").agg(F.max(F.col("theirs") >= 0).alias("some_up"), F.max(F.col("theirs") < 0).alias("some_down"))
-    fired = df.join(across, ["station", "t"]).filter(((F.col("temperature_2m") >= 0) & F.col("some_down")) | ((F.col("temperature_2m") < 0) & F.col("some_up")))
+    fired = df.join(across.hint("merge"), ["station", "t"]).filter(((F.col("temperature_2m") >= 0) & F.col("some_down")) | ((F.col("temperature_2m") < 0) & F.col("some_up")))
     return _rule(fired, "fun_fact", F.lit("temperature_2m"), F.lit(1.0), F.lit("info"), F.lit("freezing_line"))
 
 

@@ -21,7 +21,7 @@ def sequenced(readings: DataFrame) -> DataFrame:
 
 def islands(candidates: DataFrame, readings: DataFrame, p: Profile = Profile()) -> DataFrame:
     """Sustaining hits with their island and, from its opening run on, `opened` (the seq of the onset)."""
-    hits = best_per_key(candidates).filter(F.col("strength") >= p.z_off).join(sequenced(readings), ["station", "t"])
+    hits = best_per_key(candidates).filter(F.col("strength") >= p.z_off).join(sequenced(readings).hint("merge"), ["station", "t"])
     w = Window.partitionBy("dedupe_key").orderBy("seq")
     gap = F.col("seq") - F.lag("seq").over(w)
     hits = hits.withColumn("_new", (gap.isNull() | (gap - 1 >= p.k_off)).cast("int")).withColumn("island", F.sum("_new").over(w))
@@ -49,7 +49,7 @@ def incidents(candidates: DataFrame, readings: DataFrame, p: Profile = Profile()
         *[F.max_by(c, F.struct(F.col(representative), first)).alias(c) for c in ("signals", "notes", "reason") if c in candidates.columns], ids.alias("supporting_ids"),
     )
     after = sequenced(readings).select("station", F.col("t").alias("resolved_t"), (F.col("seq") - p.k_off).alias("last_seq"))
-    out = out.join(after, ["station", "last_seq"], "left")
+    out = out.join(after.hint("merge"), ["station", "last_seq"], "left")
     status = F.when(F.col("resolved_t").isNotNull(), "resolved").when(F.col("hits") > 1, "ongoing").otherwise("open")
     grade = F.when(F.col("priority_score") < 30, "info").when(F.col("priority_score") < 60, "warning").otherwise("severe")
     event_id = F.xxhash64("dedupe_key", "onset_t")

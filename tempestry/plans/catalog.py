@@ -242,7 +242,7 @@ def j6(spark, d):
     for k, keys in enumerate((["station", "month", "hour"], ["station", "month"], ["station"])):
         w = C.wet_stats(vals, keys, P)
         w = w.filter(F.col("wet_count") >= P.min_bucket_n) if k < 2 else w
-        rows = rows.join(w.select(*keys, F.struct("wet_count", "p95").alias(f"w{k}")), keys, "left")
+        rows = rows.join(w.select(*keys, F.struct("wet_count", "p95").alias(f"w{k}")).hint("merge"), keys, "left")
     best = F.coalesce("w0", "w1", "w2")
     return rows.select("station", "t", best["wet_count"].alias("wet_count"), best["p95"].alias("p95"))
 
@@ -436,7 +436,7 @@ def x5(spark, d):
 def x6(spark, d):
     w = C.wet_stats(train1(spark, d), ["station"], P)
     marks = F.array(*[F.struct(F.col(f"p{m}").alias("v"), F.lit(m).alias("p")) for m in (50, 75, 90, 95, 99)])
-    rows = views.hourly(spark, d).filter(F.col("precipitation") >= P.wet_mm).join(w.select("station", marks.alias("marks")), "station")
+    rows = views.hourly(spark, d).filter(F.col("precipitation") >= P.wet_mm).join(w.select("station", marks.alias("marks")).hint("merge"), "station")
     return rows.select("station", "t", S.wet_bucket(F.col("precipitation"), F.col("marks")).alias("bucket"))
 
 
@@ -515,7 +515,7 @@ def a12(spark, d):
     c = candidates(spark, d)
     i = incidents(spark, d, "score", c).groupBy("station").agg(F.count("*").alias("incidents"))
     r = c.groupBy("station").agg(F.count("*").alias("raw"))
-    rows = n.join(i, "station", "left").join(r, "station", "left").na.fill(0)
+    rows = n.join(i.hint("merge"), "station", "left").join(r.hint("merge"), "station", "left").na.fill(0)
     return rows.select("station", "incidents", "raw", F.round(F.col("incidents") / F.col("n"), 6).alias("per_reading"))
 
 
