@@ -12,7 +12,7 @@ by the identifiers next to the q-gram on either side, which drops buckets that a
 Round three splits what is left by the identifiers of the windows themselves.  Buckets of a single document drop
 out after each round.  Identifiers need no global numbering: they are pairs of 64-bit hashes of two families, which
 together tell any two strings of 16 bytes apart and are independent beyond.  Round one compares 80 bits of them
-within a bucket of the q-gram (32 bits more), round three 96; bytes aren't compared afterwards.  In a bucket of
+within a bucket of the q-gram (24 bits more), round three 96; bytes aren't compared afterwards.  In a bucket of
 10^9 different segments, a wrong removal has a probability of 4e-7.
 
 How it scales.  A task ships its positions as one packed row per bucket range, equal segments of one slice of
@@ -236,7 +236,7 @@ SPAN = np.dtype([("start", "<u4"), ("size", "<u4"), ("kind", "u1")])
 
 #: Bytes kept in rounds one and two of the q-gram's identifier, the segment's first, and its second (two) with one each
 #: of its neighbours'; in round three of the windows'.
-ROUND_ONE, ROUND_THREE = (4, 8, 4), (0, 8, 4)
+ROUND_ONE, ROUND_THREE = (3, 8, 4), (0, 8, 4)
 REMOVED, OPEN = 1, 2
 
 
@@ -317,7 +317,7 @@ def _round_one(p: SubstringParams, ranges: int):
             stays = rank <= _smallest(rank, whole, more, key)  # merged within the slice: others are removed here
             b = (more >> U(48) << U(16)) | (before >> U(56) << U(8)) | (after >> U(56))
             part = ((key & U(0xFFFFFFFF)) % U(ranges)).astype(np.int64)
-            key = key >> U(32)
+            key = key >> U(40)
             first, at = s.first - s.starts[s.owner], s.at - s.first
             k = np.flatnonzero(stays)
             yield from _pack(ids, lost, prints, part[k], s.owner[k], first[k], at[k], s.count[k], key[k], whole[k], b[k], ROUND_ONE)
