@@ -51,4 +51,4 @@ def rendered(turns: DataFrame) -> DataFrame:
     said = F.struct("place", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     lines = F.transform(F.array_sort(F.collect_list(said)), lambda s: F.concat(F.lit("<|"), s.role, F.lit("|>\n"), s.text, F.lit("\n")))
     chats = hashes.join(kept.select("conv_id").hint("merge"), "conv_id", "left_semi").groupBy("conv_id").agg(F.array_join(lines, "").alias("chat"))
-    return kept.join(chats, "conv_id").select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), F.col("n_copies").cast("long").alias("n_copies"), "chat")
+    return kept.join(chats.hint("merge"), "conv_id").select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), F.col("n_copies").cast("long").alias("n_copies"), "chat")
