@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempestry.llm import tokens
-from tempestry.llm.bitmaps import bitmap, has_bit
+from tempestry.llm.bitmaps import bitmap, has_bit, sieve
 from tempestry.llm.common import fields, stored, whole_row
 
 #: Scripts written without spaces between words.
@@ -196,6 +196,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, p: TilingParams = Tiling
 def clean(docs: DataFrame, benchmark: DataFrame, p: TilingParams = TilingParams()) -> DataFrame:
     """`docs` without those that hold a benchmark item."""
     leaks = _covered(docs, benchmark, p).filter(F.col("coverage") >= p.coverage).select(F.col("doc_id").alias("leak"), F.col("print").alias("leak_print")).distinct()
+    leaks = stored(leaks)
     rows = docs.select(whole_row(docs), "doc_id", F.xxhash64("text").alias("print"))
-    kept = rows.join(stored(leaks).hint("merge"), F.col("doc_id").eqNullSafe(F.col("leak")) & (F.col("print") == F.col("leak_print")), "left_anti")
-    return kept.select(*fields(docs.columns))
+    # rows that hold no item for certain aren't shuffled
+    may = sieve(leaks.select(F.col("leak_print").alias("h")))(F.col("print"))
+    kept = rows.filter(may).join(leaks.hint("merge"), F.col("doc_id").eqNullSafe(F.col("leak")) & (F.col("print") == F.col("leak_print")), "left_anti")
+    return kept.select("row").unionByName(rows.filter(~may).select("row")).select(*fields(docs.columns))
