@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempestry.llm import archives, chats, decontamination, extraction, jaccard, packing, privacy, quality, substrings, toxicity
+from tempestry.llm import archives, chats, decontamination, extraction, jaccard, middles, packing, privacy, quality, substrings, toxicity
 from tempestry.llm.common import table
 
 
@@ -66,6 +66,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = middles.transformed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = middles.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_archives": op2_archives,
@@ -77,4 +83,5 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_chats": op9_chats,
     "op10_toxicity": op10_toxicity,
+    "op11_middles": op11_middles,
 }

@@ -61,4 +61,15 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN first < page_id THEN first END AS refers_to, url FROM f
 """
 
-ORACLES = {"op1_quality": OP1, "op2_archives": OP2, "op9_chats": OP9}
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, length(t) AS n, [CAST('0x' || x[8 * k + 1 : 8 * k + 8] AS BIGINT) FOR k IN range(4)] AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || t[1 : a] || '<S>' || t[b + 1 :] || '<M>' || t[a + 1 : b] ELSE '<S>' || t[b + 1 :] || '<P>' || t[1 : a] || '<M>' || t[a + 1 : b] END AS output FROM c),
+r AS (SELECT *, CASE form WHEN 'plain' THEN [output, '', ''] WHEN 'psm' THEN string_split(replace(replace(output[4:], '<S>', '<M>'), '<P>', ''), '<M>') ELSE string_split(replace(replace(output[4:], '<P>', '<M>'), '<S>', ''), '<M>') END AS q FROM o)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+  sha256(output) AS output_sha256, sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN q[1] || q[3] || q[2] ELSE q[2] || q[3] || q[1] END) AS restored_sha256 FROM r
+"""
+
+ORACLES = {"op11_middles": OP11, "op1_quality": OP1, "op2_archives": OP2, "op9_chats": OP9}
