@@ -72,4 +72,56 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST
   sha256(output) AS output_sha256, sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN q[1] || q[3] || q[2] ELSE q[2] || q[3] || q[1] END) AS restored_sha256 FROM r
 """
 
-ORACLES = {"op11_middles": OP11, "op1_quality": OP1, "op2_archives": OP2, "op9_chats": OP9}
+
+
+def _plus(cost: str, way: str, initial: str) -> str:
+    """A way, its cost in ten digits and then its audit, with one edit more; null where there is none."""
+    return f"lpad(CAST(CAST(left({way}, 10) AS BIGINT) + {cost} AS VARCHAR), 10, '0') || substr({way}, 11) || '{initial}'"
+
+
+def _inserted(a: str) -> str:
+    """The four ways of struct `a`, with inserted rows where these are better."""
+    once = f"{{'o': {a}.o, 's': {a}.s, 'u': least({a}.u, {_plus('2', a + '.o', 'I')}, {_plus('2', a + '.s', 'I')}, {_plus('2', a + '.a', 'I')}), 'a': {a}.a, 'x': NULL::STRUCT(r VARCHAR, f BIGINT)}}"
+    return f"list_transform([{once}], lambda q: {{'o': q.o, 's': q.s, 'u': q.u, 'a': least(q.a, {_plus('2', 'q.u', 'I')}), 'x': q.x}})[1]"
+
+
+def _through() -> str:
+    """The four ways of b after row z: kept, reroled or deleted."""
+    soft = "CASE WHEN z.f = 3 THEN 1 ELSE 0 END"
+    step = lambda way, role, gets: f"CASE WHEN z.f IN (0, 3) THEN CASE WHEN z.r = '{role}' THEN {_plus(soft, way, 'K')} ELSE {_plus('2 + ' + soft, way, 'R')} END END" if gets else "NULL"
+    return (
+        f"{{'o': {_plus('3', 'b.o', 'D')}, 's': least({_plus('3', 'b.s', 'D')}, CASE WHEN z.r = 's' AND z.f IN (0, 3) THEN {_plus(soft, 'b.o', 'K')} END), "
+        f"'u': least({_plus('3', 'b.u', 'D')}, {step('b.o', 'u', 1)}, {step('b.s', 'u', 1)}, {step('b.a', 'u', 1)}), 'a': least({_plus('3', 'b.a', 'D')}, {step('b.u', 'a', 1)}), 'x': NULL::STRUCT(r VARCHAR, f BIGINT)}}"
+    )
+
+
+OP13 = rf"""
+WITH d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')) AS k FROM conversations),
+b AS (SELECT * EXCLUDE (k), [CAST('0x' || hex(k)[2 * i + 1 : 2 * i + 2] AS BIGINT) FOR i IN range(octet_length(k))] AS bytes FROM d),
+h AS (SELECT * EXCLUDE (bytes), xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, y: list_reduce(list_concat([xor(c, y)], range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 20 AS kind FROM b),
+m AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM h),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM m),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) AS seen, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM o),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 3 ELSE 0 END::BIGINT AS f FROM p),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE f = 1) AS blank, count(*) FILTER (WHERE f = 2) AS duplicate, count(*) FILTER (WHERE f = 3) AS truncated,
+    count(*) FILTER (WHERE before || r NOT IN ('su', 'ua', 'au')) AS illegal, list({{'r': r, 'f': f}} ORDER BY n) AS rows, list(role ORDER BY n) AS roles, list(text ORDER BY n) AS texts FROM f GROUP BY conv_id),
+w AS (
+  SELECT *, list_reduce(list_concat([{{'o': '0000000000', 's': NULL::VARCHAR, 'u': NULL::VARCHAR, 'a': NULL::VARCHAR, 'x': NULL::STRUCT(r VARCHAR, f BIGINT)}}],
+    [{{'o': NULL::VARCHAR, 's': NULL::VARCHAR, 'u': NULL::VARCHAR, 'a': NULL::VARCHAR, 'x': x}} FOR x IN rows]),
+    lambda acc, row: list_transform([{{'b': {_inserted('acc')}, 'z': row.x}}], lambda y: list_transform([y.b], lambda b: list_transform([y.z], lambda z: {_through()})[1])[1])[1]) AS ways FROM g),
+e AS (SELECT *, {_inserted('ways')} AS final FROM w),
+a AS (SELECT *, CAST(left(least(final.o, final.a), 10) AS BIGINT) AS cost, substr(least(final.o, final.a), 11) AS audit FROM e),
+s AS (
+  SELECT *, list_reduce(list_concat([{{'i': 1::BIGINT, 'st': '', 'out': []::VARCHAR[], 'c': ''}}], [{{'i': 0::BIGINT, 'st': '', 'out': []::VARCHAR[], 'c': c}} FOR c IN string_split(audit, '') IF c <> '']),
+    lambda q, y: CASE y.c WHEN 'D' THEN {{'i': q.i + 1, 'st': q.st, 'out': q.out, 'c': ''}}
+      WHEN 'K' THEN {{'i': q.i + 1, 'st': left(roles[q.i], 1), 'out': list_append(q.out, roles[q.i] || ':' || texts[q.i]), 'c': ''}}
+      WHEN 'R' THEN {{'i': q.i + 1, 'st': CASE q.st WHEN 'u' THEN 'a' ELSE 'u' END, 'out': list_append(q.out, CASE q.st WHEN 'u' THEN 'assistant:' ELSE 'user:' END || texts[q.i]), 'c': ''}}
+      ELSE {{'i': q.i, 'st': CASE q.st WHEN 'u' THEN 'a' ELSE 'u' END, 'out': list_append(q.out, CASE q.st WHEN 'u' THEN 'assistant:' ELSE 'user:' END), 'c': ''}} END).out AS said FROM a)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+ORACLES = {"op11_middles": OP11, "op13_repairs": OP13, "op1_quality": OP1, "op2_archives": OP2, "op9_chats": OP9}
