@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempestry.llm import archives, chats, decontamination, extraction, jaccard, middles, packing, privacy, quality, repairs, substrings, toxicity
+from tempestry.llm import archives, chats, decontamination, extraction, jaccard, language, middles, packing, privacy, quality, repairs, substrings, toxicity
 from tempestry.llm.common import table
 
 
@@ -72,6 +72,11 @@ def op11_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return language.scored(docs, F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2)
+
+
 def op13_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repairs.repaired(repairs.damaged(table(spark, sf_dir, "conversations")))
 
@@ -88,5 +93,6 @@ QUERIES = {
     "op9_chats": op9_chats,
     "op10_toxicity": op10_toxicity,
     "op11_middles": op11_middles,
+    "op12_language": op12_language,
     "op13_repairs": op13_repairs,
 }
