@@ -19,10 +19,11 @@ def robust_z(value: Column, median: Column, scale: Column, metric: str) -> Colum
     return (value - median) / F.greatest(scale, F.lit(METRIC_EPSILON.get(metric, 1.0)))
 
 
-def bucket_confidence(bucket: Column, n: Column) -> Column:
+def bucket_confidence(bucket: Column, n: Column, least: int = 30) -> Column:
+    """Trust in a baseline by the level it comes from; a whole station's counts more from `least` values on."""
     return (
         F.when(bucket.isin("smooth", "month_hour"), 1.0).when(bucket == "month", 0.55)
-        .when((bucket == "city") & (n >= 30), 0.35).when(bucket == "city", 0.2).otherwise(0.0)
+        .when((bucket == "city") & (n >= least), 0.35).when(bucket == "city", 0.2).otherwise(0.0)
     )
 
 

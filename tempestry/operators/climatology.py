@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempestry.functions.scalars import local_time
-from tempestry.profile import LOWER_PERCENTILES, METRIC_EPSILON, SIGMA, UPPER_PERCENTILES, Profile
+from tempestry.operators import selection
+from tempestry.profile import LOWER_PERCENTILES, METRIC_EPSILON, SIGMA, UPPER_PERCENTILES, WET_PERCENTILES, Profile
 
 LEVELS = {"smooth": ["doy", "hour"], "month_hour": ["month", "hour"], "month": ["month"], "city": []}
 
@@ -80,14 +81,39 @@ def stats(vals: DataFrame, p: Profile = Profile()) -> dict[str, DataFrame]:
     }
 
 
-def wet_stats(vals: DataFrame, keys: list[str], p: Profile = Profile()) -> DataFrame:
-    """total_count, wet_count and percentiles of wet amounts per keys."""
-    wet = F.when(F.col("v") >= p.wet_mm, F.col("v"))
-    marks = [50, 75, 90, 95, 99]
-    out = vals.filter(F.col("metric") == "precipitation").groupBy(*keys).agg(
-        F.count("*").alias("total_count"), F.count(wet).alias("wet_count"), F.percentile(wet, F.array(*[F.lit(m / 100) for m in marks])).alias("q")
+def wet_stats(counts: DataFrame, keys: list[str], p: Profile = Profile()) -> DataFrame:
+    """total_count, wet_count and percentiles of wet amounts per keys, from rows (keys, metric, v, c) for c values."""
+    wet = F.col("v") >= p.wet_mm
+    marks = F.array(*[F.lit(m / 100) for m in WET_PERCENTILES])
+    out = counts.filter(F.col("metric") == "precipitation").groupBy(*keys).agg(
+        F.sum("c").alias("total_count"), F.coalesce(F.sum(F.when(wet, F.col("c"))), F.lit(0)).alias("wet_count"), F.percentile(F.when(wet, F.col("v")), marks, F.when(wet, F.col("c")).otherwise(0)).alias("q")
     )
-    return out.select(*keys, "total_count", "wet_count", *[places(F.get("q", k)).alias(f"p{m}") for k, m in enumerate(marks)])
+    return out.select(*keys, "total_count", "wet_count", *[places(F.get("q", k)).alias(f"p{m}") for k, m in enumerate(WET_PERCENTILES)])
+
+
+def wet_levels(vals: DataFrame, p: Profile = Profile()) -> dict[str, DataFrame]:
+    """The wet statistics of every level; amounts are counted before they are spread over neighbouring days."""
+    rain = vals.filter(F.col("metric") == "precipitation")
+    return {
+        "smooth": wet_stats(smoothed(rain, p), ["station", "doy", "hour"], p),
+        **{level: wet_stats(counted(rain, LEVELS[level]), ["station", *LEVELS[level]], p) for level in ("month_hour", "month", "city")},
+    }
+
+
+def wet_lookup(readings: DataFrame, levels: dict[str, DataFrame], p: Profile = Profile()) -> DataFrame:
+    """Adds wet_count, total_count, wet_p50 to wet_p99 and wet_bucket of the first level with enough wet hours (city: any)."""
+    order = _ladder(p)
+    parts = ["wet_count", "total_count", *[f"p{m}" for m in WET_PERCENTILES]]
+    for level in order:
+        table = levels[level]
+        if level != "city":
+            table = table.filter(F.col("wet_count") >= p.min_bucket_n)
+        keys = ["station", *LEVELS[level]]
+        table = table.select(*keys, F.struct(*parts, F.lit(level).alias("bucket")).alias(f"_wet_{level}"))
+        readings = readings.join(table.hint("merge"), keys, "left")
+    best = F.coalesce(*[F.col(f"_wet_{level}") for level in order])
+    readings = readings.withColumns({(part if part.endswith("count") else f"wet_{part}"): best[part] for part in (*parts, "bucket")})
+    return readings.drop(*[f"_wet_{level}" for level in order])
 
 
 def rolling_accumulations(readings: DataFrame, p: Profile = Profile()) -> DataFrame:
@@ -104,30 +130,35 @@ def residuals(vals: DataFrame, level_stats: DataFrame, keys: list[str]) -> DataF
     return joined.select("metric", ((F.col("v") - F.col("median")) / F.greatest("scale", _epsilon())).alias("v"))
 
 
-def thresholds(rest: DataFrame) -> DataFrame:
-    """n, upper_z, lower_z and abs_z per metric, pooled over stations."""
-    return rest.groupBy("metric").agg(
-        F.count("*").alias("n"), places(F.percentile("v", F.lit(0.995))).alias("upper_z"), places(F.percentile("v", F.lit(0.005))).alias("lower_z"),
-        places(F.percentile(F.abs("v"), F.lit(0.995))).alias("abs_z"),
-    )
-
+def pooled(rows: DataFrame, metrics: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(thresholds, tails) of rows (metric, v), pooled over stations, found by narrowing (see `selection`).
 
-def tails(rows: DataFrame, key: str = "metric") -> DataFrame:
-    """(key, kind, k, v, p): anchor values of both tails with their tail probabilities."""
-    up = F.array(*[F.lit(x / 100) for x in UPPER_PERCENTILES])
-    low = F.array(*[F.lit(x / 100) for x in LOWER_PERCENTILES])
-    both = rows.groupBy(key).agg(F.percentile("v", up).alias("upper"), F.percentile("v", low).alias("lower"))
-    out = []
-    for kind, marks in (("upper", UPPER_PERCENTILES), ("lower", LOWER_PERCENTILES)):
-        prob = F.array(*[F.lit(round((100 - x if kind == "upper" else x) / 100, 6)) for x in marks])
-        out.append(both.select(key, F.lit(kind).alias("kind"), F.posexplode(kind).alias("k", "v")).select(key, "kind", "k", places(F.col("v")).alias("v"), F.get(prob, "k").alias("p")))
-    return out[0].unionByName(out[1])
+    thresholds: metric, n, upper_z, lower_z and abs_z.  tails: metric, kind, k, v, p, anchor values of both tails with
+    their tail probabilities.
+    """
+    up, low = [x / 100 for x in UPPER_PERCENTILES], [x / 100 for x in LOWER_PERCENTILES]
+    marks = {m: [0.995, 0.005, *up, *low] for m in metrics} | {f"|{m}|": [0.995] for m in metrics}
+    both = rows.select(F.explode(F.array(F.struct(F.col("metric").alias("key"), "v"), F.struct(F.concat(F.lit("|"), "metric", F.lit("|")).alias("key"), F.abs("v").alias("v")))).alias("x")).select("x.*")
+    n, at = selection.percentiles(both, marks)
+    known = [m for m in metrics if m in n]
+    spark = rows.sparkSession
+    level = spark.createDataFrame([(m, n[m], at[m, 0.995], at[m, 0.005], at[f"|{m}|", 0.995]) for m in known], "metric string, n long, upper_z double, lower_z double, abs_z double")
+    tail = [
+        (m, kind, k, at[m, x / 100], round((100 - x if kind == "upper" else x) / 100, 6))
+        for m in known for kind, xs in (("upper", UPPER_PERCENTILES), ("lower", LOWER_PERCENTILES)) for k, x in enumerate(xs)
+    ]
+    anchors = spark.createDataFrame(tail, "metric string, kind string, k int, v double, p double")
+    return level.select("metric", "n", *[places(F.col(c)).alias(c) for c in ("upper_z", "lower_z", "abs_z")]), anchors.withColumn("v", places(F.col("v")))
+
+
+def _ladder(p: Profile) -> list[str]:
+    """Levels in the order in which they are asked."""
+    return [*(["smooth"] if p.smooth_baseline else []), "month_hour", "month", "city"]
 
 
 def lookup(readings: DataFrame, levels: dict[str, DataFrame], metrics, p: Profile = Profile()) -> DataFrame:
     """Adds, per metric, median, scale, n and bucket of the first level with enough values (city: any)."""
-    order = ["smooth" if p.smooth_baseline else "month_hour", "month_hour", "month", "city"]
-    order = list(dict.fromkeys(order))
+    order = _ladder(p)
     for level in order:
         table = levels[level].filter(F.col("metric").isin(list(metrics)))
         if level != "city":

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tempestry.functions import scalars as S
 from tempestry.operators import climatology, features
-from tempestry.profile import DETECTORS, FORECAST_METRICS, SCORE_WEIGHTS, Profile
+from tempestry.profile import DETECTORS, FORECAST_METRICS, SCORE_WEIGHTS, WET_PERCENTILES, Profile
 
 Z_METRICS = ("temperature_2m", "wind_gusts_10m", "pressure_msl")
 
@@ -23,12 +23,13 @@ Z_METRICS = ("temperature_2m", "wind_gusts_10m", "pressure_msl")
 def enriched(readings: DataFrame, stations: DataFrame, clim: dict, p: Profile = Profile()) -> DataFrame:
     """Readings with history features, baseline lookups, z scores, gates and tail anchors.
 
-    `clim` holds levels (statistics) and gates (literal columns).
+    `clim` holds levels and wet (statistics per level) and gates (literal columns).
     """
     df = features.with_history(climatology.with_local(readings, stations), p)
     df = climatology.lookup(df, clim["levels"], Z_METRICS, p)
+    df = climatology.wet_lookup(df, clim["wet"], p)
     df = df.withColumns({f"{m}_z": S.robust_z(F.col(m), F.col(f"{m}_median"), F.col(f"{m}_scale"), m) for m in Z_METRICS})
-    df = df.withColumns({f"{m}_conf": F.when(F.col(f"{m}_z").isNull(), 0.0).otherwise(S.bucket_confidence(F.col(f"{m}_bucket"), F.col(f"{m}_n"))) for m in Z_METRICS})
+    df = df.withColumns({f"{m}_conf": F.when(F.col(f"{m}_z").isNull(), 0.0).otherwise(S.bucket_confidence(F.col(f"{m}_bucket"), F.col(f"{m}_n"), p.min_bucket_n)) for m in Z_METRICS})
     return df.withColumns(clim["gates"])
 
 
@@ -63,6 +64,8 @@ HEADLINES = {
     "forecast_bust": "{station}'s {metric} missed the stored forecast by {error}, {norm}x the recent global MAE.",
     "spatial_anomaly": "{station}'s {metric} anomaly differs from peers by {gap} sigma in climatology-normalized space.",
 }
+# Where the threshold of wet hours comes from.
+RAIN_SOURCES = ("training_wet_hour_upper_quantile_with_hazard_floor", "fixed_wet_p95_floor", "fixed_wet_p95_fallback")
 
 
 def one(x: Column) -> Column:
@@ -194,9 +197,11 @@ def cold_spell(p):
 @Detector
 def heavy_rain_burst(p):
     amount, total = F.coalesce("precipitation", F.lit(0.0)), F.col("accumulation_6h")
-    quantile = F.col("wet_p995") if p.quantile_gates else F.lit(None).cast("double")
-    hour_gate = F.greatest(quantile, F.lit(p.rain_mm))
-    total_gate = F.greatest(hour_gate, F.lit(p.rain_6h_mm))
+    # the training quantile, else the 95th percentile of the bucket's wet hours; without either nothing fires
+    quantile, p95 = F.col("wet_p995") if p.quantile_gates else F.lit(None).cast("double"), F.col("wet_p95")
+    known = F.coalesce(quantile, p95)
+    hour_gate = F.when(known.isNotNull(), F.greatest(known, F.lit(p.rain_mm)))
+    total_gate = F.when(known.isNotNull(), F.greatest(hour_gate, F.lit(p.rain_6h_mm)))
     by_total = total >= total_gate
     if p.surprisal:
         rarity = F.greatest(S.rarity(F.col("rain_upper"), amount, F.lit(1.0)), S.rarity(F.col("rain_6h_upper"), total, F.lit(1.0)))
@@ -205,14 +210,18 @@ def heavy_rain_burst(p):
         rarity, magnitude = F.lit(1.0), F.greatest(amount, total) / 20
     inputs = {"rarity": rarity, "magnitude": magnitude, "persistence": total / 15, "compound": F.when(by_total, 1.0).otherwise(0.5)}
     trigger = F.when(amount >= hour_gate, "hourly").otherwise("accumulation")
+    marks = F.array(*[F.struct(F.col(f"wet_p{m}").alias("v"), F.lit(m).alias("p")) for m in WET_PERCENTILES])
     signals = {
-        "amount_mm": amount, "accumulation_mm": total, "difference": F.greatest(amount, total), "wet_hour_quantile_mm": quantile, "absolute_hazard_floor_mm": F.lit(p.rain_mm),
-        "threshold_mm": hour_gate, "accumulation_hours": F.lit(6), "accumulation_threshold_mm": total_gate,
+        "amount_mm": amount, "accumulation_mm": total, "difference": F.greatest(amount, total), "wet_hour_p95_mm": p95, "wet_hour_quantile_mm": known, "absolute_hazard_floor_mm": F.lit(p.rain_mm),
+        "threshold_mm": hour_gate, "threshold_quantile": F.lit(99.5), "accumulation_hours": F.lit(6), "accumulation_threshold_mm": total_gate,
+        "wet_amount_percentile": F.when(p95.isNotNull(), S.wet_bucket(amount, marks)), "wet_count": F.coalesce("wet_count", F.lit(0)), "total_count": F.coalesce("total_count", F.lit(0)),
     }
     headline = _headline("heavy_rain_burst", amount=one(amount), total=one(total), hours=F.lit("6"), gate=one(hour_gate))
-    notes = {"threshold_source": F.when(quantile.isNotNull(), "quantile").otherwise("fixed"), "trigger": trigger}
+    source = F.when(quantile.isNotNull(), RAIN_SOURCES[0]).otherwise(RAIN_SOURCES[2 if p.quantile_gates else 1])
+    notes = {"threshold_source": source, "trigger": trigger, "baseline_bucket": F.coalesce("wet_bucket", F.lit("missing"))}
     fired = (amount >= p.wet_mm) & ((amount >= hour_gate) | by_total)
-    return [_candidate(p, fired, "heavy_rain_burst", F.lit("precipitation"), F.greatest(amount, total), F.lit(0.8), inputs, signals, headline, notes)]
+    confidence = F.greatest(S.bucket_confidence(F.col("wet_bucket"), F.col("wet_count"), p.min_bucket_n), F.lit(0.8))
+    return [_candidate(p, fired, "heavy_rain_burst", F.lit("precipitation"), F.greatest(amount, total), confidence, inputs, signals, headline, notes)]
 
 
 @Detector
@@ -233,7 +242,7 @@ def heat_stress(p):
     t, dew, z = F.col("temperature_2m"), F.col("dew_point_2m"), F.col("temperature_2m_z")
     h = S.humidex(t, dew)
     high = F.when(z.isNotNull(), F.greatest(z, F.lit(0.0)))
-    inputs = {"rarity": F.when(z.isNotNull(), _rarity(p, "temperature_2m_upper", high)).otherwise(0.0), "magnitude": (h - p.humidex) / 2, "compound": F.lit(1.0), "persistence": F.lit(0.5)}
+    inputs = {"rarity": F.when(z.isNotNull(), _rarity(p, "temperature_2m_upper", high)).otherwise(0.0), "magnitude": (h - p.humidex) / (p.humidex_strong - p.humidex), "compound": F.lit(1.0), "persistence": F.lit(0.5)}
     signals = {"humidex": h, "gap": h - p.humidex, "temperature_2m": t, "dew_point_2m": dew, "z_score": high}
     headline = _headline("heat_stress", humidex=one(h), temperature=one(t), dew=one(dew))
     return [_candidate(p, h >= p.humidex, "heat_stress", F.lit("humidex"), F.coalesce(high, h - p.humidex), F.col("temperature_2m_conf"), inputs, signals, headline, {"baseline_bucket": F.col("temperature_2m_bucket")})]
@@ -245,7 +254,7 @@ def cold_stress(p):
     c = S.wind_chill(t, wind)
     strength = F.coalesce(F.abs(z), F.lit(0.0))
     rare = F.when(z.isNotNull(), _rarity(p, "temperature_2m_lower", F.least(z, F.lit(0.0)))).otherwise(0.0)
-    inputs = {"rarity": rare, "magnitude": (p.wind_chill - c) / 10, "compound": F.lit(1.0), "persistence": F.lit(0.5)}
+    inputs = {"rarity": rare, "magnitude": (p.wind_chill - c) / (p.wind_chill - p.wind_chill_strong), "compound": F.lit(1.0), "persistence": F.lit(0.5)}
     signals = {"wind_chill": c, "gap": p.wind_chill - c, "temperature_2m": t, "wind_speed_10m": wind, "z_score": strength, "signed_z_score": z}
     headline = _headline("cold_stress", chill=one(c), temperature=one(t), wind=one(wind))
     return [_candidate(p, c <= p.wind_chill, "cold_stress", F.lit("wind_chill"), strength, F.col("temperature_2m_conf"), inputs, signals, headline, {"baseline_bucket": F.col("temperature_2m_bucket")})]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempestry.profile import Profile
+
 MAX_LIMIT = 5000
 
 
@@ -54,6 +56,13 @@ def dedupe_first(rows: DataFrame, keys: list[str], order: list, known: DataFrame
     return out if known is None else out.join(known.select(*keys), keys, "left_anti")
 
 
+def forecasts_of_new(arrivals: DataFrame, keys: list[str], order: list, p: Profile = Profile(), known: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """Forecasts to keep of arrivals (reading and forecast in one row): only if the reading was new, with an admissible
+    lead, and the first for its station and target_t; `known` readings and `stored` forecasts were there before."""
+    new = dedupe_first(arrivals, keys, order, known)
+    return dedupe_first(new.filter(F.col("lead_hours").between(p.lead_min, p.lead_max)), ["station", "target_t"], order, stored)
+
+
 def latest_per_station(readings: DataFrame, columns: list[str]) -> DataFrame:
     return readings.groupBy("station").agg(F.max_by(F.struct("t", *columns), "t").alias("r")).select("station", "r.*")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tempestry.functions.scalars import severity
 from tempestry.profile import Profile
 
 
@@ -37,20 +38,27 @@ def islands(candidates: DataFrame, readings: DataFrame, p: Profile = Profile())
 def incidents(candidates: DataFrame, readings: DataFrame, p: Profile = Profile(), representative: str = "strength") -> DataFrame:
     """One row per incident; the peak row is that of the largest `representative` (strength, or score for replays).
 
-    resolved_t is the time of the k_off-th reading after the last hit, null while open or ongoing.
+    The k_on readings that open an incident are pending ones: of equal peaks among them the last counts, and the score
+    is the peak's.  After them only a larger value moves the peak, and the largest score counts.  resolved_t is the
+    time of the k_off-th reading after the last hit, null while open or ongoing.
     """
     hits = islands(candidates, readings, p).filter(F.col("seq") >= F.col("opened"))
-    first = -F.col("seq")  # of equal peaks the earliest
+    pending = F.col("seq") < F.col("opened") + p.k_on
+    opening = F.col("seq") == F.col("opened") + p.k_on - 1
     ids = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "supporting_ids"))), lambda x: x.supporting_ids)))
+    told = [F.col(representative).alias("by"), "t", "strength", "score", *[c for c in ("signals", "notes", "reason") if c in candidates.columns]]
     out = hits.groupBy("station", "detector", "metric", "dedupe_key", "island").agg(
         F.min("t").alias("onset_t"), F.max("t").alias("last_t"), F.max("seq").alias("last_seq"), F.count("*").alias("hits"),
-        F.max_by("t", F.struct(F.col(representative), first)).alias("peak_t"),
-        F.max("strength").alias("peak_strength"), F.max("score").alias("priority_score"), F.max("confidence").alias("confidence"),
-        *[F.max_by(c, F.struct(F.col(representative), first)).alias(c) for c in ("signals", "notes", "reason") if c in candidates.columns], ids.alias("supporting_ids"),
+        F.max_by(F.struct(*told), F.when(pending, F.struct(F.col(representative), F.col("seq")))).alias("before"),
+        F.max_by(F.struct(*told), F.when(~pending, F.struct(F.col(representative), -F.col("seq")))).alias("after"),
+        F.max("strength").alias("peak_strength"), F.max(F.when(~pending, F.col("score"))).alias("later_score"),
+        F.max(F.when(~pending | opening, F.col("confidence"))).alias("confidence"), ids.alias("supporting_ids"),
     )
+    peak = F.when(F.col("after.by") > F.col("before.by"), F.col("after")).otherwise(F.col("before"))
+    out = out.withColumn("peak", peak).withColumn("priority_score", F.greatest("before.score", "later_score"))
+    out = out.withColumns({"peak_t": F.col("peak.t"), **{c: F.col("peak")[c] for c in ("signals", "notes", "reason") if c in candidates.columns}}).drop("before", "after", "later_score", "peak")
     after = sequenced(readings).select("station", F.col("t").alias("resolved_t"), (F.col("seq") - p.k_off).alias("last_seq"))
     out = out.join(after.hint("merge"), ["station", "last_seq"], "left")
-    status = F.when(F.col("resolved_t").isNotNull(), "resolved").when(F.col("hits") > 1, "ongoing").otherwise("open")
-    grade = F.when(F.col("priority_score") < 30, "info").when(F.col("priority_score") < 60, "warning").otherwise("severe")
+    status = F.when(F.col("resolved_t").isNotNull(), "resolved").when(F.col("hits") > p.k_on, "ongoing").otherwise("open")
     event_id = F.xxhash64("dedupe_key", "onset_t")
-    return out.withColumn("status", status).withColumn("severity", grade).withColumn("event_id", event_id).drop("last_seq", "island")
+    return out.withColumn("status", status).withColumn("severity", severity(F.col("priority_score"))).withColumn("event_id", event_id).drop("last_seq", "island")

@@ -18,7 +18,7 @@ from tempestry.operators import feeds, lifecycle
 from tempestry.operators.lineage import cut, shared_dir
 from tempestry.plans import views
 from tempestry.plans.sql import CHILL, HUMIDEX, STEP, TRAIN1, TRAIN2, with_
-from tempestry.profile import CURRENT, DETECTORS, FORECAST_METRICS, MONTH_HOUR, SMOOTH_CLIPPED, Profile
+from tempestry.profile import CURRENT, DETECTORS, FORECAST_METRICS, MONTH_HOUR, SMOOTH_CLIPPED, WET_PERCENTILES, Profile
 from tempestry.sources import tables
 
 QUERIES: dict = {}
@@ -51,13 +51,15 @@ def train2(spark: SparkSession, d: str) -> DataFrame:
     return C.values(C.with_local(views.daily(spark, d), views.stations(spark)).filter(F.col("t") < TRAIN2), P.climatology_metrics)
 
 
-def tail_rows(vals: DataFrame, readings: DataFrame) -> DataFrame:
+def tail_rows(vals: DataFrame, readings: DataFrame, level: str = "smooth") -> DataFrame:
     """(metric, v): residuals, wet amounts and six-hour totals of the training part."""
-    rest = C.residuals(vals, C.stats(vals, P)["smooth"], ["doy", "hour"])
+    rest = C.residuals(vals, C.stats(vals, P)[level], C.LEVELS[level])
     wet = vals.filter((F.col("metric") == "precipitation") & (F.col("v") >= P.wet_mm)).select(F.lit("rain").alias("metric"), "v")
     return rest.unionByName(wet).unionByName(C.rolling_accumulations(readings, P).select(F.lit("rain_6h").alias("metric"), "v"))
 
 
+#: What thresholds and tails are pooled over: the residuals of the metrics, wet hours, and wet six hours.
+POOLED = [*P.climatology_metrics, "rain", "rain_6h"]
 _FITTED: dict[tuple[str, str], dict] = {}
 
 
@@ -70,12 +72,12 @@ def climatology1(spark: SparkSession, d: str) -> dict:
         wet = vals.filter((F.col("metric") == "precipitation") & (F.col("v") >= P.wet_mm)).select(F.lit("rain").alias("metric"), "v")
         path = f"{shared_dir(spark)}/climatology-{uuid.uuid4().hex}"
         tables.write_climatology(C.stats(vals, P), path)
+        tables.write_climatology(C.wet_levels(vals, P), f"{path}/wet")
         levels = tables.read_climatology(spark, path, C.LEVELS)
         gates = {}
         for name in ("smooth", "month_hour"):
-            rows = cut(C.residuals(vals, levels[name], C.LEVELS[name]).unionByName(wet).unionByName(acc))
-            gates[name] = D.gates(C.thresholds(rows), C.tails(rows))
-        _FITTED[key] = {"levels": levels, "gates": gates}
+            gates[name] = D.gates(*C.pooled(C.residuals(vals, levels[name], C.LEVELS[name]).unionByName(wet).unionByName(acc), POOLED))
+        _FITTED[key] = {"levels": levels, "wet": tables.read_climatology(spark, f"{path}/wet", C.LEVELS), "gates": gates}
     return _FITTED[key]
 
 
@@ -87,27 +89,36 @@ def forget() -> None:
 def enriched(spark: SparkSession, d: str, p: Profile = P) -> DataFrame:
     """Features of all hourly readings; computed once, since every detector starts from them."""
     fitted = climatology1(spark, d)
-    clim = {"levels": fitted["levels"], "gates": fitted["gates"]["smooth" if p.smooth_baseline else "month_hour"]}
+    clim = {**fitted, "gates": fitted["gates"]["smooth" if p.smooth_baseline else "month_hour"]}
     return cut(D.enriched(views.hourly(spark, d), views.stations(spark), clim, p))
 
 
 def with_forecast(spark: SparkSession, d: str, df: DataFrame) -> DataFrame:
-    fc = views.forecasts(spark, d)
-    mae = X.rolling_mae(df.select("t"), X.forecast_pairs(views.hourly(spark, d), fc, P), P)
-    return X.matching_forecast(df, fc, P).join(mae.hint("merge"), "t")
+    return said_before(df, views.hourly(spark, d), views.forecasts(spark, d))
+
+
+def said_before(df: DataFrame, readings: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """df with its forecasts and the rolling error of those of all `readings`."""
+    mae = X.rolling_mae(df.select("t"), X.forecast_pairs(readings, forecasts, P), P)
+    return X.matching_forecast(df, forecasts, P).join(mae.hint("merge"), "t")
+
+
+PEER_COLUMNS = ["id", *[c for m in D.Z_METRICS for c in (m, f"{m}_z", f"{m}_conf")]]
 
 
 def with_peers(spark: SparkSession, df: DataFrame) -> DataFrame:
-    cols = ["id", *[c for m in D.Z_METRICS for c in (m, f"{m}_z", f"{m}_conf")]]
-    peers = X.latest_peers(df.select("station", "t", *cols), views.stations(spark), cols)
-    lists = peers.groupBy("station", "t").agg(F.collect_list(F.struct("peer", *cols)).alias("peers"))
-    return df.join(lists.hint("merge"), ["station", "t"], "left")
+    return X.with_peer_lists(df, views.stations(spark), PEER_COLUMNS)
 
 
 def candidates(spark: SparkSession, d: str, p: Profile = P) -> DataFrame:
     """All ten detectors in one pass over the features with forecasts and peers."""
     df = enriched(spark, d, p)
-    return cut(D.detect(with_peers(spark, df).drop("id").join(with_forecast(spark, d, df.select("station", "t", "id", *FORECAST_METRICS)).drop(*FORECAST_METRICS).hint("merge"), ["station", "t"]), p))
+    return cut(D.detect(joined(with_peers(spark, df), with_forecast(spark, d, df.select("station", "t", *FORECAST_METRICS))), p))
+
+
+def joined(features: DataFrame, said: DataFrame) -> DataFrame:
+    """Features of readings with what was forecast for them."""
+    return features.join(said.drop(*FORECAST_METRICS).hint("merge"), ["station", "t"])
 
 
 def incidents(spark: SparkSession, d: str, by: str = "strength", found: DataFrame | None = None) -> DataFrame:
@@ -136,12 +147,6 @@ def s7(spark, d):
     return feeds.dedupe_first(views.raw(spark, d), ["station", "t"], ["polled_at", "reading_id"])
 
 
-@query("s8_dedupe_forecasts", "SELECT station, target_t, lead_hours, temperature_2m FROM v5 WHERE lead_hours BETWEEN 3 AND 12 QUALIFY row_number() OVER (PARTITION BY station, target_t ORDER BY lead_hours DESC) = 1")
-def s8(spark, d):
-    f = views.forecasts(spark, d).filter(F.col("lead_hours").between(P.lead_min, P.lead_max))
-    return feeds.dedupe_first(f, ["station", "target_t"], ["issued_t"]).select("station", "target_t", "lead_hours", "temperature_2m")
-
-
 @query("s11_backfill_chunks", "SELECT k AS first_day, least(k + 4, (SELECT max(t) // 86400 FROM v1)) AS last_day, (SELECT count(*) FROM v1 WHERE t // 86400 BETWEEN k AND k + 4) AS n FROM (SELECT unnest(range((SELECT min(t) // 86400 FROM v1), (SELECT max(t) // 86400 FROM v1) + 1, 5)) AS k)")
 def s11(spark, d):
     days = views.hourly(spark, d).groupBy(F.floor(F.col("t") / 86400).alias("day")).agg(F.count("*").alias("n"))
@@ -233,18 +238,11 @@ def j5(spark, d):
     return df.select("station", "t", *[f"{m}_{c}" for m in D.Z_METRICS for c in ("median", "scale", "n", "bucket")])
 
 
-@query("j6_wet_precip_lookup", """SELECT l.station, l.t, coalesce(a.wet_count, b.wet_count, c.wet_count) AS wet_count, coalesce(a.p95, b.p95, c.p95) AS p95 FROM loc1 l
- LEFT JOIN (SELECT station, month, hour, count(*) FILTER (WHERE v >= 0.1) AS wet_count, round(quantile_cont(v, 0.95) FILTER (WHERE v >= 0.1) + 1e-9, 4) AS p95 FROM val1 WHERE metric = 'precipitation' GROUP BY ALL) a ON a.station = l.station AND a.month = l.month AND a.hour = l.hour AND a.wet_count >= 10
- LEFT JOIN (SELECT station, month, count(*) FILTER (WHERE v >= 0.1) AS wet_count, round(quantile_cont(v, 0.95) FILTER (WHERE v >= 0.1) + 1e-9, 4) AS p95 FROM val1 WHERE metric = 'precipitation' GROUP BY ALL) b ON b.station = l.station AND b.month = l.month AND b.wet_count >= 10
- LEFT JOIN (SELECT station, count(*) FILTER (WHERE v >= 0.1) AS wet_count, round(quantile_cont(v, 0.95) FILTER (WHERE v >= 0.1) + 1e-9, 4) AS p95 FROM val1 WHERE metric = 'precipitation' GROUP BY ALL) c ON c.station = l.station""")
+@query("j6_wet_precip_lookup", "SELECT station, t, wet_count, total_count, wet_p50, wet_p95, wet_p99, wet_bucket FROM look")
 def j6(spark, d):
-    vals, rows = train1(spark, d), C.with_local(views.hourly(spark, d), views.stations(spark))
-    for k, keys in enumerate((["station", "month", "hour"], ["station", "month"], ["station"])):
-        w = C.wet_stats(vals, keys, P)
-        w = w.filter(F.col("wet_count") >= P.min_bucket_n) if k < 2 else w
-        rows = rows.join(w.select(*keys, F.struct("wet_count", "p95").alias(f"w{k}")).hint("merge"), keys, "left")
-    best = F.coalesce("w0", "w1", "w2")
-    return rows.select("station", "t", best["wet_count"].alias("wet_count"), best["p95"].alias("p95"))
+    """The ladder of wet hours: day of year, month and hour, month, station."""
+    rows = C.wet_lookup(C.with_local(views.hourly(spark, d), views.stations(spark)), C.wet_levels(train1(spark, d), P), P)
+    return rows.select("station", "t", "wet_count", "total_count", "wet_p50", "wet_p95", "wet_p99", "wet_bucket")
 
 
 @query("j7_label_match", "SELECT DISTINCT x.label_id, r.station, r.detector, r.metric, r.onset_t, r.severity, r.priority_score, EXISTS (SELECT 1 FROM v6 y WHERE y.label_id = x.label_id AND y.expected_type = r.detector) AS is_expected FROM rinc r JOIN v6 x ON x.station = r.station AND r.onset_t BETWEEN x.from_t AND x.until_t")
@@ -314,12 +312,16 @@ for _level, _step, _keys in (("month_hour", "mh2", ["month", "hour"]), ("month",
 
 @query("a6_wet_precip_stats", "SELECT station, month, count(*) AS total_count, count(*) FILTER (WHERE v >= 0.1) AS wet_count, " + ", ".join(f"round(quantile_cont(v, {m / 100}) FILTER (WHERE v >= 0.1) + 1e-9, 4) AS p{m}" for m in (50, 75, 90, 95, 99)) + " FROM val2 WHERE metric = 'precipitation' GROUP BY ALL")
 def a6(spark, d):
-    return C.wet_stats(train2(spark, d), ["station", "month"], P)
+    return C.wet_levels(train2(spark, d), P)["month"]
+
+
+def _pooled2(spark, d, level: str = "smooth"):
+    return C.pooled(tail_rows(train2(spark, d), views.daily(spark, d).filter(F.col("t") < TRAIN2), level), POOLED)
 
 
 @query("a7_tail_anchors", "SELECT metric, kind, k, v, p FROM tail2")
 def a7(spark, d):
-    return C.tails(tail_rows(train2(spark, d), views.daily(spark, d).filter(F.col("t") < TRAIN2)))
+    return _pooled2(spark, d)[1]
 
 
 @query("a8_rolling_accumulations", "SELECT station, t, round(v, 6) AS v FROM acc1")
@@ -327,26 +329,22 @@ def a8(spark, d):
     return C.rolling_accumulations(views.hourly(spark, d).filter(F.col("t") < TRAIN1), P).withColumn("v", F.round("v", 6))
 
 
-@query("a9_empirical_thresholds", "SELECT * FROM thr2")
+@query("a9_empirical_thresholds", "SELECT * FROM thrall2")
 def a9(spark, d):
-    vals = train2(spark, d)
-    return C.thresholds(C.residuals(vals, C.stats(vals, P)["smooth"], ["doy", "hour"]))
+    """Residuals of the day-of-year baseline, wet hours and wet six hours."""
+    return _pooled2(spark, d)[0]
 
 
-@query("a9b_legacy_thresholds", "SELECT * FROM thrmh2")
+@query("a9b_legacy_thresholds", "SELECT * FROM thrmhall2")
 def a9b(spark, d):
-    vals = train2(spark, d)
-    return C.thresholds(C.residuals(vals, C.stats(vals, P)["month_hour"], ["month", "hour"]))
+    """The same of the month and hour baseline."""
+    return _pooled2(spark, d, "month_hour")[0]
 
 
 @query("a9c_threshold_summary", "SELECT (SELECT upper_z FROM thr2 WHERE metric = 'temperature_2m') AS temperature_upper, (SELECT lower_z FROM thr2 WHERE metric = 'temperature_2m') AS temperature_lower, (SELECT upper_z FROM thr2 WHERE metric = 'wind_gusts_10m') AS gust_upper, (SELECT round(quantile_cont(v, 0.995) + 1e-9, 4) FROM val2 WHERE metric = 'precipitation' AND v >= 0.1) AS wet_amount")
 def a9c(spark, d):
-    vals = train2(spark, d)
-    thr = a9(spark, d)
-    pick = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
-    row = thr.agg(pick("temperature_2m", "upper_z").alias("temperature_upper"), pick("temperature_2m", "lower_z").alias("temperature_lower"), pick("wind_gusts_10m", "upper_z").alias("gust_upper"))
-    wet = vals.filter("metric = 'precipitation' AND v >= 0.1").agg(C.places(F.percentile("v", F.lit(0.995))).alias("wet_amount"))
-    return row.join(F.broadcast(wet), how="cross")
+    pick = lambda m, c, name: F.max(F.when(F.col("metric") == m, F.col(c))).alias(name)
+    return a9(spark, d).agg(pick("temperature_2m", "upper_z", "temperature_upper"), pick("temperature_2m", "lower_z", "temperature_lower"), pick("wind_gusts_10m", "upper_z", "gust_upper"), pick("rain", "upper_z", "wet_amount"))
 
 
 @query("a10_rolling_mae", "SELECT t, " + ", ".join(f"round({m}_mae + 1e-9, 6) AS {m}_mae, {m}_pairs" for m in FORECAST_METRICS) + " FROM mae")
@@ -432,12 +430,13 @@ def x5(spark, d):
     return df.select("station", "t", F.round(S.rarity(F.col("temperature_2m_upper"), F.col("temperature_2m_z"), F.lit(0.0)), 4).alias("rarity"))
 
 
-@query("x6_wet_percentile_bucket", "SELECT l.station, l.t, CAST(coalesce(list_min([q.p FOR q IN m IF q.v >= precipitation]), 99) AS INT) AS bucket FROM loc1 l JOIN (SELECT station, [{'v': round(quantile_cont(v, 0.5) + 1e-9, 4), 'p': 50}, {'v': round(quantile_cont(v, 0.75) + 1e-9, 4), 'p': 75}, {'v': round(quantile_cont(v, 0.9) + 1e-9, 4), 'p': 90}, {'v': round(quantile_cont(v, 0.95) + 1e-9, 4), 'p': 95}, {'v': round(quantile_cont(v, 0.99) + 1e-9, 4), 'p': 99}] AS m FROM val1 WHERE metric = 'precipitation' AND v >= 0.1 GROUP BY station) w USING (station) WHERE precipitation >= 0.1")
+@query("x6_wet_percentile_bucket", "SELECT station, t, wet_bucket AS level, CASE WHEN precipitation <= wet_p50 THEN 50 WHEN precipitation <= wet_p75 THEN 75 WHEN precipitation <= wet_p90 THEN 90 WHEN precipitation <= wet_p95 THEN 95 ELSE 99 END AS bucket FROM look WHERE precipitation >= 0.1 AND wet_p50 IS NOT NULL")
 def x6(spark, d):
-    w = C.wet_stats(train1(spark, d), ["station"], P)
-    marks = F.array(*[F.struct(F.col(f"p{m}").alias("v"), F.lit(m).alias("p")) for m in (50, 75, 90, 95, 99)])
-    rows = views.hourly(spark, d).filter(F.col("precipitation") >= P.wet_mm).join(w.select("station", marks.alias("marks")).hint("merge"), "station")
-    return rows.select("station", "t", S.wet_bucket(F.col("precipitation"), F.col("marks")).alias("bucket"))
+    """Where a wet hour stands among those of its own bucket, whatever level that is of."""
+    rows = C.with_local(views.hourly(spark, d).filter(F.col("precipitation") >= P.wet_mm), views.stations(spark))
+    rows = C.wet_lookup(rows, C.wet_levels(train1(spark, d), P), P).filter("wet_p50 IS NOT NULL")
+    marks = F.array(*[F.struct(F.col(f"wet_p{m}").alias("v"), F.lit(m).alias("p")) for m in WET_PERCENTILES])
+    return rows.select("station", "t", F.col("wet_bucket").alias("level"), S.wet_bucket(F.col("precipitation"), marks).alias("bucket"))
 
 
 @query("x8_humidex_wind_chill", f"SELECT station, t, round({HUMIDEX}, 4) AS humidex, round({CHILL}, 4) AS wind_chill, round(abs(apparent_temperature - temperature_2m) + 1e-9, 4) AS gap FROM v1")
@@ -481,6 +480,14 @@ for _k, _name in enumerate(DETECTORS):
     query(f"d{_k + 1}_{_name}", f"SELECT {', '.join(CANDIDATE)} FROM d{_k + 1}")(_detector(_k))
 
 
+@query("d5_heavy_rain_burst_p95", f"SELECT {', '.join(CANDIDATE)}, evidence FROM d5_p95")
+def d5_p95(spark, d):
+    """Heavy rain without training quantiles: the gate is the 95th percentile of the bucket's own wet hours."""
+    p = replace(P, quantile_gates=False)
+    out = D.heavy_rain_burst(enriched(spark, d, p), p)
+    return out.select(*CANDIDATE, S.explanation(F.col("reason"), F.col("signals"))["evidence"].alias("evidence"))
+
+
 @query("u1_detect", "SELECT detector, metric, severity, count(*) AS n, max(score) AS top FROM cand GROUP BY ALL")
 def u1(spark, d):
     return candidates(spark, d).groupBy("detector", "metric", "severity").agg(F.count("*").alias("n"), F.max("score").alias("top"))
@@ -906,7 +913,7 @@ def x15(spark, d):
 @query("x23_gate_threshold", "SELECT metric, coalesce(upper_z, 3.0) AS upper, coalesce(lower_z, -3.0) AS lower, CASE WHEN upper_z IS NULL THEN 'fixed' ELSE 'quantile' END AS source FROM thr1 WHERE metric <> 'precipitation'")
 def x23(spark, d):
     vals = train1(spark, d)
-    thr = C.thresholds(C.residuals(vals, C.stats(vals, P)["smooth"], ["doy", "hour"])).filter("metric <> 'precipitation'")
+    thr = C.pooled(C.residuals(vals, C.stats(vals, P)["smooth"], ["doy", "hour"]), [m for m in P.climatology_metrics if m != "precipitation"])[0]
     return thr.select("metric", F.coalesce("upper_z", F.lit(3.0)).alias("upper"), F.coalesce("lower_z", F.lit(-3.0)).alias("lower"), F.when(F.col("upper_z").isNull(), "fixed").otherwise("quantile").alias("source"))
 
 
@@ -963,64 +970,6 @@ def a15(spark, d):
 ORACLES["x15_legacy_score"] = with_(X15_SQL)
 
 
-# ---- stored tables and streams -------------------------------------------------------------------------
-# Every stream reads files that Spark writes from the given tables, in several micro-batches, and ends by itself.
-
-from tempestry.streaming import detection as stream_detection  # noqa: E402
-from tempestry.streaming import lifecycle as stream_lifecycle  # noqa: E402
-
-
-def _folder(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def _landed(df: DataFrame, path: str, batches: int = 4) -> None:
-    """`df` as JSON files, one per span of time, written in order of time."""
-    a, z = df.agg(F.min("t"), F.max("t")).first()
-    if a is None:
-        return
-    step = (z - a) // batches + 1
-    for k in range(batches):
-        df.filter((F.col("t") >= a + k * step) & (F.col("t") < a + (k + 1) * step)).coalesce(1).write.mode("append").json(path)
-
-
-def _drained(stream: DataFrame, path: str, each=None) -> DataFrame:
-    """All that a stream of the files at hand gives, through `each` (batch, id) or appended to a table."""
-    spark = stream.sparkSession
-    out = f"{path}/out"
-
-    def append(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append").parquet(out)
-
-    writer = stream.writeStream.outputMode("append" if each is None else "update").option("checkpointLocation", f"{path}/state").foreachBatch(each or append)
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
-
-
-@query("s6_stream_readings", "SELECT station, t, temperature_2m, precipitation, wind_gusts_10m, weather_code FROM v1")
-def s6(spark, d):
-    """Every reading lands twice; the stream keeps the first."""
-    path, h = _folder(spark, "stream"), views.hourly(spark, d)
-    _landed(h.unionByName(h), f"{path}/in")
-    rows = _drained(tables.stream_readings(spark, f"{path}/in", files_per_batch=1), path)
-    return rows.select("station", "t", "temperature_2m", "precipitation", "wind_gusts_10m", "weather_code")
-
-
-@query("s9_write_events", f"SELECT {', '.join(c for c in INCIDENT if c != 'status')}, CASE WHEN hits > 1 THEN status ELSE 'open' END AS status FROM inc")
-def s9(spark, d):
-    """All incidents as open, then the longer ones as they ended: upserts keep the others of the same days."""
-    path, rows = _folder(spark, "events"), cut(incidents(spark, d))
-    tables.write_events(rows.withColumn("status", F.lit("open")), path)
-    tables.write_events(rows.filter("hits > 1"), path)
-    return spark.read.parquet(path).select(*INCIDENT)
-
-
-@query("s10_climatology_tables", "SELECT 'month_hour' AS level, station, metric, n, median, mad, scale FROM mh1 UNION ALL SELECT 'month', station, metric, n, median, mad, scale FROM mo1 UNION ALL SELECT 'city', station, metric, n, median, mad, scale FROM city1")
-def s10(spark, d):
-    levels = climatology1(spark, d)["levels"]
-    return reduce(DataFrame.unionByName, [levels[k].select(F.lit(k).alias("level"), "station", "metric", "n", "median", "mad", "scale") for k in ("month_hour", "month", "city")])
-
-
 @query("a26_detection_quality", """SELECT label_id AS scenario, CAST(len(list_intersect(e, g)) AS INT) AS tp, CAST(len(g) - len(list_intersect(e, g)) AS INT) AS fp, CAST(len(e) - len(list_intersect(e, g)) AS INT) AS fn
  FROM (SELECT label_id, list(expected_type) AS e, any_value(station) AS station, any_value(from_t) AS a, any_value(until_t) AS z FROM v6 GROUP BY label_id) l
  JOIN (SELECT y.label_id, coalesce(list(DISTINCT r.detector) FILTER (WHERE r.detector IS NOT NULL), []) AS g FROM (SELECT DISTINCT label_id, station, from_t, until_t FROM v6) y LEFT JOIN rinc r ON r.station = y.station AND r.onset_t BETWEEN y.from_t AND y.until_t GROUP BY y.label_id) m USING (label_id)""")
@@ -1030,35 +979,3 @@ def a26(spark, d):
     got = E.label_matches(incidents(spark, d, "score"), labels).groupBy("label_id").agg(F.collect_set("detector").alias("got"))
     rows = labels.join(got.hint("merge"), "label_id", "left").select(F.col("label_id").alias("scenario"), "expected", F.coalesce("got", F.array().cast("array<string>")).alias("got"))
     return E.detection_quality(rows)
-
-
-@query("l5_stream_lifecycle", "SELECT station, station || '|' || detector || '|' || metric AS dedupe_key, onset_t, last_t, peak_t, peak_strength, priority_score, CAST(hits AS INT) AS hits, resolved_t, status FROM inc")
-def l5(spark, d):
-    """The lifecycle from a stream of readings with their candidates; of every incident its last state."""
-    path, c = _folder(spark, "stream"), candidates(spark, d)
-    ticks = cut(stream_lifecycle.ticks(views.hourly(spark, d), c))
-    _landed(ticks, f"{path}/in")
-    source = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).json(f"{path}/in")
-
-    def append(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append").parquet(f"{path}/out")
-
-    seen = _drained(stream_lifecycle.stream_incidents(source, P), path, append).filter("status <> 'late'")
-    last = F.max_by(F.struct("last_t", "peak_t", "peak_strength", "priority_score", "hits", "resolved_t", "status"), F.struct("hits", F.col("resolved_t").isNotNull()))
-    return seen.groupBy("station", "dedupe_key", "onset_t").agg(last.alias("x")).select("station", "dedupe_key", "onset_t", "x.*")
-
-
-@query("l6_stream_detect", "SELECT station, t, detector, metric, strength, score, severity FROM cand WHERE detector NOT IN ('forecast_bust', 'spatial_anomaly')")
-def l6(spark, d):
-    """Detection on arrival of the eight detectors that need no other tables; each micro-batch sees the stored history."""
-    path, h = _folder(spark, "stream"), views.hourly(spark, d)
-    fitted = climatology1(spark, d)
-    clim = {"levels": fitted["levels"], "gates": fitted["gates"]["smooth"]}
-    _landed(h, f"{path}/in")
-    source = spark.readStream.schema(h.schema).option("maxFilesPerTrigger", 1).json(f"{path}/in")
-
-    def found(rows: DataFrame) -> DataFrame:
-        return D.detect(D.enriched(rows, views.stations(spark), clim, P), P, D.REGISTRY[:8])
-
-    each = stream_detection.on_arrival(lambda: h, found, lambda c: c.write.mode("append").parquet(f"{path}/out"), P)
-    return _drained(source, path, each).select("station", "t", "detector", "metric", "strength", "score", "severity")

@@ -59,6 +59,11 @@ def _smooth(vals: str) -> str:
     return f"SELECT station, (doy - 1 + d + 366) % 366 + 1 AS doy, hour, metric, v FROM {vals}, range(-15, 16) AS x(d) WHERE doy IS NOT NULL"
 
 
+def _wet(vals: str, keys: str) -> str:
+    marks = ", ".join(f"round(quantile_cont(v, {m / 100}) FILTER (WHERE v >= 0.1) + 1e-9, 4) AS p{m}" for m in (50, 75, 90, 95, 99))
+    return f"SELECT station, {keys}count(*) AS total_count, count(*) FILTER (WHERE v >= 0.1) AS wet_count, {marks} FROM {vals} WHERE metric = 'precipitation' GROUP BY ALL"
+
+
 def _residuals(vals: str, stats: str, keys: str) -> str:
     return f"SELECT metric, (v - median) / greatest(scale, eps) AS v FROM {vals} JOIN {stats} USING (station, {keys}, metric) JOIN eps USING (metric)"
 
@@ -88,11 +93,18 @@ for n, train in (("1", TRAIN1), ("2", TRAIN2)):
     STEP[f"mh{n}"] = _stats(f"val{n}", "month, hour, ")
     STEP[f"mo{n}"] = _stats(f"val{n}", "month, ")
     STEP[f"city{n}"] = _stats(f"val{n}", "")
+    STEP[f"wetsmooth{n}"] = _wet(f"near{n}", "doy, hour, ")
+    STEP[f"wetmh{n}"] = _wet(f"val{n}", "month, hour, ")
+    STEP[f"wetmo{n}"] = _wet(f"val{n}", "month, ")
+    STEP[f"wetcity{n}"] = _wet(f"val{n}", "")
     STEP[f"rest{n}"] = _residuals(f"val{n}", f"smooth{n}", "doy, hour")
     STEP[f"restmh{n}"] = _residuals(f"val{n}", f"mh{n}", "month, hour")
     STEP[f"thr{n}"] = _thresholds(f"rest{n}")
     STEP[f"thrmh{n}"] = _thresholds(f"restmh{n}")
     STEP[f"acc{n}"] = _accumulations(f"(SELECT * FROM v{n} WHERE t < {train})")
+    more = f"SELECT 'rain', v FROM val{n} WHERE metric = 'precipitation' AND v >= 0.1 UNION ALL SELECT 'rain_6h', v FROM acc{n}"
+    STEP[f"thrall{n}"] = _thresholds(f"(SELECT * FROM rest{n} UNION ALL {more})")
+    STEP[f"thrmhall{n}"] = _thresholds(f"(SELECT * FROM restmh{n} UNION ALL {more})")
     STEP[f"tail{n}"] = _tails(
         f"(SELECT * FROM rest{n} UNION ALL SELECT 'rain', v FROM val{n} WHERE metric = 'precipitation' AND v >= 0.1 UNION ALL SELECT 'rain_6h', v FROM acc{n})"
     )
@@ -121,6 +133,19 @@ def _lookup(metric: str, levels: tuple) -> tuple[str, str]:
     return cols + ", " + bucket, joins
 
 
+def _wet_lookup(levels: tuple) -> tuple[str, str]:
+    """The same ladder on wet hours."""
+    steps = [(f"wet{level}", keys) for level, keys in levels]
+    joins = ""
+    for level, keys in steps:
+        on = "".join(f" AND {level}.{k} = h.{k}" for k in keys.split())
+        joins += f" LEFT JOIN {level} ON {level}.station = h.station{on}{'' if level == 'wetcity1' else f' AND {level}.wet_count >= 10'}"
+    parts = {"wet_count": "wet_count", "total_count": "total_count", **{f"p{m}": f"wet_p{m}" for m in (50, 75, 90, 95, 99)}}
+    cols = ", ".join(f"coalesce({', '.join(f'{lv}.{c}' for lv, _ in steps)}) AS {name}" for c, name in parts.items())
+    names = {"wetsmooth1": "smooth", "wetmh1": "month_hour", "wetmo1": "month", "wetcity1": "city"}
+    return cols + ", CASE " + " ".join(f"WHEN {lv}.total_count IS NOT NULL THEN '{names[lv]}'" for lv, _ in steps) + " END AS wet_bucket", joins
+
+
 _Z = ("temperature_2m", "wind_gusts_10m", "pressure_msl")
 _eps = {"temperature_2m": 0.5, "wind_gusts_10m": 1.0, "pressure_msl": 0.5}
 _LEVELS = (("smooth1", "doy hour"), ("mh1", "month hour"), ("mo1", "month"), ("city1", ""))
@@ -128,12 +153,12 @@ _LEVELS = (("smooth1", "doy hour"), ("mh1", "month hour"), ("mo1", "month"), ("c
 
 def _features(v: str, levels: tuple, thresholds: str) -> None:
     """The steps look, zed and feat of a variant: its fallback ladder and the thresholds its gates come from."""
-    found = [_lookup(m, levels) for m in _Z]
+    found = [*[_lookup(m, levels) for m in _Z], _wet_lookup(levels)]
     STEP[f"look{v}"] = f"SELECT h.*, {', '.join(x[0] for x in found)} FROM hist h {' '.join(x[1] for x in found)}"
     STEP[f"zed{v}"] = "SELECT *, " + ", ".join(f"({m} - {m}_median) / greatest({m}_scale, {_eps[m]}::DOUBLE) AS {m}_z" for m in _Z) + f" FROM look{v}"
     STEP[f"feat{v}"] = (
         "SELECT *, "
-        + ", ".join(f"CASE WHEN {m}_z IS NULL THEN 0.0 WHEN {m}_bucket IN ('smooth', 'month_hour') THEN 1.0 WHEN {m}_bucket = 'month' THEN 0.55 WHEN {m}_n >= 30 THEN 0.35 ELSE 0.2 END::DOUBLE AS {m}_conf" for m in _Z)
+        + ", ".join(f"CASE WHEN {m}_z IS NULL THEN 0.0 WHEN {m}_bucket IN ('smooth', 'month_hour') THEN 1.0 WHEN {m}_bucket = 'month' THEN 0.55 WHEN {m}_n >= 10 THEN 0.35 ELSE 0.2 END::DOUBLE AS {m}_conf" for m in _Z)
         + ", "
         + ", ".join(f"(SELECT {s}_z FROM {thresholds} WHERE metric = '{m}') AS gate_{m}_{s}" for m in _Z for s in ("upper", "lower"))
         + f", (SELECT round(quantile_cont(v, 0.995) + 1e-9, 4) FROM val1 WHERE metric = 'precipitation' AND v >= 0.1) AS wet_p995 FROM zed{v}"
@@ -220,6 +245,26 @@ STEP["mae"] = (
 STEP["seqd"] = "SELECT station, t, row_number() OVER (PARTITION BY station ORDER BY t) AS seq FROM v1"
 
 
+def _rain(feat: str, quantile: str, clipped: bool) -> str:
+    """Heavy rain: the gate is `quantile`, else the bucket's 95th percentile of wet hours, and 10 mm at least."""
+    known = f"coalesce({quantile}, wet_p95)"
+    hg = f"(CASE WHEN {known} IS NOT NULL THEN greatest({known}, 10.0::DOUBLE) END)"
+    tg = f"(CASE WHEN {known} IS NOT NULL THEN greatest({hg}, 12.5::DOUBLE) END)"
+    amount, total = "coalesce(precipitation, 0.0)", "accumulation_6h"
+    trust = "greatest(0.8::DOUBLE, CASE WHEN wet_bucket IN ('smooth', 'month_hour') THEN 1.0 WHEN wet_bucket = 'month' THEN 0.55 WHEN wet_bucket = 'city' THEN CASE WHEN wet_count >= 10 THEN 0.35 ELSE 0.2 END ELSE 0.0 END::DOUBLE)"
+    return candidate(
+        "heavy_rain_burst", 4, feat, f"{amount} >= 0.1 AND ({amount} >= {hg} OR {total} >= {tg})", "'precipitation'", f"greatest({amount}, {total})", trust,
+        {
+            "rarity": "1.0" if clipped else f"greatest({rarity('rain', 'upper', amount)}, {rarity('rain_6h', 'upper', total)})",
+            "magnitude": f"greatest({amount}, {total}) / 20.0" if clipped else f"greatest({amount} / 25.0, {total} / 50.0)",
+            "persistence": f"{total} / 15.0", "compound": f"CASE WHEN {total} >= {tg} THEN 1.0 ELSE 0.5 END",
+        },
+        f"station || ' has a heavy rain burst: ' || {_one(amount)} || ' mm this hour and ' || {_one(total)} || ' mm over 6h exceeds the wet-hour threshold of ' || {_one(hg)} || ' mm.'",
+        {"amount_mm": amount, "accumulation_mm": total, "difference": f"greatest({amount}, {total})"},
+        (f"{_p3(amount)} >= 15 OR {_p3(total)} >= 20", f"{_p3(amount)} >= 10 OR {_p3(total)} >= 15"),
+    )
+
+
 def _detectors(v: str, feat: str, clipped: bool) -> None:
     """The steps from features to incidents of a variant; clipped: without surprisal."""
 
@@ -251,20 +296,7 @@ def _detectors(v: str, feat: str, clipped: bool) -> None:
             f"station || ' is in a {tail} temperature spell: ' || {_one(_T)} || 'C is ' || {_one(z)} || ' sigma from the local-hour baseline.'",
             {"value": _T, "median": f"{_T}_median", "departure_c": away}, (f"{_p3(z)} >= 4 OR {_p3(away)} >= 10", f"{_p3(z)} >= 3.2"),
         )
-    hg = "greatest(wet_p995, 10.0::DOUBLE)"
-    tg = f"greatest({hg}, 12.5::DOUBLE)"
-    amount, total = "precipitation", "accumulation_6h"
-    STEP[f"d5{v}"] = candidate(
-        "heavy_rain_burst", 4, feat, f"{amount} >= 0.1 AND ({amount} >= {hg} OR {total} >= {tg})", "'precipitation'", f"greatest({amount}, {total})", "0.8",
-        {
-            "rarity": "1.0" if clipped else f"greatest({rarity('rain', 'upper', amount)}, {rarity('rain_6h', 'upper', total)})",
-            "magnitude": f"greatest({amount}, {total}) / 20.0" if clipped else f"greatest({amount} / 25.0, {total} / 50.0)",
-            "persistence": f"{total} / 15.0", "compound": f"CASE WHEN {total} >= {tg} THEN 1.0 ELSE 0.5 END",
-        },
-        f"station || ' has a heavy rain burst: ' || {_one(amount)} || ' mm this hour and ' || {_one(total)} || ' mm over 6h exceeds the wet-hour threshold of ' || {_one(hg)} || ' mm.'",
-        {"amount_mm": amount, "accumulation_mm": total, "difference": f"greatest({amount}, {total})"},
-        (f"{_p3(amount)} >= 15 OR {_p3(total)} >= 20", f"{_p3(amount)} >= 10 OR {_p3(total)} >= 15"),
-    )
+    STEP[f"d5{v}"] = _rain(feat, "wet_p995", clipped)
     high = f"greatest({_G}_z, 0.0::DOUBLE)"
     STEP[f"d6{v}"] = candidate(
         "wind_gust_burst", 5, feat, f"{_G}_z IS NOT NULL AND ({_G}_z >= coalesce(gate_{_G}_upper, 3.2) OR {_G} >= 90)", f"'{_G}'", high, f"{_G}_conf",
@@ -332,6 +364,7 @@ SELECT i.* EXCLUDE (last_seq, island), s.t AS resolved_t, CASE WHEN s.t IS NOT N
 
 
 _detectors("", "feat", clipped=False)
+STEP["d5_p95"] = _rain("feat", "NULL::DOUBLE", clipped=False)
 _detectors("_c", "feat", clipped=True)  # smooth baseline, clipped scores
 _detectors("_m", "feat_m", clipped=True)  # month and hour baseline, clipped scores
 

@@ -25,11 +25,12 @@ DETECTORS = (
 FORECAST_METRICS = {"temperature_2m": (1.0, 8.0), "precipitation": (1.0, 10.0), "wind_speed_10m": (3.0, 30.0), "wind_gusts_10m": (5.0, 40.0), "pressure_msl": (1.0, 12.0)}  # floor, anchor
 SIGMA = 1.4826
 TAIL_FLOOR = 1e-4
+WET_PERCENTILES = (50, 75, 90, 95, 99)
 
 
 @dataclass(frozen=True)
 class Profile:
-    """One calibration; the defaults are the current one."""
+    """One calibration; the defaults are the current one, fixed values."""
 
     min_bucket_n: int = 30
     smooth_days: int = 15
@@ -57,7 +58,9 @@ class Profile:
     gust_z: float = 3.2
     gust_kmh: float = 90.0
     humidex: float = 38.0
+    humidex_strong: float = 40.0
     wind_chill: float = -25.0
+    wind_chill_strong: float = -35.0
     bust_k: float = 2.5
     bust_pairs: int = 3
     lead_min: int = 3

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,31 +23,69 @@ def read_climatology(spark: SparkSession, path: str, names) -> dict[str, DataFra
     return {name: spark.read.parquet(f"{path}/{name}") for name in names}
 
 
-def write_events(incidents: DataFrame, path: str) -> None:
+def write_events(incidents: DataFrame, path: str, batch: int | None = None) -> None:
     """Upsert by incident (event_id): known ones are replaced, others stay.
 
-    An incident's day of onset never changes, so only the partitions of the days at hand are read, merged and written
-    anew; of several versions of an incident among `incidents` the one that lasted longest counts.
+    An incident's day of onset never changes, so only the days at hand are read, merged and written, aside from the data
+    that readers see; a commit file, made by one rename, then says where every day lies.  A `batch` at or before the last
+    committed one changes nothing, as after a restart; what a writer left behind before its commit is never read.  Of
+    several versions of an incident among `incidents` the one that lasted longest counts.
     """
     spark = incidents.sparkSession
+    number, last = _last_commit(spark, path)
+    if batch is not None and last["batch"] is not None and batch <= last["batch"]:
+        return
     newest = Window.partitionBy("event_id").orderBy(F.desc("last_t"), F.desc_nulls_last("resolved_t"))
-    rows = incidents.withColumn("event_date", F.to_date(F.timestamp_seconds("onset_t"))).withColumn("_k", F.row_number().over(newest)).filter("_k = 1").drop("_k")
+    rows = incidents.withColumn("event_date", F.to_date(F.timestamp_seconds("onset_t")).cast("string")).withColumn("_k", F.row_number().over(newest)).filter("_k = 1").drop("_k")
     rows = cut(rows)
-    known = _existing(spark, path)
-    if known is not None:
-        days = [r.event_date for r in rows.select("event_date").distinct().collect()]  # prunes partitions; a row a day
-        stay = known.filter(F.col("event_date").isin(days)).join(rows.select("event_id").hint("merge"), "event_id", "left_anti")
-        rows = cut(rows.unionByName(stay, allowMissingColumns=True))  # computed before the partitions are replaced
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
-
-
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
+    days = [r.event_date for r in rows.select("event_date").distinct().collect()]  # a row a day
+    before = [last["days"][d] for d in days if d in last["days"]]
+    if before:
+        stay = _days(spark, before).join(rows.select("event_id").hint("merge"), "event_id", "left_anti")
+        rows = rows.unionByName(stay, allowMissingColumns=True)
+    at = f"data/{number + 1}-{uuid.uuid4().hex}"
+    if days:
+        rows.withColumn("day", F.col("event_date")).write.partitionBy("day").parquet(f"{path}/{at}")
+    placed = last["days"] | {d: f"{path}/{at}/day={d}" for d in days}
+    _publish(spark, path, number + 1, {"batch": last["batch"] if batch is None else batch, "days": placed})
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """The table of events as of its last commit."""
+    _, last = _last_commit(spark, path)
+    if not last["days"]:
+        raise ValueError(f"no events have been committed below {path}")
+    return _days(spark, list(last["days"].values()))
+
+
+def _days(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.option("mergeSchema", "true").parquet(*paths)
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _last_commit(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """(number, content) of the newest commit file; 0 and nothing before the first."""
+    fs, at = _fs(spark, f"{path}/commits")
+    numbers = [int(f.getPath().getName()[:-5]) for f in fs.listStatus(at) if f.getPath().getName().endswith(".json")] if fs.exists(at) else []
+    if not numbers:
+        return 0, {"batch": None, "days": {}}
+    text = spark.read.text(f"{path}/commits/{max(numbers)}.json", wholetext=True).first()[0]
+    return max(numbers), json.loads(text)
+
+
+def _publish(spark: SparkSession, path: str, number: int, content: dict) -> None:
+    """Make commit `number` visible at once; fails if another writer was first."""
+    fs, to = _fs(spark, f"{path}/commits/{number}.json")
+    _, aside = _fs(spark, f"{path}/commits/_{uuid.uuid4().hex}")
+    out = fs.create(aside, True)
+    out.write(json.dumps(content).encode())
+    out.close()
+    if fs.exists(to) or not fs.rename(aside, to):
+        raise RuntimeError(f"commit {number} of {path} was made by another writer")
 
 
 def stream_readings(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:

@@ -30,8 +30,11 @@ def history(n=12, station="Toronto", **offsets):
     return [reading(k, station, **offsets.get(f"h{k}", {})) for k in range(1, n + 1)]
 
 
-def prepared(spark, rows, t_scale=2.0):
-    """Features against a flat June baseline with gates T +-3, gust 3.2, wet 5 mm."""
+WET = "total_count long, wet_count long, p50 double, p75 double, p90 double, p95 double, p99 double"
+
+
+def prepared(spark, rows, t_scale=2.0, wet=(), rain=5.0, p=Profile()):
+    """Features against a flat June baseline with gates T +-3, gust 3.2, wet 5 mm; `wet` are rows of Toronto's wet levels."""
     readings = spark.createDataFrame(rows, READING) if isinstance(rows, list) else rows
     stations = spark.createDataFrame(STATIONS, "station string, tz string, peer_group string")
     flat = [(s, m, 120, med, sc / 1.4826, sc) for s in ("Toronto", "Ottawa", "Vancouver") for m, med, sc in (("temperature_2m", 15.0 if s == "Vancouver" else 20.0, t_scale), ("wind_gusts_10m", 20.0, 10.0), ("pressure_msl", 1010.0, 2.0))]
@@ -39,9 +42,11 @@ def prepared(spark, rows, t_scale=2.0):
     hourly = spark.createDataFrame(hours, "station string, month int, hour int, metric string, n long, median double, mad double, scale double")
     none = lambda keys: spark.createDataFrame([], f"station string, {keys} metric string, n long, median double, mad double, scale double")
     levels = {"smooth": none("doy int, hour int,"), "month_hour": hourly, "month": none("month int,"), "city": none("")}
-    thr = spark.createDataFrame([("temperature_2m", 3.0, -3.0), ("wind_gusts_10m", 3.2, None), ("pressure_msl", 3.0, -3.0), ("rain", 5.0, None)], "metric string, upper_z double, lower_z double")
+    thr = spark.createDataFrame([("temperature_2m", 3.0, -3.0), ("wind_gusts_10m", 3.2, None), ("pressure_msl", 3.0, -3.0), ("rain", rain, None)], "metric string, upper_z double, lower_z double")
     tail = spark.createDataFrame([], "metric string, kind string, k int, v double, p double")
-    return D.enriched(readings, stations, {"levels": levels, "gates": D.gates(thr, tail)}, Profile())
+    keys = {"smooth": "doy int, hour int,", "month_hour": "month int, hour int,", "month": "month int,", "city": ""}
+    wet_levels = {n: spark.createDataFrame([("Toronto", *k, *rest) for level, k, rest in wet if level == n], f"station string, {c} {WET}") for n, c in keys.items()}
+    return D.enriched(readings, stations, {"levels": levels, "wet": wet_levels, "gates": D.gates(thr, tail)}, p)
 
 
 def fired(spark, detector, rows):
@@ -88,6 +93,51 @@ def test_rain_gusts_and_stress(spark):
     assert len(fired(spark, D.cold_stress, [reading(0, temperature_2m=-20.0, wind_speed_10m=30.0), *history()])) == 1
 
 
+def wet_row(count, p95, total=400):
+    return (total, count, 1.0, 2.0, 4.0, p95, p95 + 5.0)
+
+
+DOY, HOUR = 152, 12  # of T0 in Toronto
+
+
+@pytest.mark.parametrize(
+    "wet,rain,profile,amount,want",
+    [
+        # the training quantile rules, with the floor of 10 mm; the bucket is only told
+        ([("smooth", (DOY, HOUR), wet_row(30, 30.0))], 5.0, {}, 12.0, ("training_wet_hour_upper_quantile_with_hazard_floor", "smooth", 10.0, 1.0, 95)),
+        ([("smooth", (DOY, HOUR), wet_row(30, 30.0))], 14.0, {}, 12.0, None),
+        # no quantile: the 95th percentile of the first level with enough wet hours
+        ([("smooth", (DOY, HOUR), wet_row(30, 11.0)), ("month_hour", (6, HOUR), wet_row(90, 25.0))], None, {}, 12.0, ("fixed_wet_p95_fallback", "smooth", 11.0, 1.0, 99)),
+        ([("smooth", (DOY, HOUR), wet_row(29, 11.0)), ("month_hour", (6, HOUR), wet_row(90, 25.0))], None, {}, 12.0, None),
+        ([("month_hour", (6, HOUR), wet_row(30, 11.0))], None, {}, 12.0, ("fixed_wet_p95_fallback", "month_hour", 11.0, 1.0, 99)),
+        ([("month", (6,), wet_row(30, 3.0))], None, {}, 12.0, ("fixed_wet_p95_fallback", "month", 10.0, 0.8, 99)),
+        ([("city", (), wet_row(2, 3.0))], None, {}, 12.0, ("fixed_wet_p95_fallback", "city", 10.0, 0.8, 99)),
+        # neither: nothing fires, however much it rains
+        ([], None, {}, 90.0, None),
+        ([], 5.0, {}, 12.0, ("training_wet_hour_upper_quantile_with_hazard_floor", "missing", 10.0, 0.8, None)),
+        # fixed gates ask for the bucket although there is a quantile
+        ([("smooth", (DOY, HOUR), wet_row(30, 13.0))], 5.0, {"quantile_gates": False}, 12.0, None),
+        ([("smooth", (DOY, HOUR), wet_row(30, 3.0)), ("month_hour", (6, HOUR), wet_row(90, 11.5))], 5.0, {"quantile_gates": False, "smooth_baseline": False}, 12.0, ("fixed_wet_p95_floor", "month_hour", 11.5, 1.0, 99)),
+    ],
+)
+def test_heavy_rain_ladder(spark, wet, rain, profile, amount, want):
+    p = Profile(**profile)
+    rows = D.heavy_rain_burst(prepared(spark, [reading(0, precipitation=amount), *history()], wet=wet, rain=rain, p=p), p).filter(F.col("t") == T0).collect()
+    got = [(r.notes["threshold_source"], r.notes["baseline_bucket"], r.signals["threshold_mm"], r.confidence, r.signals["wet_amount_percentile"]) for r in rows]
+    assert got == ([want] if want else [])
+
+
+def test_wet_levels_count_and_spread(spark):
+    rain = [(10, 1, 5, 0.0), (10, 1, 5, 4.0), (12, 1, 5, 8.0), (12, 1, 5, 8.0), (40, 2, 5, 2.0), (12, 1, 6, 0.05), (361, 12, 5, 6.0)]
+    vals = spark.createDataFrame([("s", 0, d, m, h, "precipitation", v) for d, m, h, v in rain], "station string, t long, doy int, month int, hour int, metric string, v double")
+    levels = C.wet_levels(vals, Profile())
+    smooth = {(r.doy, r.hour): (r.total_count, r.wet_count, r.p50, r.p75) for r in levels["smooth"].collect()}
+    assert smooth[10, 5] == (5, 4, 7.0, 8.0)  # 4, 8, 8, and 6 from the end of the year before
+    assert smooth[26, 5] == (3, 3, 8.0, 8.0) and smooth[40, 5] == (1, 1, 2.0, 2.0) and smooth[12, 6] == (1, 0, None, None)
+    assert {r.month: (r.total_count, r.wet_count) for r in levels["month"].collect()} == {1: (5, 3), 2: (1, 1), 12: (1, 1)}
+    assert levels["city"].first().total_count == 7
+
+
 def test_as_of_peers(spark):
     rows = [reading(0), reading(2, "Ottawa", temperature_2m=5.0), reading(1, "Vancouver", temperature_2m=None), reading(3, "Vancouver", temperature_2m=1.0)]
     peers = X.latest_peers(spark.createDataFrame(rows, READING), spark.createDataFrame(STATIONS, "station string, tz string, peer_group string"), ["temperature_2m"])
@@ -124,41 +174,141 @@ def random_case(rng):
     return readings, cands
 
 
-@pytest.mark.parametrize("k_on,k_off", [(1, 2), (2, 1), (3, 3)])
+def folded(readings, cands, p):
+    """Incidents by (dedupe_key, onset_t), reading by reading, from the rules of the lifecycle."""
+    done = {}
+    for station in sorted({s for s, _ in readings}):
+        keys = {}
+        for t in sorted(t for s, t in readings if s == station):
+            hits = {}
+            for c in cands:
+                if c[0] == station and c[1] == t and (c[12] not in hits or c[7] >= hits[c[12]][1]):
+                    hits[c[12]] = (c[6], c[7])
+            for key in {*keys, *hits}:
+                s, (strength, score) = keys.get(key), hits.get(key, (-1.0, 0.0))
+                if s and s["active"]:
+                    if strength < p.z_off:
+                        s["clear"] += 1
+                        if s["clear"] == p.k_off:
+                            s["row"] = (*s["row"][:-1], t)
+                            del keys[key]
+                    else:
+                        s["clear"] = 0
+                        last, hits_, peak, peak_t, best, _, _ = s["row"]
+                        s["row"] = (t, hits_ + 1, max(peak, strength), t if strength > peak else peak_t, max(best, score), "ongoing", None)
+                    done[key, s["onset"]] = s["row"]
+                elif strength < p.z_on:
+                    keys.pop(key, None)
+                else:
+                    s = keys.setdefault(key, {"active": False, "onset": t, "enter": 0, "clear": 0, "row": (t, 0, 0.0, t, 0.0, "open", None)})
+                    s["enter"] += 1
+                    _, hits_, peak, peak_t, best, _, _ = s["row"]
+                    s["row"] = (t, hits_ + 1, strength, t, score, "open", None) if strength >= peak else (t, hits_ + 1, peak, peak_t, best, "open", None)
+                    if s["enter"] == p.k_on:
+                        s["active"] = True
+                        done[key, s["onset"]] = s["row"]
+    return {k: (*r[:5], "resolved" if r[6] is not None else r[5], r[6]) for k, r in done.items()}
+
+
+def told(rows):
+    return {(r.dedupe_key, r.onset_t): (r.last_t, r.hits, r.peak_strength, r.peak_t, r.priority_score, r.status, r.resolved_t) for r in rows}
+
+
+@pytest.mark.parametrize("k_on,k_off", [(1, 2), (2, 1), (2, 2), (3, 3)])
 def test_lifecycle_equals_a_fold(spark, k_on, k_off):
-    rng = random.Random(k_on * 10 + k_off)
     p = Profile(k_on=k_on, k_off=k_off)
-    readings, cands = random_case(rng)
-    want = {}
-    for s in ("a", "b"):
-        state: dict = {}
-        for _, t in [r for r in readings if r[0] == s]:
-            hits = [{"key": c[12], "strength": c[6], "score": c[7], "detector_order": 0} for c in cands if c[0] == s and c[1] == t]
-            for i in stream.fold(state, t, hits, p):
-                want[i["dedupe_key"], i["onset_t"]] = i
+    readings, cands = random_case(random.Random(k_on * 10 + k_off))
     got = lifecycle.incidents(spark.createDataFrame(cands, CANDIDATE), spark.createDataFrame(readings, "station string, t long"), p).collect()
-    assert {(r.dedupe_key, r.onset_t): (r.last_t, r.hits, r.peak_strength, r.resolved_t) for r in got} == {k: (i["last_t"], i["hits"], i["peak_strength"], i["resolved_t"]) for k, i in want.items()}
+    assert told(got) == folded(readings, cands, p)
+
+
+def test_pending_peak_is_the_later_of_equals_with_its_score(spark):
+    row = lambda t, strength, score: ("a", t, t, "d", 0, "x", strength, score, "info", score / 100, {"v": score}, [t], "a|x")
+    cands = [row(0, 2.0, 50.0), row(3600, 2.0, 20.0), row(7200, 2.0, 30.0)]
+    out = lifecycle.incidents(spark.createDataFrame(cands, CANDIDATE), spark.createDataFrame([("a", k * 3600) for k in range(3)], "station string, t long"), Profile(k_on=2)).first()
+    assert (out.peak_t, out.priority_score, out.signals, out.onset_t, out.status, out.confidence) == (3600, 30.0, {"v": 20.0}, 0, "ongoing", 0.3)
+
+
+@pytest.fixture
+def rocksdb(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, stream.ROCKSDB)
+    yield
+    spark.conf.set(name, before)
+
+
+def streamed(spark, tmp_path, parts, p=Profile(), delay_s=0):
+    """Rows of the stream, the parts landing one after the other and the stream starting anew for each."""
+    got = []
+    for k, part in enumerate(parts):
+        part.write.json(str(tmp_path / "in" / str(k)))
+        source = spark.readStream.schema(stream.TICK).json(str(tmp_path / "in" / "*"))
+        drained(stream.stream_incidents(source, p, delay_s), tmp_path, lambda batch, _: got.extend(batch.collect()), "update")
+    return got
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("k_on,k_off", [(1, 2), (2, 2)])
+def test_stream_equals_batch_over_restarts(spark, tmp_path, rocksdb, k_on, k_off):
     readings, cands = random_case(random.Random(5))
-    p = Profile()
+    p = Profile(k_on=k_on, k_off=k_off)
     ticks = stream.ticks(spark.createDataFrame(readings, "station string, t long"), spark.createDataFrame(cands, CANDIDATE)).persist()
-    for k in range(4):  # four files, four micro-batches
-        ticks.filter(f"t >= {k * 36000} AND t < {(k + 1) * 36000}").coalesce(1).write.json(str(tmp_path / "in" / f"b{k}"))
-    source = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
-    seen: dict = {}
-
-    def keep(batch, _):
-        for r in batch.collect():
-            if r.status != "late":
-                at = seen.get((r.dedupe_key, r.onset_t))
-                if at is None or (r.hits, r.resolved_t or 0) >= (at[1], at[3] or 0):
-                    seen[r.dedupe_key, r.onset_t] = (r.last_t, r.hits, r.peak_strength, r.resolved_t)
-
-    stream.stream_incidents(source, p).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination(120)
-    got = lifecycle.incidents(spark.createDataFrame(cands, CANDIDATE), spark.createDataFrame(readings, "station string, t long"), p).collect()
-    assert seen == {(r.dedupe_key, r.onset_t): (r.last_t, r.hits, r.peak_strength, r.resolved_t) for r in got}
+    rows = streamed(spark, tmp_path, [ticks.filter(f"t >= {k * 50000} AND t < {(k + 1) * 50000}") for k in range(3)], p)
+    assert told(rows) == folded(readings, cands, p)  # of several rows of an incident the last one
+
+
+def test_out_of_order_and_late_readings(spark, tmp_path, rocksdb):
+    readings, cands = random_case(random.Random(8))
+    p, rng = Profile(), random.Random(1)
+    ticks = {(r.station, r.t): r for r in stream.ticks(spark.createDataFrame(readings, "station string, t long"), spark.createDataFrame(cands, CANDIDATE)).collect()}
+    parts = [[], [], [], []]
+    for (_, t), r in ticks.items():
+        parts[(t // 3600 + rng.randrange(4)) // 15].append(r)
+    again = [r for r in parts[0] if r.t % 7200 == 0]  # far behind the clock by then
+    double = [r for r in parts[2] if r.t // 3600 > 40]  # in the buffer still
+    parts[2] += again
+    end = [(s, 0, None, True) for s in ("a", "b")]
+    rows = streamed(spark, tmp_path, [spark.createDataFrame(x or [ticks["a", 0]], stream.TICK).repartition(2) for x in (parts[0], parts[1], parts[2] + double, end)], p, 4 * 3600)
+    assert sorted((r.station, r.onset_t) for r in rows if r.status == "late") == sorted((r.station, r.t) for r in again)
+    assert told([r for r in rows if r.status != "late"]) == folded(readings, cands, p)
+
+
+def test_a_silent_station_is_flushed_by_its_timer():
+    """The processor with a store of plain maps."""
+
+    class Store:
+        def __init__(self):
+            self.rows = {}
+
+        exists, containsKey = lambda self: bool(self.rows), lambda self, k: k in self.rows
+        getValue, removeKey = lambda self, k: self.rows[k], lambda self, k: self.rows.pop(k)
+
+        def updateValue(self, k, v):
+            self.rows[k] = v
+
+        get, update = lambda self: self.rows[()], lambda self, v: self.rows.update({(): v})
+
+    class Handle:
+        def __init__(self):
+            self.timers = []
+
+        getValueState, getMapState = lambda self, *_: Store(), lambda self, *_: Store()
+        listTimers, deleteTimer, registerTimer = lambda self: iter(self.timers), lambda self, t: self.timers.remove(t), lambda self, t: self.timers.append(t)
+
+    class Now:
+        getCurrentProcessingTimeInMs = staticmethod(lambda: 5000)
+
+    import pandas as pd
+
+    handle, processor = Handle(), stream.Stations(Profile(), 7200, 60)
+    processor.init(handle)
+    rows = pd.DataFrame({"t": [3600, 0], "hits": [[{"key": "a|x", "strength": 2.0, "score": 20.0, "detector_order": 0}], None], "flush": [False, False]})
+    assert list(processor.handleInputRows(("a",), iter([rows]), Now)) == [] and handle.timers == [65000]
+    assert list(processor.handleInputRows(("a",), iter([rows]), Now)) == [] and handle.timers == [65000]  # both wait already
+    (out,) = processor.handleExpiredTimer(("a",), Now, None)
+    assert out[["onset_t", "status"]].values.tolist() == [[3600, "open"]]
+    (late,) = processor.handleInputRows(("a",), iter([rows]), Now)
+    assert late[["onset_t", "status"]].values.tolist() == [[3600, "late"], [0, "late"]]
 
 
 def test_provider_documents(spark):
@@ -177,17 +327,29 @@ def test_provider_documents(spark):
 EVENT = "event_id long, onset_t long, last_t long, resolved_t long, x double"
 
 
-def test_events_are_upserted_one_by_one(spark, tmp_path):
+def test_events_are_upserted_and_published_by_commits(spark, tmp_path):
     at = str(tmp_path / "e")
     rows = lambda *r: spark.createDataFrame(list(r), EVENT)
-    tables.write_events(rows((1, 0, 10, None, 1.0), (2, 50, 60, None, 2.0), (3, 86400, 86410, None, 3.0)), at)
+    seen = lambda: {(r.event_id, r.x, r.resolved_t) for r in tables.read_events(spark, at).collect()}
+    with pytest.raises(ValueError):
+        tables.read_events(spark, at)
+    tables.write_events(rows((1, 0, 10, None, 1.0), (2, 50, 60, None, 2.0), (3, 86400, 86410, None, 3.0)), at, batch=0)
     # one incident of a day with two changes, twice in the batch; a new one comes to the other day
-    tables.write_events(rows((1, 0, 30, 40, 1.5), (1, 0, 20, None, 1.2), (4, 90000, 90000, None, 4.0)), at)
-    tables.write_events(rows((1, 0, 30, 40, 1.5)), at)  # the same batch again, as after a restart
-    got = {(r.event_id, r.x, r.resolved_t) for r in spark.read.parquet(at).collect()}
-    assert got == {(1, 1.5, 40), (2, 2.0, None), (3, 3.0, None), (4, 4.0, None)}
-    tables.write_events(rows(), at)
-    assert spark.read.parquet(at).count() == 4
+    tables.write_events(rows((1, 0, 30, 40, 1.5), (1, 0, 20, None, 1.2), (4, 90000, 90000, None, 4.0)), at, batch=1)
+    want = {(1, 1.5, 40), (2, 2.0, None), (3, 3.0, None), (4, 4.0, None)}
+    assert seen() == want
+    tables.write_events(rows((1, 0, 10, None, 9.0)), at, batch=1)  # the same batch again, as after a restart
+    tables.write_events(rows((2, 50, 60, None, 9.0)), at, batch=0)
+    assert seen() == want
+    tables.write_events(rows(), at, batch=2)
+    assert seen() == want
+    (tmp_path / "e" / "data" / "9-left").mkdir()  # a writer that was lost before its commit
+    rows((5, 0, 1, None, 5.0)).write.parquet(str(tmp_path / "e" / "data" / "9-left" / "day=1970-01-01"))
+    assert seen() == want
+    tables.write_events(rows((2, 50, 70, 80, 2.5)), at)  # not a stream's
+    assert (2, 2.5, 80) in seen()
+    with pytest.raises(RuntimeError):
+        tables._publish(spark, at, 1, {})
 
 
 def test_climatology_round_trip(spark, tmp_path):
@@ -213,33 +375,57 @@ def test_stream_of_readings_keeps_the_first_arrival(spark, tmp_path):
     assert sorted(got) == sorted((T0 - k * 3600, float(k)) for k in range(6))
 
 
-def test_detection_on_arrival_equals_batch(spark, tmp_path):
-    from tempestry.streaming import detection
-
+def rainy_month(spark):
     rows = [reading(k, temperature_2m=28.0 if k in (0, 4, 9) else 20.0, wind_gusts_10m=95.0 if k % 7 == 0 else 20.0) for k in range(40)]
-    stored, gates = spark.createDataFrame(rows, READING), Profile()
-    found = lambda df: D.detect(prepared(spark, df), gates, D.REGISTRY[:8])
-    for k in range(4):
-        stored.filter(f"t > {T0 - (40 - 10 * k) * 3600} AND t <= {T0 - (30 - 10 * k) * 3600}").coalesce(1).write.json(str(tmp_path / "in" / f"b{k}"))
-    source = spark.readStream.schema(READING).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
-    got = []
-    key = lambda r: (r.station, r.t, r.detector, r.strength, r.score)
-    drained(source, tmp_path, detection.on_arrival(lambda: stored, found, lambda c: got.extend(map(key, c.collect())), gates))
-    want = [key(r) for r in found(stored).collect()]
-    assert len(want) > 3 and sorted(got) == sorted(want)
+    return spark.createDataFrame(rows, READING)
 
 
-def test_late_readings_go_to_the_reject_rows(spark, tmp_path):
-    schema = "station string, t long, hits array<struct<key:string,strength:double,score:double,detector_order:int>>"
-    hit = [("a|x", 2.0, 20.0, 0)]
-    for k, rows in enumerate(([("a", 3600, hit), ("a", 0, None)], [("a", 1800, hit), ("a", 7200, None)], [("a", 10800, None)])):
-        spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in" / f"b{k}"))
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
-    got = []
-    drained(stream.stream_incidents(source), tmp_path, lambda batch, _: got.extend(batch.collect()), "update")
-    assert [(r.onset_t, r.status) for r in got if r.status == "late"] == [(1800, "late")]  # older than the last one handled
-    last = [r for r in got if r.status == "resolved"]
-    assert [(r.onset_t, r.last_t, r.hits, r.resolved_t) for r in last] == [(3600, 3600, 1, 10800)]  # and it changed nothing
+FOUND = "station string, t long, id long, detector string, detector_order int, metric string, strength double, score double, severity string, confidence double, signals map<string,double>, notes map<string,string>, reason string, supporting_ids array<long>, dedupe_key string"
+
+
+def test_detection_on_arrival_equals_batch(spark, tmp_path):
+    from tempestry.streaming.detection import Batches, on_arrival
+
+    p, rows = Profile(), rainy_month(spark)
+    detect = lambda df, new=None, said=None: D.detect(prepared(spark, df) if new is None else prepared(spark, df).join(new, ["station", "t"], "left_semi"), p, D.REGISTRY[:8])
+    stored, found = Batches(spark, str(tmp_path / "readings"), READING), Batches(spark, str(tmp_path / "found"), FOUND)
+    forecasts = Batches(spark, str(tmp_path / "forecasts"), "station string, target_t long, t long")
+    offered = lambda new: new.select("station", (F.col("t") + 3600).alias("target_t"))
+    each = on_arrival(stored, found, detect, p, forecasts, offered)
+    parts = [rows.filter(f"t > {T0 - (40 - 10 * k) * 3600} AND t <= {T0 - (30 - 10 * k) * 3600}") for k in range(4)]
+    for k, part in enumerate(parts):
+        repeated = part.unionByName(part.withColumn("id", F.col("id") + 5000).withColumn("temperature_2m", F.lit(99.0)))
+        before = parts[k - 1].withColumn("temperature_2m", F.lit(99.0)) if k else part.limit(0)
+        each(repeated.unionByName(before), k)
+        if k == 2:
+            each(repeated.unionByName(before), k)  # the batch runs again
+    each(rows.limit(0), 4)
+    key = lambda r: (r.station, r.t, r.detector, r.strength, r.score)
+    want = [key(r) for r in detect(rows).collect()]
+    assert len(want) > 3 and sorted(map(key, found.before().collect())) == sorted(want)
+    assert stored.before().count() == 40 and stored.before(None, T0 - 5 * 3600, T0 - 3600).count() == 5
+    assert forecasts.before().count() == 40  # none of readings that were there before
+
+
+def test_backfill_resumes_after_a_stop(spark, tmp_path):
+    from tempestry.sources.backfill import Backfill, chunks
+
+    assert chunks(3, 9, 3) == [(3, 5), (6, 8), (9, 9)]
+    rng, p = random.Random(4), Profile()
+    rows = []
+    for s in ("Toronto", "Ottawa"):
+        for k in range(24 * 9):
+            rows.append(reading(k, s, id=k + (s == "Ottawa") * 1000, wind_gusts_10m=rng.choice([20.0, 95.0, 120.0]), temperature_2m=rng.choice([20.0, 20.0, 29.0])))
+    archive = spark.createDataFrame(rows + rows[:50], READING).persist()
+    detect = lambda df, new=None: D.detect(prepared(spark, df) if new is None else prepared(spark, df).join(new, ["station", "t"], "left_semi"), p, D.REGISTRY[:8])
+    want = lifecycle.incidents(detect(archive.distinct()), archive.distinct(), p)
+    last = T0 // 86400
+    fill = Backfill(spark, str(tmp_path / "fill"), READING, FOUND, lambda a, z: archive, detect, p)
+    assert fill.run(last - 9, last, 4, stop_before=last - 5) == [last - 9]
+    # a chunk that was lost half-way: its readings are there, the ledger doesn't know it
+    fill.readings.write(archive.filter(F.floor(F.col("t") / 86400) == last - 5).limit(3), last - 5)
+    assert fill.run(last - 9, last, 4) == [last - 5, last - 1] and fill.run(last - 9, last, 4) == []
+    assert told(fill.events().collect()) == told(want.collect()) and fill.readings.before().count() == 2 * 24 * 9
 
 
 def test_merged_ids_keep_their_order(spark):
@@ -309,3 +495,26 @@ def test_change_rules_are_registered_for_every_metric():
         for metric in legacy.CHANGE_METRICS:
             query = name if metric == "temperature_2m" else f"{name}_{metric}"
             assert query in catalog.QUERIES and f"'{metric}' AS metric" in catalog.ORACLES[query]
+
+
+@pytest.mark.parametrize("rest,bins", [(1 << 20, 256), (0, 4), (7, 3)])
+def test_percentiles_by_narrowing(spark, rest, bins):
+    import numpy as np
+
+    from tempestry.operators import selection
+
+    rng = np.random.default_rng(2)
+    groups = {
+        "normal": rng.standard_normal(3001), "ties": rng.integers(0, 3, 500).astype(float), "one": np.array([7.5]), "two": np.array([1.0, 2.0]), "same": np.full(100, -3.0),
+        "far": np.array([*rng.standard_normal(300), 1e300, -1e300, 1.7e308, -1.7e308]), "tiny": rng.standard_normal(400) * 1e-300,
+    }
+    marks = {k: [0.0, 0.005, 0.25, 0.5, 0.9, 0.9999, 1.0] for k in (*groups, "absent")}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("normal", None), ("other", 1.0)], "key string, v double").repartition(5)
+    sizes, got = selection.percentiles(rows, marks, bins, rest)
+    assert sizes == {k: len(v) for k, v in groups.items()}
+    for (key, q), v in got.items():
+        a = np.sort(groups[key])
+        at = q * (len(a) - 1)
+        want = a[int(at)] + (at - int(at)) * (a[min(int(at) + (at > int(at)), len(a) - 1)] - a[int(at)])
+        assert v == pytest.approx(want, rel=1e-12), (key, q)
+    assert selection.percentiles(rows.limit(0), marks) == ({}, {})
