@@ -13,6 +13,9 @@ menus, side columns, notices, adverts, forms and reader comments made of the sam
 Defined results: a null or empty html, or a page without kept text, gives an empty text; unclosed and stray tags
 are tolerated; repeated rows are handled one by one; an empty table gives an empty result; further columns
 pass through, those named text or n_chars are replaced.
+
+Every sample page is learned from again with its article's names taken away, so that tags and classes don't decide alone.  Of
+equal scores the element is kept.  A very long page is parsed as any other, in time linear in its length.
 """
 
 from __future__ import annotations
@@ -64,6 +67,7 @@ TAG_GROUPS = [{"article"}, {"main"}, {"section"}, {"div"}, {"p", "blockquote", "
 class ExtractionParams:
     sample_pages: int = 120
     layouts: int = 5
+    nameless: int = 3  # times that a sample page is learned from with its article's names taken away
     #: Of a sample page, as material for layouts: its sentences of these lengths, at most so many, and as much of a title.
     sample_sentences: int = 60
     sentence_chars: tuple[int, int] = (3, 199)
@@ -220,6 +224,13 @@ def node_features(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> lis
         same[0] += 1
         same[1] += n.size
         largest[n.parent.number] = max(largest.get(n.parent.number, 0), n.size)
+    # what stands before and after a node under the same parent: characters and the share of links
+    nothing = (0.0, 0.0)
+    beside = {nodes[0].number: [*nothing, *nothing, 0]}
+    for n in nodes:
+        told = [(np.log1p(c.size), c.linked / max(c.size, 1)) for c in n.children]
+        for k, c in enumerate(n.children):
+            beside[c.number] = [*(told[k - 1] if k else nothing), *(told[k + 1] if k + 1 < len(told) else nothing), k]
     sizes = np.concatenate([[0], np.cumsum([len(b[1]) for b in blocks])]) if blocks else np.zeros(1)
     for n in reversed(nodes):
         ks = [*n.blocks[:1], *(first_block[c] for c in n.children if c in first_block)]
@@ -239,6 +250,8 @@ def node_features(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> lis
                 *[n.tag in g for g in TAG_GROUPS],
                 *hits,
                 *inherited,
+                *beside[n.number],
+                n.parent.paragraphs if n.parent else 0,
                 n.depth,
                 np.log1p(n.size),
                 n.size / whole,
@@ -354,6 +367,21 @@ def bare_layout(rng: random.Random, title: str, paragraphs: list[str], sentences
     return f"<html><head><title>{e(title)}</title></head><body>{top}{main}{foot}</body></html>"
 
 
+def _unname(rng: random.Random, nodes: list[Node]) -> None:
+    """Take from a page what tells its article by name: the element becomes a plain one, and the attributes of what is
+    around and inside it go."""
+    tag, odd, inside = rng.choice(["div", "div", "section", "td"]), rng.choice(["", f' class="x{rng.randrange(1000)}"']), set()
+    for n in nodes:  # parents come first
+        if n.parent is not None and n.parent in inside:
+            inside.add(n)
+            n.attributes = ""
+        elif n.tag == "article":
+            inside.add(n)
+            n.tag, n.attributes, up = tag, odd, n.parent
+            while up is not None:
+                up.tag, up.attributes, up = "div" if up.tag == "main" else up.tag, "", up.parent
+
+
 def fit(pages: DataFrame, p: ExtractionParams = ExtractionParams()) -> dict:
     """The model, from a bounded sample of pages with a single <article> element."""
     rows = bounded_sample(pages.filter(F.regexp_count("html", F.lit("<article[ >]")) == 1), "html", p.sample_pages)
@@ -365,6 +393,12 @@ def fit(pages: DataFrame, p: ExtractionParams = ExtractionParams()) -> dict:
         x += [features[n.number] for n in nodes if n.tag != LOOSE]
         y += [labels[n.number] for n in nodes if n.tag != LOOSE]
         texts = [t for n, t, _ in blocks if _within(n, "article")]
+        for _ in range(p.nameless):
+            again, found = parse(page)
+            _unname(rng, again)
+            rows_ = node_features(again, found)
+            x += [rows_[n.number] for n in again if n.tag != LOOSE]
+            y += [labels[n.number] for n in again if n.tag != LOOSE]
         sets.append((texts[0][: p.title_chars] if texts else "", texts[1:]))
         low, high = p.sentence_chars
         sentences += [s + "." for n, t, _ in blocks for s in t.split(". ") if low <= len(s) <= high][: p.sample_sentences]

@@ -112,3 +112,25 @@ def test_bare_articles_are_extracted(spark):
     got = {r.page_id: r.text for r in extraction.extracted(table, extraction.fit(table)).collect()}
     assert got[60] == " ".join(article)
     assert got[61] == " ".join(article)
+
+
+def test_articles_without_telling_names(spark):
+    """Pages whose article is a plain element, or none of its own, by a model of pages that name it."""
+    rng = random.Random(2)
+    say = lambda n: " ".join(rng.choice(["river", "stone", "cloud", "field", "house", "tree"]) for _ in range(n)) + "."
+
+    def page(opened, closed):
+        ps = [say(rng.randrange(8, 70)) for _ in range(rng.randrange(2, 7))]
+        title, sub = say(4), say(3)
+        body = f"<h1>{title}</h1><p>{ps[0]}</p><h2>{sub}</h2>{''.join(f'<p>{t}</p>' for t in ps[1:])}"
+        side = f'<div class="sidebar"><h3>{say(2)}</h3><ul>{"".join(f"<li><a href=a>{say(2)}</a></li>" for _ in range(4))}</ul></div>' if rng.random() < 0.6 else ""
+        notes = f'<div class="comments"><div class="comment"><p>{say(14)}</p></div></div>' if rng.random() < 0.5 else ""
+        html = f'<html><body><nav><ul><li><a href=x>{say(1)}</a></li><li><a href=y>{say(1)}</a></li></ul></nav>{side}<div class="wrap">{opened}{body}{closed}</div>{notes}<footer>&copy; {say(5)}</footer></body></html>'
+        return html, "\n".join([title, ps[0], sub, *ps[1:]])
+
+    model = extraction.fit(pages(spark, [page('<article class="post">', "</article>")[0] for _ in range(70)]))
+    for opened, closed in (("<div>", "</div>"), ("<section>", "</section>"), ('<div class="x17">', "</div>"), ("<table><tr><td>", "</td></tr></table>"), ("<div><div>", "</div></div>"), ("<article>", "</article>")):
+        some = [page(opened, closed) for _ in range(40)]
+        assert sum(a == b for a, b in zip(extraction.main_texts([h for h, _ in some], model), [w for _, w in some])) >= 38, opened
+    long = page("<div>", "</div>")[0].replace("<h1>", "<p>" + "word " * 200_000 + "</p><h1>")
+    assert len(extraction.main_texts([long], model)[0]) > 900_000
