@@ -91,11 +91,28 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
 
 
+def within(incidents: DataFrame, windows: DataFrame) -> DataFrame:
+    """Incidents with onset inside a window (station, from_t, until_t, ...) of their station, and the window's columns.
+
+    Windows are cut into the days they touch, so the join is an equality on station and day; the exact bound follows.
+    """
+    day = lambda t: F.floor(t / 86400)
+    days = windows.withColumn("_day", F.explode(F.sequence(day(F.col("from_t")), day(F.col("until_t")))))
+    return incidents.withColumn("_day", day(F.col("onset_t"))).join(days.hint("merge"), ["station", "_day"]).filter(F.col("onset_t").between(F.col("from_t"), F.col("until_t"))).drop("_day")
+
+
 def label_matches(incidents: DataFrame, labels: DataFrame) -> DataFrame:
     """Incidents within a day of a label's window at its station, with whether the type was expected."""
-    on = (incidents["station"] == labels["station"]) & incidents["onset_t"].between(labels["from_t"], labels["until_t"])
-    found = incidents.join(labels, on)
-    return found.select("label_id", incidents["station"], "detector", "metric", "onset_t", "severity", "priority_score", F.array_contains("expected", F.col("detector")).alias("is_expected"))
+    found = within(incidents, labels)
+    return found.select("label_id", "station", "detector", "metric", "onset_t", "severity", "priority_score", F.array_contains("expected", F.col("detector")).alias("is_expected"))
+
+
+def spot_checks(incidents: DataFrame, checks: DataFrame) -> DataFrame:
+    """Per check (check_id, station, kind, from_t, until_t) the number of its incidents above info, and the best of them:
+    the highest score, of equal ones the earliest onset."""
+    found = within(incidents.filter("severity <> 'info'"), checks).filter(F.col("detector") == F.col("kind"))
+    best = found.groupBy("check_id").agg(F.count("*").alias("n"), F.max("priority_score").alias("best"), F.max_by("onset_t", F.struct("priority_score", -F.col("onset_t"))).alias("onset_t"))
+    return checks.select("check_id").join(best.hint("merge"), "check_id", "left").select("check_id", F.coalesce("n", F.lit(0)).alias("n"), (F.col("n").isNotNull()).alias("passed"), "best", "onset_t")
 
 
 def recall(incidents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -201,3 +218,19 @@ def detection_quality(found: DataFrame) -> DataFrame:
     return found.select(
         "scenario", F.size(F.array_intersect("expected", "got")).alias("tp"), F.size(F.array_except("got", "expected")).alias("fp"), F.size(F.array_except("expected", "got")).alias("fn")
     )
+
+
+def detection_totals(quality: DataFrame) -> DataFrame:
+    """Sums over scenarios, precision and recall (1 where there is nothing to be wrong about)."""
+    t = quality.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    share = lambda a, b: F.when(F.col(a) + F.col(b) > 0, F.col(a) / (F.col(a) + F.col(b))).otherwise(1.0)
+    return t.select("tp", "fp", "fn", F.round(share("tp", "fp"), 6).alias("precision"), F.round(share("tp", "fn"), 6).alias("recall"))
+
+
+def conditional_recall(hits: DataFrame, misses: DataFrame) -> DataFrame:
+    """Recall of all labels, and of those that the readings resolve: without the misses that no gate was reached for."""
+    h = hits.agg(F.count("*").alias("labels"), F.count_if("expected_hit").alias("hits"))
+    m = misses.agg(F.count_if(F.col("verdict") == "resolution FN").alias("unresolved"))
+    rows = h.join(F.broadcast(m), how="cross")  # one row each
+    open_ = F.col("labels") - F.col("unresolved")
+    return rows.select("labels", "hits", "unresolved", F.round(F.col("hits") / F.col("labels"), 6).alias("recall"), F.round(F.when(open_ > 0, F.col("hits") / open_), 6).alias("conditional_recall"))

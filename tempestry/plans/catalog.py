@@ -250,10 +250,9 @@ def j7(spark, d):
     return E.label_matches(incidents(spark, d, "score"), views.labels(spark))
 
 
-@query("j8_spot_check_match", "SELECT max(priority_score) AS best, arg_max(onset_t, {'s': priority_score, 'o': -onset_t}) AS onset_t FROM rinc WHERE station = 'purchase' AND detector = 'pressure_plunge' AND severity <> 'info' AND onset_t BETWEEN 1706054400 - 172800 AND 1706054400 + 3*86400 - 1")
+@query("j8_spot_check_match", "SELECT c.check_id, count(r.onset_t) AS n, count(r.onset_t) > 0 AS passed, max(priority_score) AS best, arg_max(onset_t, {'s': priority_score, 'o': -onset_t}) AS onset_t FROM v7 c LEFT JOIN rinc r ON r.station = c.station AND r.detector = c.kind AND r.severity <> 'info' AND r.onset_t BETWEEN c.from_t AND c.until_t GROUP BY c.check_id")
 def j8(spark, d):
-    r = incidents(spark, d, "score").filter("station = 'purchase' AND detector = 'pressure_plunge' AND severity <> 'info'").filter(F.col("onset_t").between(1706054400 - 172800, 1706054400 + 3 * 86400 - 1))
-    return r.agg(F.max("priority_score").alias("best"), F.max_by("onset_t", F.struct("priority_score", -F.col("onset_t"))).alias("onset_t"))
+    return E.spot_checks(incidents(spark, d, "score"), views.checks(spark))
 
 
 @query("j9_event_marker_join", "SELECT r.station, r.detector, r.metric, r.peak_t, CASE r.metric WHEN 'temperature_2m' THEN v1.temperature_2m WHEN 'humidex' THEN v1.temperature_2m WHEN 'wind_chill' THEN v1.temperature_2m WHEN 'precipitation' THEN v1.precipitation WHEN 'wind_gusts_10m' THEN v1.wind_gusts_10m WHEN 'wind_speed_10m' THEN v1.wind_speed_10m WHEN 'pressure_msl' THEN v1.pressure_msl END AS y FROM rinc r JOIN v1 ON v1.station = r.station AND v1.t = r.peak_t")
@@ -637,13 +636,21 @@ _TESTS = {
 }
 
 
-@query("a30_miss_decomposition", "SELECT label_id, coalesce(c, '') AS cleared, CASE WHEN c IS NULL THEN 'resolution FN' ELSE 'genuine gap' END AS verdict FROM (SELECT r.label_id, nullif(concat_ws(',', " + ", ".join(f"CASE WHEN ({t}) AND EXISTS (SELECT 1 FROM v6 q WHERE q.label_id = r.label_id AND q.expected_type = '{k}') THEN '{k}' END" for k, t in _TESTS.items()) + f"), '') AS c FROM ({_RECALL}) r LEFT JOIN ({_EXT}) e USING (label_id) WHERE NOT expected_hit)")
+_MISSES = "SELECT label_id, coalesce(c, '') AS cleared, CASE WHEN c IS NULL THEN 'resolution FN' ELSE 'genuine gap' END AS verdict FROM (SELECT r.label_id, nullif(concat_ws(',', " + ", ".join(f"CASE WHEN ({t}) AND EXISTS (SELECT 1 FROM v6 q WHERE q.label_id = r.label_id AND q.expected_type = '{k}') THEN '{k}' END" for k, t in _TESTS.items()) + f"), '') AS c FROM ({_RECALL}) r LEFT JOIN ({_EXT}) e USING (label_id) WHERE NOT expected_hit)"
+
+
+@query("a30_miss_decomposition", _MISSES)
 def a30(spark, d):
     labels = views.labels(spark)
     gates = enriched(spark, d).select(*[f"gate_{m}_{s}" for m in D.Z_METRICS for s in ("upper", "lower")]).limit(1)
     return E.miss_decomposition(a28(spark, d), a29(spark, d), labels, gates)
 
 
+@query("a30_conditional_recall", f"SELECT count(*) AS labels, count(*) FILTER (WHERE expected_hit) AS hits, (SELECT count(*) FROM ({_MISSES}) WHERE verdict = 'resolution FN') AS unresolved, round((count(*) FILTER (WHERE expected_hit))::DOUBLE / count(*), 6) AS recall, round((count(*) FILTER (WHERE expected_hit))::DOUBLE / nullif(count(*) - (SELECT count(*) FROM ({_MISSES}) WHERE verdict = 'resolution FN'), 0), 6) AS conditional_recall FROM ({_RECALL})")
+def a30c(spark, d):
+    return E.conditional_recall(a28(spark, d), a30(spark, d))
+
+
 @query("a31_chance_recall", "SELECT l.label_id, round(count(DISTINCT CASE WHEN r.onset_t IS NOT NULL THEN k END) / 31.0::DOUBLE, 6) AS chance FROM (SELECT label_id, station, until_t - from_t AS span, unnest(range(19723, 19754)) AS k, expected_type FROM v6) l LEFT JOIN rinc r ON r.station = l.station AND r.detector = l.expected_type AND r.onset_t BETWEEN k*86400 - 86400 AND k*86400 - 86400 + span GROUP BY l.label_id")
 def a31(spark, d):
     return E.chance_recall(incidents(spark, d, "score"), views.labels(spark), 19723, 19753)
@@ -970,12 +977,20 @@ def a15(spark, d):
 ORACLES["x15_legacy_score"] = with_(X15_SQL)
 
 
-@query("a26_detection_quality", """SELECT label_id AS scenario, CAST(len(list_intersect(e, g)) AS INT) AS tp, CAST(len(g) - len(list_intersect(e, g)) AS INT) AS fp, CAST(len(e) - len(list_intersect(e, g)) AS INT) AS fn
+_QUALITY = """SELECT label_id AS scenario, CAST(len(list_intersect(e, g)) AS INT) AS tp, CAST(len(g) - len(list_intersect(e, g)) AS INT) AS fp, CAST(len(e) - len(list_intersect(e, g)) AS INT) AS fn
  FROM (SELECT label_id, list(expected_type) AS e, any_value(station) AS station, any_value(from_t) AS a, any_value(until_t) AS z FROM v6 GROUP BY label_id) l
- JOIN (SELECT y.label_id, coalesce(list(DISTINCT r.detector) FILTER (WHERE r.detector IS NOT NULL), []) AS g FROM (SELECT DISTINCT label_id, station, from_t, until_t FROM v6) y LEFT JOIN rinc r ON r.station = y.station AND r.onset_t BETWEEN y.from_t AND y.until_t GROUP BY y.label_id) m USING (label_id)""")
+ JOIN (SELECT y.label_id, coalesce(list(DISTINCT r.detector) FILTER (WHERE r.detector IS NOT NULL), []) AS g FROM (SELECT DISTINCT label_id, station, from_t, until_t FROM v6) y LEFT JOIN rinc r ON r.station = y.station AND r.onset_t BETWEEN y.from_t AND y.until_t GROUP BY y.label_id) m USING (label_id)"""
+
+
+@query("a26_detection_quality", _QUALITY)
 def a26(spark, d):
     """Labelled windows as scenarios: the expected detectors against those found."""
     labels = views.labels(spark)
     got = E.label_matches(incidents(spark, d, "score"), labels).groupBy("label_id").agg(F.collect_set("detector").alias("got"))
     rows = labels.join(got.hint("merge"), "label_id", "left").select(F.col("label_id").alias("scenario"), "expected", F.coalesce("got", F.array().cast("array<string>")).alias("got"))
     return E.detection_quality(rows)
+
+
+@query("a26_detection_totals", f"SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, round(CASE WHEN sum(tp) + sum(fp) > 0 THEN sum(tp)::DOUBLE / (sum(tp) + sum(fp)) ELSE 1.0 END, 6) AS precision, round(CASE WHEN sum(tp) + sum(fn) > 0 THEN sum(tp)::DOUBLE / (sum(tp) + sum(fn)) ELSE 1.0 END, 6) AS recall FROM ({_QUALITY})")
+def a26t(spark, d):
+    return E.detection_totals(a26(spark, d))

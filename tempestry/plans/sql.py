@@ -33,6 +33,10 @@ SELECT label_id, station, epoch(CAST(a AS TIMESTAMP))::BIGINT - 86400 AS from_t,
  (1,'click','2024-01-22','2024-01-22','heavy_rain_burst'),(1,'click','2024-01-22','2024-01-22','wind_gust_burst'),(2,'error','2024-01-23','2024-01-26','cold_stress'),
  (2,'error','2024-01-23','2024-01-26','cold_spell'),(3,'view','2024-01-25','2024-01-25','temperature_shock'),(4,'signup','2024-01-27','2024-01-28','heat_stress'),
  (4,'signup','2024-01-27','2024-01-28','warm_spell'),(5,'purchase','2024-01-24','2024-01-24','pressure_plunge'),(6,'purchase','2024-01-29','2024-01-29','spatial_anomaly')) AS x(label_id, station, a, b, expected_type)"""
+STEP["v7"] = """
+SELECT check_id, station, kind, epoch(CAST(day AS TIMESTAMP))::BIGINT - 2*86400 AS from_t, epoch(CAST(day AS TIMESTAMP))::BIGINT + 3*86400 - 1 AS until_t FROM (VALUES
+ (1,'purchase','pressure_plunge','2024-01-24'),(2,'click','wind_gust_burst','2024-01-22'),(3,'error','cold_stress','2024-01-24'),
+ (4,'signup','heat_stress','2024-01-27'),(5,'view','temperature_shock','2024-01-25'),(6,'view','heavy_rain_burst','2024-01-03')) AS x(check_id, station, kind, day)"""
 STEP["eps"] = """
 SELECT * FROM (VALUES ('temperature_2m', 0.5::DOUBLE), ('precipitation', 0.1::DOUBLE), ('wind_gusts_10m', 1.0::DOUBLE), ('pressure_msl', 0.5::DOUBLE)) AS e(metric, eps)"""
 

@@ -86,6 +86,20 @@ LABELS = [
 ]
 
 
+#: Days and detectors that are looked up by hand.
+CHECKS = [
+    (1, "purchase", "pressure_plunge", "2024-01-24"), (2, "click", "wind_gust_burst", "2024-01-22"), (3, "error", "cold_stress", "2024-01-24"),
+    (4, "signup", "heat_stress", "2024-01-27"), (5, "view", "temperature_shock", "2024-01-25"), (6, "view", "heavy_rain_burst", "2024-01-03"),
+]
+
+
+def checks(spark: SparkSession) -> DataFrame:
+    """Spot checks, from two days before to two days after."""
+    rows = session(spark).createDataFrame(CHECKS, "check_id int, station string, kind string, day string")
+    day = F.unix_date(F.col("day").cast("date")).cast("long") * 86400
+    return rows.select("check_id", "station", "kind", (day - 2 * 86400).alias("from_t"), (day + 3 * 86400 - 1).alias("until_t"))
+
+
 def stations(spark: SparkSession) -> DataFrame:
     """V4; parts of an event type are peers of the same part of the others."""
     rows = STATIONS if PARTS == 1 else [(f"{s}-{k}", tz, f"{group}{k}") for s, tz, group in STATIONS for k in range(PARTS)]
