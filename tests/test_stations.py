@@ -518,3 +518,25 @@ def test_percentiles_by_narrowing(spark, rest, bins):
         want = a[int(at)] + (at - int(at)) * (a[min(int(at) + (at > int(at)), len(a) - 1)] - a[int(at)])
         assert v == pytest.approx(want, rel=1e-12), (key, q)
     assert selection.percentiles(rows.limit(0), marks) == ({}, {})
+
+
+def test_checks_totals_and_conditional_recall(spark):
+    day = 86400
+    rows = [("a", "x", "m", 10 * day - 1, "warning", 40.0), ("a", "x", "m", 10 * day, "severe", 70.0), ("a", "x", "m", 12 * day + 5, "severe", 70.0), ("a", "x", "m", 11 * day, "info", 90.0), ("b", "x", "m", 10 * day, "severe", 99.0), ("a", "y", "m", 11 * day, "severe", 99.0)]
+    incidents = spark.createDataFrame(rows, "station string, detector string, metric string, onset_t long, severity string, priority_score double")
+    checks = spark.createDataFrame([(1, "a", "x", 10 * day, 12 * day + 5), (2, "a", "x", 10 * day, 10 * day), (3, "c", "x", 0, 99 * day), (4, "a", "x", 12 * day + 6, 12 * day + 9)], "check_id int, station string, kind string, from_t long, until_t long")
+    got = {r.check_id: (r.n, r.passed, r.best, r.onset_t) for r in E.spot_checks(incidents, checks).collect()}
+    assert got == {1: (2, True, 70.0, 10 * day), 2: (1, True, 70.0, 10 * day), 3: (0, False, None, None), 4: (0, False, None, None)}
+    quality = spark.createDataFrame([("s", 2, 1, 0), ("u", 1, 0, 3)], "scenario string, tp int, fp int, fn int")
+    assert tuple(E.detection_totals(quality).first()) == (3, 1, 3, 0.75, 0.5)
+    assert tuple(E.detection_totals(quality.limit(0).unionByName(spark.createDataFrame([("v", 0, 0, 0)], quality.schema))).first())[3:] == (1.0, 1.0)
+    hits = spark.createDataFrame([(1, True), (2, False), (3, False)], "label_id int, expected_hit boolean")
+    misses = spark.createDataFrame([(2, "resolution FN"), (3, "genuine gap")], "label_id int, verdict string")
+    assert tuple(E.conditional_recall(hits, misses).first()) == (3, 1, 1, 0.333333, 0.5)
+
+
+def test_forecasts_are_kept_with_new_readings_only(spark):
+    arrivals = spark.createDataFrame([("a", 0, 1, 100, 3), ("a", 0, 2, 100, 5), ("a", 1, 3, 100, 4), ("a", 2, 4, 200, 1), ("a", 3, 5, 300, 12), ("a", 4, 6, 400, 3)], "station string, t long, polled long, target_t long, lead_hours int")
+    known = spark.createDataFrame([("a", 4)], "station string, t long")
+    got = feeds.forecasts_of_new(arrivals, ["station", "t"], ["polled"], Profile(), known).collect()
+    assert sorted((r.t, r.target_t) for r in got) == [(0, 100), (3, 300)]  # a repeat, a later one for 100, a short lead, a known reading
