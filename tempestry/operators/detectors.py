@@ -25,7 +25,16 @@ def enriched(readings: DataFrame, stations: DataFrame, clim: dict, p: Profile =
 
     `clim` holds levels and wet (statistics per level) and gates (literal columns).
     """
-    df = features.with_history(climatology.with_local(readings, stations), p)
+    return with_baseline(with_past(readings, stations, p), clim, p)
+
+
+def with_past(readings: DataFrame, stations: DataFrame, p: Profile = Profile()) -> DataFrame:
+    """Readings with local time and history features: what profiles of the same history share."""
+    return features.with_history(climatology.with_local(readings, stations), p)
+
+
+def with_baseline(df: DataFrame, clim: dict, p: Profile = Profile()) -> DataFrame:
+    """Rows of `with_past` with lookups, z scores, gates and tail anchors."""
     df = climatology.lookup(df, clim["levels"], Z_METRICS, p)
     df = climatology.wet_lookup(df, clim["wet"], p)
     df = df.withColumns({f"{m}_z": S.robust_z(F.col(m), F.col(f"{m}_median"), F.col(f"{m}_scale"), m) for m in Z_METRICS})

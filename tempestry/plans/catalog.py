@@ -19,7 +19,7 @@ from tempestry.operators.lineage import cut, shared_dir
 from tempestry.plans import views
 from tempestry.plans.sql import CHILL, HUMIDEX, STEP, TRAIN1, TRAIN2, with_
 from tempestry.profile import CURRENT, DETECTORS, FORECAST_METRICS, MONTH_HOUR, SMOOTH_CLIPPED, WET_PERCENTILES, Profile
-from tempestry.sources import tables
+from tempestry.sources import artifact, tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -74,17 +74,10 @@ def climatology1(spark: SparkSession, d: str) -> dict:
     then on."""
     key = (spark.sparkContext.applicationId, views.PARTS, _content(spark, f"{d}/events.parquet"))
     if key not in _FITTED:
-        vals = cut(train1(spark, d))
-        acc = C.rolling_accumulations(views.hourly(spark, d).filter(F.col("t") < TRAIN1), P).select(F.lit("rain_6h").alias("metric"), "v")
-        wet = vals.filter((F.col("metric") == "precipitation") & (F.col("v") >= P.wet_mm)).select(F.lit("rain").alias("metric"), "v")
+        totals = C.rolling_accumulations(views.hourly(spark, d).filter(F.col("t") < TRAIN1), P)
         path = f"{shared_dir(spark)}/climatology-{uuid.uuid4().hex}"
-        tables.write_climatology(C.stats(vals, P), path)
-        tables.write_climatology(C.wet_levels(vals, P), f"{path}/wet")
-        levels = tables.read_climatology(spark, path, C.LEVELS)
-        gates = {}
-        for name in ("smooth", "month_hour"):
-            gates[name] = D.gates(*C.pooled(C.residuals(vals, levels[name], C.LEVELS[name]).unionByName(wet).unionByName(acc), POOLED))
-        _FITTED[key] = {"levels": levels, "wet": tables.read_climatology(spark, f"{path}/wet", C.LEVELS), "gates": gates}
+        fitted = artifact.load(spark, path, artifact.fit(cut(train1(spark, d)), totals, path, P))
+        _FITTED[key] = {**fitted, "gates": {b: D.gates(*artifact.of_baseline(fitted, b)) for b in artifact.BASELINES}}
     return _FITTED[key]
 
 
@@ -93,11 +86,14 @@ def forget() -> None:
     _FITTED.clear()
 
 
+def _clim_of(spark: SparkSession, d: str, p: Profile) -> dict:
+    fitted = climatology1(spark, d)
+    return {**fitted, "gates": fitted["gates"]["smooth" if p.smooth_baseline else "month_hour"]}
+
+
 def enriched(spark: SparkSession, d: str, p: Profile = P) -> DataFrame:
     """Features of all hourly readings; computed once, since every detector starts from them."""
-    fitted = climatology1(spark, d)
-    clim = {**fitted, "gates": fitted["gates"]["smooth" if p.smooth_baseline else "month_hour"]}
-    return cut(D.enriched(views.hourly(spark, d), views.stations(spark), clim, p))
+    return cut(D.enriched(views.hourly(spark, d), views.stations(spark), _clim_of(spark, d, p), p))
 
 
 def with_forecast(spark: SparkSession, d: str, df: DataFrame) -> DataFrame:
@@ -839,14 +835,19 @@ _VARIANTS = (("month_hour", "_m"), ("smooth_clipped", "_c"), ("current", ""))
 
 @query("l8_replay_profiles", " UNION ALL ".join(f"SELECT '{name}' AS profile, c.detector, count(*) AS raw, count(*) FILTER (WHERE severity = 'severe') AS severe, CAST(sum(CAST(round(score * 1000) AS BIGINT)) AS BIGINT) AS total_milli, (SELECT count(*) FROM rinc{v} r WHERE r.detector = c.detector) AS incidents FROM cand{v} c GROUP BY c.detector" for name, v in _VARIANTS))
 def l8(spark, d):
-    """The replay of all ten detectors under the three presets."""
-    out = []
+    """The replay of all ten detectors under the three presets: one pass of history and forecasts for all of them, a
+    lookup each in its own ladder, and one lifecycle, keyed by preset."""
+    h, stations = views.hourly(spark, d), views.stations(spark)
+    past = cut(D.with_past(h, stations, P))
+    said = cut(with_forecast(spark, d, past.select("station", "t", *FORECAST_METRICS)))
+    found = []
     for name, p in PRESETS.items():
-        c = candidates(spark, d, p)
-        raw = c.groupBy("detector").agg(F.count("*").alias("raw"), F.count_if(F.col("severity") == "severe").alias("severe"), F.sum(F.round(F.col("score") * 1000).cast("long")).alias("total_milli"))
-        found = incidents(spark, d, "score", c).groupBy("detector").agg(F.count("*").alias("incidents"))
-        out.append(raw.join(found.hint("merge"), "detector", "left").select(F.lit(name).alias("profile"), "detector", "raw", "severe", "total_milli", F.coalesce("incidents", F.lit(0)).alias("incidents")))
-    return reduce(DataFrame.unionByName, out)
+        df = cut(D.with_baseline(past, _clim_of(spark, d, p), p))
+        found.append(D.detect(joined(with_peers(spark, df), said), p).withColumn("dedupe_key", F.concat(F.lit(f"{name}|"), "dedupe_key")))
+    found = cut(reduce(DataFrame.unionByName, found)).withColumn("profile", F.substring_index("dedupe_key", "|", 1))
+    raw = found.groupBy("profile", "detector").agg(F.count("*").alias("raw"), F.count_if(F.col("severity") == "severe").alias("severe"), F.sum(F.round(F.col("score") * 1000).cast("long")).alias("total_milli"))
+    ended = incidents(spark, d, "score", found).groupBy(F.substring_index("dedupe_key", "|", 1).alias("profile"), "detector").agg(F.count("*").alias("incidents"))
+    return raw.join(ended.hint("merge"), ["profile", "detector"], "left").withColumn("incidents", F.coalesce("incidents", F.lit(0)))
 
 
 _PACK = "SELECT q.station, q.t, q.peer, round(abs(own - theirs) + 1e-9, 3) AS gap FROM (SELECT r.station, r.t, r.apparent_temperature AS own, p.station AS peer, f.apparent_temperature AS theirs FROM (SELECT v1.*, peer_group FROM v1 JOIN v4 USING (station)) r JOIN v4 p ON p.peer_group = r.peer_group AND p.station <> r.station ASOF JOIN v1 f ON f.station = p.station AND f.t <= r.t) q JOIN (SELECT station, t, lag(apparent_temperature) OVER (PARTITION BY station ORDER BY t) AS before FROM v1) b ON b.station = q.station AND b.t = q.t WHERE abs(own - theirs) >= 8 AND abs(before - theirs) < 8"

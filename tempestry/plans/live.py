@@ -21,7 +21,7 @@ from tempestry.operators.lineage import cut, shared_dir
 from tempestry.plans import catalog, views
 from tempestry.plans.catalog import INCIDENT, P
 from tempestry.plans.sql import with_
-from tempestry.profile import FORECAST_METRICS
+from tempestry.profile import FORECAST_METRICS, WET_PERCENTILES
 from tempestry.sources import tables
 from tempestry.sources.backfill import Backfill
 from tempestry.streaming import detection, lifecycle
@@ -223,3 +223,27 @@ def s11b(spark, d):
 def s10(spark, d):
     levels = catalog.climatology1(spark, d)["levels"]
     return reduce(DataFrame.unionByName, [levels[k].select(F.lit(k).alias("level"), "station", "metric", "n", "median", "mad", "scale") for k in C.LEVELS])
+
+
+def _season(keys: list[str]) -> str:
+    return ", ".join(f"CAST({k if k in keys else 'NULL'} AS BIGINT) AS {k}" for k in ("doy", "month", "hour"))
+
+
+_WET = ", ".join(("total_count", "wet_count", *[f"p{m}" for m in WET_PERCENTILES]))
+
+
+@query("s10_wet_tables", " UNION ALL ".join(f"SELECT '{level}' AS level, station, {_season(keys)}, {_WET} FROM {step}" for (level, keys), step in zip(C.LEVELS.items(), ("wetsmooth1", "wetmh1", "wetmo1", "wetcity1"))))
+def s10_wet(spark, d):
+    wet = catalog.climatology1(spark, d)["wet"]
+    season = lambda k: [(F.col(c) if c in C.LEVELS[k] else F.lit(None)).cast("long").alias(c) for c in ("doy", "month", "hour")]
+    return reduce(DataFrame.unionByName, [wet[k].select(F.lit(k).alias("level"), "station", *season(k), *_WET.split(", ")) for k in C.LEVELS])
+
+
+@query("s10_thresholds", "SELECT 'smooth' AS baseline, metric, n, upper_z, lower_z, abs_z FROM thrall1 UNION ALL SELECT 'month_hour', metric, n, upper_z, lower_z, abs_z FROM thrmhall1")
+def s10_thresholds(spark, d):
+    return catalog.climatology1(spark, d)["thresholds"]
+
+
+@query("s10_tails", "SELECT 'smooth' AS baseline, metric, kind, k, v, p FROM tail1 UNION ALL SELECT 'month_hour', metric, kind, k, v, p FROM tailmh1")
+def s10_tails(spark, d):
+    return catalog.climatology1(spark, d)["tails"]

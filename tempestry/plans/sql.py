@@ -109,6 +109,7 @@ for n, train in (("1", TRAIN1), ("2", TRAIN2)):
     more = f"SELECT 'rain', v FROM val{n} WHERE metric = 'precipitation' AND v >= 0.1 UNION ALL SELECT 'rain_6h', v FROM acc{n}"
     STEP[f"thrall{n}"] = _thresholds(f"(SELECT * FROM rest{n} UNION ALL {more})")
     STEP[f"thrmhall{n}"] = _thresholds(f"(SELECT * FROM restmh{n} UNION ALL {more})")
+    STEP[f"tailmh{n}"] = _tails(f"(SELECT * FROM restmh{n} UNION ALL {more})")
     STEP[f"tail{n}"] = _tails(
         f"(SELECT * FROM rest{n} UNION ALL SELECT 'rain', v FROM val{n} WHERE metric = 'precipitation' AND v >= 0.1 UNION ALL SELECT 'rain_6h', v FROM acc{n})"
     )

@@ -47,7 +47,7 @@ def write_events(incidents: DataFrame, path: str, batch: int | None = None) -> N
     if days:
         rows.withColumn("day", F.col("event_date")).write.partitionBy("day").parquet(f"{path}/{at}")
     placed = last["days"] | {d: f"{path}/{at}/day={d}" for d in days}
-    _publish(spark, path, number + 1, {"batch": last["batch"] if batch is None else batch, "days": placed})
+    publish(spark, path, number + 1, {"batch": last["batch"] if batch is None else batch, "days": placed})
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -69,15 +69,25 @@ def _fs(spark: SparkSession, path: str):
 
 def _last_commit(spark: SparkSession, path: str) -> tuple[int, dict]:
     """(number, content) of the newest commit file; 0 and nothing before the first."""
+    number = last_version(spark, path)
+    return number, committed(spark, path, number) if number else {"batch": None, "days": {}}
+
+
+def last_version(spark: SparkSession, path: str) -> int:
+    """The number of the newest commit file below `path`, 0 before the first."""
     fs, at = _fs(spark, f"{path}/commits")
-    numbers = [int(f.getPath().getName()[:-5]) for f in fs.listStatus(at) if f.getPath().getName().endswith(".json")] if fs.exists(at) else []
-    if not numbers:
-        return 0, {"batch": None, "days": {}}
-    text = spark.read.text(f"{path}/commits/{max(numbers)}.json", wholetext=True).first()[0]
-    return max(numbers), json.loads(text)
+    return max([int(f.getPath().getName()[:-5]) for f in fs.listStatus(at) if f.getPath().getName().endswith(".json")], default=0) if fs.exists(at) else 0
+
+
+def committed(spark: SparkSession, path: str, number: int | None = None) -> dict:
+    """What commit `number`, or the newest, says."""
+    number = last_version(spark, path) if number is None else number
+    if number < 1:
+        raise ValueError(f"nothing has been committed below {path}")
+    return json.loads(spark.read.text(f"{path}/commits/{number}.json", wholetext=True).first()[0])
 
 
-def _publish(spark: SparkSession, path: str, number: int, content: dict) -> None:
+def publish(spark: SparkSession, path: str, number: int, content: dict) -> None:
     """Make commit `number` visible at once; fails if another writer was first."""
     fs, to = _fs(spark, f"{path}/commits/{number}.json")
     _, aside = _fs(spark, f"{path}/commits/_{uuid.uuid4().hex}")
