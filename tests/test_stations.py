@@ -13,7 +13,7 @@ from tempestry.operators import evaluation as E
 from tempestry.operators import features as X
 from tempestry.operators import feeds, legacy, lifecycle
 from tempestry.profile import Profile
-from tempestry.sources import provider, tables
+from tempestry.sources import artifact, provider, tables
 from tempestry.streaming import lifecycle as stream
 
 T0 = 1780329600  # 2026-06-01T16:00Z
@@ -349,7 +349,7 @@ def test_events_are_upserted_and_published_by_commits(spark, tmp_path):
     tables.write_events(rows((2, 50, 70, 80, 2.5)), at)  # not a stream's
     assert (2, 2.5, 80) in seen()
     with pytest.raises(RuntimeError):
-        tables._publish(spark, at, 1, {})
+        tables.publish(spark, at, 1, {})
 
 
 def test_climatology_round_trip(spark, tmp_path):
@@ -358,6 +358,30 @@ def test_climatology_round_trip(spark, tmp_path):
     assert tables.read_climatology(spark, str(tmp_path / "c"), ["city"])["city"].count() == 2
 
 
+def test_artifact_versions(spark, tmp_path):
+    at, p = str(tmp_path / "a"), Profile(min_bucket_n=2)
+    readings = spark.createDataFrame([reading(k, temperature_2m=20.0 + k % 5, precipitation=float(k % 3)) for k in range(72)], READING)
+    stations = spark.createDataFrame(STATIONS, "station string, tz string, peer_group string")
+    vals, totals = C.values(C.with_local(readings, stations), p.climatology_metrics), C.rolling_accumulations(readings, p)
+    with pytest.raises(ValueError):
+        artifact.load(spark, at)
+    assert artifact.fit(vals.limit(0), totals.limit(0), at, p) == 1
+    empty = artifact.load(spark, at)
+    assert [empty[name].count() for name in ("thresholds", "tails", "diagnostics")] == [0, 0, 0] and empty["levels"]["smooth"].count() == 0
+    assert artifact.fit(vals, totals, at, p) == 2
+    (tmp_path / "a" / "data" / "lost").mkdir()  # a fit that was lost before its commit
+    got = artifact.load(spark, at)
+    for level, want in C.stats(vals, p).items():
+        assert sorted(map(tuple, got["levels"][level].collect())) == sorted(map(tuple, want.select(got["levels"][level].columns).collect()))
+    for level, want in C.wet_levels(vals, p).items():
+        assert sorted(map(tuple, got["wet"][level].collect())) == sorted(map(tuple, want.select(got["wet"][level].columns).collect()))
+    threshold, tail = artifact.of_baseline(got, "smooth")
+    assert {r.metric for r in threshold.collect()} == {"temperature_2m", "precipitation", "wind_gusts_10m", "pressure_msl", "rain", "rain_6h"}
+    assert tail.count() == 6 * 16
+    assert {r.name: r.value for r in got["settings"].collect()}["min_bucket_n"] == "2"
+    assert artifact.load(spark, at, 1)["thresholds"].count() == 0  # older versions stay readable
+
+
 def drained(stream, tmp_path, each, mode="append"):
     stream.writeStream.outputMode(mode).option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(each).trigger(availableNow=True).start().awaitTermination(120)
 
