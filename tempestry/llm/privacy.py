@@ -11,7 +11,8 @@ surroundings, and `sample_rows` candidates of known kind are written into them:
 there are any, every second one in the place of a base span of its kind) and look-alikes (versions, dates, prices,
 measures, identifiers, scope operators, everyday "at" and "dot").  Numbers of the sample itself that look like cards
 and fail their check digit are look-alikes too.  Every fourth document and what is written into it is held out; on it
-the thresholds are calibrated and `held_out` of the model reports precision and recall of each kind.
+the thresholds are calibrated and `held_out` of the model reports precision and recall of each kind.  Those rows have
+the forms that the fit saw; `left_out` tells how a model decides on a form that it has not seen.
 
 Defined results: a null or empty text has no spans; offsets are code points with exclusive ends; repeated
 rows are handled one by one; an empty table gives an empty result; further columns, whatever their names, pass
@@ -159,65 +160,73 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         before[-1:].isalnum() or before[-1:] in ("$", "€", "#", "="),
         after[:1] in ("%", "€", "$"),
         sum(c.isdigit() for c in before + after),
+        any(1900 <= int(g) < 2100 for g in re.findall(r"(?<![0-9])[0-9]{4}(?![0-9])", s)),
+        sum(any(c.isdigit() for c in g) and any(c.isalpha() for c in g) for g in s.split(":")) if ":" in s else 0,
     ]
 
 
-def _planted(rng: random.Random) -> tuple[str, str, str, int]:
-    """(kind, lead, candidate, is personal)."""
+def _planted(rng: random.Random) -> tuple[str, str, str, str, int]:
+    """(family, kind, lead, candidate, is personal)."""
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     a = lambda n: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(n))
     x = lambda n: ":".join(f"{rng.randrange(65536):x}" for _ in range(n))
     sep, ending = rng.choice(" -."), rng.choice(sorted(_ENDINGS))
     at, dot = rng.choice(["at", "at", "AT", "At"]), rng.choice(["dot", "dot", "DOT", "Dot"])
     left, right = rng.choice(["[]", "()", "{}", "<>"])
+    abroad, mobile = rng.choice(["33", "49", "34", "44"]), rng.choice("1567")
     personal = [
-        ("email", f"{a(5)}{rng.choice(['', '.', '_'])}{a(4)} {left}{at}{right} {a(6)} {rng.choice([left + dot + right, '.'])} {ending}"),
-        ("email", f"{a(6)}{left}{at}{right}{a(5)}.{ending}"),
-        ("email", f"{a(5)}{rng.choice(['', '.', '_'])}{a(4)} {at} {a(7)} {dot} {ending}"),
-        ("phone", f"({d(3)}) {d(3)}-{d(4)}"),
-        ("phone", f"{rng.choice('23456789')}{d(2)}{sep}{d(3)}{sep}{d(4)}"),
-        ("phone", f"00{rng.choice(['33', '49', '34', '44'])} {d(3)} {d(3)} {d(3)}"),
-        ("phone", f"0{rng.choice('1234567')} {d(2)} {d(2)} {d(2)} {d(2)}"),
-        ("ip", x(8)),
-        ("ip", f"{rng.choice(['2001', 'fe80', '2a02', 'fd00'])}:{x(rng.randrange(1, 3))}::{x(rng.randrange(1, 4))}"),
+        ("bracketed address", "email", f"{a(5)}{rng.choice(['', '.', '_'])}{a(4)} {left}{at}{right} {a(6)} {rng.choice([left + dot + right, '.'])} {ending}"),
+        ("tight address", "email", f"{a(6)}{left}{at}{right}{a(5)}.{ending}"),
+        ("spoken address", "email", f"{a(5)}{rng.choice(['', '.', '_'])}{a(4)} {at} {a(7)} {dot} {ending}"),
+        ("area code in brackets", "phone", f"({d(3)}) {d(3)}-{d(4)}"),
+        ("three groups", "phone", f"{rng.choice('23456789')}{d(2)}{sep}{d(3)}{sep}{d(4)}"),
+        ("00 in threes", "phone", f"00{abroad} {d(3)} {d(3)} {d(3)}"),
+        ("00, area, number", "phone", f"00{abroad}{rng.choice(' -/')}{d(rng.randrange(1, 4))}{rng.choice(' -')}{d(rng.randrange(6, 8))}"),
+        ("0 in pairs", "phone", f"0{rng.choice('1234567')} {d(2)} {d(2)} {d(2)} {d(2)}"),
+        ("0 prefix, number", "phone", f"0{mobile}{d(rng.randrange(1, 3))}{rng.choice([' ', '-', '/'])}{d(rng.randrange(6, 9))}"),
+        ("full IPv6", "ip", x(8)),
+        ("short IPv6", "ip", f"{rng.choice(['2001', 'fe80', '2a02', 'fd00'])}:{x(rng.randrange(1, 3))}::{x(rng.randrange(1, 4))}"),
+        ("IPv6 of a short host", "ip", f"{rng.choice(['fe80', 'fd00', '2a02:' + x(1), '2001:db8'])}::{rng.randrange(1, 4096):x}"),
     ]
     body = rng.choice("3456") + d(14)
     card = body + next(c for c in "0123456789" if luhn(body + c))
-    personal.append(("card", rng.choice("./_").join(card[i : i + 4] for i in range(0, 16, 4))))
+    personal.append(("card of other separators", "card", rng.choice("./_").join(card[i : i + 4] for i in range(0, 16, 4))))
     other = [
-        ("phone", f"{rng.randrange(1900, 2030)}-{d(2)}-{d(2)} {d(2)}"),
-        ("phone", d(rng.randrange(7, 16))),
-        ("phone", f"{d(2)}.{d(3)}.{d(3)}"),
-        ("phone", f"{d(4)} {d(4)} {d(2)}"),
-        ("phone", f"{d(1)} {d(2)} {d(1)} {d(3)} {d(2)}"),
-        ("phone", f"{d(2)}/{d(2)}/{rng.randrange(1900, 2030)}"),
-        ("phone", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}"),
-        ("card", d(rng.randrange(13, 20))),
-        ("card", f"{d(4)}.{d(4)}.{d(4)}.{d(4)}"),
-        ("card", f"{d(3)} {d(5)} {d(5)} {d(3)}"),
-        ("email", f"{a(5)} @ {a(5)}. {a(4)}"),
-        ("email", f"{a(5)} @{a(5)}. {a(6)}"),
-        ("email", f"{rng.choice(['look', 'point', 'stare', 'arrow'])} at {rng.choice(['this', 'that', 'the', 'one'])} dot {rng.choice(['and', 'here', 'then', 'on', 'below'])}"),
-        ("ip", f"{rng.choice(['a', 'ab', 'abc', 'dead', 'face'])}::{rng.choice(['add', 'b', 'bad', 'cafe'])}"),
-        ("ip", f"{d(2)}::{d(2)}"),
+        ("date and hour", "phone", f"{rng.randrange(1900, 2030)}-{d(2)}-{d(2)} {d(2)}"),
+        ("digits", "phone", d(rng.randrange(7, 16))),
+        ("thousands", "phone", f"{d(2)}.{d(3)}.{d(3)}"),
+        ("fours", "phone", f"{d(4)} {d(4)} {d(2)}"),
+        ("loose groups", "phone", f"{d(1)} {d(2)} {d(1)} {d(3)} {d(2)}"),
+        ("date", "phone", f"{d(2)}/{d(2)}/{rng.randrange(1900, 2030)}"),
+        ("isbn", "phone", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}"),
+        ("two numbers", "phone", f"{rng.choice('123456789')}{d(rng.randrange(1, 4))} {d(rng.randrange(6, 9))}"),
+        ("zero-filled number", "phone", f"00{d(rng.randrange(5, 9))}"),
+        ("long digits", "card", d(rng.randrange(13, 20))),
+        ("dotted fours", "card", f"{d(4)}.{d(4)}.{d(4)}.{d(4)}"),
+        ("groups of a code", "card", f"{d(3)} {d(5)} {d(5)} {d(3)}"),
+        ("handle", "email", f"{a(5)} @ {a(5)}. {a(4)}"),
+        ("mention", "email", f"{a(5)} @{a(5)}. {a(6)}"),
+        ("everyday at and dot", "email", f"{rng.choice(['look', 'point', 'stare', 'arrow'])} at {rng.choice(['this', 'that', 'the', 'one'])} dot {rng.choice(['and', 'here', 'then', 'on', 'below'])}"),
+        ("scope", "ip", f"{rng.choice(['a', 'ab', 'abc', 'dead', 'face'])}::{rng.choice(['add', 'b', 'bad', 'cafe'])}"),
+        ("range", "ip", f"{d(2)}::{d(2)}"),
     ]
-    kind, s = rng.choice(personal if rng.random() < 0.5 else other)
-    label = int((kind, s) in personal)
+    label = int(rng.random() < 0.5)
+    family, kind, s = rng.choice(personal if label else other)
     if kind == "card" and not label and luhn(re.sub(r"\D", "", s)):
         label = int(not s.isdigit())
     hint = {"phone": ["tel ", "phone: ", "call "], "email": ["mail: ", "contact "], "card": ["card ", "visa: "], "ip": ["host "]}[kind]
     lead = rng.choice(hint) if label and rng.random() < 0.4 else rng.choice(["no. ", "total ", "order ", "version ", "= ", "#"]) if not label and rng.random() < 0.4 else ""
-    return kind, lead, s, label
+    return family, kind, lead, s, label
 
 
-def fit(docs: DataFrame, p: PrivacyParams = PrivacyParams()) -> dict:
-    """The model and its thresholds from a bounded sample."""
+def _material(docs: DataFrame, p: PrivacyParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, labels, held out, family of the form) of the candidates that the model is learned from."""
     taken = bounded_sample(docs.select(F.substring("text", 1, p.context_chars).alias("text")), "text", p.context_docs) or ["text"]
     rng = random.Random(p.seed)
     rng.shuffle(taken)
     held_out = [k % 4 == 0 and len(taken) > 3 for k in range(len(taken))]
     places: dict[tuple[str, bool], list[tuple[int, int, int]]] = {}  # base spans: (document, start, end)
-    rows, labels, held = [], [], []
+    rows, labels, held, families = [], [], [], []
     for k, text in enumerate(taken):
         base = base_spans(text)
         for kind, a, b in base:
@@ -225,9 +234,9 @@ def fit(docs: DataFrame, p: PrivacyParams = PrivacyParams()) -> dict:
         covered = _union([(a, b) for _, a, b in base])
         for kind, a, b in candidates(text):
             if kind == "card" and not _meets(covered, a, b) and not luhn(re.sub(r"\D", "", text[a:b])):
-                rows.append(features(text, kind, a, b)), labels.append(0), held.append(held_out[k])
+                rows.append(features(text, kind, a, b)), labels.append(0), held.append(held_out[k]), families.append("sample")
     for n in range(p.sample_rows):
-        kind, lead, s, label = _planted(rng)
+        family, kind, lead, s, label = _planted(rng)
         k = rng.randrange(len(taken))
         there = places.get((kind, held_out[k]))
         if label and there and n % 2:
@@ -240,10 +249,20 @@ def fit(docs: DataFrame, p: PrivacyParams = PrivacyParams()) -> dict:
             lead, s = (lead if not a or taken[k][a - 1].isspace() else " " + lead), s + " "
         text = taken[k][max(0, a - 40) : a] + lead + s + taken[k][b : b + 40]
         a = min(a, 40) + len(lead)
-        rows.append(features(text, kind, a, a + len(s.rstrip()))), labels.append(label), held.append(held_out[k])
-    x, y, held = np.array(rows, float), np.array(labels), np.array(held)
+        rows.append(features(text, kind, a, a + len(s.rstrip()))), labels.append(label), held.append(held_out[k]), families.append(family)
+    held = np.array(held)
     if not held.any():  # too few documents to hold any out
-        held = np.arange(len(y)) % 4 == 0
+        held = np.arange(len(labels)) % 4 == 0
+    return np.array(rows, float), np.array(labels), held, np.array(families)
+
+
+def fit(docs: DataFrame, p: PrivacyParams = PrivacyParams()) -> dict:
+    """The model and its thresholds from a bounded sample."""
+    x, y, held, _ = _material(docs, p)
+    return _fitted(x, y, held, p)
+
+
+def _fitted(x: np.ndarray, y: np.ndarray, held: np.ndarray, p: PrivacyParams) -> dict:
     model = boosting.fit(x[~held], y[~held])
     scores, x, y = boosting.predict(model, x[held]), x[held], y[held]
     model["limits"], model["held_out"] = [], {}
@@ -256,6 +275,20 @@ def fit(docs: DataFrame, p: PrivacyParams = PrivacyParams()) -> dict:
     return model
 
 
+def left_out(docs: DataFrame, p: PrivacyParams = PrivacyParams(), families: list[str] | None = None) -> dict[str, dict]:
+    """Per family of forms, how a model that has seen none of it decides on it: the share of the family's personal
+    candidates that it selects, and of its look-alikes (null where the family has none)."""
+    x, y, held, family = _material(docs, p)
+    out = {}
+    for name in families or sorted(set(family.tolist())):
+        own = family == name
+        model = _fitted(x[~own], y[~own], held[~own], p)
+        chosen = boosting.predict(model, x[own]) >= np.array(model["limits"])[x[own][:, 0].astype(int)]
+        share = {kind: float(chosen[y[own] == label].mean()) if (y[own] == label).any() else None for label, kind in ((1, "personal"), (0, "look_alike"))}
+        out[name] = {"rows": int(own.sum()), **share}
+    return out
+
+
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The spans' union as disjoint spans in order."""
     out: list[tuple[int, int]] = []

@@ -240,6 +240,40 @@ def test_further_forms_are_proposed(spark):
     assert [[s["kind"] for s in spans] for spans in privacy._select(texts, model)] == [["email"], ["email"], ["ip"], [], []]
 
 
+def test_national_and_short_forms_are_selected(spark):
+    model = privacy.fit(spark.createDataFrame([(f"some words of text {k} here",) for k in range(12)], "text string"))
+    texts = ["ring tel 0171 2345678 today", "ring 0049 30 1234567 today", "the host fe80::1 is up", "page 12 3456789 of it"]
+    found = [[(s["kind"], t[s["start"] : s["end"]]) for s in spans] for t, spans in zip(texts, privacy._select(texts, model))]
+    assert found == [[("phone", "0171 2345678")], [("phone", "0049 30 1234567")], [("ip", "fe80::1")], []]
+
+
+def test_the_score_decides_between_overlapping_kinds():
+    # one run of digits is proposed as a phone and as a card, with the same bounds: the better score of the two counts
+    text = "pay 4111.1111.1111.111 now"
+    found = privacy.candidates(text)
+    kinds = {k for k, a, b in found if text[a:b] == "4111.1111.1111.111"}
+    assert kinds >= {"phone", "card"}
+    width = len(privacy.features(text, *found[0])) - 1
+    x = np.array([[privacy.KINDS.index(k)] + [0.0] * width for k in ("phone", "card") for _ in range(200)])
+    for better in ("phone", "card"):
+        y = np.array([int(k == better) for k in ("phone", "card") for _ in range(200)])
+        model = boosting.fit(x, y)
+        model["limits"] = [0.5] * 4
+        assert [s["kind"] for s in privacy._select([text], model)[0]] == [better]
+
+
+def test_a_left_out_family_is_judged_by_a_model_without_it(spark):
+    docs = spark.createDataFrame([(f"some words of text {k} here",) for k in range(12)], "text string")
+    got = privacy.left_out(docs, families=["three groups", "date"])
+    assert got["three groups"]["look_alike"] is None and got["date"]["personal"] is None
+    x, y, held, family = privacy._material(docs, privacy.PrivacyParams())
+    assert got["date"]["rows"] == (family == "date").sum() and held.any()
+    own = family != "date"
+    model = privacy._fitted(x[own], y[own], held[own], privacy.PrivacyParams())
+    chosen = boosting.predict(model, x[~own]) >= model["limits"][privacy.KINDS.index("phone")]
+    assert got["date"]["look_alike"] == chosen.mean()  # no bound on it: an unseen form may go wrong, as the README says
+
+
 # ---- packing ---------------------------------------------------------------------------------------
 
 
