@@ -3,6 +3,7 @@
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from tempestry.operators import detectors as D
 from tempestry.operators import evaluation as E
 from tempestry.operators import features as X
 from tempestry.operators import feeds, legacy, lifecycle
+from tempestry.plans import catalog
 from tempestry.profile import Profile
 from tempestry.sources import artifact, provider, tables
 from tempestry.streaming import lifecycle as stream
@@ -478,6 +480,17 @@ def test_histogram_over_the_range(spark):
     assert E.range_histogram(rows.limit(0), "v", 2).count() == 0
 
 
+@pytest.mark.parametrize("shocks", [[], [3.25], [3.0, 3.1, 4.5, 6.0]])
+def test_histogram_of_few_shocks_agrees_with_its_sql(spark, shocks):
+    db = duckdb.connect()
+    db.sql("CREATE TABLE d1 (strength DOUBLE)")
+    for z in shocks:
+        db.execute("INSERT INTO d1 VALUES (?)", [z])
+    found = E.range_histogram(spark.createDataFrame([(z,) for z in shocks], "z double"), "z").withColumn("low", F.round("low", 6))
+    assert sorted(map(tuple, found.collect())) == sorted(db.sql(catalog.Z_HISTOGRAM).fetchall())
+    assert found.count() == (30 if shocks else 0)
+
+
 def test_feeds(spark):
     rows = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 2.0), ("a", 2, 3.0), ("b", 2, 4.0)], "station string, t long, v double")
     assert [r.v for r in feeds.feed(rows, "t", "a", 1, 2, 2).collect()][0] == 3.0
