@@ -13,7 +13,7 @@ from tempestry.operators import detectors as D
 from tempestry.operators import evaluation as E
 from tempestry.operators import features as X
 from tempestry.operators import feeds, legacy, lifecycle
-from tempestry.plans import catalog
+from tempestry.plans import catalog, sql
 from tempestry.profile import Profile
 from tempestry.sources import artifact, provider, tables
 from tempestry.streaming import lifecycle as stream
@@ -491,6 +491,14 @@ def test_histogram_of_few_shocks_agrees_with_its_sql(spark, shocks):
     assert found.count() == (30 if shocks else 0)
 
 
+def test_zero_as_text_has_no_sign(spark):
+    below = [-0.04, -0.0, 0.0, 0.04, -0.06, -1.25]
+    got = [r.x for r in spark.createDataFrame([(k, v) for k, v in enumerate(below)], "k int, v double").orderBy("k").select(D.one(F.col("v")).alias("x")).collect()]
+    assert got == ["0.0", "0.0", "0.0", "0.0", "-0.1", "-1.2"]
+    assert got == [duckdb.sql(f"SELECT {sql._one(repr(v))}").fetchall()[0][0] for v in below]
+    assert duckdb.sql("SELECT " + sql._text(sql._p3("-0.0004"))).fetchall()[0][0] == "0.0"
+
+
 def test_feeds(spark):
     rows = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 2.0), ("a", 2, 3.0), ("b", 2, 4.0)], "station string, t long, v double")
     assert [r.v for r in feeds.feed(rows, "t", "a", 1, 2, 2).collect()][0] == 3.0
