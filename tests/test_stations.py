@@ -13,7 +13,7 @@ from tempestry.operators import detectors as D
 from tempestry.operators import evaluation as E
 from tempestry.operators import features as X
 from tempestry.operators import feeds, legacy, lifecycle
-from tempestry.plans import catalog, sql
+from tempestry.plans import catalog, sql, views
 from tempestry.profile import Profile
 from tempestry.sources import artifact, provider, tables
 from tempestry.streaming import lifecycle as stream
@@ -499,6 +499,22 @@ def test_zero_as_text_has_no_sign(spark):
     assert duckdb.sql("SELECT " + sql._text(sql._p3("-0.0004"))).fetchall()[0][0] == "0.0"
 
 
+def test_events_are_read_once_for_all_uses_of_the_readings(spark, tmp_path):
+    def land(n):
+        rows = spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_seconds(1704067200 + F.col("id") * 900).alias("ts"), F.lit(7).alias("user_id"), F.lit("click").alias("event_type"), (F.col("id") * 1.25).alias("value"))
+        rows.write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+
+    told = lambda df: sorted(map(str, df.collect()))
+    land(40)
+    first = views.hourly(spark, str(tmp_path))
+    uses = [first, views.hourly(spark, str(tmp_path)), views.forecasts(spark, str(tmp_path))]
+    assert not any("events.parquet" in f for df in uses for f in df.inputFiles())
+    assert {f for df in uses for f in df.inputFiles()} == set(first.inputFiles())
+    assert told(first) == told(views.readings(spark, str(tmp_path))) and first.count() == 10
+    land(80)  # other files, other readings
+    assert told(views.hourly(spark, str(tmp_path))) == told(views.readings(spark, str(tmp_path))) and views.hourly(spark, str(tmp_path)).count() == 20
+
+
 def test_feeds(spark):
     rows = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 2.0), ("a", 2, 3.0), ("b", 2, 4.0)], "station string, t long, v double")
     assert [r.v for r in feeds.feed(rows, "t", "a", 1, 2, 2).collect()][0] == 3.0
